@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tidemill.llm import _runtime as R
 
 BINS = 4096
-SHARD_BYTES, ROLL_BYTES = 64 << 20, 16 << 20
+SHARD_BYTES, ROLL_BYTES = 16 << 20, 16 << 20
 MANIFEST = "shard long, file string, records long, bytes long, sha1 string"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, digest_ok boolean, payload binary, ordinal long"
 
@@ -198,11 +198,17 @@ def write_archives(pages: DataFrame, base: str | None = None, min_dedup: int = 0
 
 
 def members(data: bytes) -> Iterator[bytes]:
-    while data:
-        z = zlib.decompressobj(31)
-        out = z.decompress(data) + z.flush()
-        yield out
-        data = z.unused_data
+    """The gzip members' contents; each is fed in parts, so none is scanned to the file's end."""
+    view, at = memoryview(data), 0
+    while at < len(data):
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(data):
+                raise ValueError("a gzip member is cut off")
+            step = view[at : at + (1 << 14)]
+            parts.append(z.decompress(step))
+            at += len(step) - len(z.unused_data)
+        yield b"".join(parts)
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
