@@ -60,8 +60,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of the scanned bytes (file sizes; no job runs)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """About how many bytes `df` has: the optimizer's estimate from file sizes (no job
+    runs), or 4 KB a row where it has none, as for rows that the driver sends."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 55 else df.count() * 4096
 
 
 def cell_count(spark: SparkSession, n_bytes: int, per_cell: int = 8 << 20) -> int:
