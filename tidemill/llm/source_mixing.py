@@ -39,7 +39,7 @@ _PRIME = 2147483647
 
 
 def word_count(text: Column) -> Column:
-    return F.when(text.isNull(), F.lit(0)).otherwise(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+"))).cast("long")
+    return F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), ""))).cast("long")
 
 
 def sizes_of(docs: DataFrame) -> DataFrame:
