@@ -27,17 +27,17 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.llm import _kernel as K
 from tidemill.llm import _runtime as R
 
 HASHED, DECAY, WINDOW = 1 << 20, 0.5, 14
 PER_CLASS, SENTENCES, LANDMARKS, COST = 800, 64, 256, 1.0
-KNOWN = 1 << 19
+KNOWN = 1 << 17
 _OFFSETS = [(j, k) for k in range(2, 5) for j in range(1, k)]
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _MARKS = re.compile(r"[\W_]+")
@@ -329,18 +329,21 @@ def scored(docs: DataFrame, model: "Model | None") -> DataFrame:
     """`docs` with score (0 to 1) and predicted added; no other column is changed."""
     spark = docs.sparkSession
     R.ship(spark)
+    text = docs.withColumn("text", F.col("text").cast("string"))
     if model is None:
-        return docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
+        return text.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
     held = spark.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+    schema = T.StructType([*text.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
-    @F.pandas_udf("double")
-    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
-        for s in batches:
-            yield pd.Series(held.value.score(scorer.worst([x or "" for x in s])))
+        for batch in batches:
+            for b in R.pieces(batch, "text"):
+                score = held.value.score(scorer.worst([x or "" for x in b.column(place).to_pylist()]))
+                yield pa.record_batch([*b.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
 
-    toxic = toxic.asNondeterministic()  # so that the plan computes it once
-    return docs.withColumn("score", toxic(F.col("text").cast("string"))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return text.mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
