@@ -14,10 +14,12 @@ of near copies never give all their pairs.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,12 +83,23 @@ def unique_pairs(p: np.ndarray) -> np.ndarray:
 
 SCHEMA = "kind int, cell int, data binary"
 ARROW = pa.schema([("kind", pa.int32()), ("cell", pa.int32()), ("data", pa.binary())])
-PAIRS, STAR = 1, 2
+POSTS, PAIRS, STAR = 0, 1, 2
 
 
-def packed(kind: int, data: np.ndarray, step: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+def packed(kind: int, data: np.ndarray, cells: int = 1, step: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Rows that pass through the cells as they are, spread over them."""
     for a in range(0, len(data), step):
-        yield pa.record_batch([pa.array([kind], pa.int32()), pa.array([0], pa.int32()), pa.array([data[a : a + step].tobytes()], pa.binary())], schema=ARROW)
+        part = data[a : a + step].tobytes()
+        yield pa.record_batch([pa.array([kind], pa.int32()), pa.array([zlib.crc32(part[:64]) % cells], pa.int32()), pa.array([part], pa.binary())], schema=ARROW)
+
+
+def by_cell(kind: int, data: np.ndarray, cell: np.ndarray) -> pa.RecordBatch:
+    """A row for each cell that has some of `data`."""
+    order = np.argsort(cell, kind="stable")
+    data, cell = data[order], cell[order].astype(np.int32)
+    at = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+    ends = np.append(at[1:], len(cell))
+    return pa.record_batch([pa.array(np.full(len(at), kind, np.int32)), pa.array(cell[at]), pa.array([data[a:b].tobytes() for a, b in zip(at, ends)], pa.binary())], schema=ARROW)
 
 
 class Dealer:
@@ -109,17 +122,13 @@ class Dealer:
         p = np.concatenate(self.held)
         self.held, self.n = [], 0
         _, stars, rest = paired(p, self.num, self.den) if len(p) > SMALL else (None, np.empty(0, PAIR), p)
-        yield from packed(STAR, stars)
-        cell = ((K.mix(rest["sig"]) >> np.uint64(32)) % np.uint64(self.cells)).astype(np.int32)
-        order = np.argsort(cell, kind="stable")
-        rest, cell = rest[order], cell[order]
-        at = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-        ends = np.append(at[1:], len(cell))
-        yield pa.record_batch([pa.array(np.zeros(len(at), np.int32)), pa.array(cell[at]), pa.array([rest[a:b].tobytes() for a, b in zip(at, ends)], pa.binary())], schema=ARROW)
+        yield from packed(STAR, stars, self.cells)
+        if len(rest):
+            yield by_cell(POSTS, rest, (K.mix(rest["sig"]) >> np.uint64(32)) % np.uint64(self.cells))
 
 
 def unpacked(data: DataFrame) -> DataFrame:
-    """PAIR blobs as rows a, b with a < b."""
+    """PAIR blobs as rows a, b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,20 +139,30 @@ def unpacked(data: DataFrame) -> DataFrame:
     return data.select("data").mapInArrow(run, "a long, b long")
 
 
+def cell_pairs(table: pa.Table, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """A cell's pairs and stars, and the stars that tasks have made."""
+    kind = table.column("kind").to_pylist()
+    data = table.column("data")
+    posts = [np.frombuffer(data[i].as_buffer(), POSTING) for i, k in enumerate(kind) if k == POSTS]
+    if posts:
+        pairs, stars, _ = paired(np.concatenate(posts), num, den)
+        yield from packed(PAIRS, pairs)
+        yield from packed(STAR, stars)
+    yield from table.filter(pc.equal(table.column("kind"), STAR)).to_batches()
+
+
 def candidates(dealt: DataFrame, cells: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """(pairs, stars as pivot a and leaf b) from what the dealers have sent."""
 
     def cell(table: pa.Table) -> pa.Table:
-        p = np.concatenate([np.frombuffer(x, POSTING) for x in table.column("data").to_pylist()])
-        pairs, stars, _ = paired(p, num, den)
-        got = [*packed(PAIRS, pairs), *packed(STAR, stars)]
-        return pa.Table.from_batches(got, ARROW)
+        return pa.Table.from_batches(list(cell_pairs(table, num, den)), ARROW)
+
+    return pairs_and_stars(R.written(dealt.repartition(cells, "cell").groupBy("cell").applyInArrow(cell, SCHEMA), "pairs"))
 
-    sent = R.written(dealt, "postings")
-    met = R.written(sent.where("kind = 0").repartition(cells, "cell").groupBy("cell").applyInArrow(cell, SCHEMA), "pairs")
-    low = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    stars = unpacked(met.where(F.col("kind") == STAR)).unionByName(unpacked(sent.where(F.col("kind") == STAR))).distinct()
-    return low(unpacked(met.where(F.col("kind") == PAIRS))), stars
+
+def pairs_and_stars(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    pairs = unpacked(met.where(F.col("kind") == PAIRS))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), unpacked(met.where(F.col("kind") == STAR)).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -167,32 +186,78 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return two.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, inter long, na long, nb long")
 
 
-def links(pairs: DataFrame, stars: DataFrame, sets_for: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
-    """The links (a, b) among the candidates: den * intersection >= num * union."""
-    pairs = R.written(pairs, "candidate-pairs")
-    stars = R.written(stars, "candidate-stars")
-    ends = lambda d: d.select(F.col("a").alias("fp")).union(d.select(F.col("b").alias("fp")))
-    sets = R.written(sets_for(ends(pairs).union(ends(stars)).distinct()), "candidate-sets")
+def parity_bits(members: np.ndarray, least: int = 64) -> bytes:
+    """A bitmap with a bit toggled for each member, of about as many bits as there are members (a power of 2)."""
+    size = max(least, 1 << max(0, len(members) - 1).bit_length())
+    counts = np.bincount((members & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(counts.astype(bool), bitorder="little").tobytes()
+
+
+def most_shared(x: bytes, y: bytes, nx: int, ny: int) -> int:
+    """An upper bound of the intersection: every toggled bit that differs is a member that only one has."""
+    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(p) > len(q):
+        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+    while len(q) > len(p):
+        q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+    return min(nx, ny, (nx + ny - int(np.bitwise_count(p ^ q).sum())) // 2)
+
+
+def bounded(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """a, b, na, nb, inter of the pairs, inter an upper bound from `sketches` (fp, n, bits)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            na, nb = b.column(2), b.column(3)
+            most = [most_shared(x, y, m, n) for x, y, m, n in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), na.to_pylist(), nb.to_pylist())]
+            yield pa.record_batch([b.column(0), b.column(1), na, nb, pa.array(most, pa.int64())], names=["a", "b", "na", "nb", "inter"])
+
+    one = pairs.join(sketches.select(F.col("fp").alias("a"), F.col("n").cast("long").alias("na"), F.col("bits").alias("x")), "a")
+    two = one.join(sketches.select(F.col("fp").alias("b"), F.col("n").cast("long").alias("nb"), F.col("bits").alias("y")), "b")
+    return two.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long, na long, nb long, inter long")
+
+
+def links(pairs: DataFrame, stars: DataFrame, sketches: DataFrame, sets_for: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+    """The links (a, b) among the candidates: den * intersection >= num * union.
+
+    `sketches` has fp, n and the parity bits of every set; pairs that they show to be too far
+    apart aren't looked at again. `sets_for` gives the sets (fp, members) of the others.
+    """
     linked = den * F.col("inter") >= num * (F.col("na") + F.col("nb") - F.col("inter"))
-    found = R.written(verified(pairs, sets).where(linked).select("a", "b"), "links")
-    for turn in range(STARS):
-        if stars.isEmpty():
+    far = 1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))
+
+    def judged(both: DataFrame) -> DataFrame:
+        """a, b, star, na, nb, linked, far (a lower bound of the distance where not linked) of pairs a, b, star."""
+        rough = R.written(bounded(both.select("a", "b").distinct(), sketches).withColumns({"linked": linked, "far": far}), "bounds")
+        near = rough.where("linked").select("a", "b")
+        if near.isEmpty():
+            exact = rough
+        else:
+            sets = R.written(sets_for(near.select(F.col("a").alias("fp")).union(near.select(F.col("b").alias("fp"))).distinct()), "candidate-sets")
+            exact = verified(near, sets).withColumns({"linked": linked, "far": far}).select("a", "b", "na", "nb", "inter", "linked", "far").unionByName(rough.where("not linked"))
+        return R.written(both.join(exact, ["a", "b"]), "judged")
+
+    todo = pairs.withColumn("star", F.lit(False)).unionByName(stars.withColumn("star", F.lit(True)))
+    found = None
+    for turn in range(STARS + 1):
+        got = judged(R.written(todo, "candidates"))
+        new = got.where("linked").select("a", "b")
+        found = new if found is None else found.unionByName(new)
+        seen = got.where("star")
+        if turn == STARS or seen.where("not linked").isEmpty():
             return found
-        seen = R.written(verified(stars, sets).withColumn("linked", linked).withColumn("far", 1 - F.col("inter") / (F.col("na") + F.col("nb") - F.col("inter"))), "stars")
-        found = found.unionByName(seen.where("linked").select("a", "b"))
         off = seen.where("not linked").select("a", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("far").alias("fy"))
         on = seen.where("linked").select("a", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("far").alias("fx"))
-        near = (F.col("fy") - F.col("fx") <= 1 - num / den + 1e-9) & (den * F.least("nx", "ny") >= num * F.greatest("nx", "ny"))
-        edge = on.join(off, "a").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        found = found.unionByName(verified(edge, sets).where(linked).select("a", "b"))
+        sizes = den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")
+        edge = on.join(off, "a").where((F.col("fy") - F.col("fx") <= 1 - num / den + 1e-9) & sizes).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(False).alias("star"))
         pivot = off.groupBy("a").agg(F.min(F.struct("ny", "y")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("a", F.col("p.y").alias("p"))
-        again = off.join(pivot, "a").where("y <> p")
-        if turn == STARS - 1:
-            two = again.select("a", F.col("y").alias("x"), F.col("ny").alias("nx"))
-            last = off.join(pivot, "a").select("a", "y", "ny").join(two.unionByName(off.join(pivot, "a").where("y = p").select("a", F.col("y").alias("x"), F.col("ny").alias("nx"))), "a")
-            last = last.where((F.col("x") < F.col("y")) & (den * F.least("nx", "ny") >= num * F.greatest("nx", "ny"))).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-            return found.unionByName(verified(last, sets).where(linked).select("a", "b"))
-        stars = R.written(again.select(F.col("p").alias("a"), F.col("y").alias("b")).distinct(), "next-stars")
+        left = off.join(pivot, "a")
+        if turn < STARS - 1:
+            new = left.where("y <> p").select(F.col("p").alias("a"), F.col("y").alias("b"), F.lit(True).alias("star"))
+        else:  # all that remain, in pairs
+            other = left.select("a", F.col("y").alias("x"), F.col("ny").alias("nx"), F.col("fy").alias("fx"))
+            new = left.join(other, "a").where((F.col("x") < F.col("y")) & sizes).select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(False).alias("star"))
+        todo = edge.unionByName(new).distinct()
     return found
 
 

@@ -32,7 +32,7 @@ from tidemill.llm import _links as L
 from tidemill.llm import _runtime as R
 
 NUM, DEN, WORDS = 75, 100, 5
-LEAST_BITS, MOST_BITS, PART, CHUNK = 16, 22, 16, 1 << 12
+LEAST_BITS, MOST_BITS, PART, CHUNK = 16, 22, 16, 1 << 14
 
 
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -41,36 +41,40 @@ def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def sizes_and_counts(rows: DataFrame, kind: str, bits: int) -> tuple[DataFrame, np.ndarray]:
     """(i, key, n, fp of each row; bucket counts of the shingles) in one scan."""
-    schema = f"chunk int, data binary, i {kind}, key long, n int, fp long"
+    schema = f"chunk int, data binary, i {kind}, key long, n int, fp long, bits binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.int32)
-        names = ["chunk", "data", "i", "key", "n", "fp"]
+        names = ["chunk", "data", "i", "key", "n", "fp", "bits"]
         types = None
         for batch in batches:
             types = batch.schema.field(0).type
             for b in R.pieces(batch, "t"):
-                n, fp = [], []
+                n, fp, own = [], [], []
                 for words in K.doc_words(b.column(2)):
                     s = K.shingle_set(words, WORDS)
                     n.append(len(s))
                     fp.append(K.fingerprint(s))
-                    np.add.at(counts, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
+                    own.append(L.parity_bits(s))
+                    counts += np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) if len(s) > 1 << bits - 4 else 0
+                    if len(s) <= 1 << bits - 4:
+                        np.add.at(counts, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
                 none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
-                yield pa.record_batch([*none, b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(fp, pa.int64())], names=names)
+                yield pa.record_batch([*none, b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(own, pa.binary())], names=names)
         if types is not None:
             for c in range(0, 1 << bits, CHUNK):
                 part = counts[c : c + CHUNK]
                 if part.any():
-                    at = np.flatnonzero(part).astype(np.int32)
-                    data = np.concatenate([at, part[at]]).tobytes()
-                    yield pa.record_batch([pa.array([c // CHUNK], pa.int32()), pa.array([data], pa.binary()), pa.nulls(1, types), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64())], names=names)
+                    above = np.flatnonzero(part > 255).astype(np.int32)
+                    data = np.minimum(part, 255).astype(np.uint8).tobytes() + above.tobytes() + part[above].tobytes()
+                    yield pa.record_batch([pa.array([c // CHUNK], pa.int32()), pa.array([data], pa.binary()), pa.nulls(1, types), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())], names=names)
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(CHUNK, np.int64)
         for x in table.column("data").to_pylist():
-            at, n = np.frombuffer(x, np.int32).reshape(2, -1)
-            total[at] += n
+            total += np.frombuffer(x, np.uint8, CHUNK)
+            at, n = np.frombuffer(x, np.int32, offset=CHUNK).reshape(2, -1)
+            total[at] += n - 255
         return pa.table({"chunk": table.column("chunk")[:1], "data": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
 
     got = R.written(rows.mapInArrow(run, schema), "shingle-sizes")
@@ -78,7 +82,7 @@ def sizes_and_counts(rows: DataFrame, kind: str, bits: int) -> tuple[DataFrame,
     summed = got.where("chunk is not null").select("chunk", "data").groupBy("chunk").applyInArrow(add, "chunk int, data binary")
     for chunk, data in summed.toLocalIterator():  # 2**bits counts: 16 MB at most
         counts[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(data, np.int32)
-    return got.where("chunk is null").select("i", "key", "n", "fp"), counts
+    return got.where("chunk is null").select("i", "key", "n", "fp", "bits"), counts
 
 
 def parts_of_band(band: int) -> int:
@@ -139,7 +143,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num
     R.ship(spark)
     kind = dict(docs.dtypes)[id_col]
     size = R.input_bytes(docs)
-    bits = min(MOST_BITS, max(LEAST_BITS, (size >> 8).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, (size >> 5).bit_length()))
     rows = text_rows(docs, id_col, text_col)
     units, counts = sizes_and_counts(rows, kind, bits)
     level = spark.sparkContext.broadcast(levels_from(counts))
@@ -157,7 +161,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num
                         yield from dealer.add(L.postings(sig, K.fingerprint(s), len(s)))
         yield from dealer.flush()
 
-    by_class = R.written(units.where("fp <> 0").groupBy("fp").agg(F.min("i").alias("least"), F.min("key").alias("key"), F.count(F.lit(1)).alias("copies")), "classes")
+    by_class = R.written(units.where("fp <> 0").groupBy("fp").agg(F.min("i").alias("least"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("copies")), "classes")
 
     def sets_for(fps: DataFrame) -> DataFrame:
         wanted = R.written(fps.join(by_class.select("fp", "key"), "fp"), "wanted")
@@ -173,12 +177,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num
         return rows.mapInArrow(fetch, "fp long, key long, members binary").join(wanted, ["fp", "key"]).select("fp", "members")
 
     pairs, stars = L.candidates(rows.mapInArrow(index, L.SCHEMA), cells, num, den)
-    roots = L.components(L.links(pairs, stars, sets_for, num, den))
-    joined = by_class.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    roots = L.components(L.links(pairs, stars, by_class.select("fp", "n", "bits"), sets_for, num, den))
+    joined = by_class.select("fp", "least", "copies").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     merged = joined.where("root is not null")
     least = merged.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = merged.join(least, "root").select("fp", "component_id").unionByName(joined.where("root is null and copies > 1").select("fp", F.col("least").alias("component_id")))
-    out = units.join(of_class, "fp", "left")
+    out = units.select("i", "n", "fp").join(of_class, "fp", "left")
     return out.select(F.col("i").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "i").alias("component_id"))
 
 
