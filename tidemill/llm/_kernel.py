@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 _U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+PUNCTUATED = SPACE.copy()  # white space and ASCII punctuation
+PUNCTUATED[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -49,11 +51,11 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def word_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(raw: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first word of each text and one past the last)."""
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    inside = ~SPACE[raw]
+    inside = ~space[raw]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     at = off[:-1][off[:-1] < off[1:]]
@@ -104,10 +106,10 @@ def shingle_set(words: np.ndarray, k: int = 5) -> np.ndarray:
     return np.unique(grams(words, k))
 
 
-def doc_words(column: pa.Array):
+def doc_words(column: pa.Array, space: np.ndarray = SPACE):
     """Yields, text by text, its word hashes. Spans are not kept."""
     raw, off = utf8(column)
-    starts, ends, first = word_spans(raw, off)
+    starts, ends, first = word_spans(raw, off, space)
     h = word_hashes(raw, starts, ends)
     for i in range(len(column)):
         yield h[first[i] : first[i + 1]]

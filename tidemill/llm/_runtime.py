@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -88,3 +88,10 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator
             start, total = i, 0
         total += int(n)
     yield batch.slice(start)
+
+
+def apart(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """`docs` with its columns named like `names` out of the way, and what gives a result its columns back."""
+    taken = {n.lower() for n in names}
+    own = [f"_own_{k}" if c.lower() in taken else c for k, c in enumerate(docs.columns)]
+    return docs.toDF(*own), lambda out: out.select(*own).toDF(*docs.columns)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import html_extraction, mpeg_audio, ngram_jaccard, source_mixing, substring_dedup, token_counts, toxicity, warc_shards
+from tidemill.llm import decontamination, html_extraction, lm_scoring, mpeg_audio, ngram_jaccard, source_mixing, substring_dedup, token_counts, toxicity, warc_shards
 
-_MODULES = (source_mixing, token_counts, toxicity, ngram_jaccard, html_extraction, warc_shards, substring_dedup, mpeg_audio)
+_MODULES = (source_mixing, token_counts, toxicity, lm_scoring, ngram_jaccard, decontamination, html_extraction, warc_shards, substring_dedup, mpeg_audio)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -178,4 +178,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))[0]
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every document, as the mix takes it."""
+    return mixed(docs)[0].drop("source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_source_mixing": query}

@@ -39,6 +39,7 @@ PIECE = np.dtype([("h", "<u8"), ("o", "<i8"), ("i", "<i4")])
 LINE = np.dtype([("fp", "<i8"), ("o", "<i8"), ("i", "<i4"), ("n", "<i4"), ("bits", "V32")])
 DUP = np.dtype([("o", "<i8"), ("i", "<i4"), ("h", "<u8"), ("k", "<i8")])
 PIECES, LINES, DUPS = 3, 4, 5
+ADDED = ("n_words", "removed_words", "seen_in", "dups", "_o", "_key", "_o2")
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -297,8 +298,9 @@ def cut_text(raw: bytes, gone: np.ndarray, starts: np.ndarray, ends: np.ndarray)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, num: int = NUM, den: int = DEN, recall: float = RECALL) -> DataFrame:
-    """`docs` with the text cut, and n_words, removed_words, seen_in (ids that keep what went) added."""
+    """`docs` with the text cut, and n_words, removed_words, seen_in (ids that keep what went) added, in place of columns of these names."""
     spark = docs.sparkSession
+    docs = docs.drop(*ADDED)
     R.ship(spark)
     dups = R.written(found(docs, id_col, text_col, least, num, den, recall), "duplicates")
     bits = spark.sparkContext.broadcast(L.bitmap(dups.select(F.xxhash64("o").alias("key"))))
@@ -351,12 +353,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without what an earlier document has; documents of which no word is left go."""
-    cut = deduplicated(docs)
+    safe, back = R.apart(docs, ADDED)
+    cut = deduplicated(safe)
     changed = F.col("removed_words") > 0
     cut = cut.where(~changed | (F.col("removed_words") < F.col("n_words")))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
-    return cut.select(docs.columns)
+    return back(cut)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_substring_dedup": query}

@@ -326,8 +326,9 @@ class Scorer:
 
 
 def scored(docs: DataFrame, model: "Model | None") -> DataFrame:
-    """`docs` with score (0 to 1) and predicted added; no other column is changed."""
+    """`docs` with score (0 to 1) and predicted added, in place of columns of these names; no other column is changed."""
     spark = docs.sparkSession
+    docs = docs.drop("score", "predicted")
     R.ship(spark)
     text = docs.withColumn("text", F.col("text").cast("string"))
     if model is None:
@@ -355,7 +356,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that aren't found toxic."""
     model = trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored(docs, model).where("predicted = 0").select(docs.columns)
+    safe, back = R.apart(docs, ("score", "predicted"))
+    return back(scored(safe, model).where("predicted = 0"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_toxicity": query}
