@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import _runtime
+from tidemill.llm import _runtime, decontamination, ngram_jaccard, source_mixing, substring_dedup, toxicity
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = []
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity.stage),
+    ("ngram_jaccard", ngram_jaccard.stage),
+    ("substring_dedup", substring_dedup.stage),
+    ("decontamination", decontamination.stage),
+    ("source_mixing", source_mixing.stage),
+]
+#: No SQL: a trained model, shingle sets of whole texts and tiling are tested against brute force instead.
 
 ORACLE_SQL: str | None = None
 
