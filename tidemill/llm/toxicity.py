@@ -38,6 +38,8 @@ from tidemill.llm import _runtime as R
 HASHED, DECAY, WINDOW = 1 << 20, 0.5, 14
 PER_CLASS, SENTENCES, LANDMARKS, COST = 800, 64, 256, 1.0
 KNOWN = 1 << 17
+#: Where in the machine's margin (-1 to 1) half may stand, toxic side first in doubt: unseen clean words reach a little over 0.
+INSIDE = (0.25, 0.75)
 _OFFSETS = [(j, k) for k in range(2, 5) for j in range(1, k)]
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _MARKS = re.compile(r"[\W_]+")
@@ -144,14 +146,19 @@ def table(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def fit(docs: list[tuple[list[list[str]], int]], landmarks: int = LANDMARKS, rounds: int = 3) -> "Model | None":
-    """A machine from three quarters of the documents, its logistic function from the rest; from all of them if the rest has under 40 of a class."""
-    rest = [d for k, d in enumerate(docs) if k % 4 == 3]
-    enough = min(sum(y == c for _, y in rest) for c in (0, 1)) >= 40
-    model = fit_machine([d for k, d in enumerate(docs) if k % 4 != 3] if enough else docs, landmarks, rounds)
-    if model is not None:
-        rest = rest if enough else docs
-        worst = [max([model.bias, *model.decide([u for s in d for u in s])]) for d, _ in rest]
-        model.slope, model.shift = logistic(np.array(worst), np.array([y for _, y in rest]))
+    """A machine from all documents. Its logistic function comes from two machines that each score the half they weren't fitted to."""
+    model = fit_machine(docs, landmarks, rounds)
+    if model is None:
+        return None
+    worst, seen = [], []
+    for k in (0, 1):
+        half = fit_machine([d for i, d in enumerate(docs) if i % 2 != k], landmarks, rounds)
+        for d, y in docs[k::2] if half is not None else ():
+            worst.append(max([half.bias, *half.decide([u for s in d for u in s])]))
+            seen.append(y)
+    if sum(seen) < 2 or len(seen) - sum(seen) < 2:
+        worst, seen = [max([model.bias, *model.decide([u for s in d for u in s])]) for d, _ in docs], [y for _, y in docs]
+    model.slope, model.shift = logistic(np.array(worst), np.array(seen))
     return model
 
 
@@ -186,8 +193,9 @@ def fit_machine(docs: list[tuple[list[list[str]], int]], landmarks: int = LANDMA
     order = np.lexsort((-value, row))
     top = np.arange(len(row)) - np.repeat(first[:-1], size) < 4
     score = np.bincount(row, np.where(top, value[order], 0), len(names)) / 4
-    # units that toxic documents have far more often than chance allows are insults in any sentence
-    sure = np.flatnonzero((unit_in[1] >= max(6, np.log2(len(names)) - 2)) & (unit_in[1] / (n[1] + 1) > 12 * (unit_in[0] + 1) / (n[0] + 1)))
+    # units in more toxic sentences, and hardly any clean ones, than chance gives any of so many are insults in any sentence
+    chance = -np.log(n[1] / n.sum()) if n[1] else 1.0
+    sure = np.flatnonzero((unit_in[1] >= np.log(len(names)) / chance + 1) & (unit_in[1] / (n[1] + 1) > 12 * (unit_in[0] + 1) / (n[0] + 1)))
     is_sure = np.zeros(len(names), bool)
     is_sure[sure] = True
     clean = unit_in[0]
@@ -195,7 +203,8 @@ def fit_machine(docs: list[tuple[list[list[str]], int]], landmarks: int = LANDMA
     common = apart[np.argsort(-clean[apart], kind="stable")]
     against = common[:4096]
     # other toxic documents are stood for by their worst unit, if a twentieth of them share its subsequences
-    plain = np.log((max(8.0, 0.05 * (labels == 1).sum()) + 2) / 2)
+    shared = max(np.log(HASHED / 8) / chance + 2, 0.05 * (labels == 1).sum())
+    plain = np.log((shared + 2) / 2 * (n[0] + 4) / (n[1] + 4))
     witness = set(sure.tolist())
     for d, ids in bags:
         if labels[d] == 1 and not is_sure[ids].any():
@@ -243,26 +252,20 @@ def fit_machine(docs: list[tuple[list[list[str]], int]], landmarks: int = LANDMA
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of P(y = 1); targets drawn in, so that parted classes have a finite fit."""
+    """Slope and shift of the score's logistic function."""
     high, low = np.quantile(x[y == 0], 0.995), np.quantile(x[y == 1], 0.01)
     if low > high:  # parted: half stands nearer to the toxic side, as unseen clean texts bring more new words than unseen toxic ones
-        middle = high + 0.6 * (low - high)
+        middle = float(np.clip(high + 0.6 * (low - high), *INSIDE))
         slope = 8 / (low - high)
         return float(slope), float(-slope * middle)
-    n1, n0 = (y == 1).sum(), (y == 0).sum()
-    t = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    weight = np.where(y == 1, 1 / n1, 1 / n0)  # 0.5 parts the classes whatever their shares
-    scale = max(float(x.std()), 1e-6)
-    z = np.column_stack([x / scale, np.ones(len(x))])
-    b = np.zeros(2)
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-z @ b))
-        h = z.T @ (z * (weight * p * (1 - p))[:, None]) + 1e-4 * np.eye(2)
-        step = np.linalg.solve(h, z.T @ (weight * (t - p)) - 1e-4 * b)
-        b += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(max(b[0], 1e-3) / scale), float(b[1])
+    # if the classes overlap, half stands where the fewest are on the wrong side, clean ones counted twice
+    order = np.argsort(x, kind="stable")
+    wrong = np.cumsum(y[order] == 1) + 2 * ((y == 0).sum() - np.cumsum(y[order] == 0))
+    k = int(np.flatnonzero(wrong == wrong.min())[-1])
+    middle = x[order[k]] if k + 1 == len(x) else 0.4 * x[order[k]] + 0.6 * x[order[k + 1]]
+    middle = float(np.clip(middle, *INSIDE))
+    slope = 4 / max(float(x.std()), 1e-6)
+    return float(slope), float(-slope * middle)
 
 
 def is_held_out(doc_id: Column) -> Column:
