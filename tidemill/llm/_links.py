@@ -7,9 +7,10 @@ within a task first, so that a frequent signature sends one pivot a task and not
 its sets. `links` verifies the stars' pairs, then what they leave open: two sets
 of one star of which one at least isn't linked to the pivot. The Jaccard distance
 is a metric, so such a pair can be linked only if its distances to the pivot differ
-by no more than the allowed distance; those not linked to a pivot get a new star,
-and after `STARS` rounds all their remaining pairs. So no link is lost, and groups
-of near copies never give all their pairs.
+by no more than the allowed distance; those not linked to a pivot get a new star.
+After `STARS` rounds, the pairs of a star that are neither ruled out by their
+distances nor connected by what has been found are verified too. So no component
+is missed, and groups of near copies don't give all their pairs.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from tidemill.llm import _kernel as K
 from tidemill.llm import _runtime as R
 
-SMALL, STARS, FLUSH = 16, 3, 1 << 20
+SMALL, STARS, FLUSH = 32, 3, 1 << 20
 POSTING = np.dtype([("sig", "<u8"), ("fp", "<i8"), ("n", "<i4")])
 PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
 
@@ -187,8 +188,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def parity_bits(members: np.ndarray, least: int = 64) -> bytes:
-    """A bitmap with a bit toggled for each member, of about as many bits as there are members (a power of 2)."""
-    size = max(least, 1 << max(0, len(members) - 1).bit_length())
+    """A bitmap with a bit toggled for each member, of 4 to 8 times as many bits as there are members (a power of 2)."""
+    size = max(least, 4 << max(0, len(members) - 1).bit_length())
     counts = np.bincount((members & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(counts.astype(bool), bitorder="little").tobytes()
 
@@ -238,27 +239,36 @@ def links(pairs: DataFrame, stars: DataFrame, sketches: DataFrame, sets_for: Cal
         return R.written(both.join(exact, ["a", "b"]), "judged")
 
     todo = pairs.withColumn("star", F.lit(False)).unionByName(stars.withColumn("star", F.lit(True)))
-    found = None
-    for turn in range(STARS + 1):
+    sizes = den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")
+    open_, found = [], None
+    for _ in range(STARS):
         got = judged(R.written(todo, "candidates"))
         new = got.where("linked").select("a", "b")
         found = new if found is None else found.unionByName(new)
         seen = got.where("star")
-        if turn == STARS or seen.where("not linked").isEmpty():
-            return found
         off = seen.where("not linked").select("a", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("far").alias("fy"))
-        on = seen.where("linked").select("a", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("far").alias("fx"))
-        sizes = den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")
-        edge = on.join(off, "a").where((F.col("fy") - F.col("fx") <= 1 - num / den + 1e-9) & sizes).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(False).alias("star"))
+        if off.isEmpty():
+            left = None
+            break
+        open_.append((seen.where("linked").select("a", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("far").alias("fx")), off))
         pivot = off.groupBy("a").agg(F.min(F.struct("ny", "y")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("a", F.col("p.y").alias("p"))
         left = off.join(pivot, "a")
-        if turn < STARS - 1:
-            new = left.where("y <> p").select(F.col("p").alias("a"), F.col("y").alias("b"), F.lit(True).alias("star"))
-        else:  # all that remain, in pairs
-            other = left.select("a", F.col("y").alias("x"), F.col("ny").alias("nx"), F.col("fy").alias("fx"))
-            new = left.join(other, "a").where((F.col("x") < F.col("y")) & sizes).select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(False).alias("star"))
-        todo = edge.unionByName(new).distinct()
-    return found
+        todo = left.where("y <> p").select(F.col("p").alias("a"), F.col("y").alias("b"), F.lit(True).alias("star")).distinct()
+    if not open_:
+        return found
+    # what is still open: pairs of one star that aren't connected by what has been found
+    roots = R.written(components(found), "roots")
+    with_root = lambda d, c: d.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+    as_edge = lambda d: d.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    rest = [as_edge(with_root(on, "x").join(with_root(off, "y"), "a").where((F.col("rx") != F.col("ry")) & (F.col("fy") - F.col("fx") <= 1 - num / den + 1e-9) & sizes)) for on, off in open_]
+    if left is not None:
+        one = with_root(left.select("a", "y", "ny"), "y")
+        other = one.select("a", F.col("y").alias("x"), F.col("ny").alias("nx"), F.col("ry").alias("rx"))
+        rest.append(as_edge(one.join(other, "a").where((F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & sizes)))
+    for r in rest[1:]:
+        rest[0] = rest[0].unionByName(r)
+    last = judged(R.written(rest[0].distinct().withColumn("star", F.lit(False)), "candidates"))
+    return found.unionByName(last.where("linked").select("a", "b"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -56,9 +56,7 @@ def sizes_and_counts(rows: DataFrame, kind: str, bits: int) -> tuple[DataFrame,
                     n.append(len(s))
                     fp.append(K.fingerprint(s))
                     own.append(L.parity_bits(s))
-                    counts += np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) if len(s) > 1 << bits - 4 else 0
-                    if len(s) <= 1 << bits - 4:
-                        np.add.at(counts, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
+                    np.add.at(counts, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
                 none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
                 yield pa.record_batch([*none, b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(own, pa.binary())], names=names)
         if types is not None:
@@ -133,7 +131,7 @@ def signatures(s: np.ndarray, level: np.ndarray, num: int = NUM, den: int = DEN)
 
 def levels_from(counts: np.ndarray) -> np.ndarray:
     """By bucket: 0 unless the count stands out from what rare shingles alone add up to, else its power of 2."""
-    usual = 2 * counts.mean() + 2 * L.SMALL
+    usual = counts.mean() + 3 * np.sqrt(counts.mean()) + L.SMALL / 2
     return np.where(counts <= usual, 0, np.log2(np.maximum(counts, 1)).astype(np.int8) + 1).astype(np.int8)
 
 
