@@ -1,16 +1,16 @@
-"""Exact links between sets that share signatures, and connected components.
-
-`candidates`: postings (signature, set, size) are dealt by signature into cells.
-A group of at most SMALL sets gives all its pairs that the sizes allow. A larger
-one gives its star: its smallest set, the pivot, with each other. That happens
-within a task first, so that a frequent signature sends one pivot a task and not
-its sets. `links` verifies the stars' pairs, then what they leave open: two sets
-of one star of which one at least isn't linked to the pivot. The Jaccard distance
-is a metric, so such a pair can be linked only if its distances to the pivot differ
-by no more than the allowed distance; those not linked to a pivot get a new star.
-After `STARS` rounds, the pairs of a star that are neither ruled out by their
-distances nor connected by what has been found are verified too. So no component
-is missed, and groups of near copies don't give all their pairs.
+"""Links between sets that share signatures, down to their exact components.
+
+Postings (signature, set, size) are dealt by signature into cells; the sets of one
+signature are a group. Every group gives its star: its smallest set, the pivot,
+with each other. A frequent signature's group gives stars within a task first, so
+that a task sends one pivot for it and not its sets. Pairs are judged by an upper
+bound of their intersection first and on the sets after that. What the stars leave
+open are pairs that aren't connected by what has been found: of a group of at most
+SMALL sets, all of them; of a larger one those that the pivot doesn't rule out (the Jaccard
+distance is a metric, so two sets can be linked only if their distances to the
+pivot differ by no more than the allowed distance), its sets that aren't linked to the pivot
+getting up to STARS stars before their pairs are taken. So no component is missed, and
+groups of near copies don't give all their pairs.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from tidemill.llm import _runtime as R
 SMALL, STARS, FLUSH = 32, 3, 1 << 20
 POSTING = np.dtype([("sig", "<u8"), ("fp", "<i8"), ("n", "<i4")])
 PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
+GROUP = np.dtype([("g", "<i8"), ("fp", "<i8"), ("n", "<i4")])
 
 
 def postings(sig: np.ndarray, fp: int, n: int) -> np.ndarray:
@@ -38,38 +39,29 @@ def postings(sig: np.ndarray, fp: int, n: int) -> np.ndarray:
     return out
 
 
-def paired(p: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(all pairs of the small groups, the large groups' stars, postings that go on: a pivot for each large group)."""
+def paired(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(small groups' stars, their members if more than two, large groups' stars, postings with a pivot for each large group)."""
     p = p[np.lexsort((p["fp"], p["n"], p["sig"]))]
-    if len(p):
-        new = np.ones(len(p), bool)
-        new[1:] = (p["sig"][1:] != p["sig"][:-1]) | (p["fp"][1:] != p["fp"][:-1])
-        p = p[new]
-    first = np.flatnonzero(np.concatenate(([True], p["sig"][1:] != p["sig"][:-1]))) if len(p) else np.zeros(0, np.int64)
+    if not len(p):
+        return np.empty(0, PAIR), np.empty(0, GROUP), np.empty(0, PAIR), p
+    new = np.ones(len(p), bool)
+    new[1:] = (p["sig"][1:] != p["sig"][:-1]) | (p["fp"][1:] != p["fp"][:-1])
+    p = p[new]
+    first = np.flatnonzero(np.concatenate(([True], p["sig"][1:] != p["sig"][:-1])))
     size = np.diff(np.append(first, len(p)))
-    member = np.repeat(size, size)
-    large = np.flatnonzero(member > SMALL)
     pivot = np.repeat(first, size)
-    stars = np.empty(0, PAIR)
-    if len(large):
-        leaf = large[large != pivot[large]]
-        stars = as_pairs(p["fp"][pivot[leaf]], p["fp"][leaf])
-        stays = np.ones(len(p), bool)
-        stays[leaf] = False
-    small = p[member <= SMALL] if len(large) else p
-    some = []
-    sig, n = small["sig"], small["n"].astype(np.int64)
-    for d in range(1, SMALL):
-        if len(small) <= d:
-            break
-        hit = np.flatnonzero(sig[d:] == sig[:-d])
-        if not len(hit):
-            break
-        hit = hit[den * n[hit] >= num * n[hit + d]]  # sorted by size, so the second is no smaller
-        if len(hit):
-            some.append(as_pairs(small["fp"][hit], small["fp"][hit + d]))
-    pairs = unique_pairs(np.concatenate(some)) if some else np.empty(0, PAIR)
-    return pairs, unique_pairs(stars), p[stays] if len(large) else p
+    leaf = np.repeat(size > SMALL, size) & (np.arange(len(p)) != pivot)
+    stars = unique_pairs(as_pairs(p["fp"][pivot[leaf]], p["fp"][leaf]))
+    name = np.add.reduceat(K.mix(p["fp"].view(np.uint64)), first) ^ K.mix(size.astype(np.uint64))
+    small = np.flatnonzero((size > 1) & (size <= SMALL))
+    small = small[np.unique(name[small], return_index=True)[1]]  # groups of the same sets count once
+    at = np.repeat(first[small], size[small]) + np.arange(size[small].sum()) - np.repeat(np.cumsum(size[small]) - size[small], size[small])
+    ends = at[at != pivot[at]]
+    pairs = unique_pairs(as_pairs(p["fp"][pivot[ends]], p["fp"][ends]))
+    more = at[np.repeat(size[small] > 2, size[small])]
+    groups = np.empty(len(more), GROUP)
+    groups["g"], groups["fp"], groups["n"] = np.repeat(name, size)[more].view(np.int64), p["fp"][more], p["n"][more]
+    return pairs, groups, stars, p[~leaf]
 
 
 def as_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -84,7 +76,7 @@ def unique_pairs(p: np.ndarray) -> np.ndarray:
 
 SCHEMA = "kind int, cell int, data binary"
 ARROW = pa.schema([("kind", pa.int32()), ("cell", pa.int32()), ("data", pa.binary())])
-POSTS, PAIRS, STAR = 0, 1, 2
+POSTS, PAIRS, STAR, GROUPS = 0, 1, 2, 6
 
 
 def packed(kind: int, data: np.ndarray, cells: int = 1, step: int = 1 << 16) -> Iterator[pa.RecordBatch]:
@@ -106,8 +98,8 @@ def by_cell(kind: int, data: np.ndarray, cell: np.ndarray) -> pa.RecordBatch:
 class Dealer:
     """A task's postings on their way to the cells."""
 
-    def __init__(self, cells: int, num: int, den: int) -> None:
-        self.cells, self.num, self.den = cells, num, den
+    def __init__(self, cells: int) -> None:
+        self.cells = cells
         self.held: list[np.ndarray] = []
         self.n = 0
 
@@ -122,48 +114,50 @@ class Dealer:
             return
         p = np.concatenate(self.held)
         self.held, self.n = [], 0
-        _, stars, rest = paired(p, self.num, self.den) if len(p) > SMALL else (None, np.empty(0, PAIR), p)
+        _, _, stars, rest = paired(p)
         yield from packed(STAR, stars, self.cells)
         if len(rest):
             yield by_cell(POSTS, rest, (K.mix(rest["sig"]) >> np.uint64(32)) % np.uint64(self.cells))
 
 
-def unpacked(data: DataFrame) -> DataFrame:
-    """PAIR blobs as rows a, b."""
+def unpacked(data: DataFrame, kind: np.dtype = PAIR) -> DataFrame:
+    """Blobs of PAIR or GROUP as rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                p = np.frombuffer(x, PAIR)
-                yield pa.record_batch([pa.array(p["a"].copy()), pa.array(p["b"].copy())], names=["a", "b"])
+                p = np.frombuffer(x, kind)
+                yield pa.record_batch([pa.array(p[c].copy()) for c in kind.names], names=list(kind.names))
 
-    return data.select("data").mapInArrow(run, "a long, b long")
+    return data.select("data").mapInArrow(run, ", ".join(f"{c} {'int' if kind[c].itemsize == 4 else 'long'}" for c in kind.names))
 
 
-def cell_pairs(table: pa.Table, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """A cell's pairs and stars, and the stars that tasks have made."""
+def cell_pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """A cell's pairs, groups and stars, and the stars that tasks have made."""
     kind = table.column("kind").to_pylist()
     data = table.column("data")
     posts = [np.frombuffer(data[i].as_buffer(), POSTING) for i, k in enumerate(kind) if k == POSTS]
     if posts:
-        pairs, stars, _ = paired(np.concatenate(posts), num, den)
+        pairs, groups, stars, _ = paired(np.concatenate(posts))
         yield from packed(PAIRS, pairs)
+        yield from packed(GROUPS, groups)
         yield from packed(STAR, stars)
     yield from table.filter(pc.equal(table.column("kind"), STAR)).to_batches()
 
 
-def candidates(dealt: DataFrame, cells: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, stars as pivot a and leaf b) from what the dealers have sent."""
+def candidates(dealt: DataFrame, cells: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What `links` takes, from what the dealers have sent."""
 
     def cell(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(cell_pairs(table, num, den)), ARROW)
+        return pa.Table.from_batches(list(cell_pairs(table)), ARROW)
 
     return pairs_and_stars(R.written(dealt.repartition(cells, "cell").groupBy("cell").applyInArrow(cell, SCHEMA), "pairs"))
 
 
-def pairs_and_stars(met: DataFrame) -> tuple[DataFrame, DataFrame]:
-    pairs = unpacked(met.where(F.col("kind") == PAIRS))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), unpacked(met.where(F.col("kind") == STAR)).distinct()
+def pairs_and_stars(met: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(small groups' stars, large groups' stars, small groups' members)."""
+    of = lambda k, t: unpacked(met.where(F.col("kind") == k), t).distinct()
+    return of(PAIRS, PAIR), of(STAR, PAIR), of(GROUPS, GROUP)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -218,8 +212,8 @@ def bounded(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return two.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long, na long, nb long, inter long")
 
 
-def links(pairs: DataFrame, stars: DataFrame, sketches: DataFrame, sets_for: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
-    """The links (a, b) among the candidates: den * intersection >= num * union.
+def links(pairs: DataFrame, stars: DataFrame, groups: DataFrame, sketches: DataFrame, sets_for: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+    """Links (a, b) among the candidates, enough for their components: den * intersection >= num * union.
 
     `sketches` has fp, n and the parity bits of every set; pairs that they show to be too far
     apart aren't looked at again. `sets_for` gives the sets (fp, members) of the others.
@@ -238,9 +232,10 @@ def links(pairs: DataFrame, stars: DataFrame, sketches: DataFrame, sets_for: Cal
             exact = verified(near, sets).withColumns({"linked": linked, "far": far}).select("a", "b", "na", "nb", "inter", "linked", "far").unionByName(rough.where("not linked"))
         return R.written(both.join(exact, ["a", "b"]), "judged")
 
+    groups = R.written(groups, "groups")
     todo = pairs.withColumn("star", F.lit(False)).unionByName(stars.withColumn("star", F.lit(True)))
     sizes = den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")
-    open_, found = [], None
+    open_, found, left = [], None, None
     for _ in range(STARS):
         got = judged(R.written(todo, "candidates"))
         new = got.where("linked").select("a", "b")
@@ -254,13 +249,14 @@ def links(pairs: DataFrame, stars: DataFrame, sketches: DataFrame, sets_for: Cal
         pivot = off.groupBy("a").agg(F.min(F.struct("ny", "y")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("a", F.col("p.y").alias("p"))
         left = off.join(pivot, "a")
         todo = left.where("y <> p").select(F.col("p").alias("a"), F.col("y").alias("b"), F.lit(True).alias("star")).distinct()
-    if not open_:
-        return found
     # what is still open: pairs of one star that aren't connected by what has been found
     roots = R.written(components(found), "roots")
     with_root = lambda d, c: d.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
     as_edge = lambda d: d.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    rest = [as_edge(with_root(on, "x").join(with_root(off, "y"), "a").where((F.col("rx") != F.col("ry")) & (F.col("fy") - F.col("fx") <= 1 - num / den + 1e-9) & sizes)) for on, off in open_]
+    member = with_root(groups.select("g", F.col("fp").alias("y"), F.col("n").alias("ny")), "y")
+    other = member.select("g", F.col("y").alias("x"), F.col("ny").alias("nx"), F.col("ry").alias("rx"))
+    rest = [as_edge(member.join(other, "g").where((F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & sizes))]
+    rest += [as_edge(with_root(on, "x").join(with_root(off, "y"), "a").where((F.col("rx") != F.col("ry")) & (F.col("fy") - F.col("fx") <= 1 - num / den + 1e-9) & sizes)) for on, off in open_]
     if left is not None:
         one = with_root(left.select("a", "y", "ny"), "y")
         other = one.select("a", F.col("y").alias("x"), F.col("ny").alias("nx"), F.col("ry").alias("rx"))

@@ -148,7 +148,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num
     cells = R.cell_count(spark, size)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer = L.Dealer(cells, num, den)
+        dealer = L.Dealer(cells)
         by_bucket = level.value
         for batch in batches:
             for b in R.pieces(batch, "t"):
@@ -174,8 +174,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num
 
         return rows.mapInArrow(fetch, "fp long, key long, members binary").join(wanted, ["fp", "key"]).select("fp", "members")
 
-    pairs, stars = L.candidates(rows.mapInArrow(index, L.SCHEMA), cells, num, den)
-    roots = L.components(L.links(pairs, stars, by_class.select("fp", "n", "bits"), sets_for, num, den))
+    met = L.candidates(rows.mapInArrow(index, L.SCHEMA), cells)
+    roots = L.components(L.links(*met, by_class.select("fp", "n", "bits"), sets_for, num, den))
     joined = by_class.select("fp", "least", "copies").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     merged = joined.where("root is not null")
     least = merged.groupBy("root").agg(F.min("least").alias("component_id"))

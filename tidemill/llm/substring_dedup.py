@@ -57,21 +57,23 @@ def tuned(threshold: float, recall: float, most: int = 64) -> tuple[int, int]:
 
 
 def seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
-    a = K.mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
-    return a, K.mix(np.arange(n + 1, 2 * n + 1, dtype=np.uint64))
+    """Factors and summands of n hash functions of 32-bit numbers."""
+    a = (K.mix(np.arange(1, n + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    return a, (K.mix(np.arange(n + 1, 2 * n + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
 def band_hashes(shingles: np.ndarray, firsts: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """[paragraphs, bands] of the paragraphs whose shingles begin at `firsts`."""
     a, b = seeds(bands * rows)
-    out = np.empty((len(firsts), bands * rows), np.uint64)
+    out = np.empty((len(firsts), bands * rows), np.uint32)
+    low = (shingles >> np.uint64(32)).astype(np.uint32)
     ends = np.append(firsts[1:], len(shingles))
     at = 0
     while at < len(firsts):  # about 16 MB of hashes at a time
         stop = max(at + 1, int(np.searchsorted(ends, firsts[at] + (1 << 15), "right")))
-        part = shingles[firsts[at] : ends[stop - 1]]
-        h = part[:, None] * a + b
-        h ^= h >> np.uint64(32)
+        h = low[firsts[at] : ends[stop - 1], None] * a + b
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x2C1B3C6D)
         out[at:stop] = np.minimum.reduceat(h, firsts[at:stop] - firsts[at])
         at = stop
     total = np.zeros((len(firsts), bands), np.uint64)
@@ -151,7 +153,7 @@ def found(docs: DataFrame, id_col: str, text_col: str, least: int, num: int, den
     bands, per_band = tuned(num / den, recall)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer = L.Dealer(cells, num, den)
+        dealer = L.Dealer(cells)
         pieces: list[np.ndarray] = []
         held = 0
 
@@ -198,7 +200,7 @@ def found(docs: DataFrame, id_col: str, text_col: str, least: int, num: int, den
 
     def cell(table: pa.Table) -> pa.Table:
         kind, data = table.column("kind").to_pylist(), table.column("data")
-        out = [*L.cell_pairs(table, num, den), *table.filter(pc.is_in(table.column("kind"), pa.array([LINES, DUPS], pa.int32()))).to_batches()]
+        out = [*L.cell_pairs(table), *table.filter(pc.is_in(table.column("kind"), pa.array([LINES, DUPS], pa.int32()))).to_batches()]
         got = [np.frombuffer(data[i].as_buffer(), PIECE) for i, k in enumerate(kind) if k == PIECES]
         if got:
             p = np.concatenate(got)
@@ -246,8 +248,7 @@ def found(docs: DataFrame, id_col: str, text_col: str, least: int, num: int, den
 
         return keyed.mapInArrow(fetch, "fp long, o long, i int, members binary").join(wanted, ["fp", "o", "i"]).select("fp", "members")
 
-    pairs, stars = L.pairs_and_stars(met)
-    roots = L.components(L.links(pairs, stars, by_set.select("fp", "n", "bits"), sets_for, num, den)).withColumnRenamed("node", "fp")
+    roots = L.components(L.links(*L.pairs_and_stars(met), by_set.select("fp", "n", "bits"), sets_for, num, den)).withColumnRenamed("node", "fp")
     joined = by_set.select("fp", "o", "last").join(roots, "fp", "left")
     merged = joined.where("root is not null")
     keeper = merged.groupBy("root").agg(F.min("o").alias("k"))
