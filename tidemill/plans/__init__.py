@@ -1,0 +1,11 @@
+"""Registered queries, by area."""
+
+from importlib import import_module
+
+AREAS = ("relational", "scalar", "temporal", "vector", "streams", "extension")
+
+
+def load_all() -> None:
+    """Registers every area's queries."""
+    for area in AREAS:
+        import_module(f"tidemill.plans.{area}")
