@@ -184,3 +184,35 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_source_mixing": query}
+ORACLE_SQL = {
+    "op1_source_mixing": r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+a AS (SELECT source, CAST(sum(size) AS BIGINT) AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+b AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS w, s * 2.0::DOUBLE AS cap FROM a),
+c AS (SELECT *, (sum(s) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER up, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER up, 0)) AS level
+  FROM b WINDOW up AS (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lv AS (SELECT arg_min(level, (cap / w, rank)) FILTER (WHERE level <= cap / w) AS level FROM c),
+t AS (SELECT source, rank, s, CASE WHEN lv.level IS NULL THEN cap ELSE least(cap, lv.level * w) END AS target FROM c, lv),
+q0 AS (SELECT rank, s, CAST(round(target) AS BIGINT) AS want, CAST(ceil(s / 256) AS BIGINT) AS blocks FROM t WHERE s > 0 AND round(target) > 0),
+q1 AS (SELECT *, want // s AS whole, want - want // s * s AS rest, s - (blocks - 1) * 256 AS last_len FROM q0),
+q AS (SELECT *, whole * blocks + least(blocks, CASE WHEN rest > 0 THEN CAST(ceil(rest / 256) AS BIGINT) + 1 ELSE 0 END) AS quota,
+  CAST(sum(want) OVER (ORDER BY rank) AS BIGINT) AS hi, CAST(sum(want) OVER (ORDER BY rank) AS BIGINT) - want AS lo FROM q1),
+g AS (SELECT i // 512 AS shard, i % 512 AS slot FROM (SELECT unnest(range(CAST((SELECT sum(quota) FROM q) AS BIGINT))) AS i)),
+u AS (SELECT shard, slot, CAST('0x' || substr(md5('17:shard:' || shard || ':slot:' || slot), 1, 15) AS BIGINT) % 2147483647 / 2147483647.0::DOUBLE * (SELECT sum(want) FROM q) AS u FROM g),
+k AS (SELECT shard, slot, rank, quota, row_number() OVER (PARTITION BY rank ORDER BY shard, slot) - 1 AS k FROM u JOIN q ON u.u >= q.lo AND u.u < q.hi),
+o AS (SELECT shard, slot, row_number() OVER (ORDER BY shard, slot) - 1 AS o FROM k WHERE k >= quota),
+f AS (SELECT rank, got, CAST(sum(quota - got) OVER (ORDER BY rank) AS BIGINT) AS upto, CAST(sum(quota - got) OVER (ORDER BY rank) AS BIGINT) - (quota - got) AS since
+  FROM (SELECT q.rank, q.quota, count(k.k) AS got FROM q LEFT JOIN k ON k.rank = q.rank GROUP BY ALL) WHERE got < quota),
+m AS (SELECT rank, k FROM k WHERE k < quota UNION ALL SELECT rank, got + o - since FROM o JOIN f ON o >= since AND o < upto),
+p AS (SELECT m.rank, q.blocks, q.whole, q.rest, q.last_len, k // q.blocks AS pass, k % q.blocks AS pos FROM m JOIN q ON m.rank = q.rank),
+z AS (SELECT rank, pass, coalesce(list_filter(list_transform(range(40), lambda i: (CAST('0x' || substr(md5('17:step:' || rank || ':' || pass), 1, 15) AS BIGINT) % 2147483647 % blocks + i) % blocks), lambda x: gcd(x, blocks) = 1)[1], 1) AS step,
+  CAST('0x' || substr(md5('17:shift:' || rank || ':' || pass), 1, 15) AS BIGINT) % 2147483647 % blocks AS shift FROM (SELECT DISTINCT rank, pass, blocks FROM p)),
+x AS (SELECT p.*, CASE WHEN blocks > 1 THEN (pos * step + shift) % blocks ELSE 0 END AS i FROM p JOIN z USING (rank, pass)),
+y AS (SELECT x.*, r.pos AS short_pos FROM x LEFT JOIN (SELECT rank, pass, pos FROM x WHERE i = blocks - 1) r USING (rank, pass)),
+v AS (SELECT rank, i, CASE WHEN pass < whole THEN CASE WHEN i = blocks - 1 THEN last_len ELSE 256 END
+  ELSE greatest(0, least(CASE WHEN i = blocks - 1 THEN last_len ELSE 256 END, rest - pos * 256 + CASE WHEN short_pos < pos THEN 256 - last_len ELSE 0 END)) END AS words FROM y),
+e AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY coalesce(((doc_id % 1000003 + 1000003) % 1000003 * 7919) % 1024, 0), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d)
+SELECT e.doc_id, e.size, t.s AS source_size, t.target, CAST(coalesce(sum(CASE WHEN v.i IS NULL THEN 0 ELSE greatest(0, least(e.start + e.size, v.i * 256 + v.words) - greatest(e.start, v.i * 256)) END), 0) AS BIGINT) AS taken, e.source
+FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source LEFT JOIN v ON v.rank = t.rank AND v.i >= e.start // 256 AND v.i <= (e.start + e.size) // 256 AND e.size > 0
+GROUP BY e.doc_id, e.size, t.s, t.target, e.source, e.start""",
+}
