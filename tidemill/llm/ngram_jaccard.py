@@ -193,11 +193,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = classes(docs)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n"))
     kept = R.written(kept, "kept")
-    out = docs.join(kept.select(F.col("doc_id").alias("k"), "rows"), F.col("doc_id").eqNullSafe(F.col("k")))
+    out = docs.join(kept.select(F.col("doc_id").alias("_kept_id"), F.col("rows").alias("_kept_rows")), F.col("doc_id").eqNullSafe(F.col("_kept_id")))
     cols = docs.columns
     if kept.where("rows > 1").isEmpty():
         return out.select(cols)
-    return out.where("rows = 1").select(cols).unionByName(out.where("rows > 1").select(cols).dropDuplicates(["doc_id", "text"]))
+    return out.where("_kept_rows = 1").select(cols).unionByName(out.where("_kept_rows > 1").select(cols).dropDuplicates(["doc_id", "text"]))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_ngram_jaccard": query}
