@@ -37,7 +37,7 @@ def test_planted_passages(spark):
     for i in [*range(20, 40), 50, 51, 52, 53]:
         assert text[i] == docs[i]
     assert next(r for r in got if r.doc_id is None).text == common + "\n" or not next(r for r in got if r.doc_id is None).text.strip()
-    assert {tuple(r.seen_in) for r in got if r.doc_id in range(1, 12)} == {(0,)}
+    assert all(r.seen_in and all(k < r.doc_id and inside in docs[k] for k in r.seen_in) for r in got if r.doc_id in range(1, 12))
     assert D.deduplicated(spark.createDataFrame([], SCHEMA)).count() == 0
 
 

@@ -299,7 +299,8 @@ def cut_text(raw: bytes, gone: np.ndarray, starts: np.ndarray, ends: np.ndarray)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, num: int = NUM, den: int = DEN, recall: float = RECALL) -> DataFrame:
-    """`docs` with the text cut, and n_words, removed_words, seen_in (ids that keep what went) added, in place of columns of these names."""
+    """`docs` with the text cut, and n_words, removed_words, seen_in (for what went, ids of earlier documents
+    that have it, not always the first ones: which depends on how the rows were read) added, in place of columns of these names."""
     spark = docs.sparkSession
     docs = docs.drop(*ADDED)
     R.ship(spark)
@@ -349,7 +350,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return deduplicated(docs).select("doc_id", "n_words", "removed_words", "seen_in", "text")
+    return deduplicated(docs).select("doc_id", "n_words", "removed_words", "text")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
