@@ -1,7 +1,7 @@
 """Links between sets that share signatures, down to their exact components.
 
 Postings (signature, set, size) are dealt by signature into cells; the sets of one
-signature are a group. Every group gives its star: its smallest set, the pivot,
+signature are a group. Every group gives its star: one set, the pivot (that whose hash is least),
 with each other. A frequent signature's group gives stars within a task first, so
 that a task sends one pivot for it and not its sets. Pairs are judged by an upper
 bound of their intersection first and on the sets after that. What the stars leave
@@ -9,8 +9,9 @@ open are pairs that aren't connected by what has been found: of a group of at mo
 SMALL sets, all of them; of a larger one those that the pivot doesn't rule out (the Jaccard
 distance is a metric, so two sets can be linked only if their distances to the
 pivot differ by no more than the allowed distance), its sets that aren't linked to the pivot
-getting up to STARS stars before their pairs are taken. So no component is missed, and
-groups of near copies don't give all their pairs.
+getting up to STARS stars before their pairs are taken. The joins that pair a large group's
+sets compare parity bits first and give only what these can't rule out. So no component
+is missed, and groups of near copies don't give all their pairs.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import _kernel as K
 from tidemill.llm import _runtime as R
 
-SMALL, STARS, FLUSH = 32, 3, 1 << 20
+SMALL, STARS, FLUSH, LONGS = 32, 4, 1 << 20, 32
 POSTING = np.dtype([("sig", "<u8"), ("fp", "<i8"), ("n", "<i4")])
 PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
 GROUP = np.dtype([("g", "<i8"), ("fp", "<i8"), ("n", "<i4")])
@@ -41,7 +42,7 @@ def postings(sig: np.ndarray, fp: int, n: int) -> np.ndarray:
 
 def paired(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(small groups' stars, their members if more than two, large groups' stars, postings with a pivot for each large group)."""
-    p = p[np.lexsort((p["fp"], p["n"], p["sig"]))]
+    p = p[np.lexsort((K.mix(p["fp"].view(np.uint64)), p["sig"]))]
     if not len(p):
         return np.empty(0, PAIR), np.empty(0, GROUP), np.empty(0, PAIR), p
     new = np.ones(len(p), bool)
@@ -212,6 +213,30 @@ def bounded(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return two.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long, na long, nb long, inter long")
 
 
+def folded(sketches: DataFrame) -> DataFrame:
+    """fp and its parity bits as LONGS numbers, larger bitmaps folded, smaller ones as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for x in b.column(1).to_pylist():
+                p = np.frombuffer(x, np.uint64)
+                while len(p) > LONGS:
+                    p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+                out.append(p.view(np.int64))
+            yield pa.record_batch([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["fp", "arr"])
+
+    return sketches.select("fp", "bits").mapInArrow(run, "fp long, arr array<long>")
+
+
+def may_link(num: int, den: int) -> Column:
+    """Whether parity bits ax, ay leave x and y (of sizes nx, ny) a link; bitmaps of unlike length say nothing."""
+    differ = F.lit(0)
+    for i in range(LONGS):
+        differ = differ + F.coalesce(F.bit_count(F.get("ax", F.lit(i)).bitwiseXOR(F.get("ay", F.lit(i)))), F.lit(0))
+    return (F.size("ax") != F.size("ay")) | ((num + den) * differ <= (den - num) * (F.col("nx") + F.col("ny")))
+
+
 def links(pairs: DataFrame, stars: DataFrame, groups: DataFrame, sketches: DataFrame, sets_for: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
     """Links (a, b) among the candidates, enough for their components: den * intersection >= num * union.
 
@@ -235,7 +260,7 @@ def links(pairs: DataFrame, stars: DataFrame, groups: DataFrame, sketches: DataF
     groups = R.written(groups, "groups")
     todo = pairs.withColumn("star", F.lit(False)).unionByName(stars.withColumn("star", F.lit(True)))
     sizes = den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")
-    open_, found, left = [], None, None
+    open_, found = [], None
     for _ in range(STARS):
         got = judged(R.written(todo, "candidates"))
         new = got.where("linked").select("a", "b")
@@ -243,12 +268,13 @@ def links(pairs: DataFrame, stars: DataFrame, groups: DataFrame, sketches: DataF
         seen = got.where("star")
         off = seen.where("not linked").select("a", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("far").alias("fy"))
         if off.isEmpty():
-            left = None
             break
         open_.append((seen.where("linked").select("a", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("far").alias("fx")), off))
-        pivot = off.groupBy("a").agg(F.min(F.struct("ny", "y")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("a", F.col("p.y").alias("p"))
-        left = off.join(pivot, "a")
-        todo = left.where("y <> p").select(F.col("p").alias("a"), F.col("y").alias("b"), F.lit(True).alias("star")).distinct()
+        one = lambda d, c, n: d.groupBy("a").agg(F.min(F.struct(F.xxhash64(c), c)).alias("m"), F.count(F.lit(1)).alias("c")).select("a", F.col(f"m.{c}").alias(n), "c")
+        left = off.join(one(off, "y", "p").where("c > 1"), "a")
+        again = left.where("y <> p").select(F.col("p").alias("a"), F.col("y").alias("b"), F.lit(True).alias("star"))
+        across = off.join(one(open_[-1][0], "x", "p"), "a").select(F.col("p").alias("a"), F.col("y").alias("b"), F.lit(False).alias("star"))
+        todo = again.unionByName(across).distinct()
     # what is still open: pairs of one star that aren't connected by what has been found
     roots = R.written(components(found), "roots")
     with_root = lambda d, c: d.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
@@ -256,11 +282,16 @@ def links(pairs: DataFrame, stars: DataFrame, groups: DataFrame, sketches: DataF
     member = with_root(groups.select("g", F.col("fp").alias("y"), F.col("n").alias("ny")), "y")
     other = member.select("g", F.col("y").alias("x"), F.col("ny").alias("nx"), F.col("ry").alias("rx"))
     rest = [as_edge(member.join(other, "g").where((F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & sizes))]
-    rest += [as_edge(with_root(on, "x").join(with_root(off, "y"), "a").where((F.col("rx") != F.col("ry")) & (F.col("fy") - F.col("fx") <= 1 - num / den + 1e-9) & sizes)) for on, off in open_]
-    if left is not None:
-        one = with_root(left.select("a", "y", "ny"), "y")
-        other = one.select("a", F.col("y").alias("x"), F.col("ny").alias("nx"), F.col("ry").alias("rx"))
-        rest.append(as_edge(one.join(other, "a").where((F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & sizes)))
+    if open_:
+        arrays = folded(sketches)
+        with_bits = lambda d, c: with_root(d, c).join(arrays.select(F.col("fp").alias(c), F.col("arr").alias(f"a{c}")), c)
+        as_x = lambda d: d.withColumnsRenamed({"y": "x", "ny": "nx", "ry": "rx", "ay": "ax", "fy": "fx"})
+        for k, (on, off) in enumerate(open_):
+            y = R.written(with_bits(off, "y"), "open")
+            cross = with_bits(on, "x").join(y, "a").where((F.col("rx") != F.col("ry")) & (F.col("fy") - F.col("fx") <= 1 - num / den + 1e-9) & sizes & may_link(num, den))
+            rest.append(as_edge(cross))
+            if k == STARS - 1:
+                rest.append(as_edge(y.join(as_x(y), "a").where((F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & sizes & may_link(num, den))))
     for r in rest[1:]:
         rest[0] = rest[0].unionByName(r)
     last = judged(R.written(rest[0].distinct().withColumn("star", F.lit(False)), "candidates"))
