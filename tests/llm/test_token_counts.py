@@ -25,6 +25,12 @@ def test_against_the_library(spark):
     assert T.token_counts(df.limit(0), PATH).count() == 0
 
 
+def test_very_long_pre_tokens():
+    m, library, rng = T.Merger(open(PATH, encoding="utf-8").read()), Tokenizer.from_file(PATH), random.Random(5)
+    for text in ("a" * 100_001, "".join(rng.choices("etaoinshr", k=60_000)), "".join(rng.choices("abcdefghijklmnopqrstuvwxyzé", k=100_000)), "=-" * 9_000):
+        assert m.counts([text]) == [len(library.encode(text).ids)]
+
+
 def test_known_words_stay_right_when_forgotten(monkeypatch):
     monkeypatch.setattr(T, "KNOWN", 3)
     m = T.Merger(open(PATH, encoding="utf-8").read())

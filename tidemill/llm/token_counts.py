@@ -14,6 +14,7 @@ Repeated rows each get their row; other columns of the input are not read.
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Callable, Iterator
 from itertools import islice
@@ -29,7 +30,7 @@ from tidemill.llm import _runtime as R
 
 #: Fixed value: the byte-level pre-tokenizer's pattern, white space spelled out.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-KNOWN = 1 << 19
+KNOWN, LONG = 1 << 19, 4096
 FREE = np.iinfo(np.int64).max
 
 
@@ -56,6 +57,7 @@ class Merger:
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.split = regex.compile(PATTERN)
         self.known: dict[str, int] = {}
+        self.pairs: dict[int, int] | None = None
 
     def lengths(self, tokens: list[str]) -> np.ndarray:
         """Symbols left of each pre-token, all merged together."""
@@ -89,6 +91,47 @@ class Merger:
             sym, seq = sym[stay], seq[stay]
         return left
 
+    def long_length(self, token: str) -> int:
+        """The same for one very long pre-token: positions are kept by the rank of their pair, so a round touches its merges only."""
+        if self.pairs is None:
+            self.pairs = {int(k): int(r) for k, r in zip(self.key, self.rank)}
+            self.sides = dict(zip(self.rank.tolist(), self.key.tolist()))
+        ids = self.byte[np.frombuffer(token.encode("utf-8", "surrogatepass"), np.uint8)]
+        n = left = len(ids)
+        key = ids[:-1] << 32 | ids[1:]
+        place = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        at = np.flatnonzero(self.key[place] == key)
+        ranks = self.rank[place[at]]
+        order = np.argsort(ranks, kind="stable")
+        at, ranks = at[order], ranks[order]
+        ends = np.append(np.flatnonzero(np.diff(ranks)) + 1, len(ranks)) if len(ranks) else []
+        held: dict[int, list[int]] = {}
+        start = 0
+        for e in ends:
+            held[int(ranks[start])] = at[start:e].tolist()
+            start = e
+        todo = sorted(held)
+        sym, after, before = ids.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        while todo:
+            rank = heapq.heappop(todo)
+            a, b = self.sides[rank] >> 32, self.sides[rank] & 0xFFFFFFFF
+            made = int(self.made[rank])
+            for i in sorted(held.pop(rank)):
+                j = after[i]
+                if sym[i] != a or j >= n or sym[j] != b:
+                    continue
+                sym[i], sym[j], k, left = made, -1, after[j], left - 1
+                after[i] = k
+                if k < n:
+                    before[k] = i
+                for x, y in ((before[i], i), (i, k)):
+                    if x >= 0 and y < n and (r := self.pairs.get(sym[x] << 32 | sym[y])) is not None:
+                        if r not in held:
+                            held[r] = []
+                            heapq.heappush(todo, r)
+                        held[r].append(x)
+        return left
+
     def learn(self, tokens: set[str]) -> None:
         if len(self.known) + len(tokens) > KNOWN:
             self.known.clear()
@@ -98,7 +141,9 @@ class Merger:
                 if batch:
                     self.known.update(zip(batch, self.lengths(batch).tolist()))
                 batch, size = [], 0
-            if t is not None:
+            if t is not None and len(t) > LONG:
+                self.known[t] = self.long_length(t)
+            elif t is not None:
                 batch.append(t)
                 size += len(t)
 
