@@ -67,8 +67,12 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def cell_count(spark: SparkSession, n_bytes: int, per_cell: int = 8 << 20) -> int:
-    """How many hash cells to deal postings into: grows with the input, so a cell stays small."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // per_cell, 8)
+    """How many hash cells to deal postings into: grows with the input, so a cell stays small.
+
+    At 2**18 cells it ends: a cell of a 100 TB input then has a few hundred MB, and a
+    task's message to a cell still holds dozens of postings.
+    """
+    return min(1 << 18, max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes // per_cell, 8))
 
 
 def dealt(df: DataFrame, key: str, n: int) -> DataFrame:
