@@ -9,7 +9,7 @@ open are pairs that aren't connected by what has been found: of a group of at mo
 SMALL sets, all of them; of a larger one those that the pivot doesn't rule out (the Jaccard
 distance is a metric, so two sets can be linked only if their distances to the
 pivot differ by no more than the allowed distance), its sets that aren't linked to the pivot
-getting up to STARS stars before their pairs are taken. The joins that pair a large group's
+getting up to STARS stars before their pairs are taken. The joins that pair a group's
 sets compare parity bits first and give only what these can't rule out. So no component
 is missed, and groups of near copies don't give all their pairs.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tidemill.llm import _kernel as K
 from tidemill.llm import _runtime as R
 
-SMALL, STARS, FLUSH, LONGS = 32, 4, 1 << 20, 32
+SMALL, STARS, FLUSH, LONGS = 32, 4, 1 << 18, 32
 POSTING = np.dtype([("sig", "<u8"), ("fp", "<i8"), ("n", "<i4")])
 PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
 GROUP = np.dtype([("g", "<i8"), ("fp", "<i8"), ("n", "<i4")])
@@ -279,19 +279,21 @@ def links(pairs: DataFrame, stars: DataFrame, groups: DataFrame, sketches: DataF
     roots = R.written(components(found), "roots")
     with_root = lambda d, c: d.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
     as_edge = lambda d: d.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    member = with_root(groups.select("g", F.col("fp").alias("y"), F.col("n").alias("ny")), "y")
-    other = member.select("g", F.col("y").alias("x"), F.col("ny").alias("nx"), F.col("ry").alias("rx"))
-    rest = [as_edge(member.join(other, "g").where((F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & sizes))]
+    arrays = R.written(folded(sketches), "bits")
+    with_bits = lambda d, c: with_root(d, c).join(arrays.select(F.col("fp").alias(c), F.col("arr").alias(f"a{c}")), c)
+    as_x = lambda d: d.withColumnsRenamed({"y": "x", "ny": "nx", "ry": "rx", "ay": "ax", "fy": "fx"})
+    apart = (F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & sizes & may_link(num, den)
+    member = R.written(with_bits(groups.select("g", F.col("fp").alias("y"), F.col("n").alias("ny")), "y"), "members")
+    mixed = member.groupBy("g").agg(F.min("ry").alias("r1"), F.max("ry").alias("r2")).where("r1 <> r2").select("g")
+    member = member.join(mixed, "g", "left_semi")
+    rest = [as_edge(member.join(as_x(member), "g").where(apart))]
     if open_:
-        arrays = folded(sketches)
-        with_bits = lambda d, c: with_root(d, c).join(arrays.select(F.col("fp").alias(c), F.col("arr").alias(f"a{c}")), c)
-        as_x = lambda d: d.withColumnsRenamed({"y": "x", "ny": "nx", "ry": "rx", "ay": "ax", "fy": "fx"})
         for k, (on, off) in enumerate(open_):
             y = R.written(with_bits(off, "y"), "open")
             cross = with_bits(on, "x").join(y, "a").where((F.col("rx") != F.col("ry")) & (F.col("fy") - F.col("fx") <= 1 - num / den + 1e-9) & sizes & may_link(num, den))
             rest.append(as_edge(cross))
             if k == STARS - 1:
-                rest.append(as_edge(y.join(as_x(y), "a").where((F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & sizes & may_link(num, den))))
+                rest.append(as_edge(y.join(as_x(y), "a").where(apart)))
     for r in rest[1:]:
         rest[0] = rest[0].unionByName(r)
     last = judged(R.written(rest[0].distinct().withColumn("star", F.lit(False)), "candidates"))
