@@ -79,7 +79,7 @@ def dealt(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.repartition(n, F.col(key))
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of `batch` whose `column` has about `limit` bytes; one row at least."""
     col = batch.column(batch.schema.get_field_index(column))
     if batch.num_rows == 0:
