@@ -37,7 +37,7 @@ from tidemill.llm import _runtime as R
 
 HASHED, DECAY, WINDOW = 1 << 20, 0.5, 14
 PER_CLASS, SENTENCES, LANDMARKS, COST = 800, 64, 256, 1.0
-KNOWN = 1 << 17
+KNOWN = 1 << 18
 #: Where in the machine's margin (-1 to 1) half may stand, toxic side first in doubt: unseen clean words reach a little over 0.
 INSIDE = (0.25, 0.75)
 _OFFSETS = [(j, k) for k in range(2, 5) for j in range(1, k)]
@@ -276,7 +276,7 @@ def sentences_of(text: str, most: int = SENTENCES) -> list[list[str]]:
     parts = [p for p in _SENTENCE.split(text) if p.strip()]
     if len(parts) > most:
         parts = [parts[i * len(parts) // most] for i in range(most)]
-    return [[u for t in sorted(tokens(p[:4096])) for u in units(t)] for p in parts]
+    return [[u for t in sorted(tokens(p[:1024])) for u in units(t)] for p in parts]
 
 
 def trained(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sentences: int = SENTENCES, landmarks: int = LANDMARKS) -> "Model | None":
