@@ -24,7 +24,7 @@ Null labels are left out; if a class is missing from the labels, all scores are
 """
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ from tidemill.llm import _kernel as K
 from tidemill.llm import _runtime as R
 
 HASHED, DECAY, WINDOW = 1 << 20, 0.5, 14
-PER_CLASS, SENTENCES, LANDMARKS, COST = 800, 64, 256, 1.0
+PER_CLASS, SENTENCES, LANDMARKS, COST = 800, 48, 256, 1.0
 KNOWN = 1 << 18
 #: Where in the machine's margin (-1 to 1) half may stand, toxic side first in doubt: unseen clean words reach a little over 0.
 INSIDE = (0.25, 0.75)
@@ -117,19 +117,23 @@ class Model:
 
 
 def newton_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 15) -> tuple[np.ndarray, float]:
-    """Squared hinge loss and a ridge, by Newton steps over the rows inside the margin."""
-    x1 = np.hstack([x, np.ones((len(x), 1))])
-    w, ridge = np.zeros(x1.shape[1]), np.ones(x1.shape[1])
+    """Squared hinge loss and a ridge, by Newton steps over the rows inside the margin; the last column of x is 1."""
+    w, ridge = np.zeros(x.shape[1]), np.ones(x.shape[1])
     ridge[-1] = 1e-3
     for _ in range(rounds):
-        inside = 1 - y * (x1 @ w) > 0
-        a = x1[inside] * weight[inside, None]
-        new = np.linalg.solve(np.diag(ridge) + x1[inside].T @ a, a.T @ y[inside])
+        inside = np.flatnonzero(1 - y * (x @ w) > 0)
+        h, g = np.diag(ridge), np.zeros(x.shape[1])
+        for k in range(0, len(inside), 2048):
+            part = inside[k : k + 2048]
+            rows = x[part].astype(np.float64)
+            a = rows * weight[part, None]
+            h += rows.T @ a
+            g += a.T @ y[part]
+        new = np.linalg.solve(h, g)
         if np.abs(new - w).max() < 1e-6:
             break
         w = 0.5 * (w + new)
-    w = new
-    return w[:-1], float(w[-1])
+    return new[:-1], float(new[-1])
 
 
 def table(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,65 +149,110 @@ def table(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(firsts), np.concatenate(keys), np.concatenate(weights)
 
 
-def fit(docs: list[tuple[list[list[str]], int]], landmarks: int = LANDMARKS, rounds: int = 3) -> "Model | None":
-    """A machine from all documents. Its logistic function comes from two machines that each score the half they weren't fitted to."""
-    model = fit_machine(docs, landmarks, rounds)
-    if model is None:
+class Units:
+    """All units of the training sentences with their subsequences, and the sentences as numbers of units."""
+
+    def __init__(self, docs: Iterable[tuple[list[list[str]], int]]) -> None:
+        labels, index, self.bags = [], {}, []
+        for d, (sentences, y) in enumerate(docs):
+            labels.append(y)
+            self.bags += [(d, np.array(sorted({index.setdefault(u, len(index)) for u in s}), np.int32)) for s in sentences if s]
+        self.labels = np.array(labels)
+        self.n = len(index)
+        names = list(index)
+        index.clear()
+        self.first, self.key, self.w = table(names) if names else (np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32))
+        self.size = np.diff(self.first)
+
+    def every(self, ids: np.ndarray) -> np.ndarray:
+        """Places of the units' subsequences."""
+        n = self.size[ids]
+        return np.repeat(self.first[ids], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+    def decide(self, weights: np.ndarray) -> np.ndarray:
+        out = np.empty(self.n)
+        for a in range(0, self.n, 1 << 14):
+            b = min(self.n, a + (1 << 14))
+            s = slice(self.first[a], self.first[b])
+            out[a:b] = np.add.reduceat(self.w[s] * weights[self.key[s]], self.first[a:b] - self.first[a])
+        return out
+
+    def most(self, odds: np.ndarray, k: int) -> np.ndarray:
+        """The mean of each unit's k highest odds."""
+        out = np.empty(self.n)
+        for a in range(0, self.n, 1 << 14):
+            b = min(self.n, a + (1 << 14))
+            n = self.size[a:b]
+            row = np.repeat(np.arange(b - a), n)
+            value = odds[self.key[self.first[a] : self.first[b]]]
+            order = np.lexsort((-value, row))
+            top = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) < k
+            out[a:b] = np.bincount(row, np.where(top, value[order], 0), b - a) / k
+        return out
+
+
+def fit(docs: Iterable[tuple[list[list[str]], int]], landmarks: int = LANDMARKS, rounds: int = 3) -> "Model | None":
+    """A machine from all documents (sentences as lists of units, label). Its logistic function comes from two machines that each score the half they weren't fitted to."""
+    units = Units(docs)
+    del docs
+    every = np.ones(len(units.labels), bool)
+    whole = fit_machine(units, every, landmarks, rounds)
+    if whole is None:
         return None
-    worst, seen = [], []
+    worst, judged = np.full(len(every), -np.inf), np.zeros(len(every), bool)
     for k in (0, 1):
-        half = fit_machine([d for i, d in enumerate(docs) if i % 2 != k], landmarks, rounds)
-        for d, y in docs[k::2] if half is not None else ():
-            worst.append(max([half.bias, *half.decide([u for s in d for u in s])]))
-            seen.append(y)
-    if sum(seen) < 2 or len(seen) - sum(seen) < 2:
-        worst, seen = [max([model.bias, *model.decide([u for s in d for u in s])]) for d, _ in docs], [y for _, y in docs]
-    model.slope, model.shift = logistic(np.array(worst), np.array(seen))
-    return model
-
-
-def fit_machine(docs: list[tuple[list[list[str]], int]], landmarks: int = LANDMARKS, rounds: int = 3) -> "Model | None":
-    """From documents as (sentences as lists of units, label)."""
-    labels = np.array([y for _, y in docs])
-    if not (labels == 1).any() or not (labels == 0).any():
+        other = np.arange(len(every)) % 2 == k
+        half = fit_machine(units, ~other, landmarks, rounds)
+        if half is not None:
+            judged |= other
+            worst[other] = np.maximum(units_worst(units, half), half[1])[other]
+    if (units.labels[judged] == 1).sum() < 2 or (units.labels[judged] == 0).sum() < 2:
+        worst, judged = np.maximum(units_worst(units, whole), whole[1]), every
+    return Model(whole[0], whole[1], *logistic(worst[judged], units.labels[judged]))
+
+
+def units_worst(units: Units, machine: tuple[np.ndarray, float]) -> np.ndarray:
+    """By document, the decision value of its worst unit."""
+    score = units.decide(machine[0]) + machine[1]
+    worst = np.full(len(units.labels), -np.inf)
+    for d, ids in units.bags:
+        worst[d] = max(worst[d], score[ids].max())
+    return worst
+
+
+def fit_machine(units: Units, used: np.ndarray, landmarks: int, rounds: int) -> tuple[np.ndarray, float] | None:
+    """(weights of the hashed subsequences, bias) from the documents in `used`."""
+    labels, first, key, w, size = units.labels, units.first, units.key, units.w, units.size
+    bags = [(d, ids) for d, ids in units.bags if used[d]]
+    if len({int(labels[d]) for d, _ in bags}) < 2:
         return None
-    index: dict[str, int] = {}
-    bags = [(d, np.array(sorted({index.setdefault(u, len(index)) for u in s}))) for d, (sentences, _) in enumerate(docs) for s in sentences if s]
-    names = list(index)
-    if not names:
-        return None
-    first, key, w = table(names)
-    size = np.diff(first)
-    row = np.repeat(np.arange(len(names)), size)
-    every = lambda ids: np.repeat(first[ids], size[ids]) + np.arange(size[ids].sum()) - np.repeat(np.cumsum(size[ids]) - size[ids], size[ids])
     # copies of a sentence count once, as clean if a clean document has it
     once: dict[bytes, tuple[int, np.ndarray]] = {}
     for d, ids in bags:
         once[ids.tobytes()] = (min(int(labels[d]), once.get(ids.tobytes(), (1,))[0]), ids)
     # in how many sentences of either label a unit and a subsequence are
-    unit_in, sub_in, n = np.zeros((2, len(names))), np.zeros((2, HASHED)), np.zeros(2)
+    unit_in, sub_in, n = np.zeros((2, units.n), np.float32), np.zeros((2, HASHED), np.float32), np.zeros(2)
     for y, ids in once.values():
         unit_in[y, ids] += 1
-        sub_in[y, np.unique(key[every(ids)])] += 1
+        sub_in[y, np.unique(key[units.every(ids)])] += 1
         n[y] += 1
-    share = (sub_in + 2) / (n[:, None] + 4)
-    odds = np.log(share[1] / share[0])
-    # a unit's first score: the mean of its four most toxic subsequences
-    value = odds[key]
-    order = np.lexsort((-value, row))
-    top = np.arange(len(row)) - np.repeat(first[:-1], size) < 4
-    score = np.bincount(row, np.where(top, value[order], 0), len(names)) / 4
+    once.clear()
+    odds = np.log((sub_in[1] + 2) / (n[1] + 4)) - np.log((sub_in[0] + 2) / (n[0] + 4))
+    score = units.most(odds, 4)  # a unit's first score
+    clean, seen = unit_in
+    present = int(((clean + seen) > 0).sum())
     # units in more toxic sentences, and hardly any clean ones, than chance gives any of so many are insults in any sentence
-    chance = -np.log(n[1] / n.sum()) if n[1] else 1.0
-    sure = np.flatnonzero((unit_in[1] >= np.log(len(names)) / chance + 1) & (unit_in[1] / (n[1] + 1) > 12 * (unit_in[0] + 1) / (n[0] + 1)))
-    is_sure = np.zeros(len(names), bool)
+    chance = -np.log(n[1] / n.sum()) if 0 < n[1] < n.sum() else 1.0
+    sure = np.flatnonzero((seen >= np.log(present) / chance + 1) & (seen / (n[1] + 1) > 12 * (clean + 1) / (n[0] + 1)))
+    is_sure = np.zeros(units.n, bool)
     is_sure[sure] = True
-    clean = unit_in[0]
     apart = np.flatnonzero((clean > 0) & ~is_sure)
+    if not len(apart):
+        return None
     common = apart[np.argsort(-clean[apart], kind="stable")]
     against = common[:4096]
     # other toxic documents are stood for by their worst unit, if a twentieth of them share its subsequences
-    shared = max(np.log(HASHED / 8) / chance + 2, 0.05 * (labels == 1).sum())
+    shared = max(np.log(HASHED / 8) / chance + 2, 0.05 * (labels[used] == 1).sum())
     plain = np.log((shared + 2) / 2 * (n[0] + 4) / (n[1] + 4))
     witness = set(sure.tolist())
     for d, ids in bags:
@@ -222,33 +271,30 @@ def fit_machine(docs: list[tuple[list[list[str]], int]], landmarks: int = LANDMA
         room = max(0, landmarks // 2 - len(sure))
         rest = rest[np.unique(np.linspace(0, len(rest) - 1, min(len(rest), room)).astype(int))] if len(rest) and room else rest[:0]
         marks = np.concatenate([sure[: landmarks // 2], rest])
-        marks = np.concatenate([marks, common[: (landmarks - len(marks)) // 2], hard[: (landmarks - len(marks)) // 2]])
-        marks = np.unique(marks)
-        used = np.unique(key[every(marks)])  # a landmark's own subsequences; the last row stands for all others
-        place = np.full(HASHED, len(used), np.int32)
-        place[used] = np.arange(len(used))
-        dense = np.zeros((len(used) + 1, len(marks)), np.float32)
+        marks = np.unique(np.concatenate([marks, common[: (landmarks - len(marks)) // 2], hard[: (landmarks - len(marks)) // 2]]))
+        own = np.unique(key[units.every(marks)])  # a landmark's own subsequences; the last row stands for all others
+        place = np.full(HASHED, len(own), np.int32)
+        place[own] = np.arange(len(own))
+        dense = np.zeros((len(own) + 1, len(marks)), np.float32)
         for c, u in enumerate(marks):
             dense[place[key[first[u] : first[u + 1]]], c] = w[first[u] : first[u + 1]]
         values, vectors = np.linalg.eigh(dense.T.astype(np.float64) @ dense)
         good = values > 1e-4 * values.max()
         half = vectors[:, good] / np.sqrt(values[good])
         rows = np.concatenate([positive, negative])
-        x = np.empty((len(rows), half.shape[1]))
+        x = np.ones((len(rows), half.shape[1] + 1), np.float32)
         for a in range(0, len(rows), 512):
             ids = rows[a : a + 512]
-            at = every(ids)
-            starts = np.cumsum(size[ids]) - size[ids]
-            x[a : a + 512] = np.add.reduceat(dense[place[key[at]]] * w[at][:, None], starts) @ half
+            at = units.every(ids)
+            x[a : a + 512, :-1] = np.add.reduceat(dense[place[key[at]]] * w[at][:, None], np.cumsum(size[ids]) - size[ids]) @ half
         y = np.where(np.arange(len(rows)) < len(positive), 1.0, -1.0)
-        seen = np.sqrt(unit_in[1][positive])
-        cost = np.concatenate([0.2 * len(negative) * seen / seen.sum(), np.ones(len(negative))]) * COST
+        weight = np.sqrt(seen[positive])
+        cost = np.concatenate([0.2 * len(negative) * weight / weight.sum(), np.ones(len(negative))]) * COST
         v, bias = newton_svm(x, y, cost)
         weights = np.zeros(HASHED, np.float32)
-        weights[used] = (dense @ (half @ v))[:-1]
-        model = Model(weights, bias, 1.0, 0.0)
-        score = np.bincount(row, w * model.weights[key], len(names)) + bias
-    return model
+        weights[own] = (dense @ (half @ v))[:-1]
+        score = units.decide(weights) + bias
+    return weights, bias
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -292,8 +338,8 @@ def trained(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sent
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(got, pa.string())], names=["i", "y", "s"])
 
     texts = docs.select(F.col("doc_id").alias("i"), F.col("text").cast("string").alias("t")).join(F.broadcast(sample), "i").select("i", "t", "y")
-    rows = sorted(texts.mapInArrow(run, f"i {dict(docs.dtypes)['doc_id']}, y int, s string").toLocalIterator(), key=lambda r: (str(r.i), r.y, r.s))
-    return fit([([s.split("\x1f") for s in r.s.split("\x1e") if s], r.y) for r in rows], landmarks)
+    rows = sorted(texts.mapInArrow(run, f"i {dict(docs.dtypes)['doc_id']}, y int, s string").toLocalIterator(), key=lambda r: (str(r.i), r.y, r.s))  # a bounded sample
+    return fit((([s.split("\x1f") for s in r.s.split("\x1e") if s], r.y) for r in rows), landmarks)
 
 
 class Scorer:
