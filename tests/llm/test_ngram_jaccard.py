@@ -52,11 +52,11 @@ def corpus(seed):
     return [(None, t) if i == 3 else (i, t) for i, t in rows] + [rows[5], rows[5], (rows[7][0], rows[8][1])]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,flush", [(1, L.FLUSH), (2, 6000), (3, 6000)])
+def test_against_brute_force(spark, seed, flush):
     rows = corpus(seed)
     df = spark.createDataFrame([(*r, "own") for r in rows], SCHEMA).repartition(3)
-    got = N.classes(df).collect()
+    got = N.classes(df, flush=flush).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows)
 
 

@@ -3,7 +3,8 @@
 Postings (signature, set, size) are dealt by signature into cells; the sets of one
 signature are a group. Every group gives its star: one set, the pivot (that whose hash is least),
 with each other. A frequent signature's group gives stars within a task first, so
-that a task sends one pivot for it and not its sets. Pairs are judged by an upper
+that a task sends one pivot for it and not its sets; the cell where the tasks' pivots
+meet names their common pivot, which gets the stars of all of them. Pairs are judged by an upper
 bound of their intersection first and on the sets after that. What the stars leave
 open are pairs that aren't connected by what has been found: of a group of at most
 SMALL sets, all of them; of a larger one those that the pivot doesn't rule out (the Jaccard
@@ -40,21 +41,28 @@ def postings(sig: np.ndarray, fp: int, n: int) -> np.ndarray:
     return out
 
 
-def paired(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(small groups' stars, their members if more than two, large groups' stars, postings with a pivot for each large group)."""
-    p = p[np.lexsort((K.mix(p["fp"].view(np.uint64)), p["sig"]))]
+def paired(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(small groups' stars, their members if more than two, large groups' stars, pivots that other pivots' stars go to, postings that go on).
+
+    A posting whose n is negative stands for a task's large group; a group that has one is large.
+    """
+    p = p[np.lexsort((p["n"], K.mix(p["fp"].view(np.uint64)), p["sig"]))]
     if not len(p):
-        return np.empty(0, PAIR), np.empty(0, GROUP), np.empty(0, PAIR), p
+        return np.empty(0, PAIR), np.empty(0, GROUP), np.empty(0, PAIR), np.empty(0, PAIR), p
     new = np.ones(len(p), bool)
     new[1:] = (p["sig"][1:] != p["sig"][:-1]) | (p["fp"][1:] != p["fp"][:-1])
     p = p[new]
     first = np.flatnonzero(np.concatenate(([True], p["sig"][1:] != p["sig"][:-1])))
     size = np.diff(np.append(first, len(p)))
     pivot = np.repeat(first, size)
-    leaf = np.repeat(size > SMALL, size) & (np.arange(len(p)) != pivot)
+    stands = p["n"] < 0
+    large = (size > SMALL) | np.logical_or.reduceat(stands, first)
+    leaf = np.repeat(large, size) & (np.arange(len(p)) != pivot)
     stars = unique_pairs(as_pairs(p["fp"][pivot[leaf]], p["fp"][leaf]))
+    onto = leaf & stands
+    chain = unique_pairs(as_pairs(p["fp"][pivot[onto]], p["fp"][onto]))
     name = np.add.reduceat(K.mix(p["fp"].view(np.uint64)), first) ^ K.mix(size.astype(np.uint64))
-    small = np.flatnonzero((size > 1) & (size <= SMALL))
+    small = np.flatnonzero((size > 1) & ~large)
     small = small[np.unique(name[small], return_index=True)[1]]  # groups of the same sets count once
     at = np.repeat(first[small], size[small]) + np.arange(size[small].sum()) - np.repeat(np.cumsum(size[small]) - size[small], size[small])
     ends = at[at != pivot[at]]
@@ -62,7 +70,9 @@ def paired(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     more = at[np.repeat(size[small] > 2, size[small])]
     groups = np.empty(len(more), GROUP)
     groups["g"], groups["fp"], groups["n"] = np.repeat(name, size)[more].view(np.int64), p["fp"][more], p["n"][more]
-    return pairs, groups, stars, p[~leaf]
+    lead = first[large]
+    p["n"][lead] = -np.abs(p["n"][lead])
+    return pairs, groups, stars, chain, p[~leaf]
 
 
 def as_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -77,7 +87,7 @@ def unique_pairs(p: np.ndarray) -> np.ndarray:
 
 SCHEMA = "kind int, cell int, data binary"
 ARROW = pa.schema([("kind", pa.int32()), ("cell", pa.int32()), ("data", pa.binary())])
-POSTS, PAIRS, STAR, GROUPS = 0, 1, 2, 6
+POSTS, PAIRS, STAR, GROUPS, CHAIN = 0, 1, 2, 6, 7
 
 
 def packed(kind: int, data: np.ndarray, cells: int = 1, step: int = 1 << 16) -> Iterator[pa.RecordBatch]:
@@ -99,15 +109,15 @@ def by_cell(kind: int, data: np.ndarray, cell: np.ndarray) -> pa.RecordBatch:
 class Dealer:
     """A task's postings on their way to the cells."""
 
-    def __init__(self, cells: int) -> None:
-        self.cells = cells
+    def __init__(self, cells: int, most: int = FLUSH) -> None:
+        self.cells, self.most = cells, most
         self.held: list[np.ndarray] = []
         self.n = 0
 
     def add(self, p: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.held.append(p)
         self.n += len(p)
-        if self.n >= FLUSH:
+        if self.n >= self.most:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
@@ -115,7 +125,7 @@ class Dealer:
             return
         p = np.concatenate(self.held)
         self.held, self.n = [], 0
-        _, _, stars, rest = paired(p)
+        _, _, stars, _, rest = paired(p)
         yield from packed(STAR, stars, self.cells)
         if len(rest):
             yield by_cell(POSTS, rest, (K.mix(rest["sig"]) >> np.uint64(32)) % np.uint64(self.cells))
@@ -139,10 +149,11 @@ def cell_pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
     data = table.column("data")
     posts = [np.frombuffer(data[i].as_buffer(), POSTING) for i, k in enumerate(kind) if k == POSTS]
     if posts:
-        pairs, groups, stars, _ = paired(np.concatenate(posts))
+        pairs, groups, stars, chain, _ = paired(np.concatenate(posts))
         yield from packed(PAIRS, pairs)
         yield from packed(GROUPS, groups)
         yield from packed(STAR, stars)
+        yield from packed(CHAIN, chain)
     yield from table.filter(pc.equal(table.column("kind"), STAR)).to_batches()
 
 
@@ -158,7 +169,10 @@ def candidates(dealt: DataFrame, cells: int) -> tuple[DataFrame, DataFrame, Data
 def pairs_and_stars(met: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(small groups' stars, large groups' stars, small groups' members)."""
     of = lambda k, t: unpacked(met.where(F.col("kind") == k), t).distinct()
-    return of(PAIRS, PAIR), of(STAR, PAIR), of(GROUPS, GROUP)
+    stars = of(STAR, PAIR)
+    onto = of(CHAIN, PAIR).select(F.col("a").alias("p"), F.col("b").alias("a"))
+    merged = stars.join(onto, "a").select(F.col("p").alias("a"), "b").where("a <> b")
+    return of(PAIRS, PAIR), stars.union(merged).distinct(), of(GROUPS, GROUP)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:

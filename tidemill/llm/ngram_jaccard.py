@@ -135,7 +135,7 @@ def levels_from(counts: np.ndarray) -> np.ndarray:
     return np.where(counts <= usual, 0, np.log2(np.maximum(counts, 1)).astype(np.int8) + 1).astype(np.int8)
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN, flush: int = L.FLUSH) -> DataFrame:
     """id_col, n_shingles, component_id of every row."""
     spark = docs.sparkSession
     R.ship(spark)
@@ -148,7 +148,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num
     cells = R.cell_count(spark, size)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealer = L.Dealer(cells)
+        dealer = L.Dealer(cells, flush)
         by_bucket = level.value
         for batch in batches:
             for b in R.pieces(batch, "t"):
