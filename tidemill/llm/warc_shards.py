@@ -159,7 +159,7 @@ def write_archives(pages: DataFrame, base: str | None = None, min_dedup: int = 0
     members = small.groupBy("i", "d", "k").agg(F.lit(1).alias("one")).join(groups, "d")
     verdicts = members.select("i", "d", "k", F.lit(0).alias("kind"), F.col("keep"), F.lit("").alias("url"), F.lit(None).cast("binary").alias("p"))
     payloads = rows.withColumn("d", digest).withColumn("k", k).select("i", "d", "k", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("keep"), "url", "p")
-    n_parts = max(min(n_shards, 1 << 15), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_parts = max(min(3 * n_shards, 1 << 15), int(spark.conf.get("spark.sql.shuffle.partitions")))
     both = verdicts.unionByName(payloads).withColumn("shard", shard).repartition(n_parts, "shard").sortWithinPartitions(F.col("shard"), F.asc_nulls_first("i"), "k", "d", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
