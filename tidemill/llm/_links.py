@@ -161,7 +161,9 @@ def candidates(dealt: DataFrame, cells: int) -> tuple[DataFrame, DataFrame, Data
     """What `links` takes, from what the dealers have sent."""
 
     def cell(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(cell_pairs(table)), ARROW)
+        out = pa.Table.from_batches(list(cell_pairs(table)), ARROW)
+        R.relieve()
+        return out
 
     return pairs_and_stars(R.written(dealt.repartition(cells, "cell").groupBy("cell").applyInArrow(cell, SCHEMA), "pairs"))
 

@@ -3,6 +3,8 @@ executors, a shared folder for cut lineage, and Arrow batches of bounded size.""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -18,6 +20,27 @@ from pyspark.sql import functions as F
 _SHIPPED = "_tidemill_shipped"
 
 
+def _libc() -> ctypes.CDLL | None:
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # arrays of 1 MB and more are mapped, and go back to the system when freed
+        libc.mallopt(-8, 2)  # few arenas
+        return libc
+    except (OSError, AttributeError):  # not glibc: memory is kept as the allocator likes
+        return None
+
+
+_LIBC = _libc()
+
+
+def relieve() -> None:
+    """Gives freed memory back to the system: Python workers live on after a task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors through the driver's file server, once a session."""
     sc = spark.sparkContext

@@ -66,6 +66,8 @@ def sizes_and_counts(rows: DataFrame, kind: str, bits: int) -> tuple[DataFrame,
                     above = np.flatnonzero(part > 255).astype(np.int32)
                     data = np.minimum(part, 255).astype(np.uint8).tobytes() + above.tobytes() + part[above].tobytes()
                     yield pa.record_batch([pa.array([c // CHUNK], pa.int32()), pa.array([data], pa.binary()), pa.nulls(1, types), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())], names=names)
+        del counts
+        R.relieve()
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(CHUNK, np.int64)
@@ -158,6 +160,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num
                     if len(sig):
                         yield from dealer.add(L.postings(sig, K.fingerprint(s), len(s)))
         yield from dealer.flush()
+        R.relieve()
 
     by_class = R.written(units.where("fp <> 0").groupBy("fp").agg(F.min("i").alias("least"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("copies")), "classes")
 

@@ -192,6 +192,7 @@ def found(docs: DataFrame, id_col: str, text_col: str, least: int, num: int, den
         if held:
             yield from send()
         yield from dealer.flush()
+        R.relieve()
 
     def dups(p: np.ndarray, keeper: np.ndarray) -> np.ndarray:
         out = np.empty(len(p), DUP)

@@ -37,7 +37,7 @@ from tidemill.llm import _runtime as R
 
 HASHED, DECAY, WINDOW = 1 << 20, 0.5, 14
 PER_CLASS, SENTENCES, LANDMARKS, COST = 800, 48, 256, 1.0
-KNOWN = 1 << 18
+KNOWN = 1 << 17
 #: Where in the machine's margin (-1 to 1) half may stand, toxic side first in doubt: unseen clean words reach a little over 0.
 INSIDE = (0.25, 0.75)
 _OFFSETS = [(j, k) for k in range(2, 5) for j in range(1, k)]
@@ -339,7 +339,10 @@ def trained(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sent
 
     texts = docs.select(F.col("doc_id").alias("i"), F.col("text").cast("string").alias("t")).join(F.broadcast(sample), "i").select("i", "t", "y")
     rows = sorted(texts.mapInArrow(run, f"i {dict(docs.dtypes)['doc_id']}, y int, s string").toLocalIterator(), key=lambda r: (str(r.i), r.y, r.s))  # a bounded sample
-    return fit((([s.split("\x1f") for s in r.s.split("\x1e") if s], r.y) for r in rows), landmarks)
+    model = fit((([s.split("\x1f") for s in r.s.split("\x1e") if s], r.y) for r in rows), landmarks)
+    del rows
+    R.relieve()
+    return model
 
 
 class Scorer:
@@ -392,6 +395,8 @@ def scored(docs: DataFrame, model: "Model | None") -> DataFrame:
             for b in R.pieces(batch, "text"):
                 score = held.value.score(scorer.worst([x or "" for x in b.column(place).to_pylist()]))
                 yield pa.record_batch([*b.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
+        del scorer
+        R.relieve()
 
     return text.mapInArrow(run, schema)
 
