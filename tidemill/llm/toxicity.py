@@ -121,7 +121,7 @@ def newton_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 1
     w, ridge = np.zeros(x.shape[1]), np.ones(x.shape[1])
     ridge[-1] = 1e-3
     for _ in range(rounds):
-        inside = np.flatnonzero(1 - y * (x @ w) > 0)
+        inside = np.flatnonzero(1 - y * (x @ w.astype(np.float32)) > 0)
         h, g = np.diag(ridge), np.zeros(x.shape[1])
         for k in range(0, len(inside), 2048):
             part = inside[k : k + 2048]
@@ -138,15 +138,15 @@ def newton_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 1
 
 def table(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first row of each string and one past the last, hashed subsequences, weights)."""
-    firsts, keys, weights, n = [np.zeros(1, np.int64)], [], [], 0
-    for a in range(0, len(strings), 8192):
-        part = strings[a : a + 8192]
+    most = sum((len(s) + 2) * len(_OFFSETS) for s in strings)  # memory that isn't filled isn't taken
+    firsts, keys, weights, n = [np.zeros(1, np.int64)], np.empty(most, np.int32), np.empty(most, np.float32), 0
+    for a in range(0, len(strings), 4096):
+        part = strings[a : a + 4096]
         row, key, w = subsequences(part)
         firsts.append(n + np.cumsum(np.bincount(row, minlength=len(part))))
-        keys.append(key.astype(np.int32))
-        weights.append(w.astype(np.float32))
+        keys[n : n + len(row)], weights[n : n + len(row)] = key, w
         n += len(row)
-    return np.concatenate(firsts), np.concatenate(keys), np.concatenate(weights)
+    return np.concatenate(firsts), keys[:n], weights[:n]
 
 
 class Units:
@@ -283,10 +283,10 @@ def fit_machine(units: Units, used: np.ndarray, landmarks: int, rounds: int) ->
         half = vectors[:, good] / np.sqrt(values[good])
         rows = np.concatenate([positive, negative])
         x = np.ones((len(rows), half.shape[1] + 1), np.float32)
-        for a in range(0, len(rows), 512):
-            ids = rows[a : a + 512]
+        for a in range(0, len(rows), 128):
+            ids = rows[a : a + 128]
             at = units.every(ids)
-            x[a : a + 512, :-1] = np.add.reduceat(dense[place[key[at]]] * w[at][:, None], np.cumsum(size[ids]) - size[ids]) @ half
+            x[a : a + 128, :-1] = np.add.reduceat(dense[place[key[at]]] * w[at][:, None], np.cumsum(size[ids]) - size[ids]) @ half
         y = np.where(np.arange(len(rows)) < len(positive), 1.0, -1.0)
         weight = np.sqrt(seen[positive])
         cost = np.concatenate([0.2 * len(negative) * weight / weight.sum(), np.ones(len(negative))]) * COST
