@@ -41,6 +41,41 @@ def test_planted_passages(spark):
     assert D.deduplicated(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_passages_against_brute_force(spark):
+    rng = random.Random(3)
+    line = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    docs, rows, n = {}, [], 0
+    for size in [51] * 40 + [29, 30, 31, 35, 53, 60] * 4:
+        shared = line(size)
+        for _ in range(2):
+            docs[n] = line(rng.randrange(25)) + shared + line(rng.randrange(25))
+            n += 1
+    for phrase in (line(1), line(3), line(4)):  # nothing parts these inside
+        shared = (phrase * 51)[:51]
+        for _ in range(2):
+            docs[n] = line(12) + shared + line(12)
+            n += 1
+    edited = docs[0][:]
+    edited[len(edited) // 2] = "edited"
+    docs[n] = edited
+    rows = [(i, " ".join(w), None) for i, w in docs.items()] + [(None, " ".join(docs[k]), None) for k in (0, 2)] + [(None, " ".join(line(40)), None)]
+    seen, want = {}, {}
+    for i, t, _ in rows:
+        w = t.split()
+        for k in range(len(w) - 29):
+            seen.setdefault(tuple(w[k : k + 30]), i)
+    for i, t, _ in rows:
+        w = t.split()
+        gone = {j for k in range(len(w) - 29) if seen[tuple(w[k : k + 30])] != i for j in range(k, k + 30)}
+        want[i, t] = (len(gone), " ".join(x for j, x in enumerate(w) if j not in gone))
+    got = D.deduplicated(spark.createDataFrame(rows, SCHEMA).repartition(3), num=100).collect()  # near copies of lines are another matter
+    answer = {r.doc_id: (r.removed_words, r.text.strip()) for r in got}
+    for i, t, _ in rows:
+        if i is not None:
+            assert answer[i] == want[i, t], i
+    assert sorted((r.removed_words, r.text.strip()) for r in got if r.doc_id is None) == sorted(want[None, t] for i, t, _ in rows if i is None)
+
+
 def test_bands_reach_the_recall():
     bands, rows = D.tuned(0.75, 0.995)
     assert 1 - (1 - 0.75**rows) ** bands >= 0.995

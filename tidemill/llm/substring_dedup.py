@@ -6,16 +6,16 @@ collide in a band are verified by exact Jaccard similarity (0.75), and the
 components of the verified pairs are classes. A class keeps its paragraphs in the
 document with the least id and loses them in all others.
 
-Passages that stand within differing lines are found by the same bands at
-threshold 1, where one band of one row is enough: the words of a text are cut
-where the hash of two words is the least of the nine around it, so equal
-passages are cut alike, and equal pieces in more than one document stay in the one with the
-least id. Pieces are removed only as runs of at least `least` words, so common
-phrases stay.
+Passages that stand within differing lines are found exactly: a word goes if some
+`least` words in a row around it are also in a document with a lesser id, so shared runs
+of at least `least` words go from their first to their last word and common phrases stay.
+Anchors lead there: of the word grams in every `least` words the one of the least hash, so
+whatever shares `least` words shares an anchor. Only around anchors that several
+documents have are the windows of `least` words compared.
 
 Within one document nothing is removed on its own account. Null text stays null.
 Rows that share an id are one document; a removal applies to a row only where it
-has the piece or paragraph that was compared. Rows with a null id count as one
+has the passage or paragraph that was compared. Rows with a null id count as one
 document after all others. Columns other than id and text are passed on.
 """
 
@@ -34,12 +34,14 @@ from tidemill.llm import _kernel as K
 from tidemill.llm import _links as L
 from tidemill.llm import _runtime as R
 
-NUM, DEN, WORDS, LEAST, RECALL, SPAN = 75, 100, 5, 30, 0.995, 4
-PIECE = np.dtype([("h", "<u8"), ("o", "<i8"), ("i", "<i4")])
+NUM, DEN, WORDS, LEAST, RECALL, SPAN, GRAM = 75, 100, 5, 30, 0.995, 4, 10
+ANCHOR = np.dtype([("h", "<u8"), ("o", "<i8")])
+SPOT = np.dtype([("h", "<u8"), ("o", "<i8"), ("f", "<u8"), ("i", "<i4")])
+REPEAT = np.dtype([("o", "<i8"), ("f", "<u8"), ("k", "<i8"), ("i", "<i4")])
+RUN = np.dtype([("f", "<u8"), ("k", "<i8"), ("i", "<i4"), ("n", "<i4")])
 LINE = np.dtype([("fp", "<i8"), ("o", "<i8"), ("i", "<i4"), ("n", "<i4"), ("bits", "V32")])
-DUP = np.dtype([("o", "<i8"), ("i", "<i4"), ("h", "<u8"), ("k", "<i8")])
-PIECES, LINES, DUPS = 3, 4, 5
-ADDED = ("n_words", "removed_words", "seen_in", "dups", "_o", "_key", "_o2")
+ANCHORS, LINES, SHARED, SPOTS, REPEATS = 3, 4, 5, 8, 9
+ADDED = ("n_words", "removed_words", "seen_in", "dups", "runs", "_o", "_key", "_o2")
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -83,7 +85,7 @@ def band_hashes(shingles: np.ndarray, firsts: np.ndarray, bands: int, rows: int)
 
 
 def cuts(words: np.ndarray) -> np.ndarray:
-    """Where a text is cut into pieces: first words of all, and one past the last word."""
+    """Where a text is cut into pieces: first words of all, and one past the last word. `found` uses anchors instead."""
     n = len(words)
     if n < 2 * SPAN + 2:
         return np.array([0, n])
@@ -96,25 +98,63 @@ def cuts(words: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([[0], np.flatnonzero(low) + SPAN, [n]]))
 
 
-_PLACES = np.multiply.accumulate(np.full(1 << 10, 0xC2B2AE3D27D4EB4F, np.uint64))
+_FACTOR = 0x9FB21C651E98DF25  # of K.grams
+_POWERS = np.ones((2, 1), np.uint64)
 
 
-def piece_hashes(words: np.ndarray, at: np.ndarray) -> np.ndarray:
-    size = np.diff(at)
-    place = np.arange(len(words)) - np.repeat(at[:-1], size)
-    q = _PLACES[place & 1023] * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1))
-    return K.mix(np.add.reduceat(words * q, at[:-1]) ^ K.mix(size.astype(np.uint64)))
+def powers(n: int) -> np.ndarray:
+    """[2, n] powers of the grams' factor and of its inverse."""
+    global _POWERS
+    if n > _POWERS.shape[1]:
+        steps = np.ones((2, 1 << int(n).bit_length()), np.uint64)
+        steps[:, 1:] = np.array([[_FACTOR], [pow(_FACTOR, -1, 1 << 64)]], np.uint64)
+        _POWERS = np.multiply.accumulate(steps, axis=1)
+    return _POWERS[:, :n]
+
+
+def windows(words: np.ndarray, k: int) -> np.ndarray:
+    """K.grams of any k at the price of one."""
+    n = len(words)
+    if n < k:
+        return words[:0]
+    up, down = powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(words * up[1:], out=total[1:])
+    return K.mix((total[k:] - total[:-k]) * down[: n - k + 1])
+
+
+def sliding(x: np.ndarray, n: int, of: np.ufunc) -> np.ndarray:
+    """`of` (minimum or maximum) over each n numbers in a row."""
+    k = 1
+    while 2 * k <= n:
+        x = of(x[:-k], x[k:])
+        k *= 2
+    return of(x[: len(x) - (n - k)], x[n - k :]) if k < n else x
+
+
+def anchors(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the grams that are the least in some `least` words in a row."""
+    if len(words) < least:
+        return np.zeros(0, np.int64), words[:0]
+    size = min(GRAM, least)
+    h, among = windows(words, size), least - size + 1
+    low = np.zeros(len(h) + among - 1, np.uint64)
+    low[among - 1 : len(h)] = sliding(h, among, np.minimum)
+    at = np.flatnonzero(h == sliding(low, among, np.maximum))
+    return at, h[at]
+
+
+def text_print(words: np.ndarray) -> np.uint64:
+    return windows(words, len(words))[0] ^ np.uint64(len(words))
 
 
 class Text:
-    """One text's words, lines and pieces."""
+    """One text's words and lines."""
 
     def __init__(self, words: np.ndarray, line_at: np.ndarray, least: int) -> None:
         self.words = words
         size = np.diff(line_at)
         self.lines = [(i, int(line_at[i]), int(line_at[i + 1])) for i in np.flatnonzero(size >= least)]
-        self.at = cuts(words) if len(words) >= least else np.array([0, 0])
-        self.pieces = piece_hashes(words, self.at) if len(words) >= least else words[:0]
 
 
 def texts(column: pa.Array, least: int) -> Iterator[tuple[Text, np.ndarray, np.ndarray]]:
@@ -145,8 +185,102 @@ def order_of(docs: DataFrame, id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long") if integral else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)), F.lit(NO_ID))
 
 
+def common(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(anchors that several documents have, every anchor once with its least document)."""
+    p = p[np.lexsort((p["o"], p["h"]))]
+    new = np.ones(len(p), bool)
+    new[1:] = (p["h"][1:] != p["h"][:-1]) | (p["o"][1:] != p["o"][:-1])
+    p = p[new]
+    first = np.flatnonzero(np.concatenate(([True], p["h"][1:] != p["h"][:-1])))
+    size = np.diff(np.append(first, len(p)))
+    return p[np.repeat(size > 1, size)], p[first]
+
+
+def repeated(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(windows that a document with a lesser id has too, the others)."""
+    p = p[np.lexsort((p["o"], p["h"]))]
+    first = np.ones(len(p), bool)
+    first[1:] = p["h"][1:] != p["h"][:-1]
+    keeper = p["o"][np.flatnonzero(first)[np.cumsum(first) - 1]]
+    later = p["o"] != keeper
+    out = np.empty(int(later.sum()), REPEAT)
+    for c in ("o", "f", "i"):
+        out[c] = p[c][later]
+    out["k"] = keeper[later]
+    return out, p[~later]
+
+
+def cell_of(x: np.ndarray, cells: int) -> np.ndarray:
+    return (K.mix(x) >> np.uint64(32)) % np.uint64(cells)
+
+
+def passages(rows: DataFrame, shared: DataFrame, least: int, cells: int) -> DataFrame:
+    """o, and RUNs of windows that documents with lesser ids have too; `shared` has o and the anchors that others have."""
+    bits = rows.sparkSession.sparkContext.broadcast(L.bitmap(shared.select(F.xxhash64("o").alias("key"))))
+
+    def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(L.in_bitmap(bits.value, batch.column(1).to_numpy())))
+
+    def sent(p: np.ndarray) -> Iterator[pa.RecordBatch]:
+        later, p = repeated(p)
+        if len(later):
+            yield L.by_cell(REPEATS, later, cell_of(later["o"].view(np.uint64), cells))
+        yield L.by_cell(SPOTS, p, cell_of(p["h"], cells))
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for b in R.pieces(batch, "t"):
+                for o, own, (t, _, _) in zip(b.column(0).to_pylist(), b.column(2), texts(b.column(1), least)):
+                    at, h = anchors(t.words, least)
+                    at = at[np.isin(h, own.values.to_numpy().view(np.uint64))]
+                    if not len(at):
+                        continue
+                    edge = np.zeros(len(t.words) + 1, np.int32)
+                    np.add.at(edge, np.maximum(at + min(GRAM, least) - least, 0), 1)
+                    np.add.at(edge, np.minimum(at, len(t.words) - least) + 1, -1)
+                    i = np.flatnonzero(np.cumsum(edge))
+                    p = np.empty(len(i), SPOT)
+                    p["h"], p["o"], p["f"], p["i"] = windows(t.words, least)[i], o, text_print(t.words), i
+                    held.append(p)
+                    n += len(p)
+                    if n >= L.FLUSH:
+                        yield from sent(np.concatenate(held))
+                        held, n = [], 0
+        if n:
+            yield from sent(np.concatenate(held))
+        R.relieve()
+
+    def meet(table: pa.Table) -> pa.Table:
+        data = table.filter(pc.equal(table.column("kind"), SPOTS)).column("data")
+        out = table.filter(pc.equal(table.column("kind"), REPEATS)).to_batches()
+        if len(data):
+            later, _ = repeated(np.concatenate([np.frombuffer(x.as_buffer(), SPOT) for x in data]))
+            if len(later):
+                out.append(L.by_cell(REPEATS, later, cell_of(later["o"].view(np.uint64), cells)))
+        return pa.Table.from_batches(out, L.ARROW)
+
+    def runs(table: pa.Table) -> pa.Table:
+        p = np.concatenate([np.frombuffer(x.as_buffer(), REPEAT) for x in table.column("data")])
+        p = p[np.lexsort((p["i"], p["f"], p["o"]))]
+        new = np.ones(len(p), bool)
+        new[1:] = (p["i"][1:] != p["i"][:-1] + 1) | (p["k"][1:] != p["k"][:-1]) | (p["f"][1:] != p["f"][:-1]) | (p["o"][1:] != p["o"][:-1])
+        first = np.flatnonzero(new)
+        r = np.empty(len(first), RUN)
+        r["f"], r["k"], r["i"], r["n"] = p["f"][first], p["k"][first], p["i"][first], np.diff(np.append(first, len(p)))
+        o = p["o"][first]
+        at = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
+        return pa.table({"o": pa.array(o[at]), "runs": pa.array([r[x:y].tobytes() for x, y in zip(at, np.append(at[1:], len(r)))], pa.binary())})
+
+    keyed = rows.select("o", F.xxhash64("o").alias("key"), "t")
+    some = keyed.mapInArrow(touched, keyed.schema).join(shared, "o").select("o", "t", "anchors")
+    met = some.mapInArrow(around, L.SCHEMA).repartition(cells, "cell").groupBy("cell").applyInArrow(meet, L.SCHEMA)
+    return met.repartition(cells, "cell").groupBy("cell").applyInArrow(runs, "o long, runs binary")
+
+
 def found(docs: DataFrame, id_col: str, text_col: str, least: int, num: int, den: int, recall: float) -> DataFrame:
-    """o, and the duplicates of that document: DUP records, those of lines with the complement of the line's number."""
+    """o, what goes from that document: its lines (`dups`) and RUNs of windows (`runs`)."""
     spark = docs.sparkSession
     rows = docs.select(order_of(docs, id_col).alias("o"), F.col(text_col).cast("string").alias("t"))
     cells = R.cell_count(spark, R.input_bytes(docs))
@@ -154,28 +288,24 @@ def found(docs: DataFrame, id_col: str, text_col: str, least: int, num: int, den
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealer = L.Dealer(cells)
-        pieces: list[np.ndarray] = []
-        held = 0
+        held: list[np.ndarray] = []
+        n = 0
 
         def send() -> Iterator[pa.RecordBatch]:
-            p = np.concatenate(pieces)
-            p = p[np.lexsort((p["o"], p["h"]))]
-            first = np.ones(len(p), bool)
-            first[1:] = p["h"][1:] != p["h"][:-1]
-            keeper = p["o"][np.flatnonzero(first)[np.cumsum(first) - 1]]
-            yield from L.packed(DUPS, dups(p[p["o"] != keeper], keeper[p["o"] != keeper]), cells)
-            p = p[first]  # of a document's equal pieces one is sent; `applied` marks all of them
-            yield L.by_cell(PIECES, p, (K.mix(p["h"]) >> np.uint64(32)) % np.uint64(cells))
+            many, p = common(np.concatenate(held))
+            yield from L.packed(SHARED, many, cells)
+            yield L.by_cell(ANCHORS, p, cell_of(p["h"], cells))
 
         for batch in batches:
             for b in R.pieces(batch, "t"):
                 lines = []
                 for o, (t, _, _) in zip(b.column(0).to_numpy(), texts(b.column(1), least)):
-                    if len(t.pieces):
-                        p = np.empty(len(t.pieces), PIECE)
-                        p["h"], p["o"], p["i"] = t.pieces, o, np.arange(len(p))
-                        pieces.append(p)
-                        held += len(p)
+                    _, h = anchors(t.words, least)
+                    if len(h):
+                        p = np.empty(len(h), ANCHOR)
+                        p["h"], p["o"] = h, o
+                        held.append(p)
+                        n += len(p)
                     if t.lines:
                         sets = [line_set(t, x, y) for _, x, y in t.lines]
                         sizes = [len(s) for s in sets]
@@ -186,30 +316,20 @@ def found(docs: DataFrame, id_col: str, text_col: str, least: int, num: int, den
                             yield from dealer.add(L.postings(own, fp, len(s)))
                 if lines:
                     yield from L.packed(LINES, np.array(lines, LINE), cells)
-                if held >= L.FLUSH:
+                if n >= L.FLUSH:
                     yield from send()
-                    pieces, held = [], 0
-        if held:
+                    held, n = [], 0
+        if n:
             yield from send()
         yield from dealer.flush()
         R.relieve()
 
-    def dups(p: np.ndarray, keeper: np.ndarray) -> np.ndarray:
-        out = np.empty(len(p), DUP)
-        out["o"], out["i"], out["h"], out["k"] = p["o"], p["i"], p["h"], keeper
-        return out
-
     def cell(table: pa.Table) -> pa.Table:
         kind, data = table.column("kind").to_pylist(), table.column("data")
-        out = [*L.cell_pairs(table), *table.filter(pc.is_in(table.column("kind"), pa.array([LINES, DUPS], pa.int32()))).to_batches()]
-        got = [np.frombuffer(data[i].as_buffer(), PIECE) for i, k in enumerate(kind) if k == PIECES]
+        out = [*L.cell_pairs(table), *table.filter(pc.is_in(table.column("kind"), pa.array([LINES, SHARED], pa.int32()))).to_batches()]
+        got = [np.frombuffer(data[i].as_buffer(), ANCHOR) for i, k in enumerate(kind) if k == ANCHORS]
         if got:
-            p = np.concatenate(got)
-            p = p[np.lexsort((p["o"], p["h"]))]
-            first = np.ones(len(p), bool)
-            first[1:] = p["h"][1:] != p["h"][:-1]
-            keeper = p["o"][np.flatnonzero(first)[np.cumsum(first) - 1]]
-            out += L.packed(DUPS, dups(p[p["o"] != keeper], keeper[p["o"] != keeper]))
+            out += L.packed(SHARED, common(np.concatenate(got))[0])
         return pa.Table.from_batches(out, L.ARROW)
 
     met = R.written(rows.mapInArrow(index, L.SCHEMA).repartition(cells, "cell").groupBy("cell").applyInArrow(cell, L.SCHEMA), "paragraphs")
@@ -220,11 +340,11 @@ def found(docs: DataFrame, id_col: str, text_col: str, least: int, num: int, den
                 p = np.frombuffer(x, LINE)
                 yield pa.record_batch([*(pa.array(p[c].copy()) for c in ("fp", "o", "i", "n")), pa.array([x.tobytes() for x in p["bits"]], pa.binary())], names=["fp", "o", "i", "n", "bits"])
 
-    def undup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unshared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                p = np.frombuffer(x, DUP)
-                yield pa.record_batch([pa.array(p["o"].copy()), pa.array(p["i"].copy()), pa.array(p["h"].astype(np.int64)), pa.array(p["k"].copy())], names=["o", "i", "h", "k"])
+                p = np.frombuffer(x, ANCHOR)
+                yield pa.record_batch([pa.array(p["o"].copy()), pa.array(p["h"].astype(np.int64))], names=["o", "h"])
 
     lines = met.where(F.col("kind") == LINES).select("data").mapInArrow(unlined, "fp long, o long, i int, n int, bits binary")
     by_set = R.written(lines.groupBy("fp").agg(F.min(F.struct("o", "i")).alias("m"), F.max("o").alias("last"), F.first("n").alias("n"), F.first("bits").alias("bits")).select("fp", "m.o", "m.i", "last", "n", "bits"), "paragraph-sets")
@@ -254,29 +374,22 @@ def found(docs: DataFrame, id_col: str, text_col: str, least: int, num: int, den
     merged = joined.where("root is not null")
     keeper = merged.groupBy("root").agg(F.min("o").alias("k"))
     of_set = merged.join(keeper, "root").select("fp", "k").unionByName(joined.where("root is null and last > o").select("fp", F.col("o").alias("k")))
-    line_dups = lines.select("fp", "o", "i").join(of_set, "fp").where("o <> k").select("o", (-1 - F.col("i")).cast("int").alias("i"), F.col("fp").alias("h"), "k")
-    piece_dups = met.where(F.col("kind") == DUPS).select("data").mapInArrow(undup, "o long, i int, h long, k long")
-    every = piece_dups.unionByName(line_dups)
-    return every.groupBy("o").agg(F.collect_list(F.struct("i", "h", "k")).alias("dups"))
+    line_dups = lines.select("fp", "o", "i").join(of_set, "fp").where("o <> k").select("o", "i", F.col("fp").alias("h"), "k")
+    shared = met.where(F.col("kind") == SHARED).select("data").mapInArrow(unshared, "o long, h long")
+    shared = R.written(shared.groupBy("o").agg(F.collect_list("h").alias("anchors")), "anchors")
+    of_lines = line_dups.groupBy("o").agg(F.collect_list(F.struct("i", "h", "k")).alias("dups"))
+    return of_lines.join(R.written(passages(rows, shared, least, cells), "passages"), "o", "full")
 
 
-def marked(t: Text, dups: list[dict], least: int) -> tuple[np.ndarray, list[int]]:
+def marked(t: Text, dups: list[dict] | None, runs: bytes | None, least: int) -> tuple[np.ndarray, list[int]]:
     """(which words go, documents that keep them)."""
     gone, keep = np.zeros(len(t.words), bool), set()
-    piece_gone = np.zeros(len(t.words), bool)
-    by_hash = {d["h"]: d["k"] for d in dups if d["i"] >= 0}
-    lines = {-1 - d["i"]: d for d in dups if d["i"] < 0}
-    seen: list[tuple[int, int, int]] = []
-    for j, h in enumerate(t.pieces.astype(np.int64).tolist() if by_hash else ()):
-        if h in by_hash:
-            a, b = int(t.at[j]), int(t.at[j + 1])
-            piece_gone[a:b] = True
-            seen.append((a, b, by_hash[h]))
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], piece_gone.view(np.int8), [0]])))
-    for a, b in zip(edge[::2], edge[1::2]):
-        if b - a >= least:
-            gone[a:b] = True
-    keep |= {k for a, b, k in seen if gone[a:b].all()}
+    r = np.frombuffer(runs or b"", RUN)
+    if len(r) and len(t.words):
+        for _, k, i, n in r[r["f"] == text_print(t.words)].tolist():
+            gone[i : i + n - 1 + least] = True
+            keep.add(k)
+    lines = {d["i"]: d for d in dups or ()}
     for i, a, b in t.lines:
         d = lines.get(i)
         if d is not None and K.fingerprint(line_set(t, a, b)) == d["h"]:
@@ -335,10 +448,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             for b in R.pieces(batch, text_col):
                 out, n, removed, seen = [], [], [], []
-                listed = b.column(b.num_columns - 1).to_pylist()
-                for raw, d, (t, starts, ends) in zip(b.column(place).to_pylist(), listed, texts(b.column(place), least)):
+                dups, runs = (b.column(b.num_columns - k).to_pylist() for k in (2, 1))
+                for raw, d, r, (t, starts, ends) in zip(b.column(place).to_pylist(), dups, runs, texts(b.column(place), least)):
                     n.append(len(t.words))
-                    gone, keep = marked(t, d, least) if d else (np.zeros(0, bool), [])
+                    gone, keep = marked(t, d, r, least) if d or r else (np.zeros(0, bool), [])
                     removed.append(int(gone.sum()))
                     seen.append(keep)
                     out.append(cut_text(raw.encode(), gone, starts, ends) if gone.any() else raw)
