@@ -37,6 +37,19 @@ def test_held_out_accuracy_and_gaps(spark):
     assert by_id[1005].score > 10 * by_id[1000].score
 
 
+def test_long_sentences_train_whole():
+    words = [f"w{i}" for i in range(900)]
+    got = X.sentences_of(" ".join(words) + " stinkhead")
+    assert len(got) > 3 and {u for s in got for u in s} == {*words, "stinkhead"}
+    assert {u for s in X.sentences_of("漢" * 3000 + "罵") for u in s} >= {"漢" * X.WINDOW} and any("罵" in u for s in X.sentences_of("漢" * 3000 + "罵") for u in s)
+    assert X.sentences_of("One. Two.\n" + "x" * 20) == [["one"], ["two"], ["x" * 14, "x" * 13]]
+    assert len(X.sentences_of("\n".join(words))) == 64
+    clean = [" ".join(f"{a}{b}" for a in ("an", "be", "co", "da") for b in ("fi", "go", "hu", x)) for x in map(str, range(120))]
+    docs = [(X.sentences_of(f"{t} " * 24 + ("stinkhead" if i % 3 == 0 else "")), int(i % 3 == 0)) for i, t in enumerate(clean)]
+    model = X.fit(docs)
+    assert model is not None and list(model.score(X.Scorer(model).worst(["a stinkhead b", clean[0]])) >= 0.5) == [True, False]
+
+
 def test_without_a_class(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")

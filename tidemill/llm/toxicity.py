@@ -17,8 +17,9 @@ is scored without the landmarks. A document's score is a logistic function,
 fitted on the training documents, of its worst unit; 0.5 parts the classes.
 
 Bounds: `per_class` documents of either label (the ones whose ids hash lowest),
-`sentences` of each of them (evenly spread). Everything else reads all rows and
-whole texts. Null or empty texts get the score of a text without toxic units.
+`sentences` of each of them (evenly spread), read whole: of a longer sentence than
+PART characters each part of about so many trains as a sentence. Everything else reads
+all rows and whole texts. Null or empty texts get the score of a text without toxic units.
 Null labels are left out; if a class is missing from the labels, all scores are
 0. Repeated rows each get their row.
 """
@@ -36,7 +37,8 @@ from tidemill.llm import _kernel as K
 from tidemill.llm import _runtime as R
 
 HASHED, DECAY, WINDOW = 1 << 20, 0.5, 14
-PER_CLASS, SENTENCES, LANDMARKS, COST = 800, 48, 256, 1.0
+PER_CLASS, SENTENCES, LANDMARKS, COST = 800, 64, 256, 1.0
+PART = 1024
 KNOWN = 1 << 17
 #: Where in the machine's margin (-1 to 1) half may stand, toxic side first in doubt: unseen clean words reach a little over 0.
 INSIDE = (0.25, 0.75)
@@ -322,7 +324,7 @@ def sentences_of(text: str, most: int = SENTENCES) -> list[list[str]]:
     parts = [p for p in _SENTENCE.split(text) if p.strip()]
     if len(parts) > most:
         parts = [parts[i * len(parts) // most] for i in range(most)]
-    return [[u for t in sorted(tokens(p[:1024])) for u in units(t)] for p in parts]
+    return [[u for t in sorted(tokens(part)) for u in units(t)] for p in parts for part in slices(p, PART)]
 
 
 def trained(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sentences: int = SENTENCES, landmarks: int = LANDMARKS) -> "Model | None":
