@@ -50,6 +50,19 @@ def test_long_sentences_train_whole():
     assert model is not None and list(model.score(X.Scorer(model).worst(["a stinkhead b", clean[0]])) >= 0.5) == [True, False]
 
 
+def test_few_labels_give_a_model():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abdefgiklmnoprstu", k=6))
+    common = [word() for _ in range(40)]
+    texts = [(" ".join(rng.sample(common, 9)) + (f" {bad}" if bad else ""), int(bad is not None)) for bad in ["grobnik", "xyzzyq", "whjqvw", *[None] * 30]]
+    model = X.fit([(X.sentences_of(t), y) for t, y in texts])
+    assert model is not None
+    score = model.score(X.Scorer(model).worst([t for t, _ in texts]))
+    assert (score[:3] >= 0.5).all() and (score[3:] < 0.5).all()
+    same = [(X.sentences_of(t), y) for t in ("one two", "three four") for y in (0, 1)]
+    assert X.fit(same) is None  # nothing tells the classes apart
+
+
 def test_without_a_class(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")

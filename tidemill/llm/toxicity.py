@@ -20,8 +20,8 @@ Bounds: `per_class` documents of either label (the ones whose ids hash lowest),
 `sentences` of each of them (evenly spread), read whole: of a longer sentence than
 PART characters each part of about so many trains as a sentence. Everything else reads
 all rows and whole texts. Null or empty texts get the score of a text without toxic units.
-Null labels are left out; if a class is missing from the labels, all scores are
-0. Repeated rows each get their row.
+Null labels are left out; if a class is missing from the labels, or no toxic document
+has a unit that clean ones lack, all scores are 0. Repeated rows each get their row.
 """
 
 import re
@@ -262,6 +262,13 @@ def fit_machine(units: Units, used: np.ndarray, landmarks: int, rounds: int) ->
             ids = ids[clean[ids] == 0]
             if len(ids) and score[ids].max() > plain:
                 witness.add(int(ids[np.argmax(score[ids])]))
+    if not witness:  # with few or diverse labels nothing is frequent enough: every toxic document's worst unit that no clean one has
+        best: dict[int, int] = {}
+        for d, ids in bags:
+            ids = ids[clean[ids] == 0]
+            if labels[d] == 1 and len(ids):
+                best[d] = max(best.get(d, ids[0]), ids[np.argmax(score[ids])], key=lambda u: score[u])
+        witness = {int(u) for u in best.values()}
     if not witness:
         return None
     positive = np.array(sorted(witness), np.int64)
