@@ -3,7 +3,9 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 
+from tidemill.llm import _kernel as K
 from tidemill.llm import substring_dedup as D
 
 SCHEMA = "doc_id long, text string, n_words string"
@@ -89,12 +91,36 @@ def test_bands_reach_the_recall():
     assert met >= 297
 
 
-def test_cuts_depend_on_what_is_near_only():
-    rng = np.random.default_rng(2)
-    a, b, c = (rng.integers(0, 2**63, 300, dtype=np.uint64) for _ in range(3))
-    one, two = np.concatenate([a, c]), np.concatenate([b[:77], c])
-    x, y = set((D.cuts(one) - 300).tolist()), set((D.cuts(two) - 77).tolist())
-    assert {k for k in x if 10 < k < 300} == {k for k in y if 10 < k < 300}
+def test_paragraphs():
+    line = lambda n, c: " ".join(f"{c}{i}" for i in range(n))
+    texts = [f"{line(12, 'a')}\n{line(12, 'b')}\n{line(12, 'c')}\n\n{line(40, 'd')}\n{line(5, 'e')}", "", None, line(29, "f") + "\n\n" + line(29, "g"), f"\n{line(30, 'h')}\n{line(29, 'i')}\n{line(1, 'j')}"]
+    found = [t.lines for t, _, _ in D.texts(pa.array(texts), 30)]
+    assert found == [[(0, 36), (36, 76)], [], [], [], [(0, 30), (30, 60)]]
+    p = D.Piece(pa.array(texts), 30)
+    members, first = p.sets()
+    for j, (t, a) in enumerate(zip(p.of, p.place())):
+        own = [x for x, _, _ in D.texts(pa.array(texts), 30)][t]
+        s = K.shingle_set(own.words[a : dict(own.lines)[a]], 5)
+        assert (members[first[j] : first[j + 1]] == s).all()
+    long = [" ".join(f"w{(i * i) % 97}{k}" for i in range(n)) for k, n in enumerate((10, 30, 31, 400, 29, 200))]
+    of, h = D.piece_anchors(D.Piece(pa.array(long), 30), 30)
+    for i, (t, _, _) in enumerate(D.texts(pa.array(long), 30)):
+        assert (h[of == i] == D.anchors(t.words, 30)[1]).all()
+
+
+def test_wrapped_near_copies(spark):
+    """Near copies of 240 words are found whether they are one line or wrapped."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**7)}" for _ in range(240)]
+    for wrap in (240, 12):
+        rows = []
+        for i in range(20):
+            w = list(base)
+            for k in range(3):
+                w[(i * 12 + k * 80) % 240] = f"x{i}{k}"
+            rows.append((i, "\n".join(" ".join(w[k : k + wrap]) for k in range(0, 240, wrap)), None))
+        got = D.deduplicated(spark.createDataFrame(rows, SCHEMA))
+        assert sorted(r.doc_id for r in got.collect() if r.removed_words == 240) == list(range(1, 20))
 
 
 def test_stage(spark):

@@ -19,15 +19,30 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+_SHIFTS, _FACTORS = (_U(30), _U(27), _U(31)), (_U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
-    x = x.astype(np.uint64, copy=True)
-    x ^= x >> _U(30)
-    x *= _U(0xBF58476D1CE4E5B9)
-    x ^= x >> _U(27)
-    x *= _U(0x94D049BB133111EB)
-    x ^= x >> _U(31)
-    return x
+    x = x.astype(np.uint64, copy=False)
+    y = x >> _SHIFTS[0]
+    y ^= x
+    y *= _FACTORS[0]
+    z = y >> _SHIFTS[1]
+    y ^= z
+    y *= _FACTORS[1]
+    np.right_shift(y, _SHIFTS[2], out=z)
+    y ^= z
+    return y
+
+
+def mixed(x: int) -> int:
+    """mix of one number."""
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
+    return x ^ x >> 31
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
@@ -119,5 +134,53 @@ def fingerprint(members: np.ndarray) -> int:
     """A set's own 64-bit hash, as a signed number; 0 for the empty set."""
     if not len(members):
         return 0
-    x = mix(np.array([mix(members).sum(dtype=np.uint64) ^ mix(np.array([len(members)], np.uint64))[0]], np.uint64))
-    return int((x | _U(1)).view(np.int64)[0])
+    x = mixed(int(np.add.reduce(mix(members))) ^ mixed(len(members))) | 1
+    return x - (1 << 64) if x >> 63 else x
+
+
+def segment_sets(words: np.ndarray, a: np.ndarray, b: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_set of each segment words[a:b], all in one array: (members, first of each set and one past the last)."""
+    size = b - a
+    m = np.where(size >= k, size - k + 1, (size > 0).astype(size.dtype))
+    total = int(m.sum())
+    first = np.concatenate(([0], np.cumsum(m)))
+    if not total:
+        return words[:0], first
+    at = np.repeat(a - first[:-1], m) + np.arange(total)
+    g = grams(words, k)
+    value = g[np.minimum(at, max(0, len(g) - 1))] if len(g) else np.zeros(total, np.uint64)
+    for i in np.flatnonzero((size > 0) & (size < k)):
+        value[first[i]] = shingle_set(words[a[i] : b[i]], k)[0]
+    small = np.repeat(np.arange(len(a), dtype=np.uint16 if len(a) < 1 << 16 else np.int64), m)
+    order = np.argsort(value)
+    order = order[np.argsort(small[order], kind="stable")]
+    value = value[order]
+    new = np.ones(total, bool)
+    new[1:] = value[1:] != value[:-1]
+    new[first[:-1][m > 0]] = True
+    kept = np.concatenate(([0], np.cumsum(new)))
+    return value[new], kept[first]
+
+
+def fingerprints(members: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """fingerprint of each set."""
+    n = np.diff(first)
+    out = np.zeros(len(n), np.int64)
+    some = np.flatnonzero(n)
+    if len(some):
+        total = np.add.reduceat(mix(members), first[:-1][some])
+        out[some] = (mix(total ^ mix(n[some].astype(np.uint64))) | _U(1)).view(np.int64)
+    return out
+
+
+def text_words(column: pa.Array, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes of all texts, first word of each text and one past the last)."""
+    raw, off = utf8(column)
+    starts, ends, first = word_spans(raw, off, space)
+    return word_hashes(raw, starts, ends), first
+
+
+def blobs(members: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Each set's members as bytes."""
+    width = members.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer((first * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(members))])

@@ -46,7 +46,12 @@ def paired(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
     A posting whose n is negative stands for a task's large group; a group that has one is large.
     """
-    p = p[np.lexsort((p["n"], K.mix(p["fp"].view(np.uint64)), p["sig"]))]
+    p = p[np.argsort(p["sig"], kind="stable")]
+    if len(p):  # most signatures stand alone: only the others' postings are put in order
+        same = np.flatnonzero(p["sig"][1:] == p["sig"][:-1])
+        at = np.unique(np.concatenate([same, same + 1]))
+        q = p[at]
+        p[at] = q[np.lexsort((q["n"], K.mix(q["fp"].view(np.uint64)), q["sig"]))]
     if not len(p):
         return np.empty(0, PAIR), np.empty(0, GROUP), np.empty(0, PAIR), np.empty(0, PAIR), p
     new = np.ones(len(p), bool)
@@ -82,7 +87,17 @@ def as_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def unique_pairs(p: np.ndarray) -> np.ndarray:
-    return np.unique(p) if len(p) else p
+    """`p` in order of its first two fields, equal ones once."""
+    x, y = p.dtype.names[:2]
+    p = p[np.lexsort((p[y], p[x]))]
+    new = np.ones(len(p), bool)
+    new[1:] = (p[x][1:] != p[x][:-1]) | (p[y][1:] != p[y][:-1])
+    return p[new]
+
+
+def pair_cell(p: np.ndarray, cells: int) -> np.ndarray:
+    x, y = (p[c].view(np.uint64) if p[c].flags.c_contiguous else p[c].astype(np.uint64) for c in p.dtype.names[:2])
+    return (K.mix(x ^ K.mix(y)) >> np.uint64(32)) % np.uint64(cells)
 
 
 SCHEMA = "kind int, cell int, data binary"
@@ -126,7 +141,8 @@ class Dealer:
         p = np.concatenate(self.held)
         self.held, self.n = [], 0
         _, _, stars, _, rest = paired(p)
-        yield from packed(STAR, stars, self.cells)
+        if len(stars):
+            yield by_cell(STAR, stars, pair_cell(stars, self.cells))
         if len(rest):
             yield by_cell(POSTS, rest, (K.mix(rest["sig"]) >> np.uint64(32)) % np.uint64(self.cells))
 
@@ -143,17 +159,16 @@ def unpacked(data: DataFrame, kind: np.dtype = PAIR) -> DataFrame:
     return data.select("data").mapInArrow(run, ", ".join(f"{c} {'int' if kind[c].itemsize == 4 else 'long'}" for c in kind.names))
 
 
-def cell_pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+def cell_pairs(table: pa.Table, cells: int) -> Iterator[pa.RecordBatch]:
     """A cell's pairs, groups and stars, and the stars that tasks have made."""
     kind = table.column("kind").to_pylist()
     data = table.column("data")
     posts = [np.frombuffer(data[i].as_buffer(), POSTING) for i, k in enumerate(kind) if k == POSTS]
     if posts:
         pairs, groups, stars, chain, _ = paired(np.concatenate(posts))
-        yield from packed(PAIRS, pairs)
-        yield from packed(GROUPS, groups)
-        yield from packed(STAR, stars)
-        yield from packed(CHAIN, chain)
+        for k, p in ((PAIRS, pairs), (GROUPS, groups), (STAR, stars), (CHAIN, chain)):
+            if len(p):
+                yield by_cell(k, p, pair_cell(p, cells))
     yield from table.filter(pc.equal(table.column("kind"), STAR)).to_batches()
 
 
@@ -161,20 +176,32 @@ def candidates(dealt: DataFrame, cells: int) -> tuple[DataFrame, DataFrame, Data
     """What `links` takes, from what the dealers have sent."""
 
     def cell(table: pa.Table) -> pa.Table:
-        out = pa.Table.from_batches(list(cell_pairs(table)), ARROW)
+        out = pa.Table.from_batches(list(cell_pairs(table, cells)), ARROW)
         R.relieve()
         return out
 
-    return pairs_and_stars(R.written(dealt.repartition(cells, "cell").groupBy("cell").applyInArrow(cell, SCHEMA), "pairs"))
+    return pairs_and_stars(R.written(dealt.repartition(cells, "cell").groupBy("cell").applyInArrow(cell, SCHEMA), "pairs"), cells)
+
+
+def pairs_and_stars(met: DataFrame, cells: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(small groups' stars, large groups' stars, small groups' members).
+
+    Sets that share several signatures meet in several cells: each pair is dealt by its own
+    hash once more, as blobs, so that it becomes one row.
+    """
+    kinds = {PAIRS: PAIR, STAR: PAIR, CHAIN: PAIR, GROUPS: GROUP}
 
+    def once(table: pa.Table) -> pa.Table:
+        kind, data = np.array(table.column("kind").to_pylist()), table.column("data")
+        out = [x for k, t in kinds.items() if (kind == k).any() for x in packed(k, unique_pairs(np.concatenate([np.frombuffer(data[int(i)].as_buffer(), t) for i in np.flatnonzero(kind == k)])))]
+        return pa.Table.from_batches(out, ARROW)
 
-def pairs_and_stars(met: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(small groups' stars, large groups' stars, small groups' members)."""
-    of = lambda k, t: unpacked(met.where(F.col("kind") == k), t).distinct()
-    stars = of(STAR, PAIR)
-    onto = of(CHAIN, PAIR).select(F.col("a").alias("p"), F.col("b").alias("a"))
+    met = R.written(met.where(F.col("kind").isin(*kinds)).repartition(cells, "cell").groupBy("cell").applyInArrow(once, SCHEMA), "pairs-once")
+    of = lambda k: unpacked(met.where(F.col("kind") == k), kinds[k])
+    stars = of(STAR)
+    onto = of(CHAIN).select(F.col("a").alias("p"), F.col("b").alias("a"))
     merged = stars.join(onto, "a").select(F.col("p").alias("a"), "b").where("a <> b")
-    return of(PAIRS, PAIR), stars.union(merged).distinct(), of(GROUPS, GROUP)
+    return of(PAIRS), stars.union(merged).distinct(), of(GROUPS)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -205,6 +232,25 @@ def parity_bits(members: np.ndarray, least: int = 64) -> bytes:
     return np.packbits(counts.astype(bool), bitorder="little").tobytes()
 
 
+def parity_bits_of(members: np.ndarray, first: np.ndarray, least: int = 64) -> list[bytes]:
+    """parity_bits of each set: sets of one bitmap size at a time."""
+    n = np.diff(first)
+    size = np.maximum(least, 4 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    out: list[bytes] = [b""] * len(n)
+    for z in np.unique(size):
+        own = np.flatnonzero(size == z)
+        for a in range(0, len(own), max(1, (1 << 22) // int(z))):
+            part = own[a : a + max(1, (1 << 22) // int(z))]
+            m = n[part]
+            at = np.repeat(first[part] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            row = np.repeat(np.arange(len(part)), m) * int(z) + (members[at] & np.uint64(z - 1)).astype(np.int64)
+            counts = np.bincount(row, minlength=len(part) * int(z)).astype(np.uint8) & 1
+            packed_bits = np.packbits(counts.reshape(len(part), int(z)), axis=1, bitorder="little")
+            for i, x in zip(part.tolist(), packed_bits):
+                out[i] = x.tobytes()
+    return out
+
+
 def most_shared(x: bytes, y: bytes, nx: int, ny: int) -> int:
     """An upper bound of the intersection: every toggled bit that differs is a member that only one has."""
     p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -335,13 +381,16 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(mark)
 
 
-def bitmap(keys: DataFrame, bits: int = 23) -> np.ndarray:
-    """A bitmap of 2**bits bits (1 MB) with the bits of the long column `key` set; rows that miss it aren't in `keys`."""
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """A bitmap with the bits of the long column `key` set; rows that miss it aren't in `keys`.
+
+    It has 16 bits for each key, from 2**16 to 2**27 of them (16 MB): of many more keys it only lets more rows through.
+    """
+    bits = min(27, max(16, (16 * keys.count()).bit_length()))
     h = F.pmod(F.col("key"), F.lit(1 << bits))
-    rows = keys.select(h.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("m")).collect()  # 2**(bits - 6) rows at most
+    rows = keys.select(h.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("m")).toArrow()  # 2**(bits - 6) rows at most
     out = np.zeros(1 << (bits - 6), np.int64)
-    for w, m in rows:
-        out[w] = m
+    out[rows.column("w").to_numpy()] = rows.column("m").to_numpy()
     return out.view(np.uint64)
 
 

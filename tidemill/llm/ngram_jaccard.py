@@ -39,6 +39,12 @@ def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).alias("i"), F.xxhash64(id_col).alias("key"), F.col(text_col).cast("string").alias("t"))
 
 
+def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' sets in one array: (members, first of each set and one past the last)."""
+    words, first = K.text_words(column)
+    return K.segment_sets(words, first[:-1], first[1:], WORDS)
+
+
 def sizes_and_counts(rows: DataFrame, kind: str, bits: int) -> tuple[DataFrame, np.ndarray]:
     """(i, key, n, fp of each row; bucket counts of the shingles) in one scan."""
     schema = f"chunk int, data binary, i {kind}, key long, n int, fp long, bits binary"
@@ -50,15 +56,12 @@ def sizes_and_counts(rows: DataFrame, kind: str, bits: int) -> tuple[DataFrame,
         for batch in batches:
             types = batch.schema.field(0).type
             for b in R.pieces(batch, "t"):
-                n, fp, own = [], [], []
-                for words in K.doc_words(b.column(2)):
-                    s = K.shingle_set(words, WORDS)
-                    n.append(len(s))
-                    fp.append(K.fingerprint(s))
-                    own.append(L.parity_bits(s))
-                    np.add.at(counts, (s >> np.uint64(64 - bits)).astype(np.int64), 1)
-                none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
-                yield pa.record_batch([*none, b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(own, pa.binary())], names=names)
+                s, first = shingle_sets(b.column(2))
+                bucket, times = np.unique((s >> np.uint64(64 - bits)).astype(np.uint32), return_counts=True)
+                counts[bucket] += times.astype(np.int32)
+                none = pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary())
+                own = pa.array(np.diff(first).astype(np.int32)), pa.array(K.fingerprints(s, first)), pa.array(L.parity_bits_of(s, first), pa.binary())
+                yield pa.record_batch([*none, b.column(0), b.column(1), *own], names=names)
         if types is not None:
             for c in range(0, 1 << bits, CHUNK):
                 part = counts[c : c + CHUNK]
@@ -154,11 +157,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num
         by_bucket = level.value
         for batch in batches:
             for b in R.pieces(batch, "t"):
-                for words in K.doc_words(b.column(2)):
-                    s = K.shingle_set(words, WORDS)
-                    sig = signatures(s, by_bucket[(s >> np.uint64(64 - bits)).astype(np.int64)], num, den)
+                s, first = shingle_sets(b.column(2))
+                high, fps = by_bucket[(s >> np.uint64(64 - bits)).astype(np.int64)], K.fingerprints(s, first).tolist()
+                for fp, x, y in zip(fps, first[:-1].tolist(), first[1:].tolist()):
+                    sig = signatures(s[x:y], high[x:y], num, den)
                     if len(sig):
-                        yield from dealer.add(L.postings(sig, K.fingerprint(s), len(s)))
+                        yield from dealer.add(L.postings(sig, fp, y - x))
         yield from dealer.flush()
         R.relieve()
 
@@ -172,8 +176,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num
             for batch in batches:
                 batch = batch.filter(pa.array(L.in_bitmap(bits_.value, batch.column(1).to_numpy())))
                 for b in R.pieces(batch, "t"):
-                    found = [K.shingle_set(w, WORDS) for w in K.doc_words(b.column(2))]
-                    yield pa.record_batch([pa.array([K.fingerprint(s) for s in found], pa.int64()), b.column(1), pa.array([s.tobytes() for s in found], pa.binary())], names=["fp", "key", "members"])
+                    s, first = shingle_sets(b.column(2))
+                    yield pa.record_batch([pa.array(K.fingerprints(s, first)), b.column(1), K.blobs(s, first)], names=["fp", "key", "members"])
 
         return rows.mapInArrow(fetch, "fp long, key long, members binary").join(wanted, ["fp", "key"]).select("fp", "members")
 

@@ -1,10 +1,11 @@
 """Substring dedup: paragraphs by MinHash bands, and passages inside them.
 
-Paragraphs are a text's lines of at least `least` words. Their 5-word shingles'
-MinHashes are cut into bands tuned for `recall` at the threshold; paragraphs that
-collide in a band are verified by exact Jaccard similarity (0.75), and the
-components of the verified pairs are classes. A class keeps its paragraphs in the
-document with the least id and loses them in all others.
+A line of at least `least` words is a paragraph; of shorter lines those that follow each
+other without a blank or long line between them are one (wrapped text, lists), if they have
+`least` words together. The paragraphs' 5-word shingles' MinHashes are cut into bands tuned for
+`recall` at the threshold; paragraphs that collide in a band are verified by exact Jaccard
+similarity (0.75), and the components of the verified pairs are classes. A class keeps its
+paragraphs in the document with the least id and loses them in all others.
 
 Passages that stand within differing lines are found exactly: a word goes if some
 `least` words in a row around it are also in a document with a lesser id, so shared runs
@@ -13,7 +14,9 @@ Anchors lead there: of the word grams in every `least` words the one of the leas
 whatever shares `least` words shares an anchor. Only around anchors that several
 documents have are the windows of `least` words compared.
 
-Within one document nothing is removed on its own account. Null text stays null.
+Within one document nothing is removed on its own account. Null text stays null, and
+texts of fewer than `least` words stay as they are; an empty table gives an empty one. Very long texts are
+taken whole, a text at a time.
 Rows that share an id are one document; a removal applies to a row only where it
 has the passage or paragraph that was compared. Rows with a null id count as one
 document after all others. Columns other than id and text are passed on.
@@ -34,7 +37,7 @@ from tidemill.llm import _kernel as K
 from tidemill.llm import _links as L
 from tidemill.llm import _runtime as R
 
-NUM, DEN, WORDS, LEAST, RECALL, SPAN, GRAM = 75, 100, 5, 30, 0.995, 4, 10
+NUM, DEN, WORDS, LEAST, RECALL, GRAM = 75, 100, 5, 30, 0.995, 10
 ANCHOR = np.dtype([("h", "<u8"), ("o", "<i8")])
 SPOT = np.dtype([("h", "<u8"), ("o", "<i8"), ("f", "<u8"), ("i", "<i4")])
 REPEAT = np.dtype([("o", "<i8"), ("f", "<u8"), ("k", "<i8"), ("i", "<i4")])
@@ -71,8 +74,8 @@ def band_hashes(shingles: np.ndarray, firsts: np.ndarray, bands: int, rows: int)
     low = (shingles >> np.uint64(32)).astype(np.uint32)
     ends = np.append(firsts[1:], len(shingles))
     at = 0
-    while at < len(firsts):  # about 16 MB of hashes at a time
-        stop = max(at + 1, int(np.searchsorted(ends, firsts[at] + (1 << 15), "right")))
+    while at < len(firsts):  # about 1 MB of hashes at a time, what a core's cache holds
+        stop = max(at + 1, int(np.searchsorted(ends, firsts[at] + (1 << 12), "right")))
         h = low[firsts[at] : ends[stop - 1], None] * a + b
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x2C1B3C6D)
@@ -84,20 +87,6 @@ def band_hashes(shingles: np.ndarray, firsts: np.ndarray, bands: int, rows: int)
     return total
 
 
-def cuts(words: np.ndarray) -> np.ndarray:
-    """Where a text is cut into pieces: first words of all, and one past the last word. `found` uses anchors instead."""
-    n = len(words)
-    if n < 2 * SPAN + 2:
-        return np.array([0, n])
-    h = K.grams(words, 2)
-    m = len(h) - 2 * SPAN
-    middle = h[SPAN : SPAN + m]
-    low = np.ones(m, bool)
-    for d in range(1, SPAN + 1):
-        low &= (middle < h[SPAN - d : SPAN - d + m]) & (middle <= h[SPAN + d : SPAN + d + m])
-    return np.unique(np.concatenate([[0], np.flatnonzero(low) + SPAN, [n]]))
-
-
 _FACTOR = 0x9FB21C651E98DF25  # of K.grams
 _POWERS = np.ones((2, 1), np.uint64)
 
@@ -148,35 +137,72 @@ def text_print(words: np.ndarray) -> np.uint64:
     return windows(words, len(words))[0] ^ np.uint64(len(words))
 
 
+class Piece:
+    """A batch of texts: their words one after the other, and their paragraphs.
+
+    Paragraph j is words a[j] to b[j] of text of[j]; where it begins in its own text names it there.
+    """
+
+    def __init__(self, column: pa.Array, least: int) -> None:
+        raw, self.off = K.utf8(column)
+        self.starts, self.ends, self.first = K.word_spans(raw, self.off)
+        self.words = K.word_hashes(raw, self.starts, self.ends)
+        begins = np.unique(np.concatenate([self.off[:-1], np.flatnonzero(raw == 10) + 1]))
+        lo = np.searchsorted(self.starts, begins)
+        hi = np.append(lo[1:], len(self.starts))
+        some = np.flatnonzero(hi > lo)
+        lo, hi, text = lo[some], hi[some], np.searchsorted(self.off, begins[some], "right") - 1
+        alone = hi - lo >= least
+        new = np.ones(len(some), bool)
+        new[1:] = alone[1:] | alone[:-1] | (np.diff(some) > 1) | (text[1:] != text[:-1])
+        at = np.flatnonzero(new)
+        a, b = lo[at], hi[np.append(at[1:], len(some)) - 1] if len(some) else lo
+        keep = b - a >= least
+        self.a, self.b, self.of = a[keep], b[keep], text[at][keep]
+
+    def place(self) -> np.ndarray:
+        return (self.a - self.first[self.of]).astype(np.int32)
+
+    def sets(self) -> tuple[np.ndarray, np.ndarray]:
+        return K.segment_sets(self.words, self.a, self.b, WORDS)
+
+
 class Text:
-    """One text's words and lines."""
+    """One text's words and paragraphs."""
 
-    def __init__(self, words: np.ndarray, line_at: np.ndarray, least: int) -> None:
-        self.words = words
-        size = np.diff(line_at)
-        self.lines = [(i, int(line_at[i]), int(line_at[i + 1])) for i in np.flatnonzero(size >= least)]
+    def __init__(self, words: np.ndarray, lines: list[tuple[int, int]]) -> None:
+        self.words, self.lines = words, lines
 
 
 def texts(column: pa.Array, least: int) -> Iterator[tuple[Text, np.ndarray, np.ndarray]]:
     """(text, its words' first and end bytes) one after the other."""
-    raw, off = K.utf8(column)
-    starts, ends, first = K.word_spans(raw, off)
-    h = K.word_hashes(raw, starts, ends)
-    breaks = np.flatnonzero(raw == 10)
+    p = Piece(column, least)
+    at = np.searchsorted(p.of, np.arange(len(column) + 1))
     for i in range(len(column)):
-        a, b = first[i], first[i + 1]
-        own = breaks[np.searchsorted(breaks, off[i]) : np.searchsorted(breaks, off[i + 1])]
-        line_at = np.concatenate([[0], np.searchsorted(starts[a:b], own), [b - a]])
-        yield Text(h[a:b], line_at, least), starts[a:b] - off[i], ends[a:b] - off[i]
+        x, y = p.first[i], p.first[i + 1]
+        own = slice(at[i], at[i + 1])
+        yield Text(p.words[x:y], list(zip((p.a[own] - x).tolist(), (p.b[own] - x).tolist()))), p.starts[x:y] - p.off[i], p.ends[x:y] - p.off[i]
 
 
-def line_set(t: Text, a: int, b: int) -> np.ndarray:
-    return K.shingle_set(t.words[a:b], WORDS)
+def piece_anchors(p: Piece, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, hashes) of `anchors` in all texts at once."""
+    if len(p.words) < least:
+        return np.zeros(0, np.int64), p.words[:0]
+    size = min(GRAM, least)
+    h, among = windows(p.words, size), least - size + 1
+    of = np.repeat(np.arange(len(p.first) - 1), np.diff(p.first))
+    low = np.zeros(len(h) + among - 1, np.uint64)
+    low[among - 1 : len(h)] = np.where(of[: len(p.words) - least + 1] == of[least - 1 :], sliding(h, among, np.minimum), np.uint64(0))
+    at = np.flatnonzero((h == sliding(low, among, np.maximum)) & (h > 0))
+    return of[at], h[at]
 
 
-def line_bits(s: np.ndarray) -> bytes:
-    """Parity bits in 32 bytes whatever the size; they part less of the longest lines."""
-    return np.packbits((np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(bool), bitorder="little").tobytes()
+def line_bits(members: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Parity bits in 32 bytes for a set of any size; they part less of the longest paragraphs."""
+    n = len(first) - 1
+    row = np.repeat(np.arange(n), np.diff(first)) * 256 + (members & np.uint64(255)).astype(np.int64)
+    counts = np.bincount(row, minlength=256 * n).astype(np.uint8) & 1
+    return np.packbits(counts.reshape(n, 256), axis=1, bitorder="little").view("V32").ravel()
 
 
 def order_of(docs: DataFrame, id_col: str) -> Column:
@@ -280,7 +306,7 @@ def passages(rows: DataFrame, shared: DataFrame, least: int, cells: int) -> Data
 
 
 def found(docs: DataFrame, id_col: str, text_col: str, least: int, num: int, den: int, recall: float) -> DataFrame:
-    """o, what goes from that document: its lines (`dups`) and RUNs of windows (`runs`)."""
+    """o, what goes from that document: its paragraphs (`dups`) and RUNs of windows (`runs`)."""
     spark = docs.sparkSession
     rows = docs.select(order_of(docs, id_col).alias("o"), F.col(text_col).cast("string").alias("t"))
     cells = R.cell_count(spark, R.input_bytes(docs))
@@ -298,24 +324,23 @@ def found(docs: DataFrame, id_col: str, text_col: str, least: int, num: int, den
 
         for batch in batches:
             for b in R.pieces(batch, "t"):
-                lines = []
-                for o, (t, _, _) in zip(b.column(0).to_numpy(), texts(b.column(1), least)):
-                    _, h = anchors(t.words, least)
-                    if len(h):
-                        p = np.empty(len(h), ANCHOR)
-                        p["h"], p["o"] = h, o
-                        held.append(p)
-                        n += len(p)
-                    if t.lines:
-                        sets = [line_set(t, x, y) for _, x, y in t.lines]
-                        sizes = [len(s) for s in sets]
-                        sig = band_hashes(np.concatenate(sets), np.cumsum([0, *sizes[:-1]]), bands, per_band)
-                        for (i, _, _), s, own in zip(t.lines, sets, sig):
-                            fp = K.fingerprint(s)
-                            lines.append((fp, o, i, len(s), line_bits(s)))
-                            yield from dealer.add(L.postings(own, fp, len(s)))
-                if lines:
-                    yield from L.packed(LINES, np.array(lines, LINE), cells)
+                o, piece = b.column(0).to_numpy(), Piece(b.column(1), least)
+                of, h = piece_anchors(piece, least)
+                if len(h):
+                    p = np.empty(len(h), ANCHOR)
+                    p["h"], p["o"] = h, o[of]
+                    held.append(p)
+                    n += len(p)
+                if len(piece.a):
+                    members, first = piece.sets()
+                    lines = np.empty(len(piece.a), LINE)
+                    lines["fp"], lines["o"], lines["i"] = K.fingerprints(members, first), o[piece.of], piece.place()
+                    lines["n"], lines["bits"] = np.diff(first), line_bits(members, first)
+                    sig = band_hashes(members, first[:-1], bands, per_band)
+                    post = np.empty(sig.size, L.POSTING)
+                    post["sig"], post["fp"], post["n"] = sig.ravel(), np.repeat(lines["fp"], bands), np.repeat(lines["n"], bands)
+                    yield from dealer.add(post)
+                    yield from L.packed(LINES, lines, cells)
                 if n >= L.FLUSH:
                     yield from send()
                     held, n = [], 0
@@ -326,7 +351,7 @@ def found(docs: DataFrame, id_col: str, text_col: str, least: int, num: int, den
 
     def cell(table: pa.Table) -> pa.Table:
         kind, data = table.column("kind").to_pylist(), table.column("data")
-        out = [*L.cell_pairs(table), *table.filter(pc.is_in(table.column("kind"), pa.array([LINES, SHARED], pa.int32()))).to_batches()]
+        out = [*L.cell_pairs(table, cells), *table.filter(pc.is_in(table.column("kind"), pa.array([LINES, SHARED], pa.int32()))).to_batches()]
         got = [np.frombuffer(data[i].as_buffer(), ANCHOR) for i, k in enumerate(kind) if k == ANCHORS]
         if got:
             out += L.packed(SHARED, common(np.concatenate(got))[0])
@@ -358,18 +383,14 @@ def found(docs: DataFrame, id_col: str, text_col: str, least: int, num: int, den
             for batch in batches:
                 batch = batch.filter(pa.array(L.in_bitmap(bits.value, batch.column(1).to_numpy())))
                 for b in R.pieces(batch, "t"):
-                    out: list[tuple] = []
-                    for o, (t, _, _) in zip(b.column(0).to_pylist(), texts(b.column(2), least)):
-                        for i, x, y in t.lines:
-                            s = line_set(t, x, y)
-                            out.append((K.fingerprint(s), o, i, s.tobytes()))
-                    if out:
-                        fp, o, i, m = zip(*out)
-                        yield pa.record_batch([pa.array(fp, pa.int64()), pa.array(o, pa.int64()), pa.array(i, pa.int32()), pa.array(m, pa.binary())], names=["fp", "o", "i", "members"])
+                    piece = Piece(b.column(2), least)
+                    if len(piece.a):
+                        members, first = piece.sets()
+                        yield pa.record_batch([pa.array(K.fingerprints(members, first)), pa.array(b.column(0).to_numpy()[piece.of]), pa.array(piece.place()), K.blobs(members, first)], names=["fp", "o", "i", "members"])
 
         return keyed.mapInArrow(fetch, "fp long, o long, i int, members binary").join(wanted, ["fp", "o", "i"]).select("fp", "members")
 
-    roots = L.components(L.links(*L.pairs_and_stars(met), by_set.select("fp", "n", "bits"), sets_for, num, den)).withColumnRenamed("node", "fp")
+    roots = L.components(L.links(*L.pairs_and_stars(met, cells), by_set.select("fp", "n", "bits"), sets_for, num, den)).withColumnRenamed("node", "fp")
     joined = by_set.select("fp", "o", "last").join(roots, "fp", "left")
     merged = joined.where("root is not null")
     keeper = merged.groupBy("root").agg(F.min("o").alias("k"))
@@ -390,9 +411,9 @@ def marked(t: Text, dups: list[dict] | None, runs: bytes | None, least: int) ->
             gone[i : i + n - 1 + least] = True
             keep.add(k)
     lines = {d["i"]: d for d in dups or ()}
-    for i, a, b in t.lines:
-        d = lines.get(i)
-        if d is not None and K.fingerprint(line_set(t, a, b)) == d["h"]:
+    for a, b in t.lines:
+        d = lines.get(a)
+        if d is not None and K.fingerprint(K.shingle_set(t.words[a:b], WORDS)) == d["h"]:
             gone[a:b] = True
             keep.add(d["k"])
     return gone, sorted(keep - {NO_ID})
