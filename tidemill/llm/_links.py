@@ -9,8 +9,8 @@ bound of their intersection first and on the sets after that. What the stars lea
 open are pairs that aren't connected by what has been found: of a group of at most
 SMALL sets, all of them; of a larger one those that the pivot doesn't rule out (the Jaccard
 distance is a metric, so two sets can be linked only if their distances to the
-pivot differ by no more than the allowed distance), its sets that aren't linked to the pivot
-getting up to STARS stars before their pairs are taken. The joins that pair a group's
+pivot differ by no more than the allowed distance), STARS more pivots among its sets that aren't
+linked to the first one getting stars before their pairs are taken. The joins that pair a group's
 sets compare parity bits first and give only what these can't rule out. So no component
 is missed, and groups of near copies don't give all their pairs.
 """
@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemill.llm import _kernel as K
@@ -322,21 +322,17 @@ def links(pairs: DataFrame, stars: DataFrame, groups: DataFrame, sketches: DataF
     groups = R.written(groups, "groups")
     todo = pairs.withColumn("star", F.lit(False)).unionByName(stars.withColumn("star", F.lit(True)))
     sizes = den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")
-    open_, found = [], None
-    for _ in range(STARS):
-        got = judged(R.written(todo, "candidates"))
-        new = got.where("linked").select("a", "b")
-        found = new if found is None else found.unionByName(new)
-        seen = got.where("star")
-        off = seen.where("not linked").select("a", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("far").alias("fy"))
-        if off.isEmpty():
-            break
-        open_.append((seen.where("linked").select("a", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("far").alias("fx")), off))
-        one = lambda d, c, n: d.groupBy("a").agg(F.min(F.struct(F.xxhash64(c), c)).alias("m"), F.count(F.lit(1)).alias("c")).select("a", F.col(f"m.{c}").alias(n), "c")
-        left = off.join(one(off, "y", "p").where("c > 1"), "a")
-        again = left.where("y <> p").select(F.col("p").alias("a"), F.col("y").alias("b"), F.lit(True).alias("star"))
-        across = off.join(one(open_[-1][0], "x", "p"), "a").select(F.col("p").alias("a"), F.col("y").alias("b"), F.lit(False).alias("star"))
-        todo = again.unionByName(across).distinct()
+    got = judged(R.written(todo, "candidates"))
+    found, seen = got.where("linked").select("a", "b"), got.where("star")
+    off = seen.where("not linked").select("a", F.col("b").alias("y"), F.col("nb").alias("ny"), F.col("far").alias("fy"))
+    on = seen.where("linked").select("a", F.col("b").alias("x"), F.col("nb").alias("nx"), F.col("far").alias("fx"))
+    some_off = not off.isEmpty()
+    if some_off:
+        # a star's sets that its pivot isn't linked to: STARS of them, and one that is linked, get stars with them all
+        least = off.withColumn("s", F.pmod(F.xxhash64("y"), F.lit(STARS))).groupBy("a", "s").agg(F.min(F.struct(F.xxhash64("y").alias("h"), F.col("y").alias("p"))).alias("m")).select("a", "m.p")
+        pivots = least.unionByName(on.groupBy("a").agg(F.min(F.struct(F.xxhash64("x").alias("h"), F.col("x").alias("p"))).alias("m")).select("a", "m.p"))
+        more = off.join(pivots, "a").where("y <> p").select(F.least("p", "y").alias("a"), F.greatest("p", "y").alias("b"), F.lit(False).alias("star")).distinct()
+        found = found.unionByName(judged(R.written(more, "candidates")).where("linked").select("a", "b"))
     # what is still open: pairs of one star that aren't connected by what has been found
     roots = R.written(components(found), "roots")
     with_root = lambda d, c: d.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
@@ -348,37 +344,73 @@ def links(pairs: DataFrame, stars: DataFrame, groups: DataFrame, sketches: DataF
     member = R.written(with_bits(groups.select("g", F.col("fp").alias("y"), F.col("n").alias("ny")), "y"), "members")
     mixed = member.groupBy("g").agg(F.min("ry").alias("r1"), F.max("ry").alias("r2")).where("r1 <> r2").select("g")
     member = member.join(mixed, "g", "left_semi")
-    rest = [as_edge(member.join(as_x(member), "g").where(apart))]
-    if open_:
-        for k, (on, off) in enumerate(open_):
-            y = R.written(with_bits(off, "y"), "open")
-            cross = with_bits(on, "x").join(y, "a").where((F.col("rx") != F.col("ry")) & (F.col("fy") - F.col("fx") <= 1 - num / den + 1e-9) & sizes & may_link(num, den))
-            rest.append(as_edge(cross))
-            if k == STARS - 1:
-                rest.append(as_edge(y.join(as_x(y), "a").where(apart)))
-    for r in rest[1:]:
-        rest[0] = rest[0].unionByName(r)
-    last = judged(R.written(rest[0].distinct().withColumn("star", F.lit(False)), "candidates"))
-    return found.unionByName(last.where("linked").select("a", "b"))
+    rest = as_edge(member.join(as_x(member), "g").where(apart))
+    if some_off:
+        y = R.written(with_bits(off, "y"), "open")
+        near = (F.col("rx") != F.col("ry")) & (F.col("fy") - F.col("fx") <= 1 - num / den + 1e-9) & sizes & may_link(num, den)
+        rest = rest.unionByName(as_edge(salted(with_bits(on, "x"), y).where(near))).unionByName(as_edge(salted(as_x(y), y).where(apart)))
+    last = judged(R.written(rest.distinct().withColumn("star", F.lit(False)), "candidates"))
+    return roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(last.where("linked").select("a", "b"))
+
+
+def salted(x: DataFrame, y: DataFrame, salts: int = 16) -> DataFrame:
+    """x joined with y on the star `a`, each star's x dealt to `salts` tasks."""
+    each = x.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(salts)))
+    return each.join(y.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["a", "salt"]).drop("salt")
+
+
+EDGES = 1 << 20
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (v, u), v < u, that connect what `edges` (a, b) connect: each task's edges, EDGES at a time, as stars from the least node."""
+
+    def stars(v: np.ndarray, u: np.ndarray) -> pa.RecordBatch:
+        node, at = np.unique(np.concatenate([v, u]), return_inverse=True)
+        x, y = at[: len(v)], at[len(v) :]
+        root = np.arange(len(node))
+        while True:
+            low = np.minimum(root[x], root[y])
+            new = root.copy()
+            np.minimum.at(new, root[x], low)
+            np.minimum.at(new, root[y], low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        leaf = np.flatnonzero(root != np.arange(len(node)))
+        return pa.record_batch([pa.array(node[root[leaf]]), pa.array(node[leaf])], names=["v", "u"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            n += batch.num_rows
+            if n >= EDGES:
+                yield stars(*map(np.concatenate, zip(*held)))
+                held, n = [], 0
+        if n:
+            yield stars(*map(np.concatenate, zip(*held)))
+
+    return edges.select("a", "b").mapInArrow(run, "v long, u long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root of every node with an edge, by large-star and small-star turns; the root is the least node."""
-    now = R.written(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct(), "edges")
-    state = None
+    state, now = None, contracted(edges).distinct()
     while True:
+        seen = Observation()
+        now = R.written(now.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+        mark = seen.get
+        if mark == state:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        state = mark
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = R.written(large, "edges")
         lower = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         m = lower.groupBy("u").agg(F.min("v").alias("m"))
-        small = lower.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(m.select("u", F.col("m").alias("v"))).distinct()
-        now = R.written(small, "edges")
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(mark) == state:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        state = tuple(mark)
+        now = lower.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(m.select("u", F.col("m").alias("v"))).distinct()
 
 
 def bitmap(keys: DataFrame) -> np.ndarray:
