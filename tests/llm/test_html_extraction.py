@@ -16,6 +16,11 @@ CASES = [
     (f"<article><script>var t=\"</p>\";</script><style>p{{}}</style><!-- <p>no</p> --><p>{LONG}</p></article", LONG),
     (f"<article><p>{LONG} cut off &am", f"{LONG} cut off &am"), (f"<article><p>{LONG}</p><scr", LONG), (f"<article><p>{LONG}<script>never closed {LONG}", LONG),
     (f"<ARTICLE><P>{LONG}</P><p hidden>{LONG}</p><div role=navigation>{LONG}</div></ARTICLE>", LONG),
+    (f"<article><p title=don't>{LONG}</p><p>it's {LONG}</p></article>", f"{LONG}\nit's {LONG}"), (f"<article><!--><p>{LONG}</p><!-- x --!><p>{LONG}</p></article>", f"{LONG}\n{LONG}"),
+    (f"<article><p>{LONG}</p><p><a href=x>the whole of this paragraph is a link to what it is of</a></p><a href=y><div>{LONG}</div></a><p class='form-factor'>{LONG}</p><div id=\"tags-explained\">{LONG}</div></article>",
+     f"{LONG}\nthe whole of this paragraph is a link to what it is of\n{LONG}\n{LONG}\n{LONG}"),
+    ("<nav>\u30e1\u30cb\u30e5\u30fc</nav><div>" + "\u65e5\u672c\u8a9e\u306e\u6587\u7ae0" * 40 + "</div>", "\u65e5\u672c\u8a9e\u306e\u6587\u7ae0" * 40), (f'<article><p data-x="a > b" / title=\'c>d\'>{LONG}</p></article>', LONG),
+    (f"<div>{LONG} {LONG} {LONG}</div><div>{'nostop ' * 40}</div><div><a href=x>{LONG} {LONG}</a></div>", f"{LONG} {LONG} {LONG}"),
     ("<a>" * 3000 + "x" + "</div>" * 3000, ""), ("<div>" * 2000 + "<article>deep" , "deep"),
 ]
 
@@ -25,6 +30,20 @@ def test_case(html, text):
     assert H.main_text(html or "") == text
 
 
+def test_rules_decide_in_articles():
+    """Inside an article stop words, length and links still part what is text from what isn't."""
+    found, has = H.blocks(f"<article><p>{LONG}</p><ul><li><a href=a>one</a><li><a href=b>two</a></ul><div>short</div><p>{LONG}</p></article>")
+    assert has and H.first_pass(found, has) == ["good", "bad", "bad", "short", "good"]
+    found, has = H.blocks(f"<div>{'nostop ' * 40}</div><p>{LONG} {LONG} {LONG}</p>")
+    assert not has and H.first_pass(found, has) == ["bad", "good"]
+
+
+def test_very_long_page():
+    html = "<article>" + f"<p>{LONG} &amp;</p>" * 30000 + "<p x='" * 2000
+    text = H.main_text(html)
+    assert text.startswith("\n".join([f"{LONG} &"] * 30000))
+
+
 def test_pages(spark):
     """Against the article element's blocks, which are the main text of these pages."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")

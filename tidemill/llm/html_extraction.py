@@ -1,16 +1,20 @@
 """Main text of web pages by two-pass block rules.
 
-The page is cut into blocks at block-level tags. The first pass decides each
-block on where it stands (menus, headers, footers, sidebars, notices, adverts,
-forms and comment sections, by element, role or class), on link density, length
-and stop-word density; short blocks stay open. In the second pass an open block
+The page is tokenized as HTML (quotes count only where an attribute's value begins) and
+cut into blocks at block-level tags. The first pass gives every block points: for its density of
+stop words, its length and its link density, and as further evidence for where it stands
+(inside an article or main element or outside the one that the page has; in a menu, header,
+footer, sidebar, notice, advert, form or comment section by element, role or class). Blocks of 3
+points or more are good, below 0 bad, and what lies between is open. In the second pass an open block
 takes the label of its nearest decided neighbours: that of both if they agree,
-else of the nearer one, a heading that of the block it leads.
-
-A page with an article or main element has its text in there. Null html is an
-empty page, and gives an empty string. Unclosed tags and comments end with the
-page; a tag that the page's end cuts off is markup and goes. Repeated rows each
-get their row; only page id, url and html of the input are read.
+else of the nearer one, a heading that of the block it leads. Blocks that are bad for where
+they stand, not for what they are, say nothing of their neighbours in an article.
+
+A page on which hardly any word is a stop word of the languages known here is judged by
+length and links. Null html is an empty page, and gives an empty string. Unclosed comments end
+with the page; a tag that the page's end cuts off is markup and goes. Repeated rows each
+get their row; pages of any length are read whole, in time that grows with their length; an empty
+table gives an empty one. Only page id, url and html of the input are read.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from tidemill.llm import _runtime as R
 #: HTML's elements by how they lay out, and names that page furniture goes by.
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 LEAF = set("p h1 h2 h3 h4 h5 h6 hr".split())
-RAW = set("script style noscript template textarea title svg math iframe object canvas audio video select button noframes xmp head".split())
+RAW = set("script style noscript template textarea title svg iframe object canvas audio video select button noframes xmp head".split())
 FURNITURE = set("nav header footer aside form menu dialog fieldset".split())
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status note".split())
 NAMES = set(
@@ -42,21 +46,27 @@ STOP = set(
     "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se "
     "el los las y del que con no una por su para es al lo como más o pero sus".split()
 )
+#: Words that only say where or what kind of box something with one of NAMES is.
+BOXES = set("site page main top bottom left right list box area section block blocks wrapper wrap container content item items link links post bar panel header inner outer group row col column unit slot text".split())
 SHORT, LONG, LOW, HIGH, LINKS = 70, 200, 0.08, 0.18, 0.4
+GOOD, UNKNOWN = 3, 0.02
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|<[!?][^>]*(?:>|\Z)|[^<]+|<", re.S)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_COMMENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|(?=>)))?+)*+)>", re.S)
+_CUT_OFF = re.compile(r"</?[a-zA-Z]")
+_ATTR = re.compile(r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+)))?+")
 _ENDS: dict[str, re.Pattern] = {}
 
 
 class Block:
-    __slots__ = ("parts", "linked", "size", "inside", "furniture", "heading", "label", "text")
+    __slots__ = ("parts", "linked", "size", "inside", "furniture", "heading", "leaf", "text")
 
-    def __init__(self, inside: bool, furniture: bool, heading: bool) -> None:
+    def __init__(self, inside: bool, furniture: bool, tag: str) -> None:
         self.parts: list[str] = []
         self.linked = self.size = 0
-        self.inside, self.furniture, self.heading = inside, furniture, heading
-        self.label, self.text = "", ""
+        self.inside, self.furniture = inside, furniture
+        self.heading, self.leaf = tag[:1] == "h" and tag in LEAF, tag in LEAF
+        self.text = ""
 
 
 def is_furniture(tag: str, attrs: str, inside: bool) -> bool:
@@ -66,11 +76,17 @@ def is_furniture(tag: str, attrs: str, inside: bool) -> bool:
         return False
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id") and not NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)):
+        if name in ("class", "id") and any(named(x) for x in value.split()):
             return True
-        if name == "role" and value in ROLES or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+        if name == "role" and value in ROLES or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value) or name == "hidden" and value != "false":
             return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", re.sub(_ATTR, "", attrs)))
+    return False
+
+
+def named(token: str) -> bool:
+    """Whether a class or id is furniture's name, as ad-box or site-footer; form-factor is not."""
+    parts = [x for x in re.split(r"[^a-z0-9]+|(?<=[a-z])(?=\d)", token) if x]
+    return not NAMES.isdisjoint(parts) and all(x in NAMES or x in BOXES or x[0].isdigit() for x in parts)
 
 
 def blocks(html: str) -> tuple[list[Block], bool]:
@@ -79,32 +95,33 @@ def blocks(html: str) -> tuple[list[Block], bool]:
     stack: list[tuple[str, bool, bool]] = []  # name, inside an article, furniture
     inside = furniture = seen = False
     links = 0
-    now = Block(False, False, False)
+    now = Block(False, False, "")
 
-    def cut(heading: bool = False) -> None:
+    def cut(tag: str = "") -> None:
         nonlocal now
         if now.size:
             out.append(now)
-        now = Block(inside, furniture, heading)
+        now = Block(inside, furniture, tag)
 
     at, end = 0, len(html)
     while at < end:
-        m = _TOKEN.match(html, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            chunk = m[0]
-            if chunk[0] == "<" and len(chunk) > 1:
-                continue  # comment, doctype or processing instruction
+        if html[at] == "<" and (m := _COMMENT.match(html, at)):
+            at = m.end()
+            continue
+        m = _TAG.match(html, at) if html[at] == "<" else None
+        if m is None:
+            if _CUT_OFF.match(html, at):
+                break
+            stop = html.find("<", at + 1)
+            stop = end if stop < 0 else stop
+            chunk, at = html[at:stop], stop
             now.parts.append(chunk)
             n = len(chunk) - chunk.count(" ")
             if chunk.strip():
                 now.size += n
                 now.linked += n if links else 0
             continue
-        tag = tag.lower()
-        if m[4] == "" and at >= end:
-            break
+        at, tag = m.end(), m[2].lower()
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
@@ -143,7 +160,7 @@ def blocks(html: str) -> tuple[list[Block], bool]:
                 cut()
             else:
                 links = 0
-                cut(tag[0] == "h" and tag != "hr")
+                cut("" if tag == "hr" else tag)
                 if m[3] and is_furniture(tag, m[3], inside):
                     now.furniture = True
     if now.size:
@@ -156,25 +173,35 @@ def blocks(html: str) -> tuple[list[Block], bool]:
     return kept, seen
 
 
-def first_pass(b: Block, has_article: bool) -> str:
-    if b.furniture or has_article and not b.inside:
-        return "bad"
+def stop_words(text: str) -> tuple[int, int]:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP for w in words), len(words)
+
+
+def points(b: Block, stops: int, words: int, has_article: bool, known: bool) -> int:
+    """What speaks for the block less what speaks against it."""
+    long_enough = len(b.text) >= SHORT
+    density = stops / words
+    out = 0
+    if long_enough:
+        out += 3 if density >= HIGH else 2 if density >= LOW or not known else -2
+        out += len(b.text) >= LONG
     if b.linked > LINKS * b.size:
-        return "short" if b.inside and b.heading else "bad"
-    if b.inside:
-        return "good" if len(b.text) >= SHORT else "short"
-    if len(b.text) < SHORT:
-        return "short"
-    words = b.text.lower().split()
-    density = sum(w.strip(".,;:!?") in STOP for w in words) / len(words)
-    if density >= HIGH:
-        return "good"
-    return ("good" if len(b.text) >= LONG else "short") if density >= LOW else "short" if len(b.text) < LONG else "bad"
+        out -= (2 if b.leaf else 4) if b.inside else 6
+    out += 2 if b.inside else -8 if has_article else 0
+    return out - 10 * b.furniture
+
+
+def first_pass(found: list[Block], has_article: bool) -> list[str]:
+    counts = [stop_words(b.text) for b in found]
+    known = sum(s for s, _ in counts) >= UNKNOWN * sum(w for _, w in counts)
+    got = [points(b, s, w, has_article, known) for b, (s, w) in zip(found, counts)]
+    return ["good" if p >= GOOD else "bad" if p < 0 else "short" for p in got]
 
 
 def second_pass(found: list[Block], labels: list[str], has_article: bool) -> list[str]:
     """Labels of all blocks; open ones look to the nearest decided ones before and after."""
-    aside = lambda b: b.furniture or len(b.text) < SHORT  # noqa: E731  in an article these say nothing of their neighbours
+    aside = lambda b: b.furniture or len(b.text) < SHORT or b.linked > LINKS * b.size
     decided = [i for i, x in enumerate(labels) if x != "short" and not (has_article and not found[i].inside) and not (x == "bad" and found[i].inside and aside(found[i]))]
     out, before = list(labels), None
     k = 0
@@ -201,7 +228,7 @@ def second_pass(found: list[Block], labels: list[str], has_article: bool) -> lis
 
 def main_text(html: str) -> str:
     found, has_article = blocks(html)
-    labels = second_pass(found, [first_pass(b, has_article) for b in found], has_article)
+    labels = second_pass(found, first_pass(found, has_article), has_article)
     return "\n".join(b.text for b, x in zip(found, labels) if x == "good")
 
 
