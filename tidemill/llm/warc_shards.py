@@ -1,8 +1,9 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are sorted by page id. Shards are ranges of it: counts of bytes in 4,096
-equal ranges between the least and the greatest id (an exact, bounded summary)
-give the cuts, so the same rows give the same files. A shard's records go
+Records are sorted by page id and digest. Shards are ranges of that order: bytes are added up
+in BINS equal ranges of it, a range that holds much is parted again until none does, and running
+totals over the ranges give the cuts, all in tables, so the same rows give the same files
+however they come and however many shards there are. A shard's records go to one task, and there
 to gzip members in one file after another; a file is closed once it has
 `roll_bytes` compressed bytes. Each record's headers and digests are made from
 its payload. A file is written under a temporary name with the task attempt in
@@ -14,7 +15,9 @@ Of records with equal payloads of at least `min_dedup` bytes the one with the
 largest page id is the response, the others are revisits that refer to it. Null
 html is an empty payload. Rows with a null page id sort first; among equal
 payloads they count as the smallest. Of repeated rows (same id, same payload)
-one is the response. Only page id, url and html of the input are read.
+one is the response. A payload is held whole by the task that writes it, one at a time, so a very
+long one needs a few times its size there; an empty table gives no file. Only page id, url and html
+of the input are read.
 """
 
 from __future__ import annotations
@@ -27,13 +30,13 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm import _runtime as R
 
 BINS = 4096
-SHARD_BYTES, ROLL_BYTES = 16 << 20, 16 << 20
+SHARD_BYTES, SHARD_MOST, ROLL_BYTES = 16 << 20, 1 << 30, 16 << 20
 MANIFEST = "shard long, file string, records long, bytes long, sha1 string"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, digest_ok boolean, payload binary, ordinal long"
 
@@ -42,46 +45,38 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def shard_column(rows: DataFrame, shard_bytes: int) -> tuple[Column, int]:
-    """A shard number that rises with (i, k), as an expression, and their number.
-
-    `rows` has i (nullable id), k (unsigned 32-bit number from the digest) and n
-    (bytes). A range of ids that holds far too much is cut again, and a single id
-    that does is cut by k, so neither null ids nor ids in a bunch make a hot shard.
-    """
-    state = {"shard": 0, "held": 0, "jobs": 64}
-
-    def take(n: int) -> int:
-        if state["held"] and state["held"] + n > shard_bytes:
-            state["shard"], state["held"] = state["shard"] + 1, 0
-        state["held"] += n
-        return state["shard"]
-
-    def cut(part: DataFrame, name: str, lo: int, hi: int) -> Column:
-        width = max(1, -(-(hi - lo + 1) // BINS))
-        place = F.floor((F.col(name).cast("decimal(20,0)") - F.lit(lo)) / F.lit(width)).cast("int")
-        sums = {b: (int(n), x, y) for b, n, x, y in part.groupBy(place.alias("b")).agg(F.sum("n"), F.min(name), F.max(name)).collect()}  # BINS rows at most
-        of, deeper = [], []
-        for b in range(min(BINS, (hi - lo) // width + 1)):
-            n, x, y = sums.get(b, (0, None, None))
-            if n > 4 * shard_bytes and state["jobs"] and (x < y or name == "i"):
-                state["jobs"] -= 1
-                inner = part.where(place == b)
-                deeper.append((b, cut(inner, "i", x, y) if x < y and name == "i" else cut(inner, "k", 0, 0xFFFFFFFF) if name == "i" else cut(inner, "k", x, y)))
-                of.append(0)
-            else:
-                of.append(take(n))
-        out = F.element_at(F.array(*map(F.lit, of)), place + 1)
-        for b, c in deeper:
-            out = F.when(place == b, c).otherwise(out)
-        return out
-
-    nulls, lo, hi = rows.agg(F.sum(F.when(F.col("i").isNull(), F.col("n"))), F.min("i"), F.max("i")).first()
-    none = F.lit(0)
-    if nulls is not None:
-        none = cut(rows.where("i is null"), "k", 0, 0xFFFFFFFF)
-    some = cut(rows.where("i is not null"), "i", lo, hi) if lo is not None else F.lit(0)
-    return F.when(F.col("i").isNull(), none).otherwise(some).cast("long"), state["shard"] + 1
+def placed(rows: DataFrame) -> DataFrame:
+    """`rows` with `key`, a number in the order of (i, k), null ids first, and `path`, the range it is in."""
+    key = F.expr("cast(coalesce(cast(i as decimal(20,0)) + 9223372036854775809BD, 0BD) * 4294967296BD + k as decimal(38,0))")
+    return rows.withColumns({"key": key, "path": F.lit("")})
+
+
+def parted(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Rows of the ranges in `heavy` (path, lo, hi) go to the BINS ranges that each is cut into."""
+    wide = heavy.select("path", "lo", F.expr(f"cast(floor((hi - lo) / {BINS}BD) + 1 as decimal(38,0))").alias("width"))
+    step = F.expr("lpad(cast((key - lo) div width as string), 5, '0')")
+    return rows.join(wide, "path", "left").withColumn("path", F.when(F.col("lo").isNull(), F.col("path")).otherwise(F.concat("path", step))).drop("lo", "width")
+
+
+def ranges(rows: DataFrame, shard_bytes: int) -> tuple[list[DataFrame], DataFrame]:
+    """What to cut, step by step, and the shard of each range at the end (path, shard).
+
+    No range holds more than a quarter of a shard, unless it is one key (copies of one payload under one id)."""
+    cuts, state = [], placed(rows)
+    while True:
+        held = R.written(state.groupBy("path").agg(F.sum("n").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")), "warc-ranges")
+        heavy = held.where((F.col("n") > shard_bytes // 4) & (F.col("hi") > F.col("lo")))
+        if heavy.isEmpty():
+            break
+        cuts.append(heavy)
+        state = parted(state, heavy)
+    # running totals over the first cut's ranges (BINS at most), then inside each of them
+    top = held.withColumn("top", F.substring("path", 1, 5))
+    tops = top.groupBy("top").agg(F.sum("n").alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = tops.select("top", before(Window.orderBy("top")).alias("base"))
+    inner = top.withColumn("inner", before(Window.partitionBy("top").orderBy("path")))
+    return cuts, R.written(inner.join(bases, "top").select("path", F.expr(f"(base + inner) div {shard_bytes}").alias("shard")), "warc-shards")
 
 
 def http(payload: bytes) -> bytes:
@@ -153,14 +148,17 @@ def write_archives(pages: DataFrame, base: str | None = None, min_dedup: int = 0
     digest = F.unhex(F.sha1("p"))
     k = F.conv(F.hex(F.substring("d", 1, 4)), 16, 10).cast("long")
     small = R.written(rows.select("i", digest.alias("d"), F.length("p").cast("long").alias("n")).withColumn("k", k), "warc-digests")
-    shard_bytes = max(shard_bytes, (small.agg(F.sum("n")).first()[0] or 0) // BINS)
-    shard, n_shards = shard_column(small, shard_bytes)
+    total = small.agg(F.sum("n")).first()[0] or 0
+    shard_bytes = max(shard_bytes, min(SHARD_MOST, total // BINS))
+    cuts, shards = ranges(small, shard_bytes)
     groups = small.where(F.col("n") >= min_dedup).groupBy("d").agg(F.max("i").alias("keep"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     members = small.groupBy("i", "d", "k").agg(F.lit(1).alias("one")).join(groups, "d")
     verdicts = members.select("i", "d", "k", F.lit(0).alias("kind"), F.col("keep"), F.lit("").alias("url"), F.lit(None).cast("binary").alias("p"))
     payloads = rows.withColumn("d", digest).withColumn("k", k).select("i", "d", "k", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("keep"), "url", "p")
-    n_parts = max(min(3 * n_shards, 1 << 15), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    both = verdicts.unionByName(payloads).withColumn("shard", shard).repartition(n_parts, "shard").sortWithinPartitions(F.col("shard"), F.asc_nulls_first("i"), "k", "d", "kind", "url")
+    both = placed(verdicts.unionByName(payloads))
+    for heavy in cuts:
+        both = parted(both, heavy)
+    both = both.join(shards, "path").drop("path", "key").repartitionById(total // shard_bytes + 1, F.col("shard").cast("int")).sortWithinPartitions(F.col("shard"), F.asc_nulls_first("i"), "k", "d", "kind", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempt = TaskContext.get().taskAttemptId()
