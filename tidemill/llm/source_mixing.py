@@ -21,7 +21,10 @@ own. Empty tables give empty results. Columns of the input other than id, text
 and source are not read.
 
 A hot source holds no task up: documents are dealt by (source, chunk of the id)
-and only the chunks' sums are added up in order of the source.
+and only the chunks' sums are added up in order of the source; shards are added up in groups of
+GROUP, and then the groups. What is a row a source (targets, quotas, passes) is ordered in one
+task and broadcast only if its files are small, else joined with salt. Very long texts are one document whose words span many blocks.
+Ids that aren't integers are placed by their hash.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ from tidemill.llm import _runtime as R
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK, SLOTS, CHUNKS, SEED = 256, 512, 1024, 17
+GROUP, BINS, SMALL = 4096, 4096, 32 << 20
 _PRIME = 2147483647
 
 
@@ -69,7 +73,9 @@ def source_targets(sizes: DataFrame, ratio: float, most: float, weights: tuple[f
 
 def placed_documents(sizes: DataFrame) -> DataFrame:
     """Documents with their first word's place in their source's words."""
-    chunk = F.coalesce(F.pmod(F.pmod(F.col("doc_id").cast("long"), F.lit(1000003)) * 7919, F.lit(CHUNKS)), F.lit(0))
+    integral = dict(sizes.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint")
+    number = F.col("doc_id").cast("long") if integral else F.xxhash64("doc_id")
+    chunk = F.coalesce(F.pmod(F.pmod(number, F.lit(1000003)) * 7919, F.lit(CHUNKS)), F.lit(0))
     parts = sizes.withColumn("chunk", chunk)
     sums = parts.groupBy("source", "chunk").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -86,6 +92,33 @@ def drawn(*parts: Column | int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), F.lit(_PRIME))
 
 
+def with_small(left: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """`left` joined with a table of a few rows a source: broadcast if its files are small, else each key's rows of `left` are dealt to 16 tasks."""
+    small = R.written(small, "mix-small")
+    if R.input_bytes(small) <= SMALL:
+        return left.join(F.broadcast(small), on, how)
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(16)))
+    return salted.join(small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long")))), [*on, "_salt"], how).drop("_salt")
+
+
+def in_ranges(left: DataFrame, value: str, ranges: DataFrame, width: float) -> DataFrame:
+    """`left` with the row of `ranges` whose [lo, hi) its value is in: both go to bins of `width`, so only a bin's ranges are compared."""
+    bin_of = lambda c: F.floor(c / F.lit(width)).cast("long")
+    cut = ranges.withColumn("bin", F.explode(F.sequence(bin_of(F.col("lo")), bin_of(F.col("hi")))))
+    met = with_small(left.withColumn("bin", bin_of(F.col(value))), cut, ["bin"])
+    return met.where((F.col(value) >= F.col("lo")) & (F.col(value) < F.col("hi"))).drop("bin", "lo", "hi")
+
+
+def running(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """`counts` (keys, shard, c) with `base`, the sum of c over the shards before: by groups of shards first, so no task has all shards."""
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    grouped = counts.withColumn("group", F.floor(F.col("shard") / GROUP))
+    sums = grouped.groupBy(*keys, "group").agg(F.sum("c").alias("n"))
+    starts = sums.select(*keys, "group", before((Window.partitionBy(*keys) if keys else Window).orderBy("group"), "n").alias("start"))
+    inner = grouped.withColumn("inner", before(Window.partitionBy(*keys, "group").orderBy("shard"), "c"))
+    return inner.join(starts, [*keys, "group"]).withColumn("base", F.col("start") + F.col("inner")).drop("group", "start", "inner")
+
+
 def slot_plan(targets: DataFrame, block: int, slots: int) -> DataFrame:
     """shard, slot, rank, k, block_index, pass, words: which block of which source each output slot takes."""
     spark = targets.sparkSession
@@ -102,47 +135,42 @@ def slot_plan(targets: DataFrame, block: int, slots: int) -> DataFrame:
     shards = -(-n // slots)
     grid = spark.range(0, n, 1, max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, shards))).select(F.floor(F.col("id") / slots).alias("shard"), (F.col("id") % slots).alias("slot"))
     grid = grid.withColumn("u", (drawn("shard", F.col("shard"), "slot", F.col("slot")) / F.lit(float(_PRIME)) * F.lit(total)))
-    # the sources' shares as a sorted array: a row a source
-    edges = shares.agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "rank"))).alias("edges"))
-    pick = F.element_at(F.filter("edges", lambda e: (F.col("u") >= e["lo"]) & (F.col("u") < e["hi"])), 1)["rank"]
-    draws = R.written(grid.crossJoin(F.broadcast(edges)).select("shard", "slot", pick.alias("rank")), "mix-draws")
+    draws = R.written(in_ranges(grid, "u", shares.select("rank", "lo", "hi"), max(1.0, total / BINS)).select("shard", "slot", "rank"), "mix-draws")
     # number a source's slots over the shards: the counts of a shard, added up
     counts = draws.groupBy("rank", "shard").agg(F.count(F.lit(1)).alias("c"))
-    before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.withColumn("base", F.coalesce(F.sum("c").over(before), F.lit(0)))
-    numbered = draws.withColumn("j", F.row_number().over(Window.partitionBy("rank", "shard").orderBy("slot")) - 1).join(bases, ["rank", "shard"]).withColumn("k", F.col("base") + F.col("j"))
+    numbered = draws.withColumn("j", F.row_number().over(Window.partitionBy("rank", "shard").orderBy("slot")) - 1).join(running(counts, ["rank"]), ["rank", "shard"]).withColumn("k", F.col("base") + F.col("j"))
     quotas = t.select("rank", "quota")
-    judged = numbered.join(F.broadcast(quotas), "rank")
+    judged = R.written(with_small(numbered, quotas, ["rank"]).select("shard", "slot", "rank", "k", "quota"), "mix-numbered")
     kept = judged.where("k < quota").select("shard", "slot", "rank", "k")
     # slots beyond their source's quota are filled by the sources that drew too few
     spare = judged.where("k >= quota").select("shard", "slot")
-    got = counts.groupBy("rank").agg(F.sum("c").alias("got"))
+    got = judged.groupBy("rank").agg(F.count(F.lit(1)).alias("got"))
     short = quotas.join(got, "rank", "left").select("rank", F.coalesce("got", F.lit(0)).alias("got"), "quota").where("got < quota")
-    runs = short.withColumn("to", F.sum(F.col("quota") - F.col("got")).over(cum)).withColumn("from", F.col("to") - (F.col("quota") - F.col("got")))
+    runs = short.withColumn("hi", F.sum(F.col("quota") - F.col("got")).over(cum)).withColumn("lo", F.col("hi") - (F.col("quota") - F.col("got"))).withColumn("from", F.col("lo"))
     per_shard = spare.groupBy("shard").agg(F.count(F.lit(1)).alias("c"))
-    spare_base = per_shard.select("shard", F.coalesce(F.sum("c").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    opened = spare.withColumn("j", F.row_number().over(Window.partitionBy("shard").orderBy("slot")) - 1).join(spare_base, "shard").withColumn("o", F.col("base") + F.col("j"))
-    filled = opened.join(F.broadcast(runs), (F.col("o") >= F.col("from")) & (F.col("o") < F.col("to"))).select("shard", "slot", "rank", (F.col("got") + F.col("o") - F.col("from")).alias("k"))
-    slotted = kept.unionByName(filled).join(F.broadcast(t), "rank")
-    return slotted.withColumns({"pass": F.floor(F.col("k") / F.col("blocks")), "pos": F.col("k") % F.col("blocks")}).transform(lambda d: permuted(d, block))
+    opened = spare.withColumn("j", F.row_number().over(Window.partitionBy("shard").orderBy("slot")) - 1).join(running(per_shard, []), "shard").withColumn("o", F.col("base") + F.col("j"))
+    filled = in_ranges(opened, "o", runs.select("rank", "got", "from", "lo", "hi"), max(1.0, n / BINS)).select("shard", "slot", "rank", (F.col("got") + F.col("o") - F.col("from")).alias("k"))
+    slotted = with_small(kept.unionByName(filled), t, ["rank"])
+    return slotted.withColumns({"pass": F.floor(F.col("k") / F.col("blocks")), "pos": F.col("k") % F.col("blocks")}).transform(lambda d: permuted(d, t, block))
 
 
-def permuted(slots: DataFrame, block: int) -> DataFrame:
+def permuted(slots: DataFrame, sources: DataFrame, block: int) -> DataFrame:
     """The block behind each position: position * step + shift mod blocks, with a step that has no divisor with it.
 
-    For a step prime to `blocks` the steps tried are a seeded start and the next ones; of 40 in a row, one is."""
+    The steps tried are a seeded start and the 39 next ones; of so many in a row one has no divisor with `blocks` unless that
+    has ten prime factors or more, and then the step is 1, a rotation."""
     n = F.col("blocks")
     start = drawn("step", F.col("rank"), F.col("pass")) % n
     step_of = F.filter(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: (start + i) % n), lambda s: greatest_divisor(s, n) == 1)
-    passes = slots.select("rank", "pass", "blocks").distinct()
+    passes = sources.select("rank", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("quota") - 1) / F.col("blocks")))).alias("pass"))
     steps = passes.select("rank", "pass", F.coalesce(F.try_element_at(step_of, F.lit(1)), F.lit(1)).cast("long").alias("step"), (drawn("shift", F.col("rank"), F.col("pass")) % n).alias("shift"))
-    at = slots.join(F.broadcast(steps), ["rank", "pass"])
+    at = with_small(slots, steps, ["rank", "pass"])
     wide = lambda c: c.cast("decimal(19,0)")
     index = F.when(n > 1, ((wide(F.col("pos")) * wide(F.col("step")) + F.col("shift")) % wide(n)).cast("long")).otherwise(F.lit(0).cast("long"))
     at = at.withColumn("block_index", index)
     # where the last, short block stands in this pass: what came before it tells the words taken so far
     short_at = at.where("block_index = blocks - 1").select("rank", "pass", F.col("pos").alias("short_pos"))
-    at = at.join(F.broadcast(short_at), ["rank", "pass"], "left")
+    at = with_small(at, short_at, ["rank", "pass"], "left")
     length = F.when(F.col("block_index") == n - 1, F.col("last_len")).otherwise(F.lit(block))
     so_far = F.col("pos") * block - F.when(F.col("short_pos") < F.col("pos"), F.lit(block) - F.col("last_len")).otherwise(0)
     words = F.when(F.col("pass") < F.col("full"), length).otherwise(F.greatest(F.lit(0), F.least(length, F.col("rest") - so_far)))
