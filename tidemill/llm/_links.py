@@ -310,6 +310,7 @@ def links(pairs: DataFrame, stars: DataFrame, groups: DataFrame, sketches: DataF
 
     def judged(both: DataFrame) -> DataFrame:
         """a, b, star, na, nb, linked, far (a lower bound of the distance where not linked) of pairs a, b, star."""
+        sets = None
         rough = R.written(bounded(both.select("a", "b").distinct(), sketches).withColumns({"linked": linked, "far": far}), "bounds")
         near = rough.where("linked").select("a", "b")
         if near.isEmpty():
@@ -317,7 +318,9 @@ def links(pairs: DataFrame, stars: DataFrame, groups: DataFrame, sketches: DataF
         else:
             sets = R.written(sets_for(near.select(F.col("a").alias("fp")).union(near.select(F.col("b").alias("fp"))).distinct()), "candidate-sets")
             exact = verified(near, sets).withColumns({"linked": linked, "far": far}).select("a", "b", "na", "nb", "inter", "linked", "far").unionByName(rough.where("not linked"))
-        return R.written(both.join(exact, ["a", "b"]), "judged")
+        out = R.written(both.join(exact, ["a", "b"]), "judged")
+        R.drop(rough, sets, both)
+        return out
 
     groups = R.written(groups, "groups")
     todo = pairs.withColumn("star", F.lit(False)).unionByName(stars.withColumn("star", F.lit(True)))
@@ -397,11 +400,13 @@ def contracted(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root of every node with an edge, by large-star and small-star turns; the root is the least node."""
-    state, now = None, contracted(edges).distinct()
+    state, last, now = None, None, contracted(edges).distinct()
     while True:
         seen = Observation()
         now = R.written(now.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
         mark = seen.get
+        R.drop(last)
+        last = now
         if mark == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         state = mark

@@ -56,13 +56,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, and one of our
-    own only where it is unset (tests on one machine)."""
+    """The folder that all machines share: spark.checkpoint.dir. One of our own only on a local master
+    where it is unset (tests on one machine); on a cluster that is an error."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
         base = sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemill-")
         sc.setCheckpointDir(base)
     elif "://" not in base and not base.startswith("file:"):
@@ -71,7 +73,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tidemill/{label}-{uuid.uuid4().hex}"
+    """A new folder among this application's, which go when it ends."""
+    own = f"{shared_dir(spark)}/tidemill-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -79,7 +85,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     at = fresh_dir(spark, label)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._tidemill_at = at
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes what `written` has given, once nothing reads it any more."""
+    for df in tables:
+        if df is not None and hasattr(df, "_tidemill_at"):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._tidemill_at)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -10,8 +10,9 @@ marked share of the item is its coverage, whatever order its parts stand in. A d
 is contaminated by the items of which it covers the threshold or more.
 
 The benchmark's seeds are sent to all tasks if there are at most SEEDS of them,
-which is counted first; a larger benchmark is taken in blocks of that size, one after
-the other. Documents are never shuffled or compared with each other.
+which is counted first; a larger benchmark is taken in blocks of that size, each sent, used
+and written before the next. Documents are never compared with each other. Very long texts are
+checked whole; an empty table gives an empty one, an empty benchmark finds nothing.
 
 Items of fewer than SEED words say too little and match nothing, as do null and empty
 ones. Repeated items count as their least id. Null and empty texts are clean. Of items with
@@ -32,7 +33,7 @@ from tidemill.llm import _kernel as K
 from tidemill.llm import _runtime as R
 
 SEED, THRESHOLD, SEEDS = 5, 0.5, 2_000_000
-ADDED = ("contaminated", "item_id", "coverage", "n_tiles", "items", "_matches", "_ranked")
+ADDED = ("contaminated", "item_id", "coverage", "n_tiles", "items", "_matches", "_ranked", "_digest")
 _BASE, _MOD = 1_000_003, (1 << 61) - 1
 
 
@@ -128,23 +129,25 @@ class Items:
         return sorted(out, key=lambda x: (-x[1], x[0]))
 
 
-def item_blocks(benchmark: DataFrame, most: int) -> Iterator[Items]:
-    """The benchmark's items in blocks of about `most` words."""
+def items_of(benchmark: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    rows = benchmark.where(F.col("item_id").isNotNull() & text.isNotNull()).groupBy(text.alias("text")).agg(F.min("item_id").cast("long").alias("item_id"))
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-int(total) // (most * 4))
-    for k in range(max(1, blocks)):
-        part = rows.where(F.pmod(F.xxhash64("text"), F.lit(max(1, blocks))) == k)
-        ids, words = [], []
-        for r in sorted(part.toLocalIterator(), key=lambda r: r.item_id):
-            w = next(K.doc_words(pa.array([r.text]), K.PUNCTUATED))
-            if len(w) >= SEED:
-                ids.append(r.item_id)
-                words.append(w)
-        yield Items(ids, words)
+    return benchmark.where(F.col("item_id").isNotNull() & text.isNotNull()).groupBy(text.alias("text")).agg(F.min("item_id").cast("long").alias("item_id"))
 
 
+def block_count(benchmark: DataFrame, most: int) -> int:
+    """How many blocks of about `most` seeds the benchmark has; a seed begins at a word."""
+    words = F.size(F.split("text", "[\\x09-\\x0D\\x20-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7E]+"))
+    return max(1, -(-int(items_of(benchmark).agg(F.sum(words)).first()[0] or 0) // most))
+
+
+def item_block(benchmark: DataFrame, k: int, n: int) -> Items:
+    ids, words = [], []
+    for r in sorted(items_of(benchmark).where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).toLocalIterator(), key=lambda r: r.item_id):
+        w = next(K.doc_words(pa.array([r.text]), K.PUNCTUATED))
+        if len(w) >= SEED:
+            ids.append(r.item_id)
+            words.append(w)
+    return Items(ids, words)
 
 
 def checked(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, most: int = SEEDS) -> DataFrame:
@@ -153,24 +156,38 @@ def checked(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     docs = docs.drop(*ADDED)
     R.ship(spark)
     out = docs.withColumn("text", F.col("text").cast("string"))
-    place, first = docs.columns.index("text"), True
-    for block in item_blocks(benchmark, most):
-        held = spark.sparkContext.broadcast(block)
-        names = out.columns
+    place, names, n = docs.columns.index("text"), docs.columns, block_count(benchmark, most)
+    kind = "array<struct<item_id: long, coverage: double, n_tiles: long>>"
+
+    def matches(held, column: pa.Array) -> pa.Array:
+        return pa.array([[{"item_id": i, "coverage": c, "n_tiles": k} for i, c, k in held.value.coverage(words, threshold)] for words in K.doc_words(column, K.PUNCTUATED)], _MATCHES)
+
+    if n == 1:
+        held = spark.sparkContext.broadcast(item_block(benchmark, 0, 1))
 
-        def run(batches: Iterator[pa.RecordBatch], held=held, names=names, first=first) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for b in R.pieces(batch, "text"):
-                    before = [[]] * b.num_rows if first else b.column(b.num_columns - 1).to_pylist()
-                    now = []
-                    for old, words in zip(before, K.doc_words(b.column(place), K.PUNCTUATED)):
-                        got = [{"item_id": i, "coverage": c, "n_tiles": n} for i, c, n in held.value.coverage(words, threshold)]
-                        now.append((old or []) + got)
-                    cols = b.columns if first else b.columns[:-1]
-                    yield pa.record_batch([*cols, pa.array(now, _MATCHES)], names=[*(names if first else names[:-1]), "_matches"])
-
-        schema = T.StructType([*(f for f in out.schema.fields if f.name != "_matches"), T.StructField("_matches", T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("n_tiles", T.LongType())])))])
-        out, first = out.mapInArrow(run, schema), False
+                    yield pa.record_batch([*b.columns, matches(held, b.column(place))], names=[*names, "_matches"])
+
+        out = out.mapInArrow(run, T.StructType([*out.schema.fields, T.StructField("_matches", T._parse_datatype_string(kind))]))
+    else:  # a block's items are sent, used and let go before the next one's; what is found goes by the text's digest
+        texts, tables = out.where("text is not null").select(F.sha2("text", 256).alias("_digest"), "text"), []
+        for k in range(n):
+            held = spark.sparkContext.broadcast(item_block(benchmark, k, n))
+
+            def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for b in R.pieces(batch, "text"):
+                        yield pa.record_batch([b.column(0), matches(held, b.column(1))], names=["_digest", "_matches"])
+
+            tables.append(R.written(texts.mapInArrow(run, f"_digest string, _matches {kind}").where("size(_matches) > 0"), "matches"))
+            held.destroy()
+        found = tables[0]
+        for t in tables[1:]:
+            found = found.unionByName(t)
+        found = found.select("_digest", F.explode("_matches").alias("_m")).distinct().groupBy("_digest").agg(F.collect_list("_m").alias("_matches"))
+        out = out.withColumn("_digest", F.sha2("text", 256)).join(found, "_digest", "left").select(*names, F.coalesce("_matches", F.array().cast(kind)).alias("_matches"))
     ranked = F.array_sort("_matches", lambda x, y: F.when(x["coverage"] != y["coverage"], F.when(x["coverage"] > y["coverage"], -1).otherwise(1)).otherwise(F.when(x["item_id"] < y["item_id"], -1).when(x["item_id"] > y["item_id"], 1).otherwise(0)))
     best = F.try_element_at("_ranked", F.lit(1))
     out = out.withColumn("_ranked", ranked)

@@ -15,7 +15,7 @@ Copies (equal sets) are one class from the start and are joined once. A set of o
 two shingles is linked to its copies only. Texts without words, empty ones and nulls
 are linked with nothing. Sets and shingles are 64-bit hashes. Rows with a null id are
 documents; their component has the least id that isn't null. Repeated rows each get
-their row. Other columns are not read.
+their row. Very long texts are one set like others; an empty table gives an empty one. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -141,7 +141,9 @@ def levels_from(counts: np.ndarray) -> np.ndarray:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN, flush: int = L.FLUSH) -> DataFrame:
-    """id_col, n_shingles, component_id of every row."""
+    """id_col, n_shingles, component_id of every row. Linked are sets with den * intersection >= num * union; num / den is 0.75 or more."""
+    if 4 * num < 3 * den:
+        raise ValueError("the bands of sizes and what sets of one or two shingles match hold from 0.75 up")
     spark = docs.sparkSession
     R.ship(spark)
     kind = dict(docs.dtypes)[id_col]
@@ -196,15 +198,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one with the least id, once."""
-    found = classes(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("n_shingles").alias("n"))
+    """One document of each component stays, once: that with the least id; texts without words stay.
+
+    Rows of the kept id with different texts stay apart: of rows that share id and text one stays."""
+    safe, back = R.apart(docs, ("_kept_id", "_kept_rows"))
+    found = classes(safe)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count(F.lit(1)).alias("_kept_rows"))
     kept = R.written(kept, "kept")
-    out = docs.join(kept.select(F.col("doc_id").alias("_kept_id"), F.col("rows").alias("_kept_rows")), F.col("doc_id").eqNullSafe(F.col("_kept_id")))
-    cols = docs.columns
-    if kept.where("rows > 1").isEmpty():
-        return out.select(cols)
-    return out.where("_kept_rows = 1").select(cols).unionByName(out.where("_kept_rows > 1").select(cols).dropDuplicates(["doc_id", "text"]))
+    out = safe.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")))
+    one = lambda d: back(d.drop("_kept_id", "_kept_rows"))
+    if kept.where("_kept_rows > 1").isEmpty():
+        return one(out)
+    return one(out.where("_kept_rows = 1")).unionByName(one(out.where("_kept_rows > 1").dropDuplicates(["doc_id", "text"])))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_ngram_jaccard": query}

@@ -207,8 +207,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document, as the mix takes it."""
-    return mixed(docs)[0].drop("source")
+    """The mixed corpus: every document with size, source_size, target and the words that the mix takes of it, in place of columns of these names."""
+    docs = docs.drop("size", "source_size", "target", "taken", "_n")
+    mix = mixed(docs)[0]
+    keys = ["doc_id", "source", "size"]
+    own = docs.withColumn("size", word_count(F.col("text").cast("string"))).withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*docs.columns))))
+    got = mix.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("taken")))).select(*(F.col(c).alias(f"_m_{c}") for c in keys), F.col("_n").alias("_m_n"), "source_size", "target", "taken")
+    same = [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in ("doc_id", "source")] + [F.col(c) == F.col(f"_m{'' if c == '_n' else '_'}{c}") for c in ("size", "_n")]
+    met = own.join(got, same[0] & same[1] & same[2] & same[3])
+    return met.select(*docs.columns, "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_source_mixing": query}
