@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("relational", "scalar", "temporal", "vector", "streams", "extension")
+AREAS = ("relational", "joins", "aggregates", "scalar", "functions", "temporal", "vector", "streams", "extension")
 
 
 def load_all() -> None:
