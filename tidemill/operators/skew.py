@@ -1,26 +1,28 @@
-"""Joins and aggregates whose hot keys are split over several tasks."""
+"""Joins whose hot keys are split over several tasks."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16, how: str = "inner") -> DataFrame:
-    """`left` joined with `right` on `key`; each of left's keys is spread over `salts` tasks, right's rows are repeated for them.
+def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> DataFrame:
+    """Keys that hold more than `share` of the rows: 1 / share of them at most."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col(key).isNotNull())
+    return counts.where(F.col("_n") > share * df.count()).select(key)
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16, how: str = "inner", share: float = 0.01) -> DataFrame:
+    """`left` joined with `right` on `key`; the rows of left's hot keys are dealt evenly to `salts` tasks, and only those keys' rows of `right` are repeated.
 
     For keys that repeat in `left` and are few in `right`, where adaptive skew handling doesn't apply
     (an aggregate or window follows on the same key). Inner and left joins only.
     """
     if how not in ("inner", "left"):
         raise ValueError("salting repeats the right side: only inner and left joins keep their meaning")
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
-    repeated = right.withColumn("_salt", F.explode(F.array(*(F.lit(k).cast("long") for k in range(salts)))))
+    hot = hot_keys(left, key, share).withColumn("_hot", F.lit(True))
+    pick = F.when(F.col("_hot"), F.floor(F.rand(7) * salts).cast("int")).otherwise(F.lit(0))  # equal rows part too; any deal gives the same join
+    salted = left.join(F.broadcast(hot), key, "left").withColumn("_salt", pick).drop("_hot")
+    each = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    repeated = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(each)).drop("_hot")
     return salted.join(repeated, [key, "_salt"], how).drop("_salt")
-
-
-def two_step(df: DataFrame, keys: list[str], partial: dict[str, Column], final: dict[str, Column], salts: int = 16) -> DataFrame:
-    """Group by keys in two shuffles: `partial` by key and salt, then `final` over the partial results."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-    first = salted.groupBy(*keys, "_salt").agg(*(c.alias(n) for n, c in partial.items()))
-    return first.groupBy(*keys).agg(*(c.alias(n) for n, c in final.items()))

@@ -10,7 +10,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     """Each row of `left` with `values` of the last row of `right` of the same key that isn't later; null if none.
 
     One shuffle by key: both sides in one table, and a window that carries the last right row along.
-    Of right rows at the same time the one with the largest values counts.
+    Of right rows at the same time the one with the largest values counts. A key's rows are in order in one task.
     """
     taken = F.struct(*(F.col(v) for v in values))
     r = right.select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), taken.alias("_v"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_row"))
@@ -35,8 +35,10 @@ def interval_join(left: DataFrame, right: DataFrame, by: list[str], left_time: s
 
 
 def sessions(events: DataFrame, by: list[str], time: str, gap_seconds: int) -> DataFrame:
-    """`events` with `session`, a number that rises where `gap_seconds` or more have passed."""
-    w = Window.partitionBy(*by).orderBy(time)
+    """`events` with `session`, a number that rises where `gap_seconds` or more have passed. Events at one time are in one session.
+
+    A key's events are in order in one task: keys are meant to be users or devices, not what holds a third of all rows."""
+    w = Window.partitionBy(*by).orderBy(time, *(c for c in events.columns if c not in (*by, time)))
     seconds = F.unix_micros(F.col(time).cast("timestamp")) / 1e6
     new = F.coalesce((seconds - F.lag(seconds).over(w) >= gap_seconds).cast("long"), F.lit(0))
     return events.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")

@@ -1,39 +1,127 @@
-"""User-defined functions over Arrow batches."""
+"""User-defined functions, aggregates, table functions and sources; file formats."""
 
-import tempfile
+from __future__ import annotations
+
+import unicodedata
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.plans.registry import query, table
-from tidemill.sources import formats
+from tidemill.sources import calendar, formats
+from tidemill.streaming.events import shared
+
+cloudpickle.register_pickle_by_value(calendar)  # executors needn't have this package
 
 
-@query("pandas_udf", "SELECT p_partkey, round(p_retailprice * 1.19 + p_size, 4) AS gross FROM part")
+@query("pandas_udf", "SELECT doc_id, md5(strip_accents(text)) AS plain FROM documents")
 def pandas_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def gross(price: pd.Series, size: pd.Series) -> pd.Series:
-        return price * 1.19 + size
+    """Letters without their accents: what Spark has no function for."""
+
+    def bare(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn"))
 
-    f = F.pandas_udf(gross, "double")
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(f("p_retailprice", "p_size"), 4).alias("gross"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.pandas_udf(bare, "string")("text")).alias("plain"))
 
 
-@query("grouped_map", "SELECT c_mktsegment, count(*) AS n, round(max(c_acctbal) - min(c_acctbal), 4) AS span FROM customer GROUP BY c_mktsegment")
+@query(
+    "grouped_map",
+    """WITH n AS (SELECT o_custkey, o_totalprice AS x, row_number() OVER w AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
+    SELECT o_custkey, round(sum(CASE WHEN i = 1 THEN x * pow(0.7, n - 1) ELSE 0.3 * x * pow(0.7, n - i) END), 2) AS smoothed FROM n GROUP BY o_custkey""",
+)
 def grouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def summary(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"c_mktsegment": rows.c_mktsegment[:1], "n": [len(rows)], "span": [round(rows.c_acctbal.max() - rows.c_acctbal.min(), 4)]})
+    """Exponential smoothing of each customer's orders: every value depends on the one before. A group is one customer."""
+
+    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows.sort_values(["o_orderdate", "o_orderkey"])["o_totalprice"].to_numpy()
+        s = x[0]
+        for v in x[1:]:
+            s = 0.3 * v + 0.7 * s
+        return pd.DataFrame({"o_custkey": rows.o_custkey.iloc[:1], "smoothed": [s]})
+
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
+    return o.groupBy("o_custkey").applyInPandas(smooth, "o_custkey long, smoothed double").withColumn("smoothed", F.round("smoothed", 2))
+
+
+@query("grouped_aggregate", "SELECT o_custkey, round(exp(avg(ln(o_totalprice))), 2) AS geometric FROM orders GROUP BY o_custkey")
+def grouped_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def geometric(x: pd.Series) -> float:
+        return float(np.exp(np.log(x).mean()))
+
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.round(F.pandas_udf(geometric, "double")("o_totalprice"), 2).alias("geometric"))
+
+
+@query(
+    "cogrouped",
+    """SELECT p.event_id, e.event_id AS click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') e ON p.user_id = e.user_id AND p.ts >= e.ts""",
+)
+def cogrouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last click before each purchase; a group is one user's day, and the day before it carries the last click over."""
+
+    def latest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a):
+            return pd.DataFrame({"event_id": [], "click_id": []}, dtype="Int64")
+        b = b.rename(columns={"event_id": "click_id"})[["ts", "click_id"]].sort_values("ts")
+        met = pd.merge_asof(a.sort_values("ts")[["ts", "event_id"]], b, on="ts")
+        return pd.DataFrame({"event_id": met["event_id"].astype("Int64"), "click_id": met["click_id"].astype("Int64")})
 
-    return table(spark, sf_dir, "customer").groupBy("c_mktsegment").applyInPandas(summary, "c_mktsegment string, n long, span double")
+    e = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", "event_type")
+    clicks = e.where("event_type = 'click'").select(*(F.col(c).alias(c) for c in e.columns))
+    days = e.where("event_type = 'purchase'").select("user_id", "day").distinct()
+    last = clicks.groupBy("user_id", "day").agg(F.max(F.struct("ts", "event_id")).alias("m"))
+    carried = days.join(last.withColumnRenamed("day", "d"), "user_id").where("d < day").groupBy("user_id", "day").agg(F.max("m").alias("m")).select("user_id", "day", "m.ts", "m.event_id")
+    known = clicks.select("user_id", "day", "ts", "event_id").unionByName(carried).select(F.col("user_id").alias("u"), F.col("day").alias("d"), F.col("ts").alias("ts"), F.col("event_id").alias("event_id"))
+    bought = e.where("event_type = 'purchase'").select("user_id", "day", "ts", "event_id")
+    return bought.groupBy("user_id", "day").cogroup(known.groupBy("u", "d")).applyInPandas(latest, "event_id long, click_id long")
+
+
+@query("table_function", "SELECT event_id, CAST(i AS BIGINT) AS digit_at, substr(CAST(event_id AS VARCHAR), CAST(i AS INTEGER), 1) AS digit FROM events, generate_series(1, 9) t(i) WHERE i <= length(CAST(event_id AS VARCHAR))")
+def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table function beside each row, as a lateral join."""
+
+    @F.udtf(returnType="digit_at: bigint, digit: string")
+    class Digits:
+        def eval(self, number: int) -> Iterator[tuple]:
+            yield from enumerate(str(number), 1)
+
+    e = table(spark, sf_dir, "events").select("event_id")
+    return e.lateralJoin(Digits(F.col("event_id").outer())).select("event_id", "digit_at", "digit")
+
+
+@query("python_source", "SELECT CAST(d AS DATE) AS day, CAST(weekofyear(d) AS INTEGER) AS week, isodow(d) > 5 AS weekend FROM generate_series(TIMESTAMP '2023-01-01', TIMESTAMP '2024-12-31', INTERVAL 1 DAY) t(d)")
+def python_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.dataSource.register(calendar.CalendarSource)
+    return spark.read.format("calendar").option("first", 2023).option("last", 2024).load()
 
 
 @query("format_round_trip", "SELECT r_name, n_name, CAST(n_nationkey AS BIGINT) AS k FROM nation JOIN region ON n_regionkey = r_regionkey")
 def format_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name", F.col("n_nationkey").cast("long").alias("k"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp()}"
-    for kind in ("csv", "json", "orc", "parquet"):
-        at = f"{base}/formats-{uuid.uuid4().hex}"
+    for kind in ("csv", "json", "orc", "xml", "parquet"):
+        at = f"{shared(spark)}/formats-{uuid.uuid4().hex}"
         formats.write(rows, at, kind)
         rows = formats.read(spark, at, kind, rows.schema)
     return rows
+
+
+@query("text_lines", "SELECT n_nationkey AS k, n_name AS name FROM nation")
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = f"{shared(spark)}/formats-{uuid.uuid4().hex}"
+    formats.write(table(spark, sf_dir, "nation").select(F.concat_ws("\t", "n_nationkey", "n_name").alias("value")), at, "text")
+    line = F.split("value", "\t")
+    return spark.read.text(at).select(F.element_at(line, 1).cast("int").alias("k"), F.element_at(line, 2).alias("name"))
+
+
+@query("partitioned_write", "SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderpriority")
+def partitioned_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in a folder for each status; the filter reads one folder."""
+    at = f"{shared(spark)}/orders-{uuid.uuid4().hex}"
+    orders = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", "o_totalprice")
+    formats.write(orders, at, "parquet", ["o_orderstatus"])
+    kept = formats.read(spark, at, "parquet", orders.schema).where("o_orderstatus = 'F'")
+    return kept.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))

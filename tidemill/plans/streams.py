@@ -9,7 +9,52 @@ from tidemill.plans.registry import query
 from tidemill.streaming import events
 
 
+def source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.stream(spark, f"{sf_dir}/events.parquet")
+
+
 @query("stream_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = events.replayed(events.counted(events.stream(spark, f"{sf_dir}/events.parquet"), "1 hour", "10 minutes"))
+    got = events.replayed(events.counted(source(spark, sf_dir), "1 hour", "10 minutes"), "complete")
     return got.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query(
+    "stream_sliding",
+    """SELECT start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE, time_bucket(INTERVAL 30 MINUTE, ts)]) AS start FROM events) t GROUP BY start, event_type""",
+)
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = events.replayed(events.counted(source(spark, sf_dir), "1 hour", "10 minutes", "30 minutes"), "complete")
+    return got.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query(
+    "stream_sessions",
+    """SELECT user_id, min(ts) AS start, count(*) AS n, min(event_id) AS first_event FROM (SELECT *, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS BIGINT) AS session FROM
+    (SELECT *, coalesce(CAST(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) >= 7200000000 AS BIGINT), 0) AS fresh FROM events) x) y GROUP BY user_id, session""",
+)
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = events.replayed(events.sessions(source(spark, sf_dir), "2 hours", "10 minutes"), "complete")
+    return got.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n", "first_event")
+
+
+@query("stream_dedup", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) t GROUP BY 1, 2")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = events.replayed(events.deduplicated(source(spark, sf_dir), ["user_id", "event_type"], "40 days"))
+    return got.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "stream_join",
+    """SELECT a.event_id AS first_id, b.event_id AS second_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR
+    WHERE a.event_type = 'view' AND b.event_type = 'purchase'""",
+)
+def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = (source(spark, sf_dir).where(F.col("event_type") == x) for x in ("view", "purchase"))
+    return events.replayed(events.followed(first, second, "1 hour", "1 day")).select("first_id", "second_id")
+
+
+@query("stream_state", "SELECT user_id, count(*) AS n, max(value) AS most FROM events GROUP BY user_id")
+def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = events.replayed(events.running_totals(source(spark, sf_dir)), "update")
+    return got.groupBy("user_id").agg(F.max_by(F.struct("n", "most"), "batch").alias("m")).select("user_id", "m.n", "m.most")

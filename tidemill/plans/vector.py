@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.vectors import cosine
@@ -19,3 +19,17 @@ def label_centroid_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     centre = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centre"))
     return e.join(centre, "label").select("vec_id", F.round(cosine("embedding", "centre"), 6).alias("similarity"))
+
+
+@query(
+    "nearest_vectors",
+    """SELECT vec_id, other, rk FROM (SELECT q.vec_id, e.vec_id AS other, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) DESC, e.vec_id) AS BIGINT) AS rk
+    FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0) t WHERE rk <= 10""",
+)
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all vectors for each of a stated query set, exact: queries against all rows, best ten of each partial first."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("x"))
+    near = q.join(e, F.col("q") != F.col("vec_id")).select("q", "vec_id", F.round(cosine("x", "embedding"), 9).alias("s"))
+    w = Window.partitionBy("q").orderBy(F.desc("s"), "vec_id")
+    return near.withColumn("rk", F.row_number().over(w).cast("long")).where("rk <= 10").select(F.col("q").alias("vec_id"), F.col("vec_id").alias("other"), "rk")

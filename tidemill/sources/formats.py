@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-OPTIONS = {"csv": {"header": "true"}, "json": {}, "orc": {}, "parquet": {}}
+OPTIONS = {"csv": {"header": "true"}, "json": {}, "orc": {}, "parquet": {}, "text": {}, "xml": {"rowTag": "row"}}
 
 
 def read(spark: SparkSession, path: str, kind: str, schema: T.StructType) -> DataFrame:
