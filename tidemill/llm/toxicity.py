@@ -20,7 +20,8 @@ Bounds: `per_class` documents of either label (the ones whose ids hash lowest),
 `sentences` of each of them (evenly spread), read whole: of a longer sentence than
 PART characters each part of about so many trains as a sentence. Everything else reads
 all rows and whole texts. Null or empty texts get the score of a text without toxic units.
-Null labels are left out; if a class is missing from the labels, or no toxic document
+Very long texts are scored in parts cut at white space. Null labels are left out; of several labels of an id the least
+counts, and of several texts of a labelled id the least trains. An empty table gives an empty one, empty labels give no model; if a class is missing from the labels, or no toxic document
 has a unit that clean ones lack, all scores are 0. Repeated rows each get their row.
 """
 
@@ -111,8 +112,25 @@ class Model:
         self.weights, self.bias, self.slope, self.shift = weights, bias, slope, shift
 
     def decide(self, strings: list[str]) -> np.ndarray:
-        row, key, w = subsequences(strings)
-        return np.bincount(row, w * self.weights[key], len(strings)) + self.bias
+        """Decision values; 4096 strings at a time, so many new words don't take much memory."""
+        out = np.empty(len(strings))
+        for a in range(0, len(strings), 4096):
+            part = strings[a : a + 4096]
+            row, key, w = subsequences(part)
+            out[a : a + len(part)] = np.bincount(row, w * self.weights[key], len(part)) + self.bias
+        return out
+
+    def to_bytes(self) -> bytes:
+        at = np.flatnonzero(self.weights).astype(np.int32)
+        return np.array([self.bias, self.slope, self.shift]).tobytes() + np.int64(len(at)).tobytes() + at.tobytes() + self.weights[at].astype(np.float32).tobytes()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> "Model":
+        bias, slope, shift = np.frombuffer(data, np.float64, 3).tolist()
+        n = int(np.frombuffer(data, np.int64, 1, 24)[0])
+        weights = np.zeros(HASHED, np.float32)
+        weights[np.frombuffer(data, np.int32, n, 32)] = np.frombuffer(data, np.float32, n, 32 + 4 * n)
+        return cls(weights, bias, slope, shift)
 
     def score(self, worst: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -60, 60)))
@@ -335,7 +353,7 @@ def sentences_of(text: str, most: int = SENTENCES) -> list[list[str]]:
 
 
 def trained(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sentences: int = SENTENCES, landmarks: int = LANDMARKS) -> "Model | None":
-    """A model of `labels` (doc_id, toxic), fitted on the driver to at most 2 * per_class documents' sentences."""
+    """A model of `labels` (doc_id, toxic), fitted in a task to at most 2 * per_class documents' sentences; the driver gets the model alone."""
     R.ship(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("i"), F.col("toxic").cast("int").alias("y")).where(F.col("i").isNotNull() & F.col("y").isin(0, 1) & ~is_held_out(F.col("i")))
     ids = [known.where(F.col("y") == y).groupBy("i").agg(F.min("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(per_class) for y in (0, 1)]
@@ -346,12 +364,20 @@ def trained(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sent
             got = [("\x1e".join("\x1f".join(s) for s in sentences_of(t or "", sentences))) for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(got, pa.string())], names=["i", "y", "s"])
 
-    texts = docs.select(F.col("doc_id").alias("i"), F.col("text").cast("string").alias("t")).join(F.broadcast(sample), "i").select("i", "t", "y")
-    rows = sorted(texts.mapInArrow(run, f"i {dict(docs.dtypes)['doc_id']}, y int, s string").toLocalIterator(), key=lambda r: (str(r.i), r.y, r.s))  # a bounded sample
-    model = fit((([s.split("\x1f") for s in r.s.split("\x1e") if s], r.y) for r in rows), landmarks)
-    del rows
-    R.relieve()
-    return model
+    texts = docs.select(F.col("doc_id").alias("i"), F.col("text").cast("string").alias("t")).join(F.broadcast(sample), "i").groupBy("i", "y").agg(F.min("t").alias("t")).select("i", "t", "y")
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(str(i), y, s) for b in batches for i, y, s in zip(*(c.to_pylist() for c in b.columns))]
+        rows.sort()  # a bounded sample
+        model = fit((([s.split("\x1f") for s in text.split("\x1e") if s], y) for _, y, text in rows), landmarks) if rows else None
+        del rows
+        R.relieve()
+        if model is not None:
+            yield pa.record_batch([pa.array([model.to_bytes()], pa.binary())], names=["model"])
+
+    sample = texts.mapInArrow(run, f"i {dict(docs.dtypes)['doc_id']}, y int, s string").repartition(1)
+    got = sample.mapInArrow(fitted, "model binary").collect()
+    return Model.from_bytes(bytes(got[0].model)) if got else None
 
 
 class Scorer:
