@@ -10,6 +10,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -87,9 +88,34 @@ def written(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._tidemill_at = at
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are `written` inside go at the end, but for those given to what this yields: on those the result rests."""
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _OPEN.append([])
+    try:
+        yield keep
+    finally:
+        made = _OPEN.pop()
+        stay = {df._tidemill_at for df in kept}
+        drop(*(df for df in made if df._tidemill_at not in stay))
+        if _OPEN:
+            _OPEN[-1].extend(df for df in made if df._tidemill_at in stay)
+
+
 def drop(*tables: DataFrame | None) -> None:
     """Deletes what `written` has given, once nothing reads it any more."""
     for df in tables:

@@ -183,8 +183,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num
 
         return rows.mapInArrow(fetch, "fp long, key long, members binary").join(wanted, ["fp", "key"]).select("fp", "members")
 
-    met = L.candidates(rows.mapInArrow(index, L.SCHEMA), cells)
-    roots = L.components(L.links(*met, by_class.select("fp", "n", "bits"), sets_for, num, den))
+    with R.scratch() as keep:
+        met = L.candidates(rows.mapInArrow(index, L.SCHEMA), cells)
+        roots = keep(L.components(L.links(*met, by_class.select("fp", "n", "bits"), sets_for, num, den)))
     joined = by_class.select("fp", "least", "copies").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     merged = joined.where("root is not null")
     least = merged.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -188,7 +188,8 @@ def mixed(docs: DataFrame, ratio: float = 1.5, most: float = 2.0, weights: tuple
     R.ship(docs.sparkSession)
     sizes = R.written(sizes_of(docs), "mix-sizes")
     targets = R.written(source_targets(sizes, ratio, most, weights), "mix-targets")
-    plan = R.written(slot_plan(targets, block, slots), "mix-slots")
+    with R.scratch() as keep:
+        plan = keep(R.written(slot_plan(targets, block, slots), "mix-slots"))
     used = plan.groupBy("rank", "block_index", "words").agg(F.count(F.lit(1)).alias("times"))
     known = targets.select(F.col("source").alias("s"), "rank", "source_size", "target")
     placed = placed_documents(sizes).join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s")

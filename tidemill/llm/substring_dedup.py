@@ -439,7 +439,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     docs = docs.drop(*ADDED)
     R.ship(spark)
-    dups = R.written(found(docs, id_col, text_col, least, num, den, recall), "duplicates")
+    with R.scratch() as keep:
+        dups = keep(R.written(found(docs, id_col, text_col, least, num, den, recall), "duplicates"))
     bits = spark.sparkContext.broadcast(L.bitmap(dups.select(F.xxhash64("o").alias("key"))))
     keyed = docs.withColumn(text_col, F.col(text_col).cast("string")).withColumns({"_o": order_of(docs, id_col), "_key": F.xxhash64(order_of(docs, id_col))})
     docs_columns, place = docs.columns, docs.columns.index(text_col)

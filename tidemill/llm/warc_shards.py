@@ -68,6 +68,7 @@ def ranges(rows: DataFrame, shard_bytes: int) -> tuple[list[DataFrame], DataFram
         heavy = held.where((F.col("n") > shard_bytes // 4) & (F.col("hi") > F.col("lo")))
         if heavy.isEmpty():
             break
+        heavy._tidemill_at = held._tidemill_at
         cuts.append(heavy)
         state = parted(state, heavy)
     # running totals over the first cut's ranges (BINS at most), then inside each of them
@@ -192,6 +193,7 @@ def write_archives(pages: DataFrame, base: str | None = None, min_dedup: int = 0
     arrow = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha1", pa.string())])
     manifest = both.mapInArrow(run, MANIFEST)
     manifest.write.json(f"{base}/manifest")
+    R.drop(small, shards, *cuts)
     return spark.read.schema(MANIFEST).json(f"{base}/manifest").withColumn("base", F.lit(base))
 
 
