@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import math
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -10,61 +10,72 @@ from tests.llm.conftest import words
 from tidemill.llm import lm_scoring as M
 
 
-def number(w, vocab):
-    low = [b for b in w[-2:]] if len(w) > 1 else [w[0], w[0]]
-    return vocab.get(w, M.VOCAB - M.ENDINGS + (low[1] + 31 * low[0]) % M.ENDINGS)
+def brute_force(rows, good):
+    """(n_words, target loss, background loss) of each row by plain dictionaries; good: ids of the target."""
+    pairs = {True: Counter(), False: Counter()}
+    for i, t in rows:
+        w = words(t)
+        seen = list(zip(["begin", *w], [*w, "end"])) if w else []
+        pairs[False].update(seen)
+        if i in good:
+            pairs[True].update(seen)
+    vocabulary = {b for _, b in pairs[False]}
+    single, before, kinds = ({s: Counter() for s in pairs} for _ in range(3))
+    for s, c in pairs.items():
+        for (a, b), n in c.items():
+            single[s][b] += n
+            before[s][a] += n
+            kinds[s][a] += 1
+
+    def loss(s, a, b):
+        one = (single[s][b] + 1) / (sum(single[s].values()) + len(vocabulary))
+        if not before[s][a]:
+            return -math.log2(one)
+        return -math.log2(max(pairs[s][a, b] - M.DISCOUNT, 0) / before[s][a] + M.DISCOUNT * kinds[s][a] / before[s][a] * one)
+
+    out = defaultdict(list)
+    known: dict = {}
+    for i, t in rows:
+        w = words(t)
+        sums = [sum(known.setdefault((s, a, b), loss(s, a, b)) for a, b in zip(["begin", *w], [*w, "end"])) / (len(w) + 1) for s in (True, False)]
+        out[i].append((len(w), *(sums if w else (None, None))))
+    return out
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(M, "HELD", 20)  # tasks send often
+    monkeypatch.setattr(M, "BATCH", 300)
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choice("Ab cd ef gh ij".split() if i % 2 else "kl mn op Qr".split()) for _ in range(rng.randrange(30)))) for i in range(120)]
-    rows += [(200, None), (201, ""), (202, " \n"), (5, rows[5][1]), (None, "é ü long"), (203, "only " * 9000)]
+    rows += [(200, None), (201, ""), (202, " \n"), (5, rows[5][1]), (None, "é ü long"), (203, "only " * 9000), (204, " ".join(f"w{k}" for k in range(5000)))]
     df = spark.createDataFrame([(*r, "own") for r in rows], "doc_id long, text string, n_words string").repartition(3)
     ids = spark.createDataFrame([(i,) for i in range(0, 120, 2)] + [(0,), (None,)], "doc_id long")
     got = M.scored(df, ids).collect()
-    vocab = {w: k for k, w in enumerate(sorted({w for _, t in rows for w in words(t)}), 1)}
-    pairs = {True: Counter(), False: Counter()}
-    for i, t in rows:
-        n = [number(w, vocab) for w in words(t)]
-        for a, b in zip([0, *n], n):
-            pairs[False][a, b] += 1
-            if i is not None and i < 120 and i % 2 == 0:
-                pairs[True][a, b] += 1
-
-    def loss(side, a, b):
-        c = pairs[side]
-        single = (sum(v for (_, y), v in c.items() if y == b) + 1) / (sum(c.values()) + M.VOCAB - 1)
-        before = sum(v for (x, _), v in c.items() if x == a)
-        if not before:
-            return -math.log2(single)
-        kinds = sum(x == a for x, _ in c)
-        return -math.log2(max(c[a, b] - M.DISCOUNT, 0) / before + M.DISCOUNT * kinds / before * single)
-
-    known: dict = {}
+    want = brute_force(rows, set(range(0, 120, 2)))
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
     for r in got:
-        t = next(t for i, t in rows if i == r.doc_id)
-        n = [number(w, vocab) for w in words(t)]
-        assert r.n_words == len(n)
+        n, t, b = want[r.doc_id][0]
+        assert r.n_words == n
         if not n:
             assert r.target_loss is r.background_loss is r.difference is None
             continue
-        want = [sum(known.setdefault((s, a, b), loss(s, a, b)) for a, b in zip([0, *n], n)) / len(n) for s in (True, False)]
-        assert [r.target_loss, r.background_loss] == pytest.approx(want, rel=1e-4)
-        assert r.difference == pytest.approx(want[0] - want[1], abs=1e-3)
-    good = [r.difference for r in got if r.n_words and r.doc_id is not None and r.doc_id < 120 and r.doc_id % 2 == 0]
-    poor = [r.difference for r in got if r.n_words and r.doc_id is not None and r.doc_id < 120 and r.doc_id % 2]
-    assert max(good) < min(poor)
-
+        assert [r.target_loss, r.background_loss] == pytest.approx([t, b], rel=1e-9)
+        assert r.difference == pytest.approx(t - b, abs=1e-9)
+    some = {k: [r.difference for r in got if r.n_words and r.doc_id is not None and r.doc_id < 120 and r.doc_id % 2 == k] for k in (0, 1)}
+    assert max(some[0]) < min(some[1])
 
-def test_vocabulary_is_the_most_frequent(spark):
-    df = spark.createDataFrame([("a a a b b c",), ("b d a",), (None,)], "t string")
-    from tidemill.llm import _kernel as K
-    import pyarrow as pa
 
-    by_hash = dict(zip(map(int, next(K.doc_words(pa.array(["a b c d"])))), "abcd"))
-    assert {by_hash[int(h)] for h in M.vocabulary_of(df, 2, 3)} == {"a", "b"}
+def test_rare_words_are_counted_as_themselves(spark):
+    """Texts of 3,000 words that occur nowhere else: two that are equal lose less to the background than one alone."""
+    own = {i: " ".join(f"x{i}y{k}" for k in range(3000)) for i in (0, 2)}
+    rows = [(0, own[0]), (1, own[0]), (2, own[2])]
+    got = {r.doc_id: r for r in M.scored(spark.createDataFrame(rows, "doc_id long, text string"), spark.range(0).toDF("doc_id")).collect()}
+    assert got[0].background_loss == got[1].background_loss < got[2].background_loss
+    assert got[0].target_loss == pytest.approx(math.log2(6001))  # no target: uniform over the words and the end
 
 
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert M.scored(df, df.select("doc_id")).count() == 0
+    df = spark.createDataFrame([("a", None), ("b", "")], "doc_id string, text string")
+    assert {(r.doc_id, r.n_words, r.difference) for r in M.scored(df, df.select("doc_id")).collect()} == {("a", 0, None), ("b", 0, None)}

@@ -1,22 +1,30 @@
 """Language-model scoring by cross-entropy difference.
 
-A target model (documents labelled as good) and a background model (all documents)
-are bigram models over one vocabulary: the corpus's most frequent words, and the
-other words by what they end in. Counts cover every word of every document; they
-are added up in hash cells, so what is gathered grows with the input. Both models
-discount seen pairs by DISCOUNT and give the rest to unigrams smoothed by one. A
-document's score is the mean over its words of the target's loss minus the
-background's, in bits: lower is more like the target.
-
-Words are runs of `[^\\x20\\x09-\\x0D]+`, A-Z as a-z. The model has VOCAB entries whatever
-the corpus: two tables of VOCAB ** 2 losses, 32 MB, are sent to the tasks. Null and
-empty texts have no words, and null losses. Without target documents the target model is the
-unigram floor. Of labels, null ids and repeated ids count once or not at all. Repeated
-documents each count and each get their row.
+Two bigram models are matched: one vocabulary, one order, one discount, one smoothing. The target
+model counts the documents labelled as good, the background model counts all documents. The
+vocabulary is every word of the corpus, and every pair of words is counted as itself, so what is
+gathered grows with the input; nothing but four totals comes to the driver or is broadcast.
+
+A document is its words and an end; each of them is predicted from the word before it, the first
+from a beginning. Seen pairs are discounted by DISCOUNT, and the rest goes to unigrams smoothed by
+one over the vocabulary and the end. A document's score is the mean over its words and its end of
+the target's loss minus the background's, in bits: lower is more like the target.
+
+Counts are added up in hash cells whose number grows with the input: a pair's cell by the pair, so
+a frequent word has no cell of its own, and then what follows a word by the word. To score, a batch
+of about BATCH bytes of text asks the cells for its distinct pairs and words, and meets the answers.
+
+Words are runs of `[^\\x20\\x09-\\x0D]+`, A-Z as a-z, and stand as 64-bit hashes. Texts are read
+whole; a very long one is a batch of its own. Null and empty texts have no words, no part in the
+counts, and null losses. Without target documents the target model is uniform. Of target ids, nulls
+and repeats count once or not at all; rows that repeat a document's id or text each count and each
+get their row. There is no order and no cut-off, so there are no ties. Empty tables give empty
+tables. Other columns of the input, whatever their names, are not read and not returned.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,146 +35,176 @@ from pyspark.sql import functions as F
 from tidemill.llm import _kernel as K
 from tidemill.llm import _runtime as R
 
-VOCAB, ENDINGS, DISCOUNT, CHUNK = 2048, 255, 0.75, 1 << 16
+DISCOUNT = 0.75
+BATCH = 4 << 20
+HELD = 1 << 20  # distinct pairs that a task adds up before it sends them
 KNOWN_IDS = 2_000_000
-COUNT = np.dtype([("h", "<u8"), ("c", "<i8")])
+BEGIN, END = np.uint64(1), np.uint64(2)
+PAIRS, WORDS = 0, 1
+#: A pair's hash, its first word, how often background and target have it.
+PAIR = np.dtype([("k", "<u8"), ("u", "<u8"), ("b", "<i8"), ("t", "<i8")])
+PAIR_COUNT = np.dtype([("k", "<u8"), ("b", "<i8"), ("t", "<i8")])
+#: A word, how often both have it, and how many different words follow it in each.
+WORD = np.dtype([("k", "<u8"), ("b", "<i8"), ("t", "<i8"), ("kinds_b", "<i8"), ("kinds_t", "<i8")])
+MESSAGE = "kind int, cell int, data binary"
+
+
+def pairs_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number of words of each text, first words, second words, hashes) of the pairs of all texts, in order."""
+    raw, off = K.utf8(column)
+    starts, ends, first = K.word_spans(raw, off)
+    n = np.diff(first)
+    has = n > 0
+    h = K.word_hashes(raw, starts, ends)
+    before, after = np.insert(h, first[:-1][has], BEGIN), np.insert(h, first[1:][has], END)
+    return n, before, after, K.mix(K.mix(before) + after)
+
+
+def summed(p: np.ndarray) -> np.ndarray:
+    """One row a hash, in its order: keys as they are, counts added."""
+    if not len(p):
+        return p
+    p = p[np.argsort(p["k"], kind="stable")]
+    at = np.flatnonzero(np.concatenate(([True], p["k"][1:] != p["k"][:-1])))
+    out = p[at]
+    for name in p.dtype.names:
+        if name not in ("k", "u"):
+            out[name] = np.add.reduceat(p[name], at)
+    return out
 
 
-class Vocabulary:
-    """Words by their hash; number 0 begins a text, the last ENDINGS ones stand for the others."""
+def messages(kind: int, p: np.ndarray, keys: np.ndarray, cells: int) -> Iterator[tuple[int, int, bytes]]:
+    """What `p` has for each cell, as (kind, cell, bytes); `p` goes by the hashes in `keys`."""
+    cell = ((K.mix(keys) >> np.uint64(40)) % np.uint64(cells)).astype(np.int32)
+    order = np.argsort(cell, kind="stable")
+    p, cell = p[order], cell[order]
+    at = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(p) else []
+    for a, b in zip(at, np.append(at[1:], len(p))):
+        yield kind, int(cell[a]), p[a:b].tobytes()
 
-    def __init__(self, hashes: np.ndarray) -> None:
-        self.hashes = np.sort(hashes)
 
-    def numbers(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = K.word_hashes(raw, starts, ends)
-        last = K.LOWER[raw[ends - 1]].astype(np.int64) + 31 * K.LOWER[raw[np.maximum(starts, ends - 2)]]
-        other = VOCAB - ENDINGS + last % ENDINGS
-        if not len(self.hashes):
-            return other
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at + 1, other)
+def table_of(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.Table:
+    columns = zip(*rows) if rows else ([] for _ in names)
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
-def numbered(column: pa.Array, vocabulary: Vocabulary) -> Iterator[np.ndarray]:
-    raw, off = K.utf8(column)
-    starts, ends, first = K.word_spans(raw, off)
-    n = vocabulary.numbers(raw, starts, ends) if len(starts) else starts
-    for i in range(len(column)):
-        yield n[first[i] : first[i + 1]]
+def blobs(table: pa.Table, kind: np.dtype) -> np.ndarray:
+    parts = [np.frombuffer(x, kind) for x in table.column("data").to_pylist()]
+    return np.concatenate(parts) if parts else np.empty(0, kind)
 
 
-def vocabulary_of(rows: DataFrame, size: int, cells: int) -> np.ndarray:
-    """Hashes of the `size` most frequent words, counted over all rows."""
+_MESSAGE = (["kind", "cell", "data"], [pa.int32(), pa.int32(), pa.binary()])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.empty(0, COUNT)
-
-        def merged(parts: list[np.ndarray]) -> np.ndarray:
-            p = np.concatenate(parts)
-            h, at = np.unique(p["h"], return_inverse=True)
-            out = np.empty(len(h), COUNT)
-            out["h"], out["c"] = h, np.bincount(at, p["c"]).astype(np.int64)
-            return out
-
-        def send(p: np.ndarray) -> pa.RecordBatch:
-            cell = (K.mix(p["h"]) >> np.uint64(40)) % np.uint64(cells)
-            order = np.argsort(cell, kind="stable")
-            p, cell = p[order], cell[order].astype(np.int32)
-            at = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-            return pa.record_batch([pa.array(cell[at]), pa.array([p[a:b].tobytes() for a, b in zip(at, np.append(at[1:], len(p)))], pa.binary())], names=["cell", "data"])
 
+def batched(rows: DataFrame, id_type: str) -> DataFrame:
+    """i, t, good and the batch that a row is in; to be written, as the numbers of batches are drawn."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in R.pieces(batch, "t"):
-                raw, off = K.utf8(b.column(0))
-                starts, ends, _ = K.word_spans(raw, off)
-                if len(starts):
-                    h, c = np.unique(K.word_hashes(raw, starts, ends), return_counts=True)
-                    part = np.empty(len(h), COUNT)
-                    part["h"], part["c"] = h, c
-                    total = merged([total, part])
-                    if len(total) > 1 << 20:
-                        yield send(total)
-                        total = np.empty(0, COUNT)
-        if len(total):
-            yield send(total)
-
-    def top(parts: list[bytes]) -> np.ndarray:
-        p = np.concatenate([np.frombuffer(x, COUNT) for x in parts])
-        h, at = np.unique(p["h"], return_inverse=True)
-        out = np.empty(len(h), COUNT)
-        out["h"], out["c"] = h, np.bincount(at, p["c"]).astype(np.int64)
-        return out[np.lexsort((h, -out["c"]))[:size]]
-
-    def add(table: pa.Table) -> pa.Table:
-        best = top(table.column("data").to_pylist()).tobytes()
-        return pa.table({"cell": pa.array([table.column("cell")[0].as_py() % 64], pa.int32()), "data": pa.array([best], pa.binary())})
-
-    kind = "cell int, data binary"
-    got = rows.select("t").mapInArrow(count, kind).repartition(cells, "cell").groupBy("cell").applyInArrow(add, kind).groupBy("cell").applyInArrow(add, kind)
-    parts = [bytes(r.data) for r in got.collect()]  # 64 rows of `size` words at most
-    return top(parts)["h"].copy() if parts else np.zeros(0, np.uint64)
-
-
-def pair_counts(rows: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """(target, background) counts of word pairs [previous, word]; `rows` has t and good."""
-    spark = rows.sparkSession
-    held = spark.sparkContext.broadcast(vocabulary)
+            for b in R.pieces(batch, "t", BATCH):
+                at = int.from_bytes(os.urandom(8), "little") >> 1
+                yield b.append_column("batch", pa.array(np.full(b.num_rows, at, np.int64)))
+
+    return rows.select("i", "t", "good").mapInArrow(number, f"i {id_type}, t string, good boolean, batch long")
 
+
+def runs(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of each batch number."""
+    ids = batch.column(batch.schema.get_field_index("batch")).to_numpy()
+    at = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else []
+    for a, b in zip(at, np.append(at[1:], len(ids)).astype(int)):
+        yield int(ids[a]), batch.slice(int(a), int(b) - int(a))
+
+
+def pair_messages(table: DataFrame, cells: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [np.zeros(VOCAB * VOCAB, np.int32) for _ in range(2)]
+        parts: list[np.ndarray] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            p = summed(np.concatenate(parts))
+            return table_of(list(messages(PAIRS, p, p["k"], cells)), *_MESSAGE).combine_chunks().to_batches()[0]
+
         for batch in batches:
-            for b in R.pieces(batch, "t"):
-                good = b.column(1).to_pylist()
-                keys: list[list[np.ndarray]] = [[], []]
-                for g, n in zip(good, numbered(b.column(0), held.value)):
-                    if len(n):
-                        key = np.concatenate([[0], n[:-1]]) * VOCAB + n
-                        keys[1].append(key)
-                        if g:
-                            keys[0].append(key)
-                for t, k in zip(total, keys):
-                    if k:
-                        at, c = np.unique(np.concatenate(k), return_counts=True)
-                        t[at] += c.astype(np.int32)
-        for side, t in enumerate(total):
-            for a in range(0, len(t), CHUNK):
-                at = np.flatnonzero(t[a : a + CHUNK]).astype(np.uint16)
-                if len(at):
-                    data = at.tobytes() + t[a : a + CHUNK][at].tobytes()
-                    yield pa.record_batch([pa.array([side * (VOCAB * VOCAB // CHUNK) + a // CHUNK], pa.int32()), pa.array([data], pa.binary())], names=["chunk", "data"])
-
-    def add(table: pa.Table) -> pa.Table:
-        t = np.zeros(CHUNK, np.int64)
-        for x in table.column("data").to_pylist():
-            n = len(x) // 6
-            t[np.frombuffer(x, np.uint16, n)] += np.frombuffer(x[2 * n :], np.int32)
-        return pa.table({"chunk": table.column("chunk")[:1], "data": pa.array([t.tobytes()], pa.binary())})
-
-    out = np.zeros((2, VOCAB * VOCAB), np.int64)
-    summed = rows.select("t", "good").mapInArrow(count, "chunk int, data binary").groupBy("chunk").applyInArrow(add, "chunk int, data binary")
-    for chunk, data in summed.toLocalIterator():  # 2 * VOCAB ** 2 counts, whatever the corpus
-        side, at = divmod(chunk * CHUNK, VOCAB * VOCAB)
-        out[side, at : at + CHUNK] = np.frombuffer(data, np.int64)
-    return out[0].reshape(VOCAB, VOCAB), out[1].reshape(VOCAB, VOCAB)
-
-
-def losses(counts: np.ndarray) -> np.ndarray:
-    """Bits of each word after each other one: discounted pairs, unigrams smoothed by one for the rest."""
-    after = counts.sum(0) + 1.0
-    after[0] = 0  # no word is the beginning
-    single = after / after.sum()
-    before = counts.sum(1)
-    out = np.empty(counts.shape, np.float32)
-    with np.errstate(divide="ignore"):
-        for u in range(len(counts)):
-            c = counts[u]
-            if before[u]:
-                rest = DISCOUNT * np.count_nonzero(c) / before[u]
-                out[u] = -np.log2(np.maximum(c - DISCOUNT, 0) / before[u] + rest * single)
-            else:
-                out[u] = -np.log2(single)
-    return out
+            for _, b in runs(batch):
+                n, before, _, key = pairs_of(b.column(0))
+                if not len(key):
+                    continue
+                p = np.empty(len(key), PAIR)
+                p["k"], p["u"], p["b"] = key, before, 1
+                good = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+                p["t"] = np.repeat(good, np.where(n > 0, n + 1, 0))
+                parts.append(summed(p))
+                held += len(parts[-1])
+                if held > 2 * HELD:
+                    parts = [summed(np.concatenate(parts))]
+                    held = len(parts[0])
+                    if held > HELD:
+                        yield flush()
+                        parts, held = [], 0
+        if parts:
+            yield flush()
+        R.relieve()
+
+    return table.select("t", "good", "batch").mapInArrow(count, MESSAGE)
+
+
+def counted(table: DataFrame, cells: int) -> tuple[DataFrame, DataFrame]:
+    """(counts of pairs, counts of words), one row of bytes a cell, each written; words carry their cell's totals."""
+
+    def add_pairs(got: pa.Table) -> pa.Table:
+        p = summed(blobs(got, PAIR))
+        found = np.empty(len(p), PAIR_COUNT)
+        for name in PAIR_COUNT.names:
+            found[name] = p[name]
+        w = np.empty(len(p), WORD)
+        w["k"], w["b"], w["t"], w["kinds_b"], w["kinds_t"] = p["u"], p["b"], p["t"], p["b"] > 0, p["t"] > 0
+        w = summed(w)
+        return table_of([(PAIRS, got.column("cell")[0].as_py(), found.tobytes()), *messages(WORDS, w, w["k"], cells)], *_MESSAGE)
+
+    def add_words(got: pa.Table) -> pa.Table:
+        w = summed(blobs(got, WORD))
+        row = (WORDS, got.column("cell")[0].as_py(), w.tobytes(), len(w), int(w["b"].sum()), int(w["t"].sum()))
+        return table_of([row], [*_MESSAGE[0], "n", "b", "t"], [*_MESSAGE[1], *[pa.int64()] * 3])
+
+    pairs = R.written(R.dealt(pair_messages(table, cells), "cell", cells).groupBy("cell").applyInArrow(add_pairs, MESSAGE), "lm-pairs")
+    mine = pairs.where(F.col("kind") == WORDS)
+    words = R.written(R.dealt(mine, "cell", cells).groupBy("cell").applyInArrow(add_words, MESSAGE + ", n long, b long, t long"), "lm-words")
+    return pairs.where(F.col("kind") == PAIRS), words
+
+
+def answers(table: DataFrame, pairs: DataFrame, words: DataFrame, cells: int) -> DataFrame:
+    """batch, kind, data: the counts of every pair and word of a batch."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, b in runs(batch):
+                _, before, _, key = pairs_of(b.column(0))
+                rows = [(*m, at) for kind, k in ((PAIRS, np.unique(key)), (WORDS, np.unique(before))) for m in messages(kind, k, k, cells)]
+                if rows:
+                    yield table_of(rows, [*_MESSAGE[0], "batch"], [*_MESSAGE[1], pa.int64()]).combine_chunks().to_batches()[0]
+        R.relieve()
+
+    def answer(asked: pa.Table, counts: pa.Table) -> pa.Table:
+        out = []
+        if asked.num_rows:
+            kind = asked.column("kind")[0].as_py()
+            have = blobs(counts, WORD if kind == WORDS else PAIR_COUNT)
+            for batch, data in zip(asked.column("batch").to_pylist(), asked.column("data").to_pylist()):
+                out.append((batch, kind, have[np.searchsorted(have["k"], np.frombuffer(data, np.uint64))].tobytes()))
+        return table_of(out, ["batch", "kind", "data"], [pa.int64(), pa.int32(), pa.binary()])
+
+    asked = table.select("t", "batch").mapInArrow(ask, MESSAGE + ", batch long")
+    counts = pairs.unionByName(words.select("kind", "cell", "data"))
+    sides = (x.repartition(cells, "kind", "cell").groupBy("kind", "cell") for x in (asked, counts))
+    return next(sides).cogroup(next(sides)).applyInArrow(answer, "batch long, kind int, data binary")
+
+
+def loss(c: np.ndarray, before: np.ndarray, kinds: np.ndarray, after: np.ndarray, total: int, size: int) -> np.ndarray:
+    """Bits of a word that occurs `after` times, after one that occurs `before` times with `kinds` followers, `c` times with this."""
+    single = (after + 1.0) / (total + size)
+    seen = np.maximum(before, 1)
+    return -np.log2(np.where(before > 0, np.maximum(c - DISCOUNT, 0) / seen + DISCOUNT * kinds / seen * single, single))
 
 
 def with_target(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -181,29 +219,37 @@ def scored(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_
     """id_col, n_words, target_loss, background_loss, difference of every row."""
     spark = docs.sparkSession
     R.ship(spark)
-    kind = dict(docs.dtypes)[id_col]
-    rows = with_target(docs, target_ids, id_col, text_col)
-    plain = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
-    vocabulary = Vocabulary(vocabulary_of(plain, VOCAB - ENDINGS - 1, R.cell_count(spark, R.input_bytes(docs))))
-    target, background = (losses(c) for c in pair_counts(rows, vocabulary))
-    held = spark.sparkContext.broadcast((vocabulary, target.ravel(), background.ravel()))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, t, g = held.value
-        for batch in batches:
-            for b in R.pieces(batch, "t"):
-                out = []
-                for n in numbered(b.column(1), words):
-                    if not len(n):
-                        out.append((0, None, None, None))
-                        continue
-                    key = np.concatenate([[0], n[:-1]]) * VOCAB + n
-                    x, y = float(t[key].sum(dtype=np.float64)) / len(n), float(g[key].sum(dtype=np.float64)) / len(n)
-                    out.append((len(n), x, y, x - y))
-                cols = [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.float64(), pa.float64(), pa.float64()))]
-                yield pa.record_batch([b.column(0), *cols], names=["i", "n_words", "target_loss", "background_loss", "difference"])
-
-    return plain.mapInArrow(score, f"i {kind}, n_words long, target_loss double, background_loss double, difference double").withColumnRenamed("i", id_col)
+    id_type = dict(docs.dtypes)[id_col]
+    cells = R.cell_count(spark, R.input_bytes(docs))
+    with R.scratch() as keep:
+        table = keep(R.written(batched(with_target(docs, target_ids, id_col, text_col), id_type), "lm-batches"))
+        pairs, words = counted(table, cells)
+        size, total_b, total_t = (x or 0 for x in words.agg(F.sum("n"), F.sum("b"), F.sum("t")).first())
+        found = keep(R.written(answers(table, pairs, words, cells), "lm-answers"))
+
+    def score(rows: pa.Table, got: pa.Table) -> pa.Table:
+        n, before, after, key = pairs_of(rows.column("t").combine_chunks())
+        out = np.full((2, len(n)), np.nan)
+        if len(key):
+            kinds = got.column("kind").to_numpy()
+            p, w = (in_order(blobs(got.filter(pa.array(kinds == kind)), t)) for kind, t in ((PAIRS, PAIR_COUNT), (WORDS, WORD)))
+            pair = p[np.searchsorted(p["k"], key)]
+            u = w[np.searchsorted(w["k"], before)]
+            v = w[np.searchsorted(w["k"], np.where(after == END, BEGIN, after))]  # as many ends as beginnings
+            has = n > 0
+            first = np.concatenate(([0], np.cumsum(n[has] + 1)[:-1]))
+            for side, (c, total) in enumerate((("t", total_t), ("b", total_b))):
+                out[side, has] = np.add.reduceat(loss(pair[c], u[c], u[f"kinds_{c}"], v[c], total, size), first) / (n[has] + 1)
+        cols = [pa.array(x, pa.float64(), from_pandas=True) for x in (out[0], out[1], out[0] - out[1])]
+        return pa.table([rows.column("i"), pa.array(n, pa.int64()), *cols], names=["i", "n_words", "target_loss", "background_loss", "difference"])
+
+    kind = f"i {id_type}, n_words long, target_loss double, background_loss double, difference double"
+    return table.select("i", "t", "batch").groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(score, kind).withColumnRenamed("i", id_col)
+
+
+def in_order(p: np.ndarray) -> np.ndarray:
+    """In the order of hashes; a batch that was read in two parts has asked for some twice."""
+    return p[np.unique(p["k"], return_index=True)[1]]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
