@@ -43,7 +43,7 @@ def brute_force(rows, good):
 
 
 def test_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(M, "HELD", 20)  # tasks send often
+    monkeypatch.setattr(M, "CELL", 20_000)  # many cells
     monkeypatch.setattr(M, "BATCH", 300)
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choice("Ab cd ef gh ij".split() if i % 2 else "kl mn op Qr".split()) for _ in range(rng.randrange(30)))) for i in range(120)]

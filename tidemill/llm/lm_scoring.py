@@ -10,9 +10,12 @@ from a beginning. Seen pairs are discounted by DISCOUNT, and the rest goes to un
 one over the vocabulary and the end. A document's score is the mean over its words and its end of
 the target's loss minus the background's, in bits: lower is more like the target.
 
-Counts are added up in hash cells whose number grows with the input: a pair's cell by the pair, so
-a frequent word has no cell of its own, and then what follows a word by the word. To score, a batch
-of about BATCH bytes of text asks the cells for its distinct pairs and words, and meets the answers.
+Texts are taken in batches of about BATCH bytes. A batch sends each of its different pairs once,
+with its count, to a hash cell; the number of cells grows with the input, and a pair's cell goes by
+the pair, so a frequent word has no cell of its own. A cell adds up what all batches have sent and
+answers each of them in the order of its pairs; it also tells the cells of words how often each
+first word occurs and how many different words follow it there. The cells of words answer likewise.
+A frequent pair costs its cell one row a batch, however often the batch has it.
 
 Words are runs of `[^\\x20\\x09-\\x0D]+`, A-Z as a-z, and stand as 64-bit hashes. Texts are read
 whole; a very long one is a batch of its own. Null and empty texts have no words, no part in the
@@ -29,6 +32,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,51 +40,72 @@ from tidemill.llm import _kernel as K
 from tidemill.llm import _runtime as R
 
 DISCOUNT = 0.75
-BATCH = 4 << 20
-HELD = 1 << 20  # distinct pairs that a task adds up before it sends them
+BATCH, CELL = 4 << 20, 2 << 20
+PARTITIONS = 1 << 17
 KNOWN_IDS = 2_000_000
 BEGIN, END = np.uint64(1), np.uint64(2)
-PAIRS, WORDS = 0, 1
-#: A pair's hash, its first word, how often background and target have it.
-PAIR = np.dtype([("k", "<u8"), ("u", "<u8"), ("b", "<i8"), ("t", "<i8")])
-PAIR_COUNT = np.dtype([("k", "<u8"), ("b", "<i8"), ("t", "<i8")])
-#: A word, how often both have it, and how many different words follow it in each.
-WORD = np.dtype([("k", "<u8"), ("b", "<i8"), ("t", "<i8"), ("kinds_b", "<i8"), ("kinds_t", "<i8")])
-MESSAGE = "kind int, cell int, data binary"
-
-
-def pairs_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(number of words of each text, first words, second words, hashes) of the pairs of all texts, in order."""
-    raw, off = K.utf8(column)
-    starts, ends, first = K.word_spans(raw, off)
-    n = np.diff(first)
-    has = n > 0
-    h = K.word_hashes(raw, starts, ends)
-    before, after = np.insert(h, first[:-1][has], BEGIN), np.insert(h, first[1:][has], END)
-    return n, before, after, K.mix(K.mix(before) + after)
-
-
-def summed(p: np.ndarray) -> np.ndarray:
-    """One row a hash, in its order: keys as they are, counts added."""
-    if not len(p):
-        return p
-    p = p[np.argsort(p["k"], kind="stable")]
-    at = np.flatnonzero(np.concatenate(([True], p["k"][1:] != p["k"][:-1])))
-    out = p[at]
-    for name in p.dtype.names:
-        if name not in ("k", "u"):
-            out[name] = np.add.reduceat(p[name], at)
+#: Kinds of messages: pairs of a batch, words of a batch, what a cell of pairs has for a cell of words.
+PAIRS, WORDS, PARTS = 0, 1, 2
+#: A pair's hash, its first word, how often background and target have it; how often alone, as an answer.
+PAIR = (("k", "<u8"), ("u", "<u8"), ("b", "<u4"), ("t", "<u4"))
+PAIR_COUNT = (("b", "<i8"), ("t", "<i8"))
+#: A word; a word with how often both have it, and how many different words follow it in each; the latter alone.
+WORD = (("k", "<u8"),)
+WORD_COUNT = (("b", "<i8"), ("t", "<i8"), ("kinds_b", "<i8"), ("kinds_t", "<i8"))
+WORD_PART = WORD + WORD_COUNT
+Columns = dict[str, np.ndarray]
+
+
+def packed(p: Columns, kind: tuple, at: slice = slice(None)) -> bytes:
+    """The columns one after the other: those of counts and of repeated words compress well."""
+    return b"".join(p[name][at].astype(t, copy=False).tobytes() for name, t in kind)
+
+
+def unpacked(data: bytes, kind: tuple) -> Columns:
+    n = len(data) // sum(np.dtype(t).itemsize for _, t in kind)
+    out, at = {}, 0
+    for name, t in kind:
+        out[name] = np.frombuffer(data, t, n, at)
+        at += n * np.dtype(t).itemsize
     return out
 
 
-def messages(kind: int, p: np.ndarray, keys: np.ndarray, cells: int) -> Iterator[tuple[int, int, bytes]]:
-    """What `p` has for each cell, as (kind, cell, bytes); `p` goes by the hashes in `keys`."""
-    cell = ((K.mix(keys) >> np.uint64(40)) % np.uint64(cells)).astype(np.int32)
-    order = np.argsort(cell, kind="stable")
-    p, cell = p[order], cell[order]
-    at = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(p) else []
-    for a, b in zip(at, np.append(at[1:], len(p))):
-        yield kind, int(cell[a]), p[a:b].tobytes()
+def joined(parts: list[Columns], kind: tuple) -> Columns:
+    return {name: np.concatenate([np.empty(0, t), *(p[name] for p in parts)]).astype(t, copy=False) for name, t in kind}
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(what sorts `keys`, where each different key begins then)."""
+    order = np.argsort(keys)
+    k = keys[order]
+    return order, np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
+
+
+def dealt(keys: np.ndarray, within: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(what orders sorted `keys` by their cell and `within`, the cells that get some, where they begin and the end)."""
+    cell = (K.mix(keys) >> np.uint64(32)) % np.uint64(cells)
+    order = np.lexsort((within, cell))
+    cell = cell[order].astype(np.int64)
+    at = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.zeros(0, np.int64)
+    return order, cell[at], np.append(at, len(cell))
+
+
+class Pairs:
+    """The pairs of some texts: n words of each, and for every word and end of a text its pair and words
+    by their place among the different pairs and words."""
+
+    def __init__(self, column: pa.Array) -> None:
+        raw, off = K.utf8(column)
+        starts, ends, first = K.word_spans(raw, off)
+        self.n = np.diff(first)
+        self.has = self.n > 0
+        h = K.word_hashes(raw, starts, ends)
+        self.before, self.after = np.insert(h, first[:-1][self.has], BEGIN), np.insert(h, first[1:][self.has], END)
+        self.key = K.mix(K.mix(self.before) + self.after)
+        self.order, self.at = distinct(self.key)
+        self.keys, self.first_words = self.key[self.order[self.at]], self.before[self.order[self.at]]
+        self.words = self.first_words[distinct(self.first_words)[0]]
+        self.words = self.words[np.concatenate(([True], self.words[1:] != self.words[:-1]))] if len(self.words) else self.words
 
 
 def table_of(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.Table:
@@ -88,116 +113,102 @@ def table_of(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> p
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
-def blobs(table: pa.Table, kind: np.dtype) -> np.ndarray:
-    parts = [np.frombuffer(x, kind) for x in table.column("data").to_pylist()]
-    return np.concatenate(parts) if parts else np.empty(0, kind)
+def blobs(table: pa.Table, kind: int) -> list[tuple[int, int, bytes]]:
+    """(batch, part, data) of the messages of a kind."""
+    t = table.filter(pc.equal(table.column("kind"), kind))
+    return list(zip(t.column("batch").to_pylist(), t.column("part").to_pylist(), t.column("data").to_pylist()))
 
 
-_MESSAGE = (["kind", "cell", "data"], [pa.int32(), pa.int32(), pa.binary()])
+MESSAGE = "kind int, cell long, batch long, part int, data binary"
+_MESSAGE = (["kind", "cell", "batch", "part", "data"], [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()])
+_TOTALS = (["n", "b", "t"], [pa.int64()] * 3)
 
 
 def batched(rows: DataFrame, id_type: str) -> DataFrame:
-    """i, t, good and the batch that a row is in; to be written, as the numbers of batches are drawn."""
+    """i, t, good, the batch that a row is in and its place there; to be written, as the numbers of batches are drawn."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in R.pieces(batch, "t", BATCH):
                 at = int.from_bytes(os.urandom(8), "little") >> 1
-                yield b.append_column("batch", pa.array(np.full(b.num_rows, at, np.int64)))
+                yield b.append_column("batch", pa.array(np.full(b.num_rows, at, np.int64))).append_column("place", pa.array(np.arange(b.num_rows, dtype=np.int32)))
 
-    return rows.select("i", "t", "good").mapInArrow(number, f"i {id_type}, t string, good boolean, batch long")
+    return rows.select("i", "t", "good").mapInArrow(number, f"i {id_type}, t string, good boolean, batch long, place int")
 
 
-def runs(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """The rows of each batch number."""
+def runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of each batch number, in parts where Arrow has parted them."""
     ids = batch.column(batch.schema.get_field_index("batch")).to_numpy()
     at = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else []
     for a, b in zip(at, np.append(at[1:], len(ids)).astype(int)):
-        yield int(ids[a]), batch.slice(int(a), int(b) - int(a))
-
+        yield batch.slice(int(a), int(b) - int(a))
 
-def pair_messages(table: DataFrame, cells: int) -> DataFrame:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[np.ndarray] = []
-        held = 0
 
-        def flush() -> pa.RecordBatch:
-            p = summed(np.concatenate(parts))
-            return table_of(list(messages(PAIRS, p, p["k"], cells)), *_MESSAGE).combine_chunks().to_batches()[0]
+def messages(table: DataFrame, cells: int, word_cells: int) -> DataFrame:
+    """What each part of a batch sends: its pairs with their counts, and the words that it asks for."""
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, b in runs(batch):
-                n, before, _, key = pairs_of(b.column(0))
-                if not len(key):
+            for b in runs(batch):
+                p = Pairs(b.column(0))
+                if not len(p.key):
                     continue
-                p = np.empty(len(key), PAIR)
-                p["k"], p["u"], p["b"] = key, before, 1
-                good = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-                p["t"] = np.repeat(good, np.where(n > 0, n + 1, 0))
-                parts.append(summed(p))
-                held += len(parts[-1])
-                if held > 2 * HELD:
-                    parts = [summed(np.concatenate(parts))]
-                    held = len(parts[0])
-                    if held > HELD:
-                        yield flush()
-                        parts, held = [], 0
-        if parts:
-            yield flush()
+                good = np.repeat(b.column(1).to_numpy(zero_copy_only=False), np.where(p.has, p.n + 1, 0))[p.order]
+                got = {"k": p.keys, "u": p.first_words, "b": np.diff(np.append(p.at, len(p.key))), "t": np.add.reduceat(good.astype(np.int64), p.at)}
+                batch_no, part = b.column(2)[0].as_py(), b.column(3)[0].as_py()
+                rows = []
+                for kind, layout, c, within, n in ((PAIRS, PAIR, got, p.first_words, cells), (WORDS, WORD, {"k": p.words}, p.words, word_cells)):
+                    order, to, at = dealt(c["k"], within, n)
+                    c = {name: x[order] for name, x in c.items()}
+                    rows += [(kind, int(cell), batch_no, part, packed(c, layout, slice(x, y))) for cell, x, y in zip(to, at[:-1], at[1:])]
+                yield table_of(rows, *_MESSAGE).combine_chunks().to_batches()[0]
         R.relieve()
 
-    return table.select("t", "good", "batch").mapInArrow(count, MESSAGE)
+    return table.select("t", "good", "batch", "place").mapInArrow(send, MESSAGE)
 
 
-def counted(table: DataFrame, cells: int) -> tuple[DataFrame, DataFrame]:
-    """(counts of pairs, counts of words), one row of bytes a cell, each written; words carry their cell's totals."""
+def counted(table: DataFrame, cells: int, word_cells: int) -> tuple[DataFrame, DataFrame]:
+    """(answers about pairs, answers about words and each cell's totals), each written."""
 
     def add_pairs(got: pa.Table) -> pa.Table:
-        p = summed(blobs(got, PAIR))
-        found = np.empty(len(p), PAIR_COUNT)
-        for name in PAIR_COUNT.names:
-            found[name] = p[name]
-        w = np.empty(len(p), WORD)
-        w["k"], w["b"], w["t"], w["kinds_b"], w["kinds_t"] = p["u"], p["b"], p["t"], p["b"] > 0, p["t"] > 0
-        w = summed(w)
-        return table_of([(PAIRS, got.column("cell")[0].as_py(), found.tobytes()), *messages(WORDS, w, w["k"], cells)], *_MESSAGE)
+        if got.column("kind")[0].as_py() == WORDS:
+            return got.select(_MESSAGE[0])
+        sent = blobs(got, PAIRS)
+        p = joined([unpacked(data, PAIR) for _, _, data in sent], PAIR)
+        order, at = distinct(p["k"])
+        sums = {name: np.add.reduceat(p[name][order].astype(np.int64), at) for name in ("b", "t")}
+        place = np.empty(len(order), np.int64)  # of each pair sent, among the different ones
+        place[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
+        rows, end, cell = [], 0, got.column("cell")[0].as_py()
+        for batch, part, data in sent:
+            x, end = end, end + len(data) // 24
+            rows.append((PAIRS, cell, batch, part, packed({name: s[place[x:end]] for name, s in sums.items()}, PAIR_COUNT)))
+        u = p["u"][order[at]]
+        of, first = distinct(u)
+        counts = sums | {f"kinds_{name}": (s > 0).astype(np.int64) for name, s in sums.items()}
+        w = {"k": u[of[first]]} | {name: np.add.reduceat(s[of], first) for name, s in counts.items()}
+        of, to, at = dealt(w["k"], w["k"], word_cells)
+        w = {name: x[of] for name, x in w.items()}
+        rows += [(PARTS, int(c), None, None, packed(w, WORD_PART, slice(x, y))) for c, x, y in zip(to, at[:-1], at[1:])]
+        return table_of(rows, *_MESSAGE)
 
     def add_words(got: pa.Table) -> pa.Table:
-        w = summed(blobs(got, WORD))
-        row = (WORDS, got.column("cell")[0].as_py(), w.tobytes(), len(w), int(w["b"].sum()), int(w["t"].sum()))
-        return table_of([row], [*_MESSAGE[0], "n", "b", "t"], [*_MESSAGE[1], *[pa.int64()] * 3])
-
-    pairs = R.written(R.dealt(pair_messages(table, cells), "cell", cells).groupBy("cell").applyInArrow(add_pairs, MESSAGE), "lm-pairs")
-    mine = pairs.where(F.col("kind") == WORDS)
-    words = R.written(R.dealt(mine, "cell", cells).groupBy("cell").applyInArrow(add_words, MESSAGE + ", n long, b long, t long"), "lm-words")
-    return pairs.where(F.col("kind") == PAIRS), words
-
-
-def answers(table: DataFrame, pairs: DataFrame, words: DataFrame, cells: int) -> DataFrame:
-    """batch, kind, data: the counts of every pair and word of a batch."""
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, b in runs(batch):
-                _, before, _, key = pairs_of(b.column(0))
-                rows = [(*m, at) for kind, k in ((PAIRS, np.unique(key)), (WORDS, np.unique(before))) for m in messages(kind, k, k, cells)]
-                if rows:
-                    yield table_of(rows, [*_MESSAGE[0], "batch"], [*_MESSAGE[1], pa.int64()]).combine_chunks().to_batches()[0]
-        R.relieve()
-
-    def answer(asked: pa.Table, counts: pa.Table) -> pa.Table:
-        out = []
-        if asked.num_rows:
-            kind = asked.column("kind")[0].as_py()
-            have = blobs(counts, WORD if kind == WORDS else PAIR_COUNT)
-            for batch, data in zip(asked.column("batch").to_pylist(), asked.column("data").to_pylist()):
-                out.append((batch, kind, have[np.searchsorted(have["k"], np.frombuffer(data, np.uint64))].tobytes()))
-        return table_of(out, ["batch", "kind", "data"], [pa.int64(), pa.int32(), pa.binary()])
-
-    asked = table.select("t", "batch").mapInArrow(ask, MESSAGE + ", batch long")
-    counts = pairs.unionByName(words.select("kind", "cell", "data"))
-    sides = (x.repartition(cells, "kind", "cell").groupBy("kind", "cell") for x in (asked, counts))
-    return next(sides).cogroup(next(sides)).applyInArrow(answer, "batch long, kind int, data binary")
+        w = joined([unpacked(data, WORD_PART) for _, _, data in blobs(got, PARTS)], WORD_PART)
+        order, at = distinct(w["k"])
+        known = w["k"][order[at]]
+        w = {name: np.add.reduceat(w[name][order], at) for name, _ in WORD_COUNT}
+        cell = got.column("cell")[0].as_py()
+        rows = [(PARTS, cell, None, None, None, len(known), int(w["b"].sum()), int(w["t"].sum()))]
+        for batch, part, data in blobs(got, WORDS):
+            place = np.searchsorted(known, np.frombuffer(data, np.uint64))
+            rows.append((WORDS, cell, batch, part, packed({name: x[place] for name, x in w.items()}, WORD_COUNT), None, None, None))
+        return table_of(rows, [*_MESSAGE[0], *_TOTALS[0]], [*_MESSAGE[1], *_TOTALS[1]])
+
+    sent = messages(table, cells, word_cells).repartition(min(cells, PARTITIONS), "kind", "cell").groupBy("kind", "cell")
+    pairs = R.written(sent.applyInArrow(add_pairs, MESSAGE), "lm-pairs")
+    asked = pairs.where(F.col("kind") != PAIRS).repartition(min(word_cells, PARTITIONS), "cell").groupBy("cell")
+    words = R.written(asked.applyInArrow(add_words, MESSAGE + ", n long, b long, t long"), "lm-words")
+    return pairs, words
 
 
 def loss(c: np.ndarray, before: np.ndarray, kinds: np.ndarray, after: np.ndarray, total: int, size: int) -> np.ndarray:
@@ -220,36 +231,53 @@ def scored(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_
     spark = docs.sparkSession
     R.ship(spark)
     id_type = dict(docs.dtypes)[id_col]
-    cells = R.cell_count(spark, R.input_bytes(docs))
+    cells = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), R.input_bytes(docs) // CELL)
+    word_cells = max(8, cells // 8)
     with R.scratch() as keep:
         table = keep(R.written(batched(with_target(docs, target_ids, id_col, text_col), id_type), "lm-batches"))
-        pairs, words = counted(table, cells)
+        pairs, words = (keep(x) for x in counted(table, cells, word_cells))
         size, total_b, total_t = (x or 0 for x in words.agg(F.sum("n"), F.sum("b"), F.sum("t")).first())
-        found = keep(R.written(answers(table, pairs, words, cells), "lm-answers"))
 
-    def score(rows: pa.Table, got: pa.Table) -> pa.Table:
-        n, before, after, key = pairs_of(rows.column("t").combine_chunks())
-        out = np.full((2, len(n)), np.nan)
-        if len(key):
-            kinds = got.column("kind").to_numpy()
-            p, w = (in_order(blobs(got.filter(pa.array(kinds == kind)), t)) for kind, t in ((PAIRS, PAIR_COUNT), (WORDS, WORD)))
-            pair = p[np.searchsorted(p["k"], key)]
-            u = w[np.searchsorted(w["k"], before)]
-            v = w[np.searchsorted(w["k"], np.where(after == END, BEGIN, after))]  # as many ends as beginnings
-            has = n > 0
-            first = np.concatenate(([0], np.cumsum(n[has] + 1)[:-1]))
+    def losses(column: pa.Array, answered: dict[int, list[tuple[int, bytes]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(words, target's loss, background's loss) of each text of a part; answers come in the order of the questions."""
+        p = Pairs(column)
+        out = np.full((2, len(p.n)), np.nan)
+        if len(p.key):
+            counts = {}
+            for kind, layout, keys, within, n in ((PAIRS, PAIR_COUNT, p.keys, p.first_words, cells), (WORDS, WORD_COUNT, p.words, p.words, word_cells)):
+                order, to, _ = dealt(keys, within, n)
+                got = joined([unpacked(data, layout) for _, data in sorted(answered[kind])], layout)
+                if [c for c, _ in sorted(answered[kind])] != to.tolist() or len(got["b"]) != len(order):
+                    raise ValueError("answers don't fit the questions of this part")
+                counts[kind] = {name: np.empty_like(x) for name, x in got.items()}
+                for name, x in got.items():
+                    counts[kind][name][order] = x
+            place = np.empty(len(p.key), np.int64)
+            place[p.order] = np.repeat(np.arange(len(p.at)), np.diff(np.append(p.at, len(p.key))))
+            u = np.searchsorted(p.words, p.first_words)[place]
+            v = np.searchsorted(p.words, np.where(p.after == END, BEGIN, p.after))  # as many ends as beginnings
+            first = np.concatenate(([0], np.cumsum(p.n[p.has] + 1)[:-1]))
+            pair, word = counts[PAIRS], counts[WORDS]
             for side, (c, total) in enumerate((("t", total_t), ("b", total_b))):
-                out[side, has] = np.add.reduceat(loss(pair[c], u[c], u[f"kinds_{c}"], v[c], total, size), first) / (n[has] + 1)
-        cols = [pa.array(x, pa.float64(), from_pandas=True) for x in (out[0], out[1], out[0] - out[1])]
+                bits = loss(pair[c][place], word[c][u], word[f"kinds_{c}"][u], word[c][v], total, size)
+                out[side, p.has] = np.add.reduceat(bits, first) / (p.n[p.has] + 1)
+        return p.n, out[0], out[1]
+
+    def score(rows: pa.Table, got: pa.Table) -> pa.Table:
+        rows = rows.sort_by("place").combine_chunks()
+        answered: dict[int, dict[int, list[tuple[int, bytes]]]] = {}
+        for kind, cell, part, data in zip(*(got.column(c).to_pylist() for c in ("kind", "cell", "part", "data"))):
+            answered.setdefault(part, {PAIRS: [], WORDS: []})[kind].append((cell, data))
+        starts = sorted({0, *answered})  # a part without words has asked nothing, and goes with the one before
+        parts = [losses(rows.column("t").slice(a, b - a).combine_chunks(), answered.get(a, {})) for a, b in zip(starts, [*starts[1:], rows.num_rows])]
+        n, t, b = (np.concatenate(x) for x in zip(*parts))
+        cols = [pa.array(x, pa.float64(), from_pandas=True) for x in (t, b, t - b)]
         return pa.table([rows.column("i"), pa.array(n, pa.int64()), *cols], names=["i", "n_words", "target_loss", "background_loss", "difference"])
 
+    answers = pairs.where(F.col("kind") == PAIRS).unionByName(words.where(F.col("kind") == WORDS).select(pairs.columns))
+    texts = table.select("i", "t", "batch", "place")
     kind = f"i {id_type}, n_words long, target_loss double, background_loss double, difference double"
-    return table.select("i", "t", "batch").groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(score, kind).withColumnRenamed("i", id_col)
-
-
-def in_order(p: np.ndarray) -> np.ndarray:
-    """In the order of hashes; a batch that was read in two parts has asked for some twice."""
-    return p[np.unique(p["k"], return_index=True)[1]]
+    return texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, kind).withColumnRenamed("i", id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
