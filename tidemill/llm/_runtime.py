@@ -81,11 +81,24 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """What is executed inside leaves no shuffle files behind once it has succeeded."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """`df` as a table in the shared folder: the lineage ends here and survives lost executors."""
     spark = df.sparkSession
     at = fresh_dir(spark, label)
-    df.write.parquet(at)
+    with _shuffles_go(spark):
+        df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._tidemill_at = at
     if _OPEN:
