@@ -20,18 +20,17 @@ def brute_force(rows, good):
         if i in good:
             pairs[True].update(seen)
     vocabulary = {b for _, b in pairs[False]}
-    single, before, kinds = ({s: Counter() for s in pairs} for _ in range(3))
+    single, before = ({s: Counter() for s in pairs} for _ in range(2))
     for s, c in pairs.items():
         for (a, b), n in c.items():
             single[s][b] += n
             before[s][a] += n
-            kinds[s][a] += 1
 
     def loss(s, a, b):
         one = (single[s][b] + 1) / (sum(single[s].values()) + len(vocabulary))
         if not before[s][a]:
             return -math.log2(one)
-        return -math.log2(max(pairs[s][a, b] - M.DISCOUNT, 0) / before[s][a] + M.DISCOUNT * kinds[s][a] / before[s][a] * one)
+        return -math.log2(M.SHARE * pairs[s][a, b] / before[s][a] + (1 - M.SHARE) * one)
 
     out = defaultdict(list)
     known: dict = {}

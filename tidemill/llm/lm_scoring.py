@@ -6,16 +6,16 @@ vocabulary is every word of the corpus, and every pair of words is counted as it
 gathered grows with the input; nothing but four totals comes to the driver or is broadcast.
 
 A document is its words and an end; each of them is predicted from the word before it, the first
-from a beginning. Seen pairs are discounted by DISCOUNT, and the rest goes to unigrams smoothed by
-one over the vocabulary and the end. A document's score is the mean over its words and its end of
-the target's loss minus the background's, in bits: lower is more like the target.
+from a beginning. A pair's share of what follows its first word counts SHARE, and the rest goes to
+unigrams smoothed by one over the vocabulary and the end (Jelinek-Mercer). A document's score is the
+mean over its words and its end of the target's loss minus the background's, in bits: lower is more
+like the target.
 
-Texts are taken in batches of about BATCH bytes. A batch sends each of its different pairs once,
-with its count, to a hash cell; the number of cells grows with the input, and a pair's cell goes by
-the pair, so a frequent word has no cell of its own. A cell adds up what all batches have sent and
-answers each of them in the order of its pairs; it also tells the cells of words how often each
-first word occurs and how many different words follow it there. The cells of words answer likewise.
-A frequent pair costs its cell one row a batch, however often the batch has it.
+Texts are taken in batches of about BATCH bytes. A batch sends each of its different pairs and words
+once, with its counts, to a hash cell; the number of cells grows with the input, and a pair's cell
+goes by the pair, so a frequent word has no cell of its own. A cell adds up what all batches have
+sent and answers each in the order of its keys. What is frequent costs its cell one row a batch,
+however often the batch has it.
 
 Words are runs of `[^\\x20\\x09-\\x0D]+`, A-Z as a-z, and stand as 64-bit hashes. Texts are read
 whole; a very long one is a batch of its own. Null and empty texts have no words, no part in the
@@ -32,41 +32,36 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import _kernel as K
 from tidemill.llm import _runtime as R
 
-DISCOUNT = 0.75
-BATCH, CELL = 4 << 20, 2 << 20
+SHARE = 0.75
+BATCH, CELL = 8 << 20, 2 << 20
 PARTITIONS = 1 << 17
 KNOWN_IDS = 2_000_000
 BEGIN, END = np.uint64(1), np.uint64(2)
-#: Kinds of messages: pairs of a batch, words of a batch, what a cell of pairs has for a cell of words.
-PAIRS, WORDS, PARTS = 0, 1, 2
-#: A pair's hash, its first word, how often background and target have it; how often alone, as an answer.
-PAIR = (("k", "<u8"), ("u", "<u8"), ("b", "<u4"), ("t", "<u4"))
-PAIR_COUNT = (("b", "<i8"), ("t", "<i8"))
-#: A word; a word with how often both have it, and how many different words follow it in each; the latter alone.
-WORD = (("k", "<u8"),)
-WORD_COUNT = (("b", "<i8"), ("t", "<i8"), ("kinds_b", "<i8"), ("kinds_t", "<i8"))
-WORD_PART = WORD + WORD_COUNT
+PAIRS, WORDS = 0, 1
+#: A pair's or word's hash, and how often a batch has it in background and target; how often all have it.
+SENT = (("k", "<u8"), ("b", "<u4"), ("t", "<u4"))
+ANSWER = (("b", "<i8"), ("t", "<i8"))
 Columns = dict[str, np.ndarray]
 
 
 def packed(p: Columns, kind: tuple, at: slice = slice(None)) -> bytes:
-    """The columns one after the other: those of counts and of repeated words compress well."""
-    return b"".join(p[name][at].astype(t, copy=False).tobytes() for name, t in kind)
+    """The columns one after the other, each by its first bytes, its second ones and so on: small counts compress well."""
+    return b"".join(p[name][at].astype(t).view(np.uint8).reshape(-1, np.dtype(t).itemsize).T.tobytes() for name, t in kind)
 
 
 def unpacked(data: bytes, kind: tuple) -> Columns:
     n = len(data) // sum(np.dtype(t).itemsize for _, t in kind)
     out, at = {}, 0
     for name, t in kind:
-        out[name] = np.frombuffer(data, t, n, at)
-        at += n * np.dtype(t).itemsize
+        size = np.dtype(t).itemsize
+        out[name] = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T.copy().view(t).ravel()
+        at += n * size
     return out
 
 
@@ -81,18 +76,34 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
 
 
-def dealt(keys: np.ndarray, within: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(what orders sorted `keys` by their cell and `within`, the cells that get some, where they begin and the end)."""
+def dealt(keys: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(what orders sorted `keys` by their cell, the cells that get some, where they begin and the end)."""
     cell = (K.mix(keys) >> np.uint64(32)) % np.uint64(cells)
-    order = np.lexsort((within, cell))
+    order = np.argsort(cell, kind="stable")
     cell = cell[order].astype(np.int64)
     at = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.zeros(0, np.int64)
     return order, cell[at], np.append(at, len(cell))
 
 
+class Keys:
+    """Different keys in order, and the place among them of each of those given."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.order, self.at = distinct(keys)
+        self.keys = keys[self.order[self.at]]
+        self.times = np.diff(np.append(self.at, len(keys)))
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x[self.order].astype(np.int64), self.at) if len(self.at) else np.zeros(0, np.int64)
+
+    def places(self) -> np.ndarray:
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.repeat(np.arange(len(self.at)), self.times)
+        return out
+
+
 class Pairs:
-    """The pairs of some texts: n words of each, and for every word and end of a text its pair and words
-    by their place among the different pairs and words."""
+    """The number of words of some texts, and for each word and end its hash, the one before and the pair's."""
 
     def __init__(self, column: pa.Array) -> None:
         raw, off = K.utf8(column)
@@ -102,10 +113,7 @@ class Pairs:
         h = K.word_hashes(raw, starts, ends)
         self.before, self.after = np.insert(h, first[:-1][self.has], BEGIN), np.insert(h, first[1:][self.has], END)
         self.key = K.mix(K.mix(self.before) + self.after)
-        self.order, self.at = distinct(self.key)
-        self.keys, self.first_words = self.key[self.order[self.at]], self.before[self.order[self.at]]
-        self.words = self.first_words[distinct(self.first_words)[0]]
-        self.words = self.words[np.concatenate(([True], self.words[1:] != self.words[:-1]))] if len(self.words) else self.words
+        self.asked = {PAIRS: Keys(self.key), WORDS: Keys(self.before)}
 
 
 def table_of(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.Table:
@@ -113,12 +121,6 @@ def table_of(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> p
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
-def blobs(table: pa.Table, kind: int) -> list[tuple[int, int, bytes]]:
-    """(batch, part, data) of the messages of a kind."""
-    t = table.filter(pc.equal(table.column("kind"), kind))
-    return list(zip(t.column("batch").to_pylist(), t.column("part").to_pylist(), t.column("data").to_pylist()))
-
-
 MESSAGE = "kind int, cell long, batch long, part int, data binary"
 _MESSAGE = (["kind", "cell", "batch", "part", "data"], [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()])
 _TOTALS = (["n", "b", "t"], [pa.int64()] * 3)
@@ -144,8 +146,8 @@ def runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(int(a), int(b) - int(a))
 
 
-def messages(table: DataFrame, cells: int, word_cells: int) -> DataFrame:
-    """What each part of a batch sends: its pairs with their counts, and the words that it asks for."""
+def messages(table: DataFrame, cells: int) -> DataFrame:
+    """What each part of a batch sends: its pairs and its words with their counts."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,69 +155,45 @@ def messages(table: DataFrame, cells: int, word_cells: int) -> DataFrame:
                 p = Pairs(b.column(0))
                 if not len(p.key):
                     continue
-                good = np.repeat(b.column(1).to_numpy(zero_copy_only=False), np.where(p.has, p.n + 1, 0))[p.order]
-                got = {"k": p.keys, "u": p.first_words, "b": np.diff(np.append(p.at, len(p.key))), "t": np.add.reduceat(good.astype(np.int64), p.at)}
+                good = np.repeat(b.column(1).to_numpy(zero_copy_only=False), np.where(p.has, p.n + 1, 0))
                 batch_no, part = b.column(2)[0].as_py(), b.column(3)[0].as_py()
                 rows = []
-                for kind, layout, c, within, n in ((PAIRS, PAIR, got, p.first_words, cells), (WORDS, WORD, {"k": p.words}, p.words, word_cells)):
-                    order, to, at = dealt(c["k"], within, n)
-                    c = {name: x[order] for name, x in c.items()}
-                    rows += [(kind, int(cell), batch_no, part, packed(c, layout, slice(x, y))) for cell, x, y in zip(to, at[:-1], at[1:])]
+                for kind, a in p.asked.items():
+                    order, to, at = dealt(a.keys, cells)
+                    c = {"k": a.keys[order], "b": a.times[order], "t": a.sums(good)[order]}
+                    rows += [(kind, int(cell), batch_no, part, packed(c, SENT, slice(x, y))) for cell, x, y in zip(to, at[:-1], at[1:])]
                 yield table_of(rows, *_MESSAGE).combine_chunks().to_batches()[0]
         R.relieve()
 
     return table.select("t", "good", "batch", "place").mapInArrow(send, MESSAGE)
 
 
-def counted(table: DataFrame, cells: int, word_cells: int) -> tuple[DataFrame, DataFrame]:
-    """(answers about pairs, answers about words and each cell's totals), each written."""
-
-    def add_pairs(got: pa.Table) -> pa.Table:
-        if got.column("kind")[0].as_py() == WORDS:
-            return got.select(_MESSAGE[0])
-        sent = blobs(got, PAIRS)
-        p = joined([unpacked(data, PAIR) for _, _, data in sent], PAIR)
-        order, at = distinct(p["k"])
-        sums = {name: np.add.reduceat(p[name][order].astype(np.int64), at) for name in ("b", "t")}
-        place = np.empty(len(order), np.int64)  # of each pair sent, among the different ones
-        place[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
-        rows, end, cell = [], 0, got.column("cell")[0].as_py()
-        for batch, part, data in sent:
-            x, end = end, end + len(data) // 24
-            rows.append((PAIRS, cell, batch, part, packed({name: s[place[x:end]] for name, s in sums.items()}, PAIR_COUNT)))
-        u = p["u"][order[at]]
-        of, first = distinct(u)
-        counts = sums | {f"kinds_{name}": (s > 0).astype(np.int64) for name, s in sums.items()}
-        w = {"k": u[of[first]]} | {name: np.add.reduceat(s[of], first) for name, s in counts.items()}
-        of, to, at = dealt(w["k"], w["k"], word_cells)
-        w = {name: x[of] for name, x in w.items()}
-        rows += [(PARTS, int(c), None, None, packed(w, WORD_PART, slice(x, y))) for c, x, y in zip(to, at[:-1], at[1:])]
-        return table_of(rows, *_MESSAGE)
-
-    def add_words(got: pa.Table) -> pa.Table:
-        w = joined([unpacked(data, WORD_PART) for _, _, data in blobs(got, PARTS)], WORD_PART)
-        order, at = distinct(w["k"])
-        known = w["k"][order[at]]
-        w = {name: np.add.reduceat(w[name][order], at) for name, _ in WORD_COUNT}
-        cell = got.column("cell")[0].as_py()
-        rows = [(PARTS, cell, None, None, None, len(known), int(w["b"].sum()), int(w["t"].sum()))]
-        for batch, part, data in blobs(got, WORDS):
-            place = np.searchsorted(known, np.frombuffer(data, np.uint64))
-            rows.append((WORDS, cell, batch, part, packed({name: x[place] for name, x in w.items()}, WORD_COUNT), None, None, None))
+def answers(table: DataFrame, cells: int) -> DataFrame:
+    """The counts over all batches of what each part of a batch has sent, in its order; and, without a
+    batch, for each cell of words n different ones, b and t in all."""
+
+    def add(got: pa.Table) -> pa.Table:
+        kind, cell = got.column("kind")[0].as_py(), got.column("cell")[0].as_py()
+        sent = got.column("data").to_pylist()
+        p = joined([unpacked(data, SENT) for data in sent], SENT)
+        a = Keys(p["k"])
+        sums, place = {name: a.sums(p[name]) for name in ("b", "t")}, a.places()
+        rows, end = [], 0
+        for batch, part, data in zip(got.column("batch").to_pylist(), got.column("part").to_pylist(), sent):
+            x, end = end, end + len(data) // 16
+            rows.append((kind, cell, batch, part, packed({name: s[place[x:end]] for name, s in sums.items()}, ANSWER), None, None, None))
+        if kind == WORDS:
+            rows.append((kind, cell, None, None, None, len(a.keys), int(sums["b"].sum()), int(sums["t"].sum())))
         return table_of(rows, [*_MESSAGE[0], *_TOTALS[0]], [*_MESSAGE[1], *_TOTALS[1]])
 
-    sent = messages(table, cells, word_cells).repartition(min(cells, PARTITIONS), "kind", "cell").groupBy("kind", "cell")
-    pairs = R.written(sent.applyInArrow(add_pairs, MESSAGE), "lm-pairs")
-    asked = pairs.where(F.col("kind") != PAIRS).repartition(min(word_cells, PARTITIONS), "cell").groupBy("cell")
-    words = R.written(asked.applyInArrow(add_words, MESSAGE + ", n long, b long, t long"), "lm-words")
-    return pairs, words
+    sent = messages(table, cells).repartition(min(cells, PARTITIONS), "kind", "cell").groupBy("kind", "cell")
+    return sent.applyInArrow(add, MESSAGE + ", n long, b long, t long")
 
 
-def loss(c: np.ndarray, before: np.ndarray, kinds: np.ndarray, after: np.ndarray, total: int, size: int) -> np.ndarray:
-    """Bits of a word that occurs `after` times, after one that occurs `before` times with `kinds` followers, `c` times with this."""
+def loss(c: np.ndarray, before: np.ndarray, after: np.ndarray, total: int, size: int) -> np.ndarray:
+    """Bits of a word that occurs `after` times, after one that occurs `before` times, `c` times with this."""
     single = (after + 1.0) / (total + size)
-    seen = np.maximum(before, 1)
-    return -np.log2(np.where(before > 0, np.maximum(c - DISCOUNT, 0) / seen + DISCOUNT * kinds / seen * single, single))
+    return -np.log2(np.where(before > 0, SHARE * c / np.maximum(before, 1) + (1 - SHARE) * single, single))
 
 
 def with_target(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -232,34 +210,33 @@ def scored(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_
     R.ship(spark)
     id_type = dict(docs.dtypes)[id_col]
     cells = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), R.input_bytes(docs) // CELL)
-    word_cells = max(8, cells // 8)
     with R.scratch() as keep:
         table = keep(R.written(batched(with_target(docs, target_ids, id_col, text_col), id_type), "lm-batches"))
-        pairs, words = (keep(x) for x in counted(table, cells, word_cells))
-        size, total_b, total_t = (x or 0 for x in words.agg(F.sum("n"), F.sum("b"), F.sum("t")).first())
+        found = keep(R.written(answers(table, cells), "lm-answers"))
+        size, total_b, total_t = (x or 0 for x in found.agg(F.sum("n"), F.sum("b"), F.sum("t")).first())
 
     def losses(column: pa.Array, answered: dict[int, list[tuple[int, bytes]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(words, target's loss, background's loss) of each text of a part; answers come in the order of the questions."""
         p = Pairs(column)
         out = np.full((2, len(p.n)), np.nan)
         if len(p.key):
+            place = {}
             counts = {}
-            for kind, layout, keys, within, n in ((PAIRS, PAIR_COUNT, p.keys, p.first_words, cells), (WORDS, WORD_COUNT, p.words, p.words, word_cells)):
-                order, to, _ = dealt(keys, within, n)
-                got = joined([unpacked(data, layout) for _, data in sorted(answered[kind])], layout)
-                if [c for c, _ in sorted(answered[kind])] != to.tolist() or len(got["b"]) != len(order):
+            for kind, a in p.asked.items():
+                order, to, _ = dealt(a.keys, cells)
+                told = sorted(answered[kind])
+                got = joined([unpacked(data, ANSWER) for _, data in told], ANSWER)
+                if [c for c, _ in told] != to.tolist() or len(got["b"]) != len(order):
                     raise ValueError("answers don't fit the questions of this part")
                 counts[kind] = {name: np.empty_like(x) for name, x in got.items()}
                 for name, x in got.items():
                     counts[kind][name][order] = x
-            place = np.empty(len(p.key), np.int64)
-            place[p.order] = np.repeat(np.arange(len(p.at)), np.diff(np.append(p.at, len(p.key))))
-            u = np.searchsorted(p.words, p.first_words)[place]
-            v = np.searchsorted(p.words, np.where(p.after == END, BEGIN, p.after))  # as many ends as beginnings
+                place[kind] = a.places()
+            after = np.searchsorted(p.asked[WORDS].keys, np.where(p.after == END, BEGIN, p.after))  # as many ends as beginnings
             first = np.concatenate(([0], np.cumsum(p.n[p.has] + 1)[:-1]))
             pair, word = counts[PAIRS], counts[WORDS]
             for side, (c, total) in enumerate((("t", total_t), ("b", total_b))):
-                bits = loss(pair[c][place], word[c][u], word[f"kinds_{c}"][u], word[c][v], total, size)
+                bits = loss(pair[c][place[PAIRS]], word[c][place[WORDS]], word[c][after], total, size)
                 out[side, p.has] = np.add.reduceat(bits, first) / (p.n[p.has] + 1)
         return p.n, out[0], out[1]
 
@@ -274,10 +251,10 @@ def scored(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_
         cols = [pa.array(x, pa.float64(), from_pandas=True) for x in (t, b, t - b)]
         return pa.table([rows.column("i"), pa.array(n, pa.int64()), *cols], names=["i", "n_words", "target_loss", "background_loss", "difference"])
 
-    answers = pairs.where(F.col("kind") == PAIRS).unionByName(words.where(F.col("kind") == WORDS).select(pairs.columns))
+    told = found.where("batch is not null").select(*_MESSAGE[0])
     texts = table.select("i", "t", "batch", "place")
     kind = f"i {id_type}, n_words long, target_loss double, background_loss double, difference double"
-    return texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, kind).withColumnRenamed("i", id_col)
+    return texts.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(score, kind).withColumnRenamed("i", id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
