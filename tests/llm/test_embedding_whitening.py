@@ -40,7 +40,7 @@ def check(got: list, rows: list, count: int) -> None:
         for k, rs in parts.items():
             assert len(rs) == len(out[i])
             for r in rs:
-                assert (r.n, r.deviation) == (fit["n"], out[i][0][0])
+                assert (r.n, r.deviation) == (fit["n"], out[i][0][0] if out[i][0][0] < 2**63 else None)
                 assert r.whitened == pytest.approx(sign[k] * out[i][0][1][k - 1] / math.sqrt(fit["e"][k - 1]), abs=1e-7)
                 assert r.explained == pytest.approx(fit["e"][k - 1] / fit["e"].sum(), rel=1e-9) and 0 <= r.identity_error < 1e-9
     assert len({r.identity_error for r in got}) == 1

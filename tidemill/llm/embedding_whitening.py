@@ -5,7 +5,7 @@ matrix G of A R1^-1 ... Rk^-1 (every task solves its rows against the triangular
 adds up its own d x d matrix; the matrices are summed by row of G), and the driver takes
 R(k+1) = chol(G + shift). The first shift makes G positive definite whatever its condition, later ones are
 of the order of rounding, and there is none once G is close to the identity. Passes end when
-G is a projection to rounding (the identity, if A has full rank). With R = Rk ... R1,
+G is a projection to rounding (the identity, if A has full rank; its trace is the rank). With R = Rk ... R1,
 A'A = R'R, so the SVD of R alone gives the components (right singular vectors) and
 eigenvalues (squares over n). No covariance matrix is formed and squared conditions don't matter.
 
@@ -148,28 +148,22 @@ def _factor(g: np.ndarray, shift: float) -> np.ndarray:
             shift = max(shift, EPS * float(np.trace(g))) * 10
 
 
-def orthogonalised(fit: DataFrame, d: int, n: int, sums: list[int]) -> tuple[np.ndarray, int]:
-    """R with A'A = R'R of the centred fit list A, and the number of passes."""
+def orthogonalised(fit: DataFrame, d: int, n: int, sums: list[int]) -> tuple[np.ndarray, int, int]:
+    """R with A'A = R'R of the centred fit list A, the rank of A, and the number of passes."""
     factors: list[np.ndarray] = []
     for k in range(PASSES):
         done = tuple(factors)
         g, _ = _gram(fit, d, d, lambda x: _solved(centred(x, n, sums), list(done)))
         if not np.trace(g) > 0:
-            return np.zeros((d, d)), k + 1
-        full = float(np.abs(g - np.eye(d)).max())
-        if not k:
-            shift = 11 * d * (d + 1) * EPS * float(np.trace(g))
-        else:
-            shift = 0.0 if full < 0.5 else d * EPS
-        if k and (full < WITHIN or np.abs(g @ g - g).max() < WITHIN):
-            if full < WITHIN:
-                factors.append(_factor(g, 0.0))
+            return np.zeros((d, d)), 0, k + 1
+        near = float(np.abs(g - np.eye(d)).max()) < 0.5
+        factors.append(_factor(g, 11 * d * (d + 1) * EPS * float(np.trace(g)) if not k else 0.0 if near else d * EPS))
+        if k and np.abs(g @ g - g).max() < WITHIN:
             break
-        factors.append(_factor(g, shift))
     r = np.eye(d)
     for f in factors:
         r = f @ r
-    return r, k + 1
+    return r, round(float(np.trace(g))), k + 1
 
 
 def fitted(xs: DataFrame, components: int = COMPONENTS) -> tuple[Whitening | None, DataFrame, int]:
@@ -181,10 +175,9 @@ def fitted(xs: DataFrame, components: int = COMPONENTS) -> tuple[Whitening | Non
     d = lengths.b // 8
     same = fit.where(F.octet_length("x") == 8 * d)
     n, sums = _totals(same, d)
-    r, passes = orthogonalised(same, d, n, sums)
+    r, rank, passes = orthogonalised(same, d, n, sums)
     _, sigma, vt = np.linalg.svd(r)
-    rank = int((sigma > sigma[0] * d * EPS * 8).sum()) if sigma[0] > 0 else 0
-    kept = min(components, rank)
+    kept = min(components, rank, int((sigma > sigma[0] * d * EPS * 8).sum()))
     if not kept:
         return None, same, d
     return Whitening(n, sums, vt[:kept].T, sigma[:kept] ** 2 / n, float((sigma**2).sum() / n), passes), same, d
