@@ -116,3 +116,15 @@ def test_stage_keeps_one_of_each(spark):
     assert got.columns == df.columns
     assert sorted((r.doc_id, r["rows"]) for r in got.collect()) == [(2, 2), (5, 4), (6, 5), (9, 3)]
     assert N.classes(df.limit(0)).count() == 0
+
+
+def test_stage_goes_by_rows_not_by_ids(spark):
+    """Ids that several texts share, and null ids: of near copies one row stays, whatever its id."""
+    base = [f"w{i}" for i in range(60)]
+    near = lambda k: " ".join(base[:k] + ["new"] + base[k + 1 :])
+    other = "a text that is like none of the others here at all"
+    docs = [(3, " ".join(base)), (7, near(5)), (7, other), (None, near(58)), (None, near(1)), (None, "alone with a null id and several words"), (None, None), (8, near(40)), (8, near(40))]
+    got = N.stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), "").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([docs[0], docs[2], docs[5], docs[6]], key=repr)
+    nulls = [(None, near(58)), (None, near(1)), (None, near(30)), (None, near(30))]
+    assert N.stage(spark, spark.createDataFrame(nulls, "doc_id long, text string"), "").count() == 1

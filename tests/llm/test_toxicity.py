@@ -101,3 +101,12 @@ def test_stage_keeps_columns(spark, monkeypatch, tmp_path):
     assert got.columns == docs.columns
     kept = {r.doc_id for r in got.collect() if r.predicted == 7}
     assert np.mean([(i in kept) == (y == 0) for i, _, y in rows]) > 0.97
+
+
+def test_of_several_labels_the_least_counts(spark):
+    """An id labelled 0 and 1 trains once, as clean: with all toxic labels contradicted no model is left."""
+    rows = corpus(200, 3)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = [(i, y) for i, _, y in rows]
+    both = spark.createDataFrame(labels + [(i, 0) for i, y in labels if y] + [(None, 1), (labels[0][0], None)], "doc_id long, toxic int")
+    assert X.trained(docs, both) is None

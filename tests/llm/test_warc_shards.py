@@ -71,3 +71,21 @@ def test_hot_ids_are_cut(spark):
 def test_empty(spark):
     manifest = W.write_archives(spark.createDataFrame([], SCHEMA))
     assert manifest.count() == 0 and W.read_archives(manifest).count() == 0
+
+
+def test_revisits_name_their_response(spark):
+    """A page id stored under many payloads, some of which other pages repeat: headers agree with digests."""
+    rows = [(5, "u", f"payload {k}", "") for k in range(8)] + [(i, "v", f"payload {i}", "") for i in range(3)] + [(5, "u", "payload 1", ""), (None, "n", "payload 2", "")]
+    files = W.write_archives(spark.createDataFrame(rows, SCHEMA), shard_bytes=100).collect()
+    by, refers = {}, []
+    for r in files:
+        for x in gzip.open(f"{urlparse(r.base).path}/{r.file}").read().split(b"WARC/1.1\r\n")[1:]:
+            head = dict(line.split(b": ", 1) for line in x.split(b"\r\n\r\n")[0].split(b"\r\n"))
+            if head[b"WARC-Type"] == b"warcinfo":
+                continue
+            assert head[b"WARC-Record-ID"] not in by
+            by[head[b"WARC-Record-ID"]] = (head[b"WARC-Type"], head[b"WARC-Payload-Digest"])
+            if b"WARC-Refers-To" in head:
+                refers.append((head[b"WARC-Refers-To"], head[b"WARC-Payload-Digest"]))
+    assert len(by) == len(rows) and len(refers) == 5
+    assert all(by[name] == (b"response", digest) for name, digest in refers)

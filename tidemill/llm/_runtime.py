@@ -7,6 +7,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -101,12 +102,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._tidemill_at = at
-    if _OPEN:
-        _OPEN[-1].append(out)
+    if _open():
+        _open()[-1].append(out)
     return out
 
 
-_OPEN: list[list[DataFrame]] = []
+_LOCAL = threading.local()
+
+
+def _open() -> list[list[DataFrame]]:
+    """This thread's: queries that are built at the same time keep to their own tables."""
+    if not hasattr(_LOCAL, "open"):
+        _LOCAL.open = []
+    return _LOCAL.open
 
 
 @contextmanager
@@ -118,15 +126,15 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.append(df)
         return df
 
-    _OPEN.append([])
+    _open().append([])
     try:
         yield keep
     finally:
-        made = _OPEN.pop()
+        made = _open().pop()
         stay = {df._tidemill_at for df in kept}
         drop(*(df for df in made if df._tidemill_at not in stay))
-        if _OPEN:
-            _OPEN[-1].extend(df for df in made if df._tidemill_at in stay)
+        if _open():
+            _open()[-1].extend(df for df in made if df._tidemill_at in stay)
 
 
 def drop(*tables: DataFrame | None) -> None:

@@ -36,7 +36,7 @@ LEAST_BITS, MOST_BITS, PART, CHUNK = 16, 22, 16, 1 << 14
 
 
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).alias("i"), F.xxhash64(id_col).alias("key"), F.col(text_col).cast("string").alias("t"))
+    return docs.select(F.col(id_col).alias("i"), F.xxhash64(id_col, F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("t"))
 
 
 def shingle_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -140,8 +140,8 @@ def levels_from(counts: np.ndarray) -> np.ndarray:
     return np.where(counts <= usual, 0, np.log2(np.maximum(counts, 1)).astype(np.int8) + 1).astype(np.int8)
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN, flush: int = L.FLUSH) -> DataFrame:
-    """id_col, n_shingles, component_id of every row. Linked are sets with den * intersection >= num * union; num / den is 0.75 or more."""
+def _linked(docs: DataFrame, id_col: str, text_col: str, num: int, den: int, flush: int) -> tuple[DataFrame, DataFrame]:
+    """Of each row i, key, n and fp; of each set fp, least (id), first (the row with it), copies, and its component's root, null if it has no links."""
     if 4 * num < 3 * den:
         raise ValueError("the bands of sizes and what sets of one or two shingles match hold from 0.75 up")
     spark = docs.sparkSession
@@ -168,7 +168,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num
         yield from dealer.flush()
         R.relieve()
 
-    by_class = R.written(units.where("fp <> 0").groupBy("fp").agg(F.min("i").alias("least"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("copies")), "classes")
+    by_class = R.written(units.where("fp <> 0").groupBy("fp").agg(F.min("i").alias("least"), F.min(F.struct(F.col("i").isNull().alias("none"), "i", "key")).alias("first"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.count(F.lit(1)).alias("copies")).withColumn("key", F.col("first.key")), "classes")
 
     def sets_for(fps: DataFrame) -> DataFrame:
         wanted = R.written(fps.join(by_class.select("fp", "key"), "fp"), "wanted")
@@ -186,7 +186,13 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num
     with R.scratch() as keep:
         met = L.candidates(rows.mapInArrow(index, L.SCHEMA), cells)
         roots = keep(L.components(L.links(*met, by_class.select("fp", "n", "bits"), sets_for, num, den)))
-    joined = by_class.select("fp", "least", "copies").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    joined = by_class.select("fp", "least", "first", "copies").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return units, joined
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN, flush: int = L.FLUSH) -> DataFrame:
+    """id_col, n_shingles, component_id of every row. Linked are sets with den * intersection >= num * union; num / den is 0.75 or more."""
+    units, joined = _linked(docs, id_col, text_col, num, den, flush)
     merged = joined.where("root is not null")
     least = merged.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = merged.join(least, "root").select("fp", "component_id").unionByName(joined.where("root is null and copies > 1").select("fp", F.col("least").alias("component_id")))
@@ -199,18 +205,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, once: that with the least id; texts without words stay.
-
-    Rows of the kept id with different texts stay apart: of rows that share id and text one stays."""
-    safe, back = R.apart(docs, ("_kept_id", "_kept_rows"))
-    found = classes(safe)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count(F.lit(1)).alias("_kept_rows"))
-    kept = R.written(kept, "kept")
-    out = safe.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")))
-    one = lambda d: back(d.drop("_kept_id", "_kept_rows"))
-    if kept.where("_kept_rows > 1").isEmpty():
+    """One document of each component stays, once: that with the least id (null last; of several with that id, one); texts without words stay."""
+    safe, back = R.apart(docs, ("_row", "_rows"))
+    units, joined = _linked(safe, "doc_id", "text", NUM, DEN, L.FLUSH)
+    first = joined.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"), F.lit(True).alias("stays"))
+    rows = units.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min(F.col("fp") == 0).alias("bare")).join(first, "key", "left")
+    kept = R.written(rows.where("bare or stays").select(F.col("key").alias("_row"), F.when(F.col("bare"), 1).otherwise(F.col("rows")).alias("_rows")), "kept")
+    out = safe.withColumn("_row", F.xxhash64("doc_id", F.col("text").cast("string"))).join(kept, "_row")
+    one = lambda d: back(d.drop("_row", "_rows"))
+    if kept.where("_rows > 1").isEmpty():
         return one(out)
-    return one(out.where("_kept_rows = 1")).unionByName(one(out.where("_kept_rows > 1").dropDuplicates(["doc_id", "text"])))
+    return one(out.where("_rows = 1")).unionByName(one(out.where("_rows > 1").dropDuplicates(["doc_id", "text"])))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_ngram_jaccard": query}

@@ -356,7 +356,8 @@ def trained(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sent
     """A model of `labels` (doc_id, toxic), fitted in a task to at most 2 * per_class documents' sentences; the driver gets the model alone."""
     R.ship(docs.sparkSession)
     known = labels.select(F.col("doc_id").alias("i"), F.col("toxic").cast("int").alias("y")).where(F.col("i").isNotNull() & F.col("y").isin(0, 1) & ~is_held_out(F.col("i")))
-    ids = [known.where(F.col("y") == y).groupBy("i").agg(F.min("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(per_class) for y in (0, 1)]
+    known = known.groupBy("i").agg(F.min("y").alias("y"))
+    ids = [known.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(per_class) for y in (0, 1)]
     sample = ids[0].unionByName(ids[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

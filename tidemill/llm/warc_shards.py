@@ -8,7 +8,8 @@ to gzip members in one file after another; a file is closed once it has
 `roll_bytes` compressed bytes. Each record's headers and digests are made from
 its payload. A file is written under a temporary name with the task attempt in
 it, then moved to its final name; the manifest, written last, lists the
-committed files with their sizes and SHA-1. A task that runs again makes the
+committed files with their sizes and SHA-1. A record is named by its page id, its payload's digest
+and its place among repeated rows, so a revisit names its response wherever that is. A task that runs again makes the
 same bytes under the same name. The reader opens what the manifest lists.
 
 Of records with equal payloads of at least `min_dedup` bytes the one with the
@@ -85,15 +86,15 @@ def http(payload: bytes) -> bytes:
 
 
 def record(page_id: int | None, ordinal: int, url: str, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    name = "null" if page_id is None else str(page_id)
+    name = lambda i, k: f"<urn:x-page:{'null' if i is None else i}:{base32_sha1(payload)}:{k}>"
     block = http(payload) + (b"" if revisit else payload)
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:x-page:{name}:{ordinal}>", "WARC-Date: 1970-01-01T00:00:00Z",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(page_id, ordinal)}", "WARC-Date: 1970-01-01T00:00:00Z",
         "WARC-Target-URI: " + "".join(c if c > " " else f"%{ord(c):02X}" for c in url), "Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}",
         f"X-Payload-Length: {len(payload)}",
     ]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:x-page:{'null' if refers_to is None else refers_to}:0>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to, 0)}"]
     head.append(f"Content-Length: {len(block)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -178,8 +179,8 @@ def write_archives(pages: DataFrame, base: str | None = None, min_dedup: int = 0
                             if roller.done:
                                 yield pa.RecordBatch.from_pylist([dict(zip(("shard", "file", "records", "bytes", "sha1"), x)) for x in roller.done], schema=arrow)
                         roller, last = Roller(base, s, roll_bytes, attempt), None
-                    ordinal = ordinal + 1 if last == (i,) else 0
-                    last = (i,)
+                    ordinal = ordinal + 1 if last == (i, d) else 0
+                    last = (i, d)
                     copy = verdict is not None and verdict[:2] == (i, d)
                     revisit = copy and (verdict[2] != i or responded == (i, d))
                     if not revisit:
@@ -228,7 +229,7 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
         f, block = parse(raw)
         if f["WARC-Type"] == "warcinfo":
             return None
-        _, name, ordinal = f["WARC-Record-ID"][1:-1].rsplit(":", 2)
+        _, name, _, ordinal = f["WARC-Record-ID"][1:-1].rsplit(":", 3)
         said, payload = f["WARC-Payload-Digest"].removeprefix("sha1:"), None
         ok = f["WARC-Block-Digest"] == f"sha1:{base32_sha1(block)}"
         if f["WARC-Type"] == "response":
@@ -237,7 +238,7 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
         refers = f.get("WARC-Refers-To")
         return {
             "page_id": number(name), "url": f["WARC-Target-URI"], "payload_bytes": int(f["X-Payload-Length"]) if payload is None else len(payload), "payload_digest": said, "record_type": f["WARC-Type"],
-            "refers_to": number(refers[1:-1].rsplit(":", 2)[1]) if refers else None, "digest_ok": ok, "payload": payload if payloads else None, "ordinal": int(ordinal),
+            "refers_to": number(refers[1:-1].rsplit(":", 3)[1]) if refers else None, "digest_ok": ok, "payload": payload if payloads else None, "ordinal": int(ordinal),
         }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
