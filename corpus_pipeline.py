@@ -17,13 +17,17 @@ STAGES: list[tuple[str, Stage]] = [
     ("source_mixing", source_mixing.stage),
 ]
 #: No SQL: a trained model, shingle sets of whole texts and tiling are tested against brute force instead.
-
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over `documents`; what each returns is written and read again as the next one's input."""
+    """The stages over `documents`; what each returns is written and read again as the next one's input.
+
+    A stage's tables go once its result is written, and that result once the next one is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = _runtime.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with _runtime.scratch() as keep:
+            after = keep(_runtime.written(stage(spark, docs, sf_dir), f"stage-{name}"))
+        _runtime.drop(docs)
+        docs = after
     return docs
