@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemill.plans.registry import query, table
 from tidemill.sources import calendar, formats
-from tidemill.streaming.events import shared
+from tidemill.sources.shared import fresh
 
 cloudpickle.register_pickle_by_value(calendar)  # executors needn't have this package
 
@@ -103,7 +102,7 @@ def python_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def format_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name", F.col("n_nationkey").cast("long").alias("k"))
     for kind in ("csv", "json", "orc", "xml", "parquet"):
-        at = f"{shared(spark)}/formats-{uuid.uuid4().hex}"
+        at = fresh(spark, "formats")
         formats.write(rows, at, kind)
         rows = formats.read(spark, at, kind, rows.schema)
     return rows
@@ -111,7 +110,7 @@ def format_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("text_lines", "SELECT n_nationkey AS k, n_name AS name FROM nation")
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = f"{shared(spark)}/formats-{uuid.uuid4().hex}"
+    at = fresh(spark, "formats")
     formats.write(table(spark, sf_dir, "nation").select(F.concat_ws("\t", "n_nationkey", "n_name").alias("value")), at, "text")
     line = F.split("value", "\t")
     return spark.read.text(at).select(F.element_at(line, 1).cast("int").alias("k"), F.element_at(line, 2).alias("name"))
@@ -120,7 +119,7 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("partitioned_write", "SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderpriority")
 def partitioned_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders in a folder for each status; the filter reads one folder."""
-    at = f"{shared(spark)}/orders-{uuid.uuid4().hex}"
+    at = fresh(spark, "orders")
     orders = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", "o_totalprice")
     formats.write(orders, at, "parquet", ["o_orderstatus"])
     kept = formats.read(spark, at, "parquet", orders.schema).where("o_orderstatus = 'F'")

@@ -1,13 +1,7 @@
-"""Event streams: file source, watermarked windows, sessions, deduplication, stream-stream joins, state by key.
-
-A replay runs a stream over what its source has now and keeps every batch's result in a table of the
-shared folder, so nothing of it passes through the driver.
-"""
+"""Event streams: file source, watermarked windows, sessions, deduplication, stream-stream joins, state by key."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,23 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def shared(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only on a local master where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return base or f"file://{tempfile.mkdtemp(prefix='tidemill-')}"
-
-
 def stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """A table's files as a stream, event time as a timestamp (a watermark needs one)."""
+    """The parquet files under `path` as a stream, oldest first, event time as a timestamp (a watermark needs one)."""
     schema = spark.read.parquet(path).schema
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path if not path.endswith(".parquet") else f"{path[:-1]}[{path[-1]}]")
     return source.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def counted(events: DataFrame, size: str, late: str, slide: str | None = None) -> DataFrame:
-    """Events by tumbling or sliding window and type; state older than `late` behind the newest event is dropped."""
+    """Events by tumbling or sliding window and type. In append mode a window is given once it is older than `late` behind the
+    newest event, and its state and all later events of it are dropped; in complete mode all state stays."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size, slide).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -46,11 +33,14 @@ def deduplicated(events: DataFrame, keys: list[str], late: str) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def followed(first: DataFrame, second: DataFrame, within: str, late: str) -> DataFrame:
-    """Pairs of an event of `first` and one of `second` of the same user that comes at most `within` later."""
+def followed(first: DataFrame, second: DataFrame, within: str, late: str, how: str = "inner") -> DataFrame:
+    """Pairs of an event of `first` and one of `second` of the same user that comes at most `within` later.
+
+    With how = "leftOuter" an event of `first` that nothing follows is given too, with nulls, once the watermark
+    has passed the last time at which something could: it is emitted as its state is evicted."""
     a = first.select("user_id", F.col("ts").alias("ta"), F.col("event_id").alias("first_id")).withWatermark("ta", late)
     b = second.select(F.col("user_id").alias("user_b"), F.col("ts").alias("tb"), F.col("event_id").alias("second_id")).withWatermark("tb", late)
-    return a.join(b, (F.col("user_id") == F.col("user_b")) & (F.col("tb") >= F.col("ta")) & (F.col("tb") <= F.col("ta") + F.expr(f"interval {within}")))
+    return a.join(b, (F.col("user_id") == F.col("user_b")) & (F.col("tb") >= F.col("ta")) & (F.col("tb") <= F.col("ta") + F.expr(f"interval {within}")), how)
 
 
 def running_totals(events: DataFrame) -> DataFrame:
@@ -64,24 +54,3 @@ def running_totals(events: DataFrame) -> DataFrame:
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "most": [most]})
 
     return events.select("user_id", "value").groupBy("user_id").applyInPandasWithState(add, "user_id long, n long, most double", "n long, most double", "update", GroupStateTimeout.NoTimeout)
-
-
-def replayed(result: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a streaming result over what its sources have now: all rows in append mode, the last batch's in complete
-    mode, and in update mode all that were sent, with `batch`, the number of the batch."""
-    spark = result.sparkSession
-    at = f"{shared(spark)}/replay-{uuid.uuid4().hex}"
-    spark.createDataFrame([], result.schema).withColumn("batch", F.lit(0).cast("long")).write.parquet(f"{at}/table")
-
-    def keep(rows: DataFrame, batch: int) -> None:
-        rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("append").parquet(f"{at}/table")
-
-    run = result.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    got = spark.read.parquet(f"{at}/table")
-    if mode == "update":
-        return got
-    if mode == "complete":
-        last = got.agg(F.max("batch")).first()[0]
-        got = got.where(F.col("batch") == (last or 0))
-    return got.drop("batch")
