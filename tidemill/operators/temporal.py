@@ -6,19 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str], slice_seconds: int | None = None) -> DataFrame:
     """Each row of `left` with `values` of the last row of `right` of the same key that isn't later; null if none.
 
     One shuffle by key: both sides in one table, and a window that carries the last right row along.
-    Of right rows at the same time the one with the largest values counts. A key's rows are in order in one task.
-    """
+    Of right rows at the same time the one with the largest values counts. With `slice_seconds` a key's rows are parted by slices of time,
+    each in order in its task, and rows that come before all right rows of their slice take the last one of an earlier slice, which a table of a row a slice
+    carries over; without it a key's rows are in order in one task."""
     taken = F.struct(*(F.col(v) for v in values))
     r = right.select(*by, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), taken.alias("_v"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_row"))
     row = F.struct("*")
     lrows = left.select(*by, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(taken).schema[0].dataType).alias("_v"), row.alias("_row"))
-    w = Window.partitionBy(*by).orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = r.unionByName(lrows).withColumn("_last", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
-    return both.select("_row.*", *(F.col("_last")[v].alias(v) for v in values))
+    both, keys = r.unionByName(lrows), [*by]
+    if slice_seconds:
+        both, keys = both.withColumn("_slice", F.floor(F.unix_seconds(F.col("_t").cast("timestamp")) / slice_seconds)), [*by, "_slice"]
+    w = Window.partitionBy(*keys).orderBy("_t", "_side", "_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = both.withColumn("_last", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    if slice_seconds:
+        ends = both.groupBy(*keys).agg(F.max(F.when(F.col("_side") == 0, F.struct("_t", "_v"))).alias("_end"))
+        before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(*keys, F.last(F.col("_end._v"), ignorenulls=True).over(before).alias("_carried"))
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys]
+        cond = same[0]
+        for x in same[1:]:
+            cond = cond & x
+        last = last.where("_last is not null").select("_row", "_last").unionByName(last.where("_last is null").alias("a").join(carried.alias("b"), cond, "left").select("a._row", F.col("b._carried").alias("_last")))
+    return last.select("_row.*", *(F.col("_last")[v].alias(v) for v in values))
 
 
 def interval_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, before: str, after: str, bucket_seconds: int) -> DataFrame:

@@ -69,10 +69,11 @@ def sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").withColumn("price", F.col("l_extendedprice"))
     parts = li.groupBy("l_returnflag", "l_linestatus").agg(F.hll_sketch_agg("l_orderkey").alias("h"), F.theta_sketch_agg("l_orderkey").alias("t"), F.kll_sketch_agg_double("price").alias("k"))
     merged = parts.groupBy("l_returnflag").agg(F.hll_sketch_estimate(F.hll_union_agg("h")).alias("h"), F.theta_sketch_estimate(F.theta_union_agg("t")).alias("t"))
-    exact = li.groupBy("l_returnflag").agg(
-        F.countDistinct("l_orderkey").alias("d"), F.percentile("price", 0.5).alias("mid"), F.percentile_approx("price", 0.5, 10000).alias("approx"), F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("price"), F.lit(0.5)).alias("k"),
+    keys = li.select("l_returnflag", "l_orderkey").distinct().groupBy("l_returnflag").agg(F.count("l_orderkey").alias("d"))  # apart, or each order would have sketches of its own
+    exact = keys.join(li.groupBy("l_returnflag").agg(
+        F.percentile("price", 0.5).alias("mid"), F.percentile_approx("price", 0.5, 10000).alias("approx"), F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("price"), F.lit(0.5)).alias("k"),
         F.percentile("price", F.array(F.lit(0.44), F.lit(0.56))).alias("about"),
-    )
+    ), "l_returnflag")
     within = lambda x: (F.col(x) >= F.col("about")[0]) & (F.col(x) <= F.col("about")[1])
     near = lambda x: F.abs(F.col(x) - F.col("d")) <= 0.05 * F.col("d")
     return exact.join(merged, "l_returnflag").select("l_returnflag", near("h").alias("hll_near"), within("k").alias("kll_near"), within("approx").alias("percentile_near"), near("t").alias("theta_near"))

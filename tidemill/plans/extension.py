@@ -8,12 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.plans.registry import query, table
 from tidemill.sources import calendar, formats
-from tidemill.sources.shared import fresh
+from tidemill.sources.shared import fresh, input_bytes
 
 cloudpickle.register_pickle_by_value(calendar)  # executors needn't have this package
 
@@ -34,17 +34,22 @@ def pandas_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT o_custkey, round(sum(CASE WHEN i = 1 THEN x * pow(0.7, n - 1) ELSE 0.3 * x * pow(0.7, n - i) END), 2) AS smoothed FROM n GROUP BY o_custkey""",
 )
 def grouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exponential smoothing of each customer's orders: every value depends on the one before. A group is one customer."""
+    """Exponential smoothing of each customer's orders: every value depends on the one before. A group is a bucket of customers, of about 8 MB."""
 
     def smooth(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values(["o_orderdate", "o_orderkey"])["o_totalprice"].to_numpy()
-        s = x[0]
-        for v in x[1:]:
-            s = 0.3 * v + 0.7 * s
-        return pd.DataFrame({"o_custkey": rows.o_custkey.iloc[:1], "smoothed": [s]})
+        rows = rows.sort_values(["o_custkey", "o_orderdate", "o_orderkey"])
+        customer, price = rows["o_custkey"].to_numpy(), rows["o_totalprice"].to_numpy()
+        first = np.flatnonzero(np.concatenate(([True], customer[1:] != customer[:-1])))
+        length, s = np.diff(np.append(first, len(customer))), price[first]
+        for k in range(1, int(length.max())):  # the k-th order of all customers that have so many
+            more = length > k
+            s[more] = 0.3 * price[first[more] + k] + 0.7 * s[more]
+        return pd.DataFrame({"o_custkey": customer[first], "smoothed": s})
 
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
-    return o.groupBy("o_custkey").applyInPandas(smooth, "o_custkey long, smoothed double").withColumn("smoothed", F.round("smoothed", 2))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(o) >> 23)
+    by = F.pmod(F.xxhash64("o_custkey"), F.lit(buckets))
+    return o.groupBy(by.alias("bucket")).applyInPandas(smooth, "o_custkey long, smoothed double").withColumn("smoothed", F.round("smoothed", 2))
 
 
 @query("grouped_aggregate", "SELECT o_custkey, round(exp(avg(ln(o_totalprice))), 2) AS geometric FROM orders GROUP BY o_custkey")
@@ -60,23 +65,24 @@ def grouped_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT p.event_id, e.event_id AS click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') e ON p.user_id = e.user_id AND p.ts >= e.ts""",
 )
 def cogrouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last click before each purchase; a group is one user's day, and the day before it carries the last click over."""
+    """The last click before each purchase; a group is one day of a bucket of users, and what is known the day before carries the last click over."""
 
     def latest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a):
             return pd.DataFrame({"event_id": [], "click_id": []}, dtype="Int64")
-        b = b.rename(columns={"event_id": "click_id"})[["ts", "click_id"]].sort_values("ts")
-        met = pd.merge_asof(a.sort_values("ts")[["ts", "event_id"]], b, on="ts")
+        b = b.rename(columns={"event_id": "click_id"})[["ts", "user_id", "click_id"]].astype({"click_id": "Int64"}).sort_values("ts")
+        met = pd.merge_asof(a.sort_values("ts")[["ts", "user_id", "event_id"]], b, on="ts", by="user_id")
         return pd.DataFrame({"event_id": met["event_id"].astype("Int64"), "click_id": met["click_id"].astype("Int64")})
 
-    e = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", "event_type")
-    clicks = e.where("event_type = 'click'").select(*(F.col(c).alias(c) for c in e.columns))
-    days = e.where("event_type = 'purchase'").select("user_id", "day").distinct()
-    last = clicks.groupBy("user_id", "day").agg(F.max(F.struct("ts", "event_id")).alias("m"))
-    carried = days.join(last.withColumnRenamed("day", "d"), "user_id").where("d < day").groupBy("user_id", "day").agg(F.max("m").alias("m")).select("user_id", "day", "m.ts", "m.event_id")
-    known = clicks.select("user_id", "day", "ts", "event_id").unionByName(carried).select(F.col("user_id").alias("u"), F.col("day").alias("d"), F.col("ts").alias("ts"), F.col("event_id").alias("event_id"))
-    bought = e.where("event_type = 'purchase'").select("user_id", "day", "ts", "event_id")
-    return bought.groupBy("user_id", "day").cogroup(known.groupBy("u", "d")).applyInPandas(latest, "event_id long, click_id long")
+    e = table(spark, sf_dir, "events")
+    buckets = max(1, input_bytes(e) >> 27)
+    e = e.select("user_id", F.to_date("ts").alias("day"), "ts", "event_id", "event_type", F.pmod(F.xxhash64("user_id"), F.lit(buckets)).alias("bucket"))
+    days = e.groupBy("user_id", "bucket", "day").agg(F.max(F.when(F.col("event_type") == "click", F.struct("ts", "event_id"))).alias("m"))
+    before = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.withColumn("m", F.last("m", ignorenulls=True).over(before)).where("m is not null").select("user_id", "bucket", "day", "m.ts", "m.event_id")
+    known = e.where("event_type = 'click'").select("user_id", "bucket", "day", "ts", "event_id").unionByName(carried)
+    bought = e.where("event_type = 'purchase'").select("user_id", "bucket", "day", "ts", "event_id")
+    return bought.groupBy("bucket", "day").cogroup(known.groupBy("bucket", "day")).applyInPandas(latest, "event_id long, click_id long")
 
 
 @query("table_function", "SELECT event_id, CAST(i AS BIGINT) AS digit_at, substr(CAST(event_id AS VARCHAR), CAST(i AS INTEGER), 1) AS digit FROM events, generate_series(1, 9) t(i) WHERE i <= length(CAST(event_id AS VARCHAR))")
@@ -92,10 +98,18 @@ def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.lateralJoin(Digits(F.col("event_id").outer())).select("event_id", "digit_at", "digit")
 
 
-@query("python_source", "SELECT CAST(d AS DATE) AS day, CAST(weekofyear(d) AS INTEGER) AS week, isodow(d) > 5 AS weekend FROM generate_series(TIMESTAMP '2023-01-01', TIMESTAMP '2024-12-31', INTERVAL 1 DAY) t(d)")
+@query(
+    "python_source",
+    """SELECT CAST(weekofyear(o_orderdate) AS INTEGER) AS week, isodow(o_orderdate) > 5 AS weekend, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2""",
+)
 def python_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by week and part of the week, with the days of their years from a Python source."""
     spark.dataSource.register(calendar.CalendarSource)
-    return spark.read.format("calendar").option("first", 2023).option("last", 2024).load()
+    o = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"), "o_totalprice")
+    first, last = o.agg(F.min(F.year("day")), F.max(F.year("day"))).first()
+    days = spark.read.format("calendar").option("first", first or 2000).option("last", last or 2000).load()
+    by_day = o.groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
+    return by_day.join(days, "day").groupBy("week", "weekend").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 2).alias("total"))
 
 
 @query("format_round_trip", "SELECT r_name, n_name, CAST(n_nationkey AS BIGINT) AS k FROM nation JOIN region ON n_regionkey = r_regionkey")

@@ -111,11 +111,11 @@ def lateral_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "exists_in_having",
-    """SELECT o_custkey, count(*) AS n FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) GROUP BY o_custkey
+    """SELECT o_custkey, count(*) AS n FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 5) GROUP BY o_custkey
     HAVING count(*) > (SELECT avg(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey) t)""",
 )
 def exists_in_having(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").where("l_quantity > 45")
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").where("l_quantity > 5")
     mean = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).agg(F.avg("n").alias("mean"))
     some = o.join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
     return some.crossJoin(mean).where("n > mean").select("o_custkey", "n")  # the mean is one row

@@ -159,12 +159,16 @@ def salted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("n_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query(
-    "recursive_series",
-    "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT CAST(n AS BIGINT) AS n, f FROM t",
-)
+_CHAIN = """WITH RECURSIVE o AS (SELECT {key} AS k, {region} AS r, {name} AS name, row_number() OVER (PARTITION BY {region} ORDER BY {key}) AS i FROM {nation}),
+    t(r, i, chain) AS (SELECT r, CAST(1 AS BIGINT), name FROM o WHERE i = 1 UNION ALL SELECT t.r, t.i + 1, concat(t.chain, '>', o.name) FROM t JOIN o ON o.r = t.r AND o.i = t.i + 1)
+    SELECT r AS n_regionkey, i, chain FROM t"""
+_NATION = {"key": "n_nationkey", "region": "n_regionkey", "name": "n_name"}
+
+
+@query("recursive_series", _CHAIN.format(nation="nation", **_NATION))
 def recursive_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql("WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT CAST(n AS BIGINT) AS n, f FROM t")
+    """The chains of each region's nations, every one with its next nation added."""
+    return spark.sql(_CHAIN.format(nation=f"parquet.`{sf_dir}/nation.parquet`", **_NATION))
 
 
 @query(

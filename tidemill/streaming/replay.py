@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemill.sources.shared import delete, fresh, input_bytes
 from tidemill.streaming.events import stream
@@ -87,7 +88,7 @@ def replay(result: DataFrame, mode: str = "append", idle: bool = True) -> Replay
     run: StreamingQuery = result.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     spark.conf.set(name, was)  # the stream has its own copy
     run.awaitTermination()
-    got = spark.read.schema(result.schema.add("batch", "long")).parquet(f"{at}/table")
+    got = spark.read.schema(StructType([*result.schema, StructField("batch", LongType())])).parquet(f"{at}/table")
     return Replay(got if mode == "update" else got.drop("batch"), list(run.recentProgress))
 
 
