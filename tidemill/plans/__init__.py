@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("relational", "joins", "aggregates", "scalar", "functions", "temporal", "vector", "streams", "extension", "analytics")
+AREAS = ("relational", "joins", "aggregates", "scalar", "functions", "temporal", "vector", "streams", "extension", "analytics", "privacy")
 
 
 def load_all() -> None:
