@@ -56,3 +56,69 @@ def test_pages(spark):
     odd = spark.createDataFrame([(1, None, None, "t"), (1, None, None, "t"), (None, "u", f"<article>{LONG}", "t")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id or 0, r.text) for r in H.extracted(odd).collect()) == [(0, LONG), (1, ""), (1, "")]
     assert H.extracted(pages.limit(0)).count() == 0
+
+
+POLISH = "Wczoraj wieczorem mieszkańcy miasta zobaczyli niezwykłe zjawisko świetlne nad rzeką. " * 2
+PLACES = [
+    (f"<body><form><div><p>{LONG} {LONG}</p></div></form></body>", f"{LONG} {LONG}"),
+    (f"<nav><a href=x>the home of it</a> <a href=y>and the news</a></nav><article><p>{POLISH}</p><p>Nikt nie potrafi tego do dziś wyjaśnić.</p></article>", f"{POLISH.strip()}\nNikt nie potrafi tego do dziś wyjaśnić."),
+    (f"<div class='side'><p>{LONG} {LONG} {LONG}</p></div>", f"{LONG} {LONG} {LONG}"), ("<p>Short note only.</p>", "Short note only."),
+    (f"<main><p>{LONG}</p><section class='reviews'><p>{LONG} {LONG} {LONG}</p></section></main>", f"{LONG}\n{LONG} {LONG} {LONG}"),
+    (f"<article><p>{LONG}</p></article><section><h2>3 Comments</h2><article><p>{LONG}</p></article></section>", LONG),
+    (f"<article><p>{LONG}</p><div><h3>Kommentare (2)</h3><p>{LONG}</p></div><p>{LONG}</p></article>", f"{LONG}\n{LONG}"),
+    (f"<div class='sidebar'><p>{LONG} {LONG} {LONG}</p></div><p>{LONG} {LONG} {LONG}</p>", f"{LONG} {LONG} {LONG}"),
+    (f"<div class='sidebar'><p>{LONG} {LONG} {LONG}</p></div><p>{'nostop ' * 40}</p><p>that is for you</p>", f"{LONG} {LONG} {LONG}"),
+]
+
+
+@pytest.mark.parametrize("html,text", PLACES)
+def test_place_is_only_evidence(html, text):
+    assert H.main_text(html) == text
+
+
+def brute(found: list) -> list[str]:
+    """The two passes over blocks whose place says nothing, every neighbour looked for anew."""
+    counts = [(sum(w.strip(".,;:!?\"'()") in H.STOP for w in b.text.lower().split()), len(b.text.split())) for b in found]
+    linked = [b.linked > 0.4 * b.size for b in found]
+    known = sum(s for (s, _), x in zip(counts, linked) if not x) >= 0.02 * sum(w for (_, w), x in zip(counts, linked) if not x)
+    labels = []
+    for b, (s, w), x in zip(found, counts, linked):
+        p = -(2 if b.leaf else 4) if x else 0
+        if len(b.text) >= 70:
+            p += (3 if s >= 0.18 * w else 2 if s >= 0.08 * w or not known else -2) + (len(b.text) >= 200)
+        labels.append("good" if p >= 3 else "bad" if p < 0 else "?")
+    out = []
+    for i, x in enumerate(labels):
+        if x == "?":
+            before = next((k for k in range(i - 1, -1, -1) if labels[k] != "?"), None)
+            after = next((k for k in range(i + 1, len(labels)) if labels[k] != "?"), None)
+            near = [k for k in (before, after) if k is not None]
+            if before is None and not found[i].heading:
+                x = "bad"
+            elif len(near) == 1:
+                x = labels[near[0]]
+            elif found[i].heading:
+                x = labels[after]
+            else:
+                x = labels[before if i - before <= after - i else after]
+        out.append(x)
+    return out
+
+
+def test_pages_without_their_marks(spark):
+    """Tags and classes that name the article or the furniture gone: blocks are judged by the rules alone, and most of the text is still found."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    found_chars = all_chars = given = by_rules = 0
+    for r in pages:
+        want = set(H.main_text(r.html).split("\n"))
+        html = re.sub(r"<(/?)(article|nav|footer|header|aside|main)\b[^>]*>", r"<\1div>", re.sub(r' class="[^"]*"', "", r.html))
+        blocks, has_article = H.blocks(html)
+        assert not has_article and not any(b.furniture for b in blocks)
+        got = H.main_text(html)
+        labels = brute(blocks)
+        if "good" in labels:
+            by_rules += 1
+            assert got == "\n".join(b.text for b, x in zip(blocks, labels) if x == "good")
+        lines = set(got.split("\n"))
+        found_chars, all_chars, given = found_chars + sum(map(len, want & lines)), all_chars + sum(map(len, want)), given + sum(map(len, lines))
+    assert by_rules > 200 and found_chars > 0.9 * all_chars and found_chars > 0.85 * given

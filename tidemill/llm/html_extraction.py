@@ -1,16 +1,18 @@
 """Main text of web pages by two-pass block rules.
 
 The page is tokenized as HTML (quotes count only where an attribute's value begins) and
-cut into blocks at block-level tags. The first pass gives every block points: for its density of
-stop words, its length and its link density, and as further evidence for where it stands
-(inside an article or main element or outside the one that the page has; in a menu, header,
-footer, sidebar, notice, advert, form or comment section by element, role or class). Blocks of 3
-points or more are good, below 0 bad, and what lies between is open. In the second pass an open block
-takes the label of its nearest decided neighbours: that of both if they agree,
-else of the nearer one, a heading that of the block it leads. Blocks that are bad for where
-they stand, not for what they are, say nothing of their neighbours in an article.
-
-A page on which hardly any word is a stop word of the languages known here is judged by
+cut into blocks at block-level tags. The first pass gives every block points for what it is: its density of
+stop words (-2 to 3), its length (1) and its link density (to -4). Where it stands is evidence of bounded weight: 2 inside an
+article or main element, -3 outside the one that the page has, or in a menu, header, footer, sidebar, notice, advert, form or
+comment section by element, role, class or the section's own heading. Blocks of 3 points or more are good, below 0 bad, and what
+lies between is ambiguous. In the second pass ambiguous blocks that evidence speaks against are bad, the others
+take the label of their nearest decided neighbours: that of both if they agree,
+else of the nearer one, a heading that of the block it leads. Of a page with an article only blocks in it decide about others.
+
+Where no block is good, the ambiguous ones inside an article are; without any, blocks are judged again by what they are,
+whatever speaks against their place (a page that is one form); and if still none is good, paragraphs that nothing speaks against are.
+
+A page on whose candidate blocks hardly any word is a stop word of the languages known here is judged by
 length and links. Null html is an empty page, and gives an empty string. Unclosed comments end
 with the page; a tag that the page's end cuts off is markup and goes. Repeated rows each
 get their row; pages of any length are read whole, in time that grows with their length; an empty
@@ -36,9 +38,9 @@ RAW = set("script style noscript template textarea title svg iframe object canva
 FURNITURE = set("nav header footer aside form menu dialog fieldset".split())
 ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status note".split())
 NAMES = set(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner sidebar side aside rail menu nav navbar navigation breadcrumb breadcrumbs footer foot header masthead topbar toolbar "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register paywall comment comments commentlist respond reply replies disqus discussion feedback reviews "
-    "share sharing social related recommended recommendations widget widgets pagination pager legal copyright tags tagcloud search form outbrain taboola skip".split()
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer foot header masthead topbar toolbar "
+    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register paywall comment comments commentlist respond reply replies disqus feedback "
+    "share sharing social related recommended recommendations widget widgets pagination pager legal copyright tagcloud search form outbrain taboola skip".split()
 )
 STOP = set(
     "the of and to in is that it was for on are as with be by at this have from or an not they which you "
@@ -48,8 +50,10 @@ STOP = set(
 )
 #: Words that only say where or what kind of box something with one of NAMES is.
 BOXES = set("site page main top bottom left right list box area section block blocks wrapper wrap container content item items link links post bar panel header inner outer group row col column unit slot text".split())
+#: What a section of readers' comments is headed in the languages known here, with or without their number.
+COMMENTS = re.compile(r"(?:\d+ )?(?:reader |user )?(?:comments?|kommentare?|commentaires?|comentarios?)(?: \(?\d+\)?)?:?", re.I)
 SHORT, LONG, LOW, HIGH, LINKS = 70, 200, 0.08, 0.18, 0.4
-GOOD, UNKNOWN = 3, 0.02
+GOOD, UNKNOWN, FOR, AGAINST = 3, 0.02, 2, -3
 
 _COMMENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?![a-zA-Z])[^>]*(?:>|\Z)", re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|(?=>)))?+)*+)>", re.S)
@@ -59,12 +63,12 @@ _ENDS: dict[str, re.Pattern] = {}
 
 
 class Block:
-    __slots__ = ("parts", "linked", "size", "inside", "furniture", "heading", "leaf", "text")
+    __slots__ = ("parts", "linked", "size", "inside", "furniture", "heading", "leaf", "text", "box")
 
     def __init__(self, inside: bool, furniture: bool, tag: str) -> None:
         self.parts: list[str] = []
         self.linked = self.size = 0
-        self.inside, self.furniture = inside, furniture
+        self.inside, self.furniture, self.box = inside, furniture, 0
         self.heading, self.leaf = tag[:1] == "h" and tag in LEAF, tag in LEAF
         self.text = ""
 
@@ -92,7 +96,9 @@ def named(token: str) -> bool:
 def blocks(html: str) -> tuple[list[Block], bool]:
     """The page's blocks that have text, and whether it has an article or main element."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, inside an article, furniture
+    stack: list[tuple[str, bool, bool, int]] = []  # name, inside an article, furniture, number
+    ends: dict[int, int] = {}  # of a container, the blocks there were when it closed
+    made = 0
     inside = furniture = seen = False
     links = 0
     now = Block(False, False, "")
@@ -102,6 +108,7 @@ def blocks(html: str) -> tuple[list[Block], bool]:
         if now.size:
             out.append(now)
         now = Block(inside, furniture, tag)
+        now.box = stack[-1][3] if stack else 0
 
     at, end = 0, len(html)
     while at < end:
@@ -132,8 +139,11 @@ def blocks(html: str) -> tuple[list[Block], bool]:
             if tag not in LEAF:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == tag:
+                        if now.size:
+                            cut()
+                        ends.update((box, len(out)) for *_, box in stack[k:])
                         del stack[k:]
-                        _, inside, furniture = stack[-1] if stack else ("", False, False)
+                        _, inside, furniture, _ = stack[-1] if stack else ("", False, False, 0)
                         links = 0
                         break
             cut()
@@ -151,12 +161,13 @@ def blocks(html: str) -> tuple[list[Block], bool]:
                     links = 0
                 core = tag in ("article", "main") or 'role="main"' in m[3]
                 seen |= core and not furniture
-                held = furniture and not (core and all(n == "form" or not f for n, _, f in stack))
+                held = furniture and not (core and all(n == "form" or not f for n, _, f, _ in stack))
                 inside, furniture = inside or core and not held, held or is_furniture(tag, m[3], inside)
                 if m[3].rstrip().endswith("/") and tag not in ("html", "body", "div"):
-                    _, inside, furniture = stack[-1] if stack else ("", False, False)
+                    _, inside, furniture, _ = stack[-1] if stack else ("", False, False, 0)
                 else:
-                    stack.append((tag, inside, furniture))
+                    made += 1
+                    stack.append((tag, inside, furniture, made))
                 cut()
             else:
                 links = 0
@@ -165,9 +176,12 @@ def blocks(html: str) -> tuple[list[Block], bool]:
                     now.furniture = True
     if now.size:
         out.append(now)
-    kept = []
-    for b in out:
+    kept, until = [], 0
+    for k, b in enumerate(out):
         b.text = " ".join(unescape("".join(b.parts)).split())
+        if b.heading and b.box and COMMENTS.fullmatch(b.text):
+            until = max(until, ends.get(b.box, len(out)))  # to the end of the section that it heads
+        b.furniture |= k < until
         if b.text:
             kept.append(b)
     return kept, seen
@@ -178,31 +192,49 @@ def stop_words(text: str) -> tuple[int, int]:
     return sum(w.strip(".,;:!?\"'()") in STOP for w in words), len(words)
 
 
-def points(b: Block, stops: int, words: int, has_article: bool, known: bool) -> int:
-    """What speaks for the block less what speaks against it."""
-    long_enough = len(b.text) >= SHORT
-    density = stops / words
+def evidence(b: Block, has_article: bool) -> int:
+    """What a block's place says."""
+    return AGAINST if b.furniture or has_article and not b.inside else FOR if b.inside else 0
+
+
+def features(b: Block, stops: int, words: int, known: bool) -> int:
+    """What the block itself says."""
     out = 0
-    if long_enough:
+    if len(b.text) >= SHORT:
+        density = stops / words
         out += 3 if density >= HIGH else 2 if density >= LOW or not known else -2
         out += len(b.text) >= LONG
-    if b.linked > LINKS * b.size:
-        out -= (2 if b.leaf else 4) if b.inside else 6
-    out += 2 if b.inside else -8 if has_article else 0
-    return out - 10 * b.furniture
+    return out - (2 if b.leaf else 4) * (b.linked > LINKS * b.size)
 
 
-def first_pass(found: list[Block], has_article: bool) -> list[str]:
+def judged(found: list[Block], has_article: bool, place: bool) -> list[int]:
+    """Every block's points, with or without what its place says."""
     counts = [stop_words(b.text) for b in found]
-    known = sum(s for s, _ in counts) >= UNKNOWN * sum(w for _, w in counts)
-    got = [points(b, s, w, has_article, known) for b, (s, w) in zip(found, counts)]
-    return ["good" if p >= GOOD else "bad" if p < 0 else "short" for p in got]
+    said = [evidence(b, has_article) for b in found]
+    candidates = [c for b, c, e in zip(found, counts, said) if e >= 0 and b.linked <= LINKS * b.size] or counts
+    known = sum(s for s, _ in candidates) >= UNKNOWN * sum(w for _, w in candidates)
+    return [features(b, s, w, known) + (e if place else 0) for b, (s, w), e in zip(found, counts, said)]
+
+
+def labels_of(points: list[int]) -> list[str]:
+    return ["good" if p >= GOOD else "bad" if p < 0 else "short" for p in points]
+
+
+def first_pass(found: list[Block], has_article: bool) -> list[str]:
+    return labels_of(judged(found, has_article, True))
 
 
 def second_pass(found: list[Block], labels: list[str], has_article: bool) -> list[str]:
-    """Labels of all blocks; open ones look to the nearest decided ones before and after."""
-    aside = lambda b: b.furniture or len(b.text) < SHORT or b.linked > LINKS * b.size
-    decided = [i for i, x in enumerate(labels) if x != "short" and not (has_article and not found[i].inside) and not (x == "bad" and found[i].inside and aside(found[i]))]
+    """Labels of all blocks; ambiguous ones look to the nearest decided ones before and after."""
+    said = [evidence(b, has_article) for b in found]
+    if "good" not in labels:
+        if any(x == "short" and e > 0 for x, e in zip(labels, said)):
+            labels = ["good" if x == "short" and e > 0 else x for x, e in zip(labels, said)]
+        else:
+            labels, said = labels_of(judged(found, has_article, False)), [0] * len(found)
+            if "good" not in labels:
+                return ["good" if x == "short" and b.leaf and evidence(b, has_article) >= 0 else "bad" for b, x in zip(found, labels)]
+    decided = [i for i, x in enumerate(labels) if x == "good" or x == "bad" and not has_article]
     out, before = list(labels), None
     k = 0
     for i, x in enumerate(labels):
@@ -211,12 +243,10 @@ def second_pass(found: list[Block], labels: list[str], has_article: bool) -> lis
         if x != "short":
             continue
         after = decided[k] if k < len(decided) else None
-        if before is None and after is None:
-            out[i] = "good" if found[i].inside else "bad"
+        if said[i] < 0 or before is None and not found[i].heading and not found[i].inside:
+            out[i] = "bad"
         elif before is None or after is None:
             out[i] = labels[after if before is None else before]
-            if before is None and not found[i].heading and not found[i].inside:
-                out[i] = "bad"
         elif labels[before] == labels[after]:
             out[i] = labels[before]
         elif found[i].heading:
