@@ -23,7 +23,8 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over `documents`; what each returns is written and read again as the next one's input.
 
-    A stage's tables go once its result is written, and that result once the next one is."""
+    A stage's tables go once its result is written, and that result once the next one is. Nulls in any column, repeated rows, empty
+    tables and columns named like a stage's own go through as each stage's module says; a document without words is kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         with _runtime.scratch() as keep:
