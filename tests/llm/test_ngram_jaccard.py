@@ -76,6 +76,13 @@ def test_signatures_meet():
             assert len(np.intersect1d(N.signatures(x, level(x)), N.signatures(y, level(y))))
 
 
+def test_stars_meet_whatever_their_size(spark, monkeypatch):
+    monkeypatch.setattr(L, "STAR", 3)
+    x = spark.createDataFrame([(a, k) for a, n in ((1, 20), (2, 3), (3, 1)) for k in range(n)], "a long, x long")
+    y = spark.createDataFrame([(a, k) for a in (1, 2, 4) for k in range(5)], "a long, y long")
+    assert sorted(map(tuple, L.salted(x, y).select("a", "x", "y").collect())) == sorted(map(tuple, x.join(y, "a").collect()))
+
+
 def test_bounds_are_upper_bounds():
     rng = np.random.default_rng(5)
     for _ in range(300):
@@ -85,7 +92,10 @@ def test_bounds_are_upper_bounds():
         assert L.most_shared(L.parity_bits(x), L.parity_bits(y), len(x), len(y)) >= len(np.intersect1d(x, y))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [1 << 20, 25])
+def test_components(spark, monkeypatch, at_once):
+    """With all edges in one task, and with so few in each that stars are joined in turns."""
+    monkeypatch.setattr(L, "EDGES", at_once)
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(60)] + [(7, 7), (1, 0)]
     got = {r.node: r.root for r in L.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -37,3 +37,11 @@ def test_known_words_stay_right_when_forgotten(monkeypatch):
     library = Tokenizer.from_file(PATH)
     text = "several different words make the memory overflow again and again"
     assert m.counts([text]) == [len(library.encode(text).ids)]
+
+
+def test_clashing_names_repeats_and_long_texts(spark):
+    library = Tokenizer.from_file(PATH)
+    rows = [(1, "the same", "x", 5, True), (1, "the same", "x", 5, True), (None, "no id", "y", 6, False), (2, "long text, " * 40_000, "z", 7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, t string, n_bytes int, over_limit boolean")
+    got = sorted(((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in T.token_counts(df, PATH).collect()), key=repr)
+    assert got == sorted(((i, len(t), n := len(library.encode(t).ids), n > 1024) for i, t, *_ in rows), key=repr)

@@ -356,12 +356,15 @@ def links(pairs: DataFrame, stars: DataFrame, groups: DataFrame, sketches: DataF
     return roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(last.where("linked").select("a", "b"))
 
 
-def salted(x: DataFrame, y: DataFrame, salts: int = 16) -> DataFrame:
-    """x joined with y on the star `a`, each star's x dealt to `salts` tasks."""
-    each = x.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(salts)))
-    return each.join(y.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["a", "salt"]).drop("salt")
+def salted(x: DataFrame, y: DataFrame) -> DataFrame:
+    """x joined with y on the star `a`; a star's x are dealt to a task for each STAR of them, and its y go to all of these."""
+    tasks = x.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("salts"))
+    each = x.join(tasks, "a").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("salts"))).drop("salts")
+    every = y.join(tasks, "a").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    return each.join(every, ["a", "salt"]).drop("salt")
 
 
+STAR = 8192
 EDGES = 1 << 20
 
 
@@ -399,18 +402,28 @@ def contracted(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root of every node with an edge, by large-star and small-star turns; the root is the least node."""
-    state, last, now = None, None, contracted(edges).distinct()
+    """node, root of every node with an edge; the root is the least node.
+
+    Tasks of EDGES edges contract theirs to stars, twice. What was one task's then, at most EDGES edges, is done; of more, large-star and
+    small-star turns join the tasks' stars until nothing changes."""
+    state, last = None, None
+    first, seen = contracted(edges), Observation()
+    first = R.written(first.observe(seen, F.count(F.lit(1)).alias("n")), "edges")
+    tasks = max(1, -(-int(seen.get["n"]) // EDGES))
+    now = contracted(first.select(F.col("v").alias("a"), F.col("u").alias("b")).coalesce(tasks))
+    if tasks == 1:
+        now = R.written(now, "edges")
+        R.drop(first)
+        return _rooted(now)
+    now = now.distinct()
     while True:
         seen = Observation()
         now = R.written(now.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
         mark = seen.get
-        R.drop(last)
-        last = now
+        R.drop(last, first)
+        last, first = now, None
         if mark == state:
-            out = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-            out._tidemill_at = now._tidemill_at  # it rests on this one table
-            return out
+            return _rooted(now)
         state = mark
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -420,6 +433,13 @@ def components(edges: DataFrame) -> DataFrame:
         now = lower.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(m.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _rooted(stars: DataFrame) -> DataFrame:
+    """node, root of a written table of stars (v, u), on which the result rests."""
+    out = stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out._tidemill_at = stars._tidemill_at
+    return out
+
+
 def bitmap(keys: DataFrame) -> np.ndarray:
     """A bitmap with the bits of the long column `key` set; rows that miss it aren't in `keys`.
 

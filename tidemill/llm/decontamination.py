@@ -12,7 +12,8 @@ is contaminated by the items of which it covers the threshold or more.
 The benchmark's seeds are sent to all tasks if there are at most SEEDS of them,
 which is counted first; a larger benchmark is taken in blocks of that size, each sent, used
 and written before the next. Documents are never compared with each other. Very long texts are
-checked whole; an empty table gives an empty one, an empty benchmark finds nothing.
+checked whole; an empty table gives an empty one, an empty benchmark finds nothing. Matches are extended word by word: a pair of texts
+that both repeat one word thousands of times takes as many steps as the product of their lengths.
 
 Items of fewer than SEED words say too little and match nothing, as do null and empty
 ones. Repeated items count as their least id. Null and empty texts are clean. Of items with

@@ -8,8 +8,9 @@ pair that holds a merged symbol always ranks after the merge that made it, so
 this gives what a queue of single merges gives.
 
 Texts: null counts as empty (0 bytes, 0 tokens). Strings of special tokens in a
-text are one token each, as the library does by default. Nothing is truncated.
-Repeated rows each get their row; other columns of the input are not read.
+text are one token each, as the library does by default. Nothing is truncated: very long texts are
+counted whole, and so are their very long pre-tokens. Repeated rows, and null ids, each get their row; an empty table gives an empty
+one; other columns of the input are not read, so they may have any name.
 """
 
 from __future__ import annotations
