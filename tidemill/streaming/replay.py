@@ -83,10 +83,14 @@ def replay(result: DataFrame, mode: str = "append", idle: bool = True) -> Replay
         if mode == "complete" and batch:
             delete(spark, f"{at}/table/batch={batch - 1}")
 
-    name, was = "spark.sql.streaming.noDataMicroBatches.enabled", spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled")
-    spark.conf.set(name, str(idle).lower())
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    set_to = {"spark.sql.streaming.noDataMicroBatches.enabled": str(idle).lower(), "spark.sql.shuffle.partitions": str(min(partitions, max(8, 2 * spark.sparkContext.defaultParallelism)))}
+    was = {c: spark.conf.get(c) for c in set_to}
+    for c, v in set_to.items():  # every partition has a state store, which each batch commits
+        spark.conf.set(c, v)
     run: StreamingQuery = result.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-    spark.conf.set(name, was)  # the stream has its own copy
+    for c, v in was.items():  # the stream has its own copy
+        spark.conf.set(c, v)
     run.awaitTermination()
     got = spark.read.schema(StructType([*result.schema, StructField("batch", LongType())])).parquet(f"{at}/table")
     return Replay(got if mode == "update" else got.drop("batch"), list(run.recentProgress))
