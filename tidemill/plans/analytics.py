@@ -22,9 +22,9 @@ from tidemill.sources.shared import fresh, input_bytes
 def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each order the orders of its customer that were being shipped before the customer's next order; shipping takes from a day to years."""
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
-    us = lambda c: F.unix_micros(F.col(c).cast("timestamp")) if isinstance(c, str) else F.unix_micros(c.cast("timestamp"))
+    us = lambda c: F.unix_micros(c.cast("timestamp"))
     following = F.lead("o_orderdate").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
-    waits = o.select("o_custkey", "o_orderkey", us("o_orderdate").alias("s"), us(F.coalesce(following, F.col("o_orderdate") + F.expr("interval 30 days"))).alias("e"))
+    waits = o.select("o_custkey", "o_orderkey", us(F.col("o_orderdate")).alias("s"), us(F.coalesce(following, F.col("o_orderdate") + F.expr("interval 30 days"))).alias("e"))
     shipped = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(us(F.min("l_shipdate")).alias("s2"), us(F.max("l_shipdate")).alias("e2"))
     other = shipped.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", F.col("o_orderkey").alias("other"), "s2", "e2")
     got = overlaps.overlap_join(waits, other, ["o_custkey"], ("s", "e"), ("s2", "e2"), base=86_400_000_000)

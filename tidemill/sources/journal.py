@@ -28,7 +28,7 @@ import sys
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from datetime import date, datetime, timezone
+from datetime import date, datetime
 
 import pyarrow as pa
 import pyarrow.compute as pc
