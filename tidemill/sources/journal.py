@@ -3,7 +3,8 @@
 A write is a commit. Tasks write Parquet files of their own; the driver then writes the commit's entry, which
 lists them with their rows and with each column's least and greatest value, under a temporary name and moves it
 to its number. Readers see what entries list, so a write that fails, or a task's attempt that is lost,
-leaves nothing to be seen, and files that no entry will list are deleted. A streaming batch that runs again finds its
+leaves nothing to be seen. The files of a write that fails are deleted: its end is marked first, so a task that
+ends later deletes its own, and what a killed one has left goes with the next commit. A streaming batch that runs again finds its
 entry and adds nothing.
 
     spark.dataSource.register(JournalSource)
@@ -106,12 +107,12 @@ class Written(WriterCommitMessage):
 class _Tasks:
     """What both writers' tasks do."""
 
-    def __init__(self, path: str, schema: StructType) -> None:
-        self.path, self.schema = path, schema
+    def __init__(self, path: str) -> None:
+        self.path, self.id = path, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, at = _fs(self.path)
-        name = f"data/{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.parquet"
+        name = f"data/{self.id}-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.parquet"
         fs.create_dir(f"{at}/data", recursive=True)
         seen, out = Bound(), None
         try:
@@ -122,6 +123,8 @@ class _Tasks:
                     seen.add(batch)
             if out is not None:
                 out.close()
+            if fs.get_file_info(f"{at}/log/.failed-{self.id}").type != pafs.FileType.NotFound:
+                raise ValueError("the write that this task belongs to has failed")
         except BaseException:
             if out is not None:
                 out.close()
@@ -135,6 +138,22 @@ class _Tasks:
             if m is not None and m.file and fs.get_file_info(f"{at}/{m.file}").type != pafs.FileType.NotFound:
                 fs.delete_file(f"{at}/{m.file}")
 
+    def fail(self) -> None:
+        fs, at = _fs(self.path)
+        fs.create_dir(f"{at}/log", recursive=True)
+        fs.open_output_stream(f"{at}/log/.failed-{self.id}").close()
+        sweep(self.path)
+
+
+def sweep(path: str) -> None:
+    """Deletes what writes that have failed have left."""
+    fs, at = _fs(path)
+    names = lambda folder: [f.base_name for f in fs.get_file_info(pafs.FileSelector(f"{at}/{folder}", allow_not_found=True))]
+    failed = {n.removeprefix(".failed-") for n in names("log") if n.startswith(".failed-")}
+    for name in names("data") if failed else ():
+        if name.split("-")[0] in failed:
+            fs.delete_file(f"{at}/data/{name}")
+
 
 def entries(path: str) -> list[dict]:
     """The commits that count, in order."""
@@ -158,11 +177,12 @@ def _enter(path: str, messages: list, overwrite: bool, batch: str | None = None)
     with fs.open_output_stream(temp) as out:
         out.write(text.encode())
     fs.move(temp, f"{at}/log/{number:012d}.json")
+    sweep(path)
 
 
 class JournalWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, schema: StructType, overwrite: bool) -> None:
-        self.tasks, self.path, self.overwrite = _Tasks(path, schema), path, overwrite
+    def __init__(self, path: str, overwrite: bool) -> None:
+        self.tasks, self.path, self.overwrite = _Tasks(path), path, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         return self.tasks.write(iterator)
@@ -171,14 +191,14 @@ class JournalWriter(DataSourceArrowWriter):
         _enter(self.path, messages, self.overwrite)
 
     def abort(self, messages: list) -> None:
-        self.tasks.remove(messages)
+        self.tasks.fail()
 
 
 class JournalStreamWriter(DataSourceStreamArrowWriter):
     """A batch is an entry with the batch's name: `query` and number."""
 
-    def __init__(self, path: str, schema: StructType, query: str) -> None:
-        self.tasks, self.path, self.query = _Tasks(path, schema), path, query
+    def __init__(self, path: str, query: str) -> None:
+        self.tasks, self.path, self.query = _Tasks(path), path, query
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         return self.tasks.write(iterator)
@@ -191,7 +211,7 @@ class JournalStreamWriter(DataSourceStreamArrowWriter):
             _enter(self.path, messages, False, name)
 
     def abort(self, messages: list, batchId: int) -> None:
-        self.tasks.remove(messages)
+        self.tasks.remove(messages)  # its writer may be that of later batches
 
 
 #: What a filter with a constant says of a file's least and greatest value, and of its rows.
@@ -315,7 +335,7 @@ class JournalSource(DataSource):
         return JournalStreamReader(self.path, schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> JournalWriter:
-        return JournalWriter(self.path, schema, overwrite)
+        return JournalWriter(self.path, overwrite)
 
     def streamWriter(self, schema: StructType, overwrite: bool) -> JournalStreamWriter:
-        return JournalStreamWriter(self.path, schema, self.options.get("query", "stream"))
+        return JournalStreamWriter(self.path, self.options.get("query", "stream"))
