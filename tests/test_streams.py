@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -91,6 +92,20 @@ def test_timers_fire_once_it_is_certain(spark):
     assert sum(p["numInputRows"] > 0 for p in got.progress) == 4
 
 
+def test_timers_go_by_ticks_not_events(spark):
+    """Users who share a key are told apart, and state grows with buckets and ticks, not with users and events."""
+    rng, hour = random.Random(4), 3600
+    rows = [(i, rng.choice((rng.randrange(6 * hour), hour * rng.randrange(6))), rng.randrange(40), rng.choice(("view", "view", "purchase"))) for i in range(900)]
+    parts = [[r for r in rows if r[1] // (2 * hour) == k] for k in range(3)]
+    with timers.rocksdb(spark):
+        got = replay.replay(timers.unanswered(written(spark, *parts, [(9999, 86_400 * 30, -1, "view")]), "view", "purchase", hour, "1 day", buckets=2))
+    told = {(u, s) for _, s, u, t in rows if t == "purchase"}
+    want = [(u, i, DAY + timedelta(seconds=s)) for i, s, u, t in rows if t == "view" and not any(v == u and s <= a <= s + hour for v, a in told)]
+    assert len(want) > 50
+    assert sorted((r.user_id, r.event_id, r.ts) for r in got.table.withColumn("ts", F.col("ts").cast("timestamp_ntz")).collect()) == sorted(want)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in got.progress) < 200
+
+
 def test_state_is_given_up(spark):
     """After the closing event nothing is left but that event's own key, answers without questions too."""
     rows = [[(k * 100 + i, k * 20_000 + i, i % 7, "view" if i % 3 else "purchase") for i in range(60)] for k in range(4)] + [[(9999, 86_400 * 60, -1, "view")], [(10_000, 86_400 * 61, -1, "other")]]

@@ -14,6 +14,11 @@ def source(spark: SparkSession, sf_dir: str, *closing: str) -> DataFrame:
     return replay.as_stream(spark, replay.arrivals(table(spark, sf_dir, "events"), list(closing)))
 
 
+def buckets(spark: SparkSession, sf_dir: str) -> int:
+    """Groups of users that share a key of state: of a million events or so, however many there are."""
+    return max(8, table(spark, sf_dir, "events").count() // 1_000_000)
+
+
 @query("stream_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = replay.replayed(events.counted(source(spark, sf_dir), "1 hour", "10 minutes"), "complete")
@@ -99,9 +104,9 @@ def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT user_id, event_id, ts FROM events a WHERE event_type = 'view' AND NOT EXISTS (SELECT 1 FROM events b WHERE b.event_type = 'purchase' AND b.user_id = a.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR)""",
 )
 def stream_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Views that no purchase of the same user follows within an hour, each given by its event-time timer."""
+    """Views that no purchase of the same user follows within an hour, given by event-time timers."""
     with timers.rocksdb(spark):
-        got = replay.replayed(timers.unanswered(source(spark, sf_dir, "view"), "view", "purchase", 3600, "7 days"))
+        got = replay.replayed(timers.unanswered(source(spark, sf_dir, "view"), "view", "purchase", 3600, "7 days", buckets=buckets(spark, sf_dir)))
     return got.select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 

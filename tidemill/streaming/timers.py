@@ -6,11 +6,12 @@ import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, MapState, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors needn't have this package
 
@@ -31,75 +32,95 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(c) if v is None else spark.conf.set(c, v)
 
 
+def _rows(parts: Iterator[pd.DataFrame], *columns: str) -> list[np.ndarray]:
+    whole = pd.concat(list(parts))
+    return [whole[c].to_numpy() if c == "event_type" else whole[c].astype("int64").to_numpy() for c in columns]
+
+
+def _packed(rows: np.ndarray) -> bytes:
+    return np.ascontiguousarray(rows, np.int64).tobytes()
+
+
+def _unpacked(state: tuple | None, width: int) -> np.ndarray:
+    return np.frombuffer(bytes(state[0]) if state else b"", np.int64).reshape(-1, width)
+
+
 class Unanswered(StatefulProcessor):
-    """Events of `first` that no event of `then` follows within `within_us` microseconds, each given when that is certain.
+    """Events of `first` that no event of `then` of the same user follows within `within_us` microseconds, each given when that is certain.
 
-    An event waits in a map by its deadline, the millisecond at which its timer fires: the watermark has passed it
-    then, so no answer can come any more. Answers are a list of times; those that no event that waits
-    or can still come may need go with each timer."""
+    A key has many users. Time is cut into ticks of `within_us`, and a tick has one timer and one packed row of each map: an event waits in the
+    tick in which its deadline is, whose timer fires once the watermark has passed that tick's end, so no answer can come any more.
+    What a tick's events may need are the answers of that tick and the one before; the latter go with the timer."""
 
     def __init__(self, first: str, then: str, within_us: int) -> None:
         self.first, self.then, self.within = first, then, within_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "deadline long", "ids array<long>, times array<long>")
-        self.answers = handle.getListState("answers", "us long")
+        self.waiting = handle.getMapState("waiting", "tick long", "packed binary")
+        self.answers = handle.getMapState("answers", "tick long", "packed binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        asked: dict[int, list[tuple[int, int]]] = {}
-        answers: list[tuple[int]] = []
-        for part in rows:
-            for kind, i, us in zip(part["event_type"], part["event_id"], part["us"]):
-                if kind == self.first:
-                    asked.setdefault(self.deadline(int(us)), []).append((int(i), int(us)))
-                elif kind == self.then:
-                    answers.append((int(us),))
-        if answers:
-            self.answers.appendList(answers)
-            self.handle.registerTimer(self.deadline(max(us for (us,) in answers)))  # by then no event can need them
-        for deadline, events in asked.items():
-            ids, times = self.waiting.getValue((deadline,)) or ([], [])
-            self.waiting.updateValue((deadline,), ([*ids, *(i for i, _ in events)], [*times, *(us for _, us in events)]))
-            self.handle.registerTimer(deadline)
+        kind, user, i, us = _rows(rows, "event_type", "user_id", "event_id", "us")
+        tick = -(-us // self.within)
+        asked, told = kind == self.first, kind == self.then
+        ticks = self.add(self.waiting, tick[asked] + 1, np.stack([user, i, us], 1)[asked])
+        ticks |= {k + 1 for k in self.add(self.answers, tick[told], np.stack([user, us], 1)[told])}  # after that no event can need them
+        for k in sorted(ticks):
+            self.handle.registerTimer(k * self.within // 1000)
         yield from ()
 
-    def deadline(self, us: int) -> int:
-        return -(-(us + self.within) // 1000)
+    def add(self, state: MapState, tick: np.ndarray, rows: np.ndarray) -> set[int]:
+        order = np.argsort(tick, kind="stable")
+        found, starts = np.unique(tick[order], return_index=True)
+        for k, more in zip(found, np.split(rows[order], starts[1:])):
+            was = state.getValue((int(k),))
+            state.updateValue((int(k),), ((bytes(was[0]) if was else b"") + _packed(more),))
+        return {int(k) for k in found}
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        deadline = expiredTimerInfo.getExpiryTimeInMs()
-        found = self.waiting.getValue((deadline,))
-        answers = [us for (us,) in self.answers.get()] if self.answers.exists() else []
-        # timers fire in order: what waits still has a later deadline, and what comes is after the watermark
-        still = [(us,) for us in answers if us > deadline * 1000 - self.within]
-        if len(still) < len(answers):
-            self.answers.put(still) if still else self.answers.clear()
+        tick = expiredTimerInfo.getExpiryTimeInMs() * 1000 // self.within
+        found = self.waiting.getValue((tick,))
+        # timers fire in order: what waits still is in a later tick, and what comes is after the watermark
+        before = self.answers.getValue((tick - 1,))
+        if before is not None:
+            self.answers.removeKey((tick - 1,))
         if found is None:
             return
-        self.waiting.removeKey((deadline,))
-        open_ids = [(i, us) for i, us in zip(*found) if not any(us <= a <= us + self.within for a in answers)]
-        if open_ids:
-            yield pd.DataFrame({"user_id": [int(key[0])] * len(open_ids), "event_id": [i for i, _ in open_ids], "us": [us for _, us in open_ids]})
+        self.waiting.removeKey((tick,))
+        asked = _unpacked(found, 3)
+        told = np.concatenate([_unpacked(before, 2), _unpacked(self.answers.getValue((tick,)), 2)])
+        # users one after another on one line of times, further apart than the two ticks are long
+        codes = np.unique(np.concatenate([asked[:, 0], told[:, 0]]), return_inverse=True)[1].reshape(-1) * (4 * self.within) - (tick - 2) * self.within
+        at, answers = codes[: len(asked)] + asked[:, 2], np.sort(codes[len(asked) :] + told[:, 1])
+        following = np.append(answers, np.iinfo(np.int64).max)[np.searchsorted(answers, at)]
+        open_ones = asked[following - at > self.within]
+        if len(open_ones):
+            yield pd.DataFrame(dict(zip(("user_id", "event_id", "us"), open_ones.T)))
 
     def close(self) -> None:
         pass
 
 
-def unanswered(events: DataFrame, first: str, then: str, within_seconds: int, late: str, slot_seconds: int = 86_400) -> DataFrame:
+def unanswered(events: DataFrame, first: str, then: str, within_seconds: int, late: str, slot_seconds: int = 86_400, buckets: int = 1024) -> DataFrame:
     """user_id, event_id and ts of `first` events that no `then` event of the same user follows within `within_seconds`.
 
-    A user's state is parted by slots of time, so that no user's history is one key: a `first` event goes to its slot, a `then`
-    event to its own and, near a slot's beginning, to the one before. Events later than `late` are dropped."""
+    State is parted by `buckets` of users and slots of time: calls, timers and state rows go by buckets and ticks, not by users and events, and no
+    user's history is one key. A `first` event goes to its slot, a `then` event to its own and, near a slot's beginning, to the one
+    before. Events later than `late` are dropped."""
     t = F.unix_seconds("ts")
     slot = lambda s: F.floor(s / slot_seconds)
     slots = F.when(F.col("event_type") == then, F.sequence(slot(t - within_seconds), slot(t))).otherwise(F.array(slot(t)))
     kept = events.withWatermark("ts", late).where(F.col("user_id").isNotNull() & F.col("event_type").isin(first, then))
-    keyed = kept.select("ts", "user_id", "event_id", "event_type", F.unix_micros("ts").alias("us"), F.explode(slots).alias("slot"))
-    got = keyed.groupBy("user_id", "slot").transformWithStateInPandas(Unanswered(first, then, within_seconds * 1_000_000), "user_id long, event_id long, us long", "Append", "EventTime")
+    keyed = kept.select("ts", _bucket(buckets), "user_id", "event_id", "event_type", F.unix_micros("ts").alias("us"), F.explode(slots).alias("slot"))
+    got = keyed.groupBy("bucket", "slot").transformWithStateInPandas(Unanswered(first, then, within_seconds * 1_000_000), "user_id long, event_id long, us long", "Append", "EventTime")
     return got.select("user_id", "event_id", F.timestamp_micros("us").alias("ts"))
 
 
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("user_id"), F.lit(buckets)).alias("bucket")
+
+
 class FirstSeen(StatefulProcessor):
     """A key's first row, and again the first after `ttl_ms` of processing time without it."""
 
