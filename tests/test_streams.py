@@ -125,6 +125,23 @@ def test_times_to_live(spark):
     assert sorted((r.user_id, r.event_id) for r in long.collect()) == [(0, 0), (1, 1)]
 
 
+def test_first_seen_keeps_users_of_a_key_apart(spark):
+    """The least id of the first batch that has a user and type; a state row for each type and bucket, not for each user."""
+    rng = random.Random(6)
+    rows = [[(i, k, rng.randrange(300), rng.choice(("view", "click"))) for i in rng.sample(range(1000 * k, 1000 * k + 900), 400)] for k in range(3)]
+    want = {}
+    for batch in rows:
+        least = {}
+        for i, _, u, t in batch:
+            least[u, t] = min(i, least.get((u, t), i))
+        want = least | want
+    with timers.rocksdb(spark):
+        got = replay.replay(timers.first_seen(written(spark, *rows), 3_600_000, buckets=2), idle=False)
+    found = [((r.user_id, r.event_type), r.event_id) for r in got.table.collect()]
+    assert dict(found) == want and len(found) == len(want) > 400
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in got.progress) <= 20
+
+
 def test_complete_mode_keeps_one_batch(spark):
     rows = [[(10 * k + i, k * 4000 + i, i, "view") for i in range(4)] for k in range(4)]
     got = replay.replayed(events.counted(written(spark, *rows), "1 hour", "1 hour"), "complete")

@@ -114,5 +114,5 @@ def stream_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's kinds of events, given once by state that lives for a day of processing time."""
     with timers.rocksdb(spark):
-        got = replay.replayed(timers.first_seen(source(spark, sf_dir), 86_400_000), idle=False)
+        got = replay.replayed(timers.first_seen(source(spark, sf_dir), 86_400_000, buckets(spark, sf_dir)), idle=False)
     return got.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))

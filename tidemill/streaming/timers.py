@@ -122,27 +122,36 @@ def _bucket(buckets: int) -> Column:
 
 
 class FirstSeen(StatefulProcessor):
-    """A key's first row, and again the first after `ttl_ms` of processing time without it."""
+    """The first row of each user of a type, and again the first after `ttl_ms` of processing time without one.
+
+    A key is a type and a bucket of users, its state one packed row of users and the times of the batches that had them last. Users whose
+    time is up go when the bucket is next read, the whole bucket with its own time to live."""
 
     def __init__(self, ttl_ms: int) -> None:
         self.ttl = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "event_id long", ttlDurationMs=self.ttl)
+        self.seen = handle.getValueState("seen", "packed binary", ttlDurationMs=self.ttl)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        least = min(int(part["event_id"].min()) for part in rows)
-        known = self.seen.exists()
-        self.seen.update((least,))  # and lives on from now
-        if not known:
-            yield pd.DataFrame({"user_id": [int(key[0])], "event_type": [str(key[1])], "event_id": [least]})
+        now = timerValues.getCurrentProcessingTimeInMs()
+        user, i = _rows(rows, "user_id", "event_id")
+        order = np.lexsort((i, user))
+        users, starts = np.unique(user[order], return_index=True)
+        was = _unpacked(self.seen.get(), 2)
+        was = was[was[:, 1] + self.ttl > now]
+        fresh = ~np.isin(users, was[:, 0])
+        alive = np.stack([users, np.full(len(users), now)], 1)  # and they live on from now
+        self.seen.update((_packed(np.concatenate([was[~np.isin(was[:, 0], users)], alive])),))
+        if fresh.any():
+            yield pd.DataFrame({"user_id": users[fresh], "event_type": str(key[0]), "event_id": i[order][starts][fresh]})
 
     def close(self) -> None:
         pass
 
 
-def first_seen(events: DataFrame, ttl_ms: int) -> DataFrame:
+def first_seen(events: DataFrame, ttl_ms: int, buckets: int = 1024) -> DataFrame:
     """user_id, event_type, event_id: the least event id of the first batch that has the user and type, and of the first batch
-    after `ttl_ms` without them. Without a watermark: what bounds the state is its time to live."""
-    kept = events.where(F.col("user_id").isNotNull() & F.col("event_type").isNotNull()).select("user_id", "event_type", "event_id")
-    return kept.groupBy("user_id", "event_type").transformWithStateInPandas(FirstSeen(ttl_ms), "user_id long, event_type string, event_id long", "Append", "ProcessingTime")
+    after `ttl_ms` without them. Without a watermark: what bounds the state is its time to live. State is kept by type and by `buckets` of users."""
+    kept = events.where(F.col("user_id").isNotNull() & F.col("event_type").isNotNull()).select("user_id", "event_type", "event_id", _bucket(buckets))
+    return kept.groupBy("event_type", "bucket").transformWithStateInPandas(FirstSeen(ttl_ms), "user_id long, event_type string, event_id long", "Append", "ProcessingTime")
