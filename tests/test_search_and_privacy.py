@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import pii
 from tidemill.operators import nearest
+from tidemill.plans import vector
 from tidemill.plans.registry import table
 
 DATA = "/root/testdata/sf0.01"
@@ -58,6 +59,27 @@ def test_hot_vectors_bad_vectors_and_tiles(spark, monkeypatch):
     assert by == brute([i for i, _ in rows], np.array([v for _, v in rows]), [7, 8, 1003], 4)
 
 
+def test_exact_search_in_tiles(spark, monkeypatch):
+    """Copies, ties, null and zero vectors over many tiles; no pair by nested loops."""
+    monkeypatch.setattr(nearest, "TILE", 16)
+    monkeypatch.setattr(nearest, "BLOCK", 40)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 5))
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(100 + i, [float(c) for c in x[7]]) for i in range(30)]
+    df = spark.createDataFrame(rows + [(900, None), (901, [1.0, None, 0.0, 0.0, 0.0])], "i long, v array<double>")
+
+    def by(df, asked, k):
+        out = {}
+        for r in sorted(nearest.exact(df, df.where(asked), "i", "v", k).collect(), key=lambda r: r.rk):
+            out.setdefault(r["query"], []).append(r.other)
+        return out
+
+    assert by(df, "i in (3, 7, 8, 9, 10, 103)", 12) == brute([i for i, _ in rows], np.array([v for _, v in rows]), [3, 7, 8, 9, 10, 103], 12)
+    few = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 1.0]), (5, None), (6, [-1.0, 0.0])], "i long, v array<float>")
+    assert by(few, "i in (1, 3)", 9) == {1: [2, 4, 6, 3, 5], 3: [1, 2, 4, 5, 6]}  # as SQL has it: NaN first, null last
+    assert "NestedLoop" not in vector.nearest_vectors(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
 def valid(kind, s):
     if kind == "card":
         d = [int(c) for c in s if c.isdigit()][::-1]

@@ -1,21 +1,23 @@
-"""Approximate nearest vectors by inverted lists."""
+"""Nearest vectors: exact, and approximate by inverted lists."""
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.sources.shared import fresh
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors needn't have this package
 
-SAMPLE, MOST_LISTS, TURNS, TILE = 16_384, 4096, 12, 4096
+SAMPLE, MOST_LISTS, TURNS = 16_384, 4096, 12
+#: Rows of a tile (it has a quarter as many queries), and similarities that are held at once.
+TILE, BLOCK = 16_384, 1 << 21
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -27,6 +29,87 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
 
 
+def _best(queries: pa.Table, x: np.ndarray, rows: pa.Table, v: np.ndarray, k: int, hidden: Callable[[slice], np.ndarray] | None = None) -> pa.Table:
+    """The `k` of greatest cosine (to nine places, NaN first; ties: least id) among `rows` for each of `queries`, columns q and i, whose unit vectors are `x` and `v`:
+    null similarities, of rows of NaN that are null vectors, come last. Not itself, nor what is `hidden` from a slice of the queries."""
+    schema = pa.schema([("q", queries.schema.field("q").type), ("other", rows.schema.field("i").type), ("similarity", pa.float64())])
+    asked, ids = queries.column("q").combine_chunks(), rows.column("i").combine_chunks()
+    q_ids, i_ids = (c.to_numpy(zero_copy_only=False) for c in (asked, ids))
+    no_x, no_v = (t.column(c).combine_chunks().is_null().to_numpy(zero_copy_only=False) for t, c in ((queries, "x"), (rows, "v")))
+    order = np.argsort(i_ids, kind="stable")
+    ids, i_ids, v, no_v = ids.take(pa.array(order)), i_ids[order], v[order], no_v[order]
+    step, most, out = max(1, BLOCK // max(1, len(ids))), min(k, len(ids)), []
+    for at in range(0, len(asked) if most else 0, step):
+        some = slice(at, at + step)
+        s = np.round(x[some] @ v.T, 9)
+        s[np.isnan(s)] = 3
+        s[no_x[some]] = -3
+        s[:, no_v] = -3
+        if hidden is not None:
+            s[hidden(some)[:, order]] = -np.inf
+        s[q_ids[some, None] == i_ids[None, :]] = -np.inf
+        least = np.partition(s, len(ids) - most, axis=1)[:, len(ids) - most]
+        r, c = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+        first = np.lexsort((c, -s[r, c], r))
+        r, c = r[first], c[first]
+        top = np.arange(len(r)) - np.searchsorted(r, r) < k
+        r, c = r[top], c[top]
+        found = s[r, c]
+        similarity = pa.array(np.where(found == 3, np.nan, found), mask=found == -3, from_pandas=False)
+        out.append(pa.table([asked.take(pa.array(at + r)), ids.take(pa.array(c)), similarity], schema=schema))
+    return pa.concat_tables(out) if out else schema.empty_table()
+
+
+def _ranked(met: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("q").orderBy(F.desc("similarity"), "other")
+    return met.withColumn("rk", F.row_number().over(w).cast("long")).where(F.col("rk") <= k).select(F.col("q").alias("query"), "other", "similarity", "rk")
+
+
+def _parted(key: str, parts: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+
+def _to(parts: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+
+
+def exact(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
+    """query, other, similarity, rk: the `k` vectors of greatest cosine (to nine places; ties: least id) for each query among all, not itself.
+
+    Rows and queries, each dealt by a hash of its id, meet in tiles of TILE rows and a quarter as many queries, a tile by matrix products of
+    bounded size in its task. Every pair is compared; a tile gives its best `k` for each query, the best of those are the answer. Vectors
+    are of one length; a similarity with a zero vector or an entry that isn't finite is NaN, which is greatest, one with a null vector null, which is least."""
+    fine = lambda c: F.when(F.forall(c, lambda e: e.isNotNull()), F.col(c)).alias(c)
+    left = queries.select(F.col(id_col).alias("q"), F.col(vector_col).alias("x")).where("q is not null").select("q", fine("x"))
+    right = vectors.select(F.col(id_col).alias("i"), F.col(vector_col).alias("v")).where("i is not null").select("i", fine("v"))
+    parts, cuts = max(1, -(-vectors.count() // TILE)), max(1, -(-queries.count() * 4 // TILE))
+
+    def vectors_of(column: pa.ChunkedArray) -> np.ndarray:
+        column = column.combine_chunks()
+        lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+        known = column.is_valid().to_numpy(zero_copy_only=False)
+        if len(np.unique(lengths[known])) > 1:
+            raise ValueError("vectors are not of one length")
+        x = np.full((len(column), int(lengths[known][0]) if known.any() else 0), np.nan)
+        x[known] = _vectors(column.drop_null())
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, v = vectors_of(a.column("x")), vectors_of(b.column("v"))
+        if x.shape[1] != v.shape[1]:
+            if not (np.isnan(x).all() or np.isnan(v).all()):
+                raise ValueError("vectors are not of one length")
+            x, v = np.full((len(x), 1), np.nan), np.full((len(v), 1), np.nan)
+        return _best(a, x, b, v, k)
+
+    a = left.withColumn("cut", _parted("q", cuts)).withColumn("part", _to(parts))
+    b = right.withColumn("part", _parted("i", parts)).withColumn("cut", _to(cuts))
+    kinds = dict(queries.dtypes)[id_col], dict(vectors.dtypes)[id_col]
+    met = a.groupBy("part", "cut").cogroup(b.groupBy("part", "cut")).applyInArrow(best, f"q {kinds[0]}, other {kinds[1]}, similarity double")
+    return _ranked(met, k)
+
+
 def centres(vectors: DataFrame, id_col: str, vector_col: str, lists: int, sample: int = SAMPLE) -> np.ndarray:
     """`lists` unit vectors by spherical k-means of the `sample` rows whose ids hash lowest: a bounded sample, on the driver."""
     rows = vectors.orderBy(F.xxhash64(id_col), id_col).limit(sample).select(vector_col).toArrow()
