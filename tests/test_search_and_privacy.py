@@ -80,6 +80,27 @@ def test_exact_search_in_tiles(spark, monkeypatch):
     assert "NestedLoop" not in vector.nearest_vectors(spark, DATA)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_queries_go_to_shards_not_lists(spark, monkeypatch):
+    """Small lists share a shard, and only rows of lists that a query probes are seen."""
+    monkeypatch.setattr(nearest, "TILE", 64)
+    at, shards = nearest._shards({0: 30, 1: 30, 2: 10, 5: 200, 7: 64, 8: 1})
+    assert at == {0: (0, 1), 1: (0, 1), 2: (1, 1), 5: (2, 4), 7: (6, 1), 8: (7, 1)} and shards == 8
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 6))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "i long, v array<double>")
+    index = nearest.indexed(df, "i", "v", lists=20)
+    lists = {r.i: r.list for r in index.table.collect()}
+    got = {}
+    for r in sorted(nearest.search(index, df.where("i % 50 = 0"), "i", "v", 4, 5).collect(), key=lambda r: r.rk):
+        got.setdefault(r["query"], []).append(r.other)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 300, 50):
+        probed = set(np.argsort(-(index.centres @ unit[q]), kind="stable")[:5].tolist())
+        s = np.round(unit @ unit[q], 9)
+        assert got[q] == [j for j in sorted(range(300), key=lambda j: (-s[j], j)) if j != q and lists[j] in probed][:4]
+    assert nearest._shards(index.sizes)[1] < len(index.sizes)
+
+
 def valid(kind, s):
     if kind == "card":
         d = [int(c) for c in s if c.isdigit()][::-1]

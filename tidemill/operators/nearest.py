@@ -159,44 +159,60 @@ def indexed(vectors: DataFrame, id_col: str, vector_col: str, lists: int | None
     return Index(table, c, kind, {r["list"]: r["count"] for r in table.groupBy("list").count().collect()})
 
 
+def _shards(sizes: dict[int, int]) -> tuple[dict[int, tuple[int, int]], int]:
+    """Each list's first shard and its number of shards, and the number of all: a list of more than TILE rows has some of its own, smaller ones share one."""
+    at: dict[int, tuple[int, int]] = {}
+    shards, room = 0, 0
+    for n in sorted(sizes):
+        if sizes[n] > TILE:
+            at[n], shards, room = (shards, -(-sizes[n] // TILE)), shards - (-sizes[n] // TILE), 0
+            continue
+        if sizes[n] > room:
+            shards, room = shards + 1, TILE
+        at[n], room = (shards - 1, 1), room - sizes[n]
+    return at, shards
+
+
 def search(index: Index, queries: DataFrame, id_col: str, vector_col: str, k: int, probes: int) -> DataFrame:
     """query, other, similarity, rk: the `k` vectors of greatest cosine (to nine places; ties: least id) for each query, in the `probes` lists whose centres are nearest; not itself.
 
-    Lists and the queries that probe them meet in tiles of TILE rows of each on average, a tile by one matrix product in its task: a list that holds
-    a third of all rows has as many tiles as others its size. A tile gives its best `k` for each query, the best of those are the answer."""
-    c, sizes = index.centres, index.sizes
+    Lists are dealt to shards of TILE rows on average: a list that holds a third of all rows has many, small ones share one. A query goes once to each shard
+    that has some of its lists, with their numbers, and meets the rows there in tiles, a quarter as many queries as rows, by matrix products of
+    bounded size. A tile gives its best `k` for each query, the best of those are the answer."""
+    c = index.centres
     probes = min(probes, len(c))
+    at, _ = _shards(index.sizes)
+    base, parts = (np.array([at.get(n, (0, 0))[j] for n in range(len(c))]) for j in (0, 1))
+    asked = _clean(queries, id_col, vector_col)
+    cuts = max(1, -(-asked.count() * 4 // TILE))
 
     def probing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for b in (whole.slice(k, 1024) for k in range(0, whole.num_rows, 1024)):
                 near = np.argsort(-(_unit(_vectors(b.column(1))) @ c.T), axis=1, kind="stable")[:, :probes]
-                rows = np.repeat(np.arange(b.num_rows), probes)
-                yield pa.record_batch([b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(near.ravel().astype(np.int32))], names=["q", "x", "list"])
-
-    q = _clean(queries, id_col, vector_col).mapInArrow(probing, f"q {index.id_type}, x array<double>, list int")
-    asked = {r["list"]: r["count"] for r in q.groupBy("list").count().collect()}  # a row a list
-    cuts = [(n, max(1, -(-sizes[n] // TILE)), max(1, -(-asked.get(n, 1) // TILE))) for n in sizes]
-    tiles = F.broadcast(index.table.sparkSession.createDataFrame(cuts, "list int, parts int, cuts int"))
-    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    left = q.join(tiles, "list").withColumn("cut", F.pmod(F.xxhash64("q"), F.col("cuts")).cast("int")).withColumn("part", F.explode(to("parts"))).select("list", "part", "cut", "q", "x")
-    right = index.table.join(tiles, "list").withColumn("part", F.pmod(F.xxhash64("i"), F.col("parts")).cast("int")).withColumn("cut", F.explode(to("cuts"))).select("list", "part", "cut", "i", "v")
+                lists, rows = near.ravel(), np.repeat(np.arange(b.num_rows), probes)
+                times = parts[lists]
+                lists, rows = np.repeat(lists, times), np.repeat(rows, times)
+                shard = base[lists] + np.arange(len(lists)) - np.repeat(np.cumsum(times) - times, times)
+                order = np.lexsort((shard, rows))
+                lists, rows, shard = lists[order], rows[order], shard[order]
+                starts = np.flatnonzero(np.diff(rows, prepend=-1) | np.diff(shard, prepend=-1))
+                ends = np.append(starts, len(lists)).astype(np.int32)
+                r = pa.array(rows[starts])
+                yield pa.record_batch([b.column(0).take(r), b.column(1).take(r), pa.array(shard[starts].astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(lists.astype(np.int32)))], names=["q", "x", "shard", "lists"])
+
+    to = index.table.sparkSession.createDataFrame([(n, *v) for n, v in at.items()], "list int, base int, parts int")  # a row a list
+    left = asked.mapInArrow(probing, f"q {index.id_type}, x array<double>, shard int, lists array<int>").withColumn("cut", _parted("q", cuts))
+    right = index.table.join(F.broadcast(to), "list").select("i", "v", "list", (F.col("base") + F.pmod(F.xxhash64("i"), F.col("parts"))).cast("int").alias("shard"), _to(cuts).alias("cut"))
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
-        schema = pa.schema([("q", a.schema.field("q").type), ("other", b.schema.field("i").type), ("similarity", pa.float64())])
-        if not a.num_rows or not b.num_rows:
-            return schema.empty_table()
-        asked_ids, ids = a.column("q").combine_chunks(), b.column("i").combine_chunks()
-        order = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")
-        s = np.round(_unit(_vectors(a.column("x").combine_chunks())) @ _unit(_vectors(b.column("v").combine_chunks())).T, 9)[:, order]
-        ids = ids.take(pa.array(order))
-        s[asked_ids.to_numpy(zero_copy_only=False)[:, None] == ids.to_numpy(zero_copy_only=False)[None, :]] = -np.inf
-        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        found = np.take_along_axis(s, top, 1)
-        keep = np.isfinite(found).ravel()
-        rows = np.repeat(np.arange(len(asked_ids)), top.shape[1])[keep]
-        return pa.table([asked_ids.take(pa.array(rows)), ids.take(pa.array(top.ravel()[keep])), pa.array(found.ravel()[keep])], schema=schema)
-
-    met = left.groupBy("list", "part", "cut").cogroup(right.groupBy("list", "part", "cut")).applyInArrow(best, f"q {index.id_type}, other {index.id_type}, similarity double")
-    w = Window.partitionBy("q").orderBy(F.desc("similarity"), "other")
-    return met.withColumn("rk", F.row_number().over(w).cast("long")).where(F.col("rk") <= k).select(F.col("q").alias("query"), "other", "similarity", "rk")
+        probed = a.column("lists").combine_chunks()
+        here, of = np.unique(b.column("list").to_numpy(), return_inverse=True)
+        sees = np.zeros((len(probed), len(c)), bool)
+        sees[np.repeat(np.arange(len(probed)), probed.value_lengths().to_numpy()), probed.flatten().to_numpy()] = True
+        sees = sees[:, here]
+        x, v = (_unit(_vectors(t.column(n).combine_chunks())) if t.num_rows else np.zeros((0, c.shape[1])) for t, n in ((a, "x"), (b, "v")))
+        return _best(a, x, b, v, k, lambda some: ~sees[some][:, of])
+
+    met = left.groupBy("shard", "cut").cogroup(right.groupBy("shard", "cut")).applyInArrow(best, f"q {index.id_type}, other {index.id_type}, similarity double")
+    return _ranked(met, k)
