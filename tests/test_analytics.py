@@ -166,6 +166,16 @@ def test_layout_saves_exchanges(spark):
     assert len(got) and "Exchange" in scan
 
 
+def test_buckets_go_by_lines(spark, monkeypatch):
+    """Twice as many lines have twice as many buckets, each of as many lines as before."""
+    want = sorted(map(tuple, analytics.bucketed_join(spark, DATA).collect()))
+    lines = spark.read.parquet(f"{DATA}/lineitem.parquet").count()
+    monkeypatch.setattr(analytics, "BUCKET_ROWS", 500)
+    df = analytics.bucketed_join(spark, DATA)
+    assert sorted(map(tuple, df.collect())) == want
+    assert "Exchange" not in plan(df) and f"{-(-lines // 500)} out of {-(-lines // 500)}" in plan(df)
+
+
 def test_salts_are_the_same_whenever_a_task_runs(spark):
     df = spark.createDataFrame([(1, f"x{i}") for i in range(400)] + [(None, f"n{i}") for i in range(300)] + [(k, "y") for k in range(2, 90)], "k long, v string")
     right = spark.createDataFrame([(1, "a"), (5, "b"), (None, "z")], "k long, w string")
