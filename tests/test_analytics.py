@@ -37,6 +37,26 @@ def test_overlaps_are_each_pair_once(spark):
     assert overlaps.overlap_join(spark.createDataFrame(x, xs), empty, ["k"], ("sx", "ex"), ("sy", "ey")).count() == 0
 
 
+def test_overlaps_of_few_need_no_bins(spark, monkeypatch):
+    """Keys with few pairs meet without a row for each bin, keys with many by bins, with the same pairs."""
+    rng = random.Random(11)
+
+    def some(n, tag):
+        out = [("hot" if i % 3 == 0 else None if i % 17 == 0 else f"k{rng.randrange(20)}", i, s := rng.randrange(3000), s + rng.choice((-1, 0, 1, 40, 700, 9000))) for i in range(n)]
+        return spark.createDataFrame([*out, ("alone" + tag, n, 0, 5)], f"k string, {tag} long, s{tag} long, e{tag} long"), out
+
+    (x, xs), (y, ys) = some(200, "x"), some(160, "y")
+    want = sorted((a[1], b[1]) for a in xs for b in ys if a[0] and a[0] == b[0] and a[2] <= a[3] and b[2] <= b[3] and a[2] <= b[3] and b[2] <= a[3])
+    binned = {}
+    for pairs in (0, 200, 1 << 14):
+        monkeypatch.setattr(overlaps, "PAIRS", pairs)
+        got = overlaps.overlap_join(x, y, ["k"], ("sx", "ex"), ("sy", "ey"), 64)
+        assert got.columns == ["k", "x", "sx", "ex", "y", "sy", "ey"]
+        assert sorted((r.x, r.y) for r in got.collect()) == want
+        binned[pairs] = "Generate" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert binned == {0: True, 200: True, 1 << 14: False}
+
+
 def test_long_intervals_stay_few_rows(spark):
     """An interval a million bins long meets short ones without a row for each bin."""
     long = spark.createDataFrame([("a", 0, 0, 10**12)], "k string, x long, sx long, ex long")

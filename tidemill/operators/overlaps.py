@@ -1,11 +1,15 @@
-"""Interval-overlap join by hierarchical bins."""
+"""Interval-overlap join, by hierarchical bins where a key has many intervals."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.sources.shared import fresh
+
 LEVELS = 62
+#: Pairs of a key that are compared without bins.
+PAIRS = 1 << 14
 
 
 def level_of(length: Column, base: int) -> Column:
@@ -16,15 +20,40 @@ def level_of(length: Column, base: int) -> Column:
 def overlap_join(left: DataFrame, right: DataFrame, by: list[str], left_span: tuple[str, str], right_span: tuple[str, str], base: int = 3600) -> DataFrame:
     """Pairs of one key whose closed intervals [start, end] meet, each once; ends are whole numbers (such as microseconds), columns of `left` and `right` differ but for `by`.
 
+    Both sides are written once, as they are read several times. A key with PAIRS pairs at most has them compared in a plain join, in which
+    every row is one row; keys with more go by bins, with the same result. Rows with a null key, a null end or an end before the start have no pairs."""
+
+    def written(df: DataFrame, span: tuple[str, str], label: str) -> DataFrame:
+        at = fresh(df.sparkSession, label)
+        df.dropna(subset=by).where(F.col(span[0]) <= F.col(span[1])).write.parquet(at)
+        return df.sparkSession.read.schema(df.schema).parquet(at)
+
+    a, b = written(left, left_span, "overlap-left"), written(right, right_span, "overlap-right")
+    ones = a.select(*by, F.lit(1).cast("long").alias("_a"), F.lit(0).cast("long").alias("_b")).unionByName(b.select(*by, F.lit(0).cast("long").alias("_a"), F.lit(1).cast("long").alias("_b")))
+    at = fresh(left.sparkSession, "overlap-keys")
+    ones.groupBy(*by).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b")).where(F.col("_a") > F.floor(F.lit(PAIRS) / F.greatest(F.col("_b"), F.lit(1)))).where("_b > 0").select(*by).write.parquet(at)
+    many = left.sparkSession.read.schema(a.select(*by).schema).parquet(at)
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        return x.join(y, by).where((F.col(left_span[0]) <= F.col(right_span[1])) & (F.col(right_span[0]) <= F.col(left_span[1])))
+
+    if many.isEmpty():
+        return met(a, b)
+    few = met(a.join(many, by, "left_anti"), b.join(many, by, "left_anti"))
+    return few.unionByName(_binned(a.join(many, by, "left_semi"), b.join(many, by, "left_semi"), by, left_span, right_span, base))
+
+
+def _binned(left: DataFrame, right: DataFrame, by: list[str], left_span: tuple[str, str], right_span: tuple[str, str], base: int) -> DataFrame:
+    """The pairs by bins.
+
     Every interval has a level by its length, bins of a level are base * 2**level wide, and a pair meets at the greater of its two
     levels: the longer one is there in its one or two bins, the shorter one in those that it touches. So an interval has at most two rows
     for each level of the other side at or above its own, however long others are, and a key's history is spread over
     its bins. Of the two bins that a pair can share, the one in which the overlap begins gives it. The levels that each side has are
-    looked up first (LEVELS numbers at most). Rows with a null key, a null end or an end before the start have no pairs."""
+    looked up first (LEVELS numbers at most)."""
 
     def levelled(df: DataFrame, span: tuple[str, str]) -> DataFrame:
-        fine = df.where(F.col(span[0]) <= F.col(span[1]))
-        return fine.withColumn("_own", level_of(F.col(span[1]) - F.col(span[0]), base))
+        return df.withColumn("_own", level_of(F.col(span[1]) - F.col(span[0]), base))
 
     def levels(df: DataFrame) -> list[int]:
         return sorted(r[0] for r in df.select("_own").distinct().collect())
