@@ -219,6 +219,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     na.append(len(x))
                     nb.append(len(y))
                 yield pa.record_batch([b.column(0), b.column(1), pa.array(inter, pa.int64()), pa.array(na, pa.int64()), pa.array(nb, pa.int64())], names=["a", "b", "inter", "na", "nb"])
+        R.relieve()
 
     one = pairs.join(sets.select(F.col("fp").alias("a"), F.col("members").alias("x")), "a")
     two = one.join(sets.select(F.col("fp").alias("b"), F.col("members").alias("y")), "b")

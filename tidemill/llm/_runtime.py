@@ -20,6 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED = "_tidemill_shipped"
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH = 4 << 20
+#: Row groups of 16 MB, and sizes looked at from the first row on: else the writer holds 100 blobs of any size at least, as one page that it compresses at once.
+_FILES = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 
 
 def _libc() -> ctypes.CDLL | None:
@@ -44,7 +48,12 @@ def relieve() -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors through the driver's file server, once a session."""
+    """Send this package to the executors through the driver's file server, once a session.
+
+    Unless the session has a limit of its own, Python workers get about BATCH bytes at a time from now on, not 10,000 rows of up to 64 MB: the JVM
+    holds a batch outside its heap, in a buffer that doubles, for each task and each Python function in it."""
+    if spark.conf.get(_BATCHES, None) is None:
+        spark.conf.set(_BATCHES, str(BATCH))
     sc = spark.sparkContext
     if getattr(sc, _SHIPPED, False):
         return
@@ -99,7 +108,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     at = fresh_dir(spark, label)
     with _shuffles_go(spark):
-        df.write.parquet(at)
+        df.write.options(**_FILES).parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._tidemill_at = at
     if _open():

@@ -355,6 +355,7 @@ def found(docs: DataFrame, id_col: str, text_col: str, least: int, num: int, den
         got = [np.frombuffer(data[i].as_buffer(), ANCHOR) for i, k in enumerate(kind) if k == ANCHORS]
         if got:
             out += L.packed(SHARED, common(np.concatenate(got))[0])
+        R.relieve()
         return pa.Table.from_batches(out, L.ARROW)
 
     met = R.written(rows.mapInArrow(index, L.SCHEMA).repartition(cells, "cell").groupBy("cell").applyInArrow(cell, L.SCHEMA), "paragraphs")
@@ -387,6 +388,7 @@ def found(docs: DataFrame, id_col: str, text_col: str, least: int, num: int, den
                     if len(piece.a):
                         members, first = piece.sets()
                         yield pa.record_batch([pa.array(K.fingerprints(members, first)), pa.array(b.column(0).to_numpy()[piece.of]), pa.array(piece.place()), K.blobs(members, first)], names=["fp", "o", "i", "members"])
+            R.relieve()
 
         return keyed.mapInArrow(fetch, "fp long, o long, i int, members binary").join(wanted, ["fp", "o", "i"]).select("fp", "members")
 
@@ -460,6 +462,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 raw, off = K.utf8(b.column(place))
                 _, _, first = K.word_spans(raw, off)
                 yield answer(b, b.column(place), np.diff(first).tolist(), [0] * b.num_rows, [[]] * b.num_rows)
+        R.relieve()
 
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -478,6 +481,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     seen.append(keep)
                     out.append(cut_text(raw.encode(), gone, starts, ends) if gone.any() else raw)
                 yield answer(b, pa.array(out, pa.string()), n, removed, seen)
+        R.relieve()
 
     whole = keyed.mapInArrow(untouched, full)
     some = keyed.mapInArrow(touched, keyed.schema).join(dups.withColumnRenamed("o", "_o2"), F.col("_o") == F.col("_o2"), "left").drop("_o2")
