@@ -129,3 +129,12 @@ def test_stage(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string, n_chars long, seen_in string")
     got = {r.doc_id: r for r in D.stage(spark, df, "").collect()}
     assert set(got) == {1, 3, 4, 5} and got[1].text == words and got[3].text == "and more words" and got[3].n_chars == 14 and got[3].seen_in == "c"
+
+
+def test_python_functions_are_parted(spark):
+    """However small what goes is: a task that ran two Python functions would hold two workers."""
+    words = " ".join(f"w{i}" for i in range(60))
+    got = D.deduplicated(spark.createDataFrame([(1, words, None), (2, words, None)], SCHEMA))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert [r.removed_words for r in got.orderBy("doc_id").collect()] == [0, 60]

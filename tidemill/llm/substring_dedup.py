@@ -300,7 +300,8 @@ def passages(rows: DataFrame, shared: DataFrame, least: int, cells: int) -> Data
         return pa.table({"o": pa.array(o[at]), "runs": pa.array([r[x:y].tobytes() for x, y in zip(at, np.append(at[1:], len(r)))], pa.binary())})
 
     keyed = rows.select("o", F.xxhash64("o").alias("key"), "t")
-    some = keyed.mapInArrow(touched, keyed.schema).join(shared, "o").select("o", "t", "anchors")
+    # merged, not broadcast: an exchange parts the two Python functions, so that a task needs a worker for one at a time
+    some = keyed.mapInArrow(touched, keyed.schema).join(shared.hint("merge"), "o").select("o", "t", "anchors")
     met = some.mapInArrow(around, L.SCHEMA).repartition(cells, "cell").groupBy("cell").applyInArrow(meet, L.SCHEMA)
     return met.repartition(cells, "cell").groupBy("cell").applyInArrow(runs, "o long, runs binary")
 
@@ -484,7 +485,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         R.relieve()
 
     whole = keyed.mapInArrow(untouched, full)
-    some = keyed.mapInArrow(touched, keyed.schema).join(dups.withColumnRenamed("o", "_o2"), F.col("_o") == F.col("_o2"), "left").drop("_o2")
+    some = keyed.mapInArrow(touched, keyed.schema).join(dups.withColumnRenamed("o", "_o2").hint("merge"), F.col("_o") == F.col("_o2"), "left").drop("_o2")
     return whole.unionByName(some.mapInArrow(applied, full))
 
 
