@@ -3,7 +3,9 @@ from __future__ import annotations
 import math
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import numpy as np
 import pytest
 
 from tests.llm.conftest import words
@@ -78,3 +80,46 @@ def test_empty(spark):
     assert M.scored(df, df.select("doc_id")).count() == 0
     df = spark.createDataFrame([("a", None), ("b", "")], "doc_id string, text string")
     assert {(r.doc_id, r.n_words, r.difference) for r in M.scored(df, df.select("doc_id")).collect()} == {("a", 0, None), ("b", 0, None)}
+
+
+def test_batches_fill_whatever_arrow_hands_over(spark, monkeypatch, tmp_path):
+    """40 Arrow batches of one partition are one batch of texts, each cell answers it once, and its table is smaller than the input's."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randrange(2, 9))) for _ in range(3000)]
+    rows = [(i, " ".join(rng.choices(vocabulary, k=150))) for i in range(2000)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents")
+    size = lambda folder: sum(p.stat().st_size for p in Path(folder).glob("*.parquet"))
+    seen, write = {}, M.R.written
+
+    def written(df, label, **options):
+        seen[label] = write(df, label, **options)
+        return seen[label]
+
+    monkeypatch.setattr(M.R, "written", written)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        assert M.scored(spark.read.parquet(f"{tmp_path}/documents"), spark.range(500).toDF("doc_id")).where("n_words = 150").count() == 2000
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    answers = seen["lm-answers"].where("batch is not null").groupBy("kind", "cell").count().collect()
+    assert {r["count"] for r in answers} == {1}
+    assert size(seen["lm-batches"]._tidemill_at.removeprefix("file://")) < 0.85 * size(f"{tmp_path}/documents")
+
+
+@pytest.mark.parametrize("cells", [1, 8, 241, 15000])
+def test_messages_are_small_and_come_back(cells):
+    """A key of a full batch takes 7 bytes at most with its counts of one byte each left out, and all come back as they were."""
+    rng = np.random.default_rng(1)
+    keys = np.unique(np.concatenate([rng.integers(0, 1 << 64, 400_000, np.uint64), np.array([1, 2, (1 << 64) - 1], np.uint64)]))
+    b, t = rng.integers(1, 200, len(keys)), np.zeros(len(keys), np.int64)
+    b[5] = 1 << 40
+    to, at = M.dealt(keys, cells)
+    assert (to[:-1] < to[1:]).all() and to[0] >= 0 and to[-1] < cells
+    columns = M.gaps(keys, to, at, cells), b, t
+    sent = [M.packed([c[x:y] for c in columns]) for x, y in zip(at[:-1], at[1:])]
+    back = [M.unpacked(data, M.SENT) for data in sent]
+    assert (np.concatenate([np.uint64(M.least(c, cells)) + np.cumsum(k) for c, (k, _, _) in zip(to.tolist(), back)]) == keys).all()
+    assert all((np.concatenate([p[i] for p in back]) == x).all() for i, x in ((1, b), (2, t)))
+    if cells > 1:  # the count of 2**40 makes one message's wide
+        assert sum(map(len, sent)) <= (7 + 2) * len(keys) + 6 * np.diff(at).max()

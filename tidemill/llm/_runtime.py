@@ -103,12 +103,12 @@ def _shuffles_go(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, was)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """`df` as a table in the shared folder: the lineage ends here and survives lost executors."""
+def written(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """`df` as a table in the shared folder: the lineage ends here and survives lost executors. `options` are the writer's."""
     spark = df.sparkSession
     at = fresh_dir(spark, label)
     with _shuffles_go(spark):
-        df.write.options(**_FILES).parquet(at)
+        df.write.options(**_FILES, **options).parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._tidemill_at = at
     if _open():

@@ -11,11 +11,12 @@ unigrams smoothed by one over the vocabulary and the end (Jelinek-Mercer). A doc
 mean over its words and its end of the target's loss minus the background's, in bits: lower is more
 like the target.
 
-Texts are taken in batches of about BATCH bytes. A batch sends each of its different pairs and words
-once, with its counts, to a hash cell; the number of cells grows with the input, and a pair's cell
-goes by the pair, so a frequent word has no cell of its own. A cell adds up what all batches have
-sent and answers each in the order of its keys. What is frequent costs its cell one row a batch,
-however often the batch has it.
+Texts are taken in batches of about BATCH bytes, whatever Spark hands over at a time, and kept
+compressed. A batch sends each of its different pairs and words once, with its counts, to the cell
+that has its hash in its range; the number of cells grows with the input, and a pair's cell goes by
+the pair, so a frequent word has no cell of its own. Keys are sent in order, as the gaps between
+them. A cell adds up what all batches have sent and answers each in the order of its keys. What is
+frequent costs its cell one row a batch, however often the batch has it.
 
 Words are runs of `[^\\x20\\x09-\\x0D]+`, A-Z as a-z, and stand as 64-bit hashes. Texts are read
 whole; a very long one is a batch of its own. Null and empty texts have no words, no part in the
@@ -39,34 +40,43 @@ from tidemill.llm import _kernel as K
 from tidemill.llm import _runtime as R
 
 SHARE = 0.75
-BATCH, CELL = 8 << 20, 2 << 20
+BATCH, CELL = 8 << 20, 4 << 20
 PARTITIONS = 1 << 17
 KNOWN_IDS = 2_000_000
 BEGIN, END = np.uint64(1), np.uint64(2)
 PAIRS, WORDS = 0, 1
-#: A pair's or word's hash, and how often a batch has it in background and target; how often all have it.
-SENT = (("k", "<u8"), ("b", "<u4"), ("t", "<u4"))
-ANSWER = (("b", "<i8"), ("t", "<i8"))
-Columns = dict[str, np.ndarray]
+#: Of a message: the gap before a pair's or word's hash, and how often a batch has it in background and target; of an answer: how often all have it.
+SENT, ANSWER = 3, 2
 
 
-def packed(p: Columns, kind: tuple, at: slice = slice(None)) -> bytes:
-    """The columns one after the other, each by its first bytes, its second ones and so on: small counts compress well."""
-    return b"".join(p[name][at].astype(t).view(np.uint8).reshape(-1, np.dtype(t).itemsize).T.tobytes() for name, t in kind)
+def packed(columns: list[np.ndarray]) -> bytes:
+    """The columns one after the other, each by its first bytes, its second ones and so on, up to the last that any number in it needs."""
+    widths = [max(1, (int(x.max(initial=0)).bit_length() + 7) // 8) for x in columns]
+    return bytes(widths) + b"".join(np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :w].T.tobytes() for x, w in zip(columns, widths))
 
 
-def unpacked(data: bytes, kind: tuple) -> Columns:
-    n = len(data) // sum(np.dtype(t).itemsize for _, t in kind)
-    out, at = {}, 0
-    for name, t in kind:
-        size = np.dtype(t).itemsize
-        out[name] = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T.copy().view(t).ravel()
-        at += n * size
+def unpacked(data: bytes, columns: int) -> list[np.ndarray]:
+    widths, at = data[:columns], columns
+    n = (len(data) - at) // sum(widths)
+    out = []
+    for w in widths:
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :w] = np.frombuffer(data, np.uint8, n * w, at).reshape(w, n).T
+        out.append(x.view("<u8").ravel())
+        at += n * w
     return out
 
 
-def joined(parts: list[Columns], kind: tuple) -> Columns:
-    return {name: np.concatenate([np.empty(0, t), *(p[name] for p in parts)]).astype(t, copy=False) for name, t in kind}
+def stream(rows: pa.Table) -> bytes:
+    """`rows` as a compressed Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def streamed(data: pa.BinaryScalar) -> pa.Table:
+    return pa.ipc.open_stream(data.as_buffer()).read_all()
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,13 +86,24 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
 
 
-def dealt(keys: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(what orders sorted `keys` by their cell, the cells that get some, where they begin and the end)."""
-    cell = (K.mix(keys) >> np.uint64(32)) % np.uint64(cells)
-    order = np.argsort(cell, kind="stable")
-    cell = cell[order].astype(np.int64)
+def dealt(keys: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the cells that get some of `keys`, which are in order, where they begin and the end): each cell has a range of hashes."""
+    cell = ((keys >> np.uint64(32)) * np.uint64(cells)) >> np.uint64(32)
     at = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.zeros(0, np.int64)
-    return order, cell[at], np.append(at, len(cell))
+    return cell[at].astype(np.int64), np.append(at, len(cell))
+
+
+def least(cell: int, cells: int) -> int:
+    """The first hash of a cell's range."""
+    return -(-(cell << 32) // cells) << 32
+
+
+def gaps(keys: np.ndarray, cell: np.ndarray, at: np.ndarray, cells: int) -> np.ndarray:
+    """How far each key is from the one before it in its cell, or from where its cell begins."""
+    before = np.empty_like(keys)
+    before[1:] = keys[:-1]
+    before[at[:-1]] = np.array([least(c, cells) for c in cell.tolist()], np.uint64)
+    return keys - before
 
 
 class Keys:
@@ -121,69 +142,74 @@ def table_of(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> p
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
-MESSAGE = "kind int, cell long, batch long, part int, data binary"
-_MESSAGE = (["kind", "cell", "batch", "part", "data"], [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()])
+MESSAGE = "kind int, cell long, batch long, data binary"
+_MESSAGE = (["kind", "cell", "batch", "data"], [pa.int32(), pa.int64(), pa.int64(), pa.binary()])
 _TOTALS = (["n", "b", "t"], [pa.int64()] * 3)
 
 
-def batched(rows: DataFrame, id_type: str) -> DataFrame:
-    """i, t, good, the batch that a row is in and its place there; to be written, as the numbers of batches are drawn."""
+def batched(rows: DataFrame) -> DataFrame:
+    """Batches of rows, each with its number and its i, t and good as a stream; to be written, as the numbers are drawn."""
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in R.pieces(batch, "t", BATCH):
-                at = int.from_bytes(os.urandom(8), "little") >> 1
-                yield b.append_column("batch", pa.array(np.full(b.num_rows, at, np.int64))).append_column("place", pa.array(np.arange(b.num_rows, dtype=np.int32)))
-
-    return rows.select("i", "t", "good").mapInArrow(number, f"i {id_type}, t string, good boolean, batch long, place int")
+        def one() -> pa.RecordBatch:
+            at = int.from_bytes(os.urandom(8), "little") >> 1
+            return pa.record_batch([pa.array([at], pa.int64()), pa.array([stream(pa.Table.from_batches(held).combine_chunks())], pa.binary())], names=["batch", "data"])
 
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            for b in R.pieces(batch, "t", max(1, BATCH // 8)):
+                n = b.column(1).nbytes
+                if held and size + n > BATCH:
+                    yield one()
+                    held, size = [], 0
+                held.append(b)
+                size += n
+        if held:
+            yield one()
 
-def runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The rows of each batch number, in parts where Arrow has parted them."""
-    ids = batch.column(batch.schema.get_field_index("batch")).to_numpy()
-    at = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else []
-    for a, b in zip(at, np.append(at[1:], len(ids)).astype(int)):
-        yield batch.slice(int(a), int(b) - int(a))
+    return rows.select("i", "t", "good").mapInArrow(number, "batch long, data binary")
 
 
 def messages(table: DataFrame, cells: int) -> DataFrame:
-    """What each part of a batch sends: its pairs and its words with their counts."""
+    """What each batch sends: its pairs and its words with their counts."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in runs(batch):
-                p = Pairs(b.column(0))
+            for number, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                b = streamed(data)
+                p = Pairs(b.column("t").combine_chunks())
                 if not len(p.key):
                     continue
-                good = np.repeat(b.column(1).to_numpy(zero_copy_only=False), np.where(p.has, p.n + 1, 0))
-                batch_no, part = b.column(2)[0].as_py(), b.column(3)[0].as_py()
+                good = np.repeat(b.column("good").to_numpy(), np.where(p.has, p.n + 1, 0))
                 rows = []
                 for kind, a in p.asked.items():
-                    order, to, at = dealt(a.keys, cells)
-                    c = {"k": a.keys[order], "b": a.times[order], "t": a.sums(good)[order]}
-                    rows += [(kind, int(cell), batch_no, part, packed(c, SENT, slice(x, y))) for cell, x, y in zip(to, at[:-1], at[1:])]
+                    to, at = dealt(a.keys, cells)
+                    columns = gaps(a.keys, to, at, cells), a.times, a.sums(good)
+                    rows += [(kind, int(cell), number, packed([c[x:y] for c in columns])) for cell, x, y in zip(to, at[:-1], at[1:])]
                 yield table_of(rows, *_MESSAGE).combine_chunks().to_batches()[0]
         R.relieve()
 
-    return table.select("t", "good", "batch", "place").mapInArrow(send, MESSAGE)
+    return table.select("batch", "data").mapInArrow(send, MESSAGE)
 
 
 def answers(table: DataFrame, cells: int) -> DataFrame:
-    """The counts over all batches of what each part of a batch has sent, in its order; and, without a
-    batch, for each cell of words n different ones, b and t in all."""
+    """The counts over all batches of what each batch has sent, in its order; and, without a batch, for
+    each cell of words n different ones, b and t in all."""
 
     def add(got: pa.Table) -> pa.Table:
         kind, cell = got.column("kind")[0].as_py(), got.column("cell")[0].as_py()
-        sent = got.column("data").to_pylist()
-        p = joined([unpacked(data, SENT) for data in sent], SENT)
-        a = Keys(p["k"])
-        sums, place = {name: a.sums(p[name]) for name in ("b", "t")}, a.places()
+        sent = [unpacked(data, SENT) for data in got.column("data").to_pylist()]
+        first = np.uint64(least(cell, cells))
+        a = Keys(np.concatenate([first + np.cumsum(k) for k, _, _ in sent]))
+        b, t = (a.sums(np.concatenate([p[c] for p in sent])) for c in (1, 2))
+        place = a.places()
         rows, end = [], 0
-        for batch, part, data in zip(got.column("batch").to_pylist(), got.column("part").to_pylist(), sent):
-            x, end = end, end + len(data) // 16
-            rows.append((kind, cell, batch, part, packed({name: s[place[x:end]] for name, s in sums.items()}, ANSWER), None, None, None))
+        for batch, (k, _, _) in zip(got.column("batch").to_pylist(), sent):
+            x, end = end, end + len(k)
+            rows.append((kind, cell, batch, packed([b[place[x:end]], t[place[x:end]]]), None, None, None))
         if kind == WORDS:
-            rows.append((kind, cell, None, None, None, len(a.keys), int(sums["b"].sum()), int(sums["t"].sum())))
+            rows.append((kind, cell, None, None, len(a.keys), int(b.sum()), int(t.sum())))
         return table_of(rows, [*_MESSAGE[0], *_TOTALS[0]], [*_MESSAGE[1], *_TOTALS[1]])
 
     sent = messages(table, cells).repartition(min(cells, PARTITIONS), "kind", "cell").groupBy("kind", "cell")
@@ -211,26 +237,24 @@ def scored(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_
     id_type = dict(docs.dtypes)[id_col]
     cells = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), R.input_bytes(docs) // CELL)
     with R.scratch() as keep:
-        table = keep(R.written(batched(with_target(docs, target_ids, id_col, text_col), id_type), "lm-batches"))
-        found = keep(R.written(answers(table, cells), "lm-answers"))
+        table = keep(R.written(batched(with_target(docs, target_ids, id_col, text_col)), "lm-batches"))
+        found = keep(R.written(answers(table, cells), "lm-answers", compression="zstd"))
         size, total_b, total_t = (x or 0 for x in found.agg(F.sum("n"), F.sum("b"), F.sum("t")).first())
 
     def losses(column: pa.Array, answered: dict[int, list[tuple[int, bytes]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(words, target's loss, background's loss) of each text of a part; answers come in the order of the questions."""
+        """(words, target's loss, background's loss) of each text of a batch; answers come in the order of the questions."""
         p = Pairs(column)
         out = np.full((2, len(p.n)), np.nan)
         if len(p.key):
             place = {}
             counts = {}
             for kind, a in p.asked.items():
-                order, to, _ = dealt(a.keys, cells)
                 told = sorted(answered[kind])
-                got = joined([unpacked(data, ANSWER) for _, data in told], ANSWER)
-                if [c for c, _ in told] != to.tolist() or len(got["b"]) != len(order):
-                    raise ValueError("answers don't fit the questions of this part")
-                counts[kind] = {name: np.empty_like(x) for name, x in got.items()}
-                for name, x in got.items():
-                    counts[kind][name][order] = x
+                parts = [unpacked(data, ANSWER) for _, data in told]
+                to, at = dealt(a.keys, cells)
+                if [c for c, _ in told] != to.tolist() or [len(x[0]) for x in parts] != np.diff(at).tolist():
+                    raise ValueError("answers don't fit the questions of this batch")
+                counts[kind] = {name: np.concatenate([x[c] for x in parts]) for c, name in enumerate("bt")}
                 place[kind] = a.places()
             after = np.searchsorted(p.asked[WORDS].keys, np.where(p.after == END, BEGIN, p.after))  # as many ends as beginnings
             first = np.concatenate(([0], np.cumsum(p.n[p.has] + 1)[:-1]))
@@ -240,21 +264,20 @@ def scored(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_
                 out[side, p.has] = np.add.reduceat(bits, first) / (p.n[p.has] + 1)
         return p.n, out[0], out[1]
 
-    def score(rows: pa.Table, got: pa.Table) -> pa.Table:
-        rows = rows.sort_by("place").combine_chunks()
-        answered: dict[int, dict[int, list[tuple[int, bytes]]]] = {}
-        for kind, cell, part, data in zip(*(got.column(c).to_pylist() for c in ("kind", "cell", "part", "data"))):
-            answered.setdefault(part, {PAIRS: [], WORDS: []})[kind].append((cell, data))
-        starts = sorted({0, *answered})  # a part without words has asked nothing, and goes with the one before
-        parts = [losses(rows.column("t").slice(a, b - a).combine_chunks(), answered.get(a, {})) for a, b in zip(starts, [*starts[1:], rows.num_rows])]
-        n, t, b = (np.concatenate(x) for x in zip(*parts))
+    def score(batch: pa.Table, got: pa.Table) -> pa.Table:
+        if batch.num_rows != 1:
+            raise ValueError(f"{batch.num_rows} batches of one number")
+        rows = streamed(batch.column("data")[0])
+        answered: dict[int, list[tuple[int, bytes]]] = {PAIRS: [], WORDS: []}
+        for kind, cell, data in zip(*(got.column(c).to_pylist() for c in ("kind", "cell", "data"))):
+            answered[kind].append((cell, data))
+        n, t, b = losses(rows.column("t").combine_chunks(), answered)
         cols = [pa.array(x, pa.float64(), from_pandas=True) for x in (t, b, t - b)]
         return pa.table([rows.column("i"), pa.array(n, pa.int64()), *cols], names=["i", "n_words", "target_loss", "background_loss", "difference"])
 
     told = found.where("batch is not null").select(*_MESSAGE[0])
-    texts = table.select("i", "t", "batch", "place")
     kind = f"i {id_type}, n_words long, target_loss double, background_loss double, difference double"
-    return texts.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(score, kind).withColumnRenamed("i", id_col)
+    return table.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(score, kind).withColumnRenamed("i", id_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
