@@ -123,3 +123,10 @@ def test_messages_are_small_and_come_back(cells):
     assert all((np.concatenate([p[i] for p in back]) == x).all() for i, x in ((1, b), (2, t)))
     if cells > 1:  # the count of 2**40 makes one message's wide
         assert sum(map(len, sent)) <= (7 + 2) * len(keys) + 6 * np.diff(at).max()
+
+
+@pytest.mark.parametrize("kind", ["named_struct('a', id, 'b', 'x')", "array(id)", "cast(id as decimal(20, 3))", "cast(cast(id as string) as binary)"])
+def test_ids_of_any_type(spark, kind):
+    docs = spark.range(50).selectExpr(f"{kind} as k", "concat('x y ', id) as t")
+    got = M.scored(docs, docs.limit(3).select("k"), "k", "t")
+    assert got.count() == 50 and got.select("k").exceptAll(docs.select("k")).count() == 0

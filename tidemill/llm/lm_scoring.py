@@ -235,6 +235,7 @@ def scored(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_
     spark = docs.sparkSession
     R.ship(spark)
     id_type = dict(docs.dtypes)[id_col]
+    i_type = spark.createDataFrame([], f"i {id_type}").toArrow().schema.field("i").type  # may be null all through, unlike in the batches
     cells = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), R.input_bytes(docs) // CELL)
     with R.scratch() as keep:
         table = keep(R.written(batched(with_target(docs, target_ids, id_col, text_col)), "lm-batches"))
@@ -273,7 +274,7 @@ def scored(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_
             answered[kind].append((cell, data))
         n, t, b = losses(rows.column("t").combine_chunks(), answered)
         cols = [pa.array(x, pa.float64(), from_pandas=True) for x in (t, b, t - b)]
-        return pa.table([rows.column("i"), pa.array(n, pa.int64()), *cols], names=["i", "n_words", "target_loss", "background_loss", "difference"])
+        return pa.table([rows.column("i").cast(i_type), pa.array(n, pa.int64()), *cols], names=["i", "n_words", "target_loss", "background_loss", "difference"])
 
     told = found.where("batch is not null").select(*_MESSAGE[0])
     kind = f"i {id_type}, n_words long, target_loss double, background_loss double, difference double"
