@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -138,3 +139,40 @@ def test_python_functions_are_parted(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     assert [r.removed_words for r in got.orderBy("doc_id").collect()] == [0, 60]
+
+
+def test_word_hashes_take_running_totals():
+    """Equal to the sum byte by byte, and of 1 MB of text no array of all its bytes as numbers is made."""
+    texts = ["", "Ab é" + " x" * 3, "y" * 70000 + " Z", " ".join("w" * n for n in range(300))] + ["word and word " * 8000] * 8
+    raw, off = K.utf8(pa.array(texts))
+    starts, ends, _ = K.word_spans(raw, off)
+    tracemalloc.start()
+    got = K.word_hashes(raw, starts, ends)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < len(raw) + 6 * got.nbytes
+    step, full = 0xD6E8FEB86659FD93, (1 << 64) - 1
+    for i in (*range(6), 100, 200, len(starts) - 1):
+        word = raw[starts[i] : ends[i]].tobytes().lower()
+        total = 0
+        for c in reversed(word):
+            total = (total + K.mixed((c + 1) * 0x9E3779B97F4A7C15 & full)) * step & full
+        assert int(got[i]) == K.mixed(total ^ K.mixed(len(word))), i
+
+
+def test_spots_of_many_texts_are_those_of_each():
+    rng = random.Random(8)
+    line = lambda n: " ".join(f"w{rng.randrange(50)}" for _ in range(n))
+    texts = [line(n) for n in (0, 29, 30, 31, 200, 5, 90)] + ["", None, line(400)]
+    o = np.arange(10, 20)
+    own, want = [], []
+    for i, (t, _, _) in enumerate(D.texts(pa.array(texts), 30)):
+        at, h = D.anchors(t.words, 30)
+        some = h[:: 1 + i % 3]
+        own.append([int(x) for x in some.view(np.int64)])
+        for k in range(len(t.words) - 29):
+            if any(k <= x <= k + 20 for x in at[np.isin(h, some)]):
+                want.append((int(D.windows(t.words, 30)[k]), 10 + i, int(D.text_print(t.words)), k))
+    lists = pa.array([[7], *own], pa.list_(pa.int64()))[1:]
+    got = D.spots(D.Piece(pa.array(texts), 30), o, lists, 30)
+    assert got.tolist() == want and len(want) > 300

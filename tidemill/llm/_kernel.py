@@ -46,14 +46,19 @@ def mixed(x: int) -> int:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
-_STEP = _U(0xD6E8FEB86659FD93)
-_POWERS = np.multiply.accumulate(np.full(1 << 12, _STEP, np.uint64))
+_LOWERED = _BYTE[LOWER]
+_STEP = 0xD6E8FEB86659FD93
+_POWERS = np.ones((2, 1), np.uint64)
 
 
 def _powers(n: int) -> np.ndarray:
+    """[2, n + 1 at least] powers of the words' factor, from the first on, and of its inverse, from 1 on."""
     global _POWERS
-    if n > len(_POWERS):
-        _POWERS = np.multiply.accumulate(np.full(1 << int(n).bit_length(), _STEP, np.uint64))
+    if n >= _POWERS.shape[1]:
+        steps = np.empty((2, (1 << int(n).bit_length()) + 1), np.uint64)
+        steps[:] = np.array([[_STEP], [pow(_STEP, -1, 1 << 64)]], np.uint64)
+        steps[1, 0] = 1
+        _POWERS = np.multiply.accumulate(steps, axis=1)
     return _POWERS
 
 
@@ -84,18 +89,19 @@ def word_spans(raw: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> t
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    length = ends - starts
     out = np.empty(len(starts), np.uint64)
-    step = 1 << 18
-    for a in range(0, len(starts), step):
-        s, n = starts[a : a + step], length[a : a + step]
-        first = np.concatenate(([0], np.cumsum(n)))
-        pos = np.arange(first[-1]) - np.repeat(first[:-1], n)
-        b = LOWER[raw[np.repeat(s, n) + pos]]
-        out[a : a + step] = np.add.reduceat(_BYTE[b] * _powers(int(n.max()))[pos], first[:-1])
-    return mix(out ^ mix(length.astype(np.uint64)))
+    at = 0
+    while at < len(starts):  # running totals over about 32 KB at a time, what a core's cache holds
+        low = int(starts[at])
+        stop = max(at + 1, int(np.searchsorted(ends, low + (1 << 15), "right")))
+        n = int(ends[stop - 1]) - low
+        up, down = _powers(n)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_LOWERED[raw[low : low + n]] * up[:n], out=total[1:])
+        s = starts[at:stop] - low
+        out[at:stop] = (total[ends[at:stop] - low] - total[s]) * down[s]
+        at = stop
+    return mix(out ^ mix((ends - starts).astype(np.uint64)))
 
 
 _PLACE = np.multiply.accumulate(np.full(64, _U(0x9FB21C651E98DF25), np.uint64))
@@ -151,10 +157,9 @@ def segment_sets(words: np.ndarray, a: np.ndarray, b: np.ndarray, k: int = 5) ->
     value = g[np.minimum(at, max(0, len(g) - 1))] if len(g) else np.zeros(total, np.uint64)
     for i in np.flatnonzero((size > 0) & (size < k)):
         value[first[i]] = shingle_set(words[a[i] : b[i]], k)[0]
-    small = np.repeat(np.arange(len(a), dtype=np.uint16 if len(a) < 1 << 16 else np.int64), m)
-    order = np.argsort(value)
-    order = order[np.argsort(small[order], kind="stable")]
-    value = value[order]
+    ends = first.tolist()
+    for x, y in zip(ends, ends[1:]):
+        value[x:y].sort()
     new = np.ones(total, bool)
     new[1:] = value[1:] != value[:-1]
     new[first[:-1][m > 0]] = True

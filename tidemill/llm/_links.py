@@ -46,7 +46,7 @@ def paired(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
     A posting whose n is negative stands for a task's large group; a group that has one is large.
     """
-    p = p[np.argsort(p["sig"], kind="stable")]
+    p = p[np.argsort(np.ascontiguousarray(p["sig"]))]
     if len(p):  # most signatures stand alone: only the others' postings are put in order
         same = np.flatnonzero(p["sig"][1:] == p["sig"][:-1])
         at = np.unique(np.concatenate([same, same + 1]))
@@ -114,7 +114,7 @@ def packed(kind: int, data: np.ndarray, cells: int = 1, step: int = 1 << 16) ->
 
 def by_cell(kind: int, data: np.ndarray, cell: np.ndarray) -> pa.RecordBatch:
     """A row for each cell that has some of `data`."""
-    order = np.argsort(cell, kind="stable")
+    order = np.argsort(cell.astype(np.uint16) if len(cell) and cell.max() < 1 << 16 else cell, kind="stable")  # numbers of 16 bits are sorted by radix
     data, cell = data[order], cell[order].astype(np.int32)
     at = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
     ends = np.append(at[1:], len(cell))

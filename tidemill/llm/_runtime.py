@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 _SHIPPED = "_tidemill_shipped"
 _BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH = 4 << 20
+HEAP = 8 << 20
 #: Row groups of 16 MB, and sizes looked at from the first row on: else the writer holds 100 blobs of any size at least, as one page that it compresses at once.
 _FILES = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 
@@ -30,6 +31,7 @@ def _libc() -> ctypes.CDLL | None:
     try:
         libc = ctypes.CDLL("libc.so.6")
         libc.mallopt(-3, 1 << 20)  # arrays of 1 MB and more are mapped, and go back to the system when freed
+        libc.mallopt(-1, HEAP)  # smaller ones come from a heap that isn't cut and grown again with each of them
         libc.mallopt(-8, 2)  # few arenas
         return libc
     except (OSError, AttributeError):  # not glibc: memory is kept as the allocator likes

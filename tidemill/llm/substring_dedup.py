@@ -44,6 +44,7 @@ REPEAT = np.dtype([("o", "<i8"), ("f", "<u8"), ("k", "<i8"), ("i", "<i4")])
 RUN = np.dtype([("f", "<u8"), ("k", "<i8"), ("i", "<i4"), ("n", "<i4")])
 LINE = np.dtype([("fp", "<i8"), ("o", "<i8"), ("i", "<i4"), ("n", "<i4"), ("bits", "V32")])
 ANCHORS, LINES, SHARED, SPOTS, REPEATS = 3, 4, 5, 8, 9
+SLICE = 1 << 19  # bytes of text: the arrays of a slice come from the heap
 ADDED = ("n_words", "removed_words", "seen_in", "dups", "runs", "_o", "_key", "_o2")
 NO_ID = np.iinfo(np.int64).max
 
@@ -137,6 +138,15 @@ def text_print(words: np.ndarray) -> np.uint64:
     return windows(words, len(words))[0] ^ np.uint64(len(words))
 
 
+def text_prints(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """text_print of each text that has words, 0 for the others."""
+    up, down = powers(len(words) + 1)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[1:], out=total[1:])
+    n = np.diff(first)
+    return np.where(n > 0, K.mix((total[first[1:]] - total[first[:-1]]) * down[first[:-1]]) ^ n.astype(np.uint64), np.uint64(0))
+
+
 class Piece:
     """A batch of texts: their words one after the other, and their paragraphs.
 
@@ -186,15 +196,37 @@ def texts(column: pa.Array, least: int) -> Iterator[tuple[Text, np.ndarray, np.n
 
 def piece_anchors(p: Piece, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(texts, hashes) of `anchors` in all texts at once."""
+    return placed_anchors(p, least)[:2]
+
+
+def placed_anchors(p: Piece, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """piece_anchors and their places in the piece."""
     if len(p.words) < least:
-        return np.zeros(0, np.int64), p.words[:0]
+        return np.zeros(0, np.int64), p.words[:0], np.zeros(0, np.int64)
     size = min(GRAM, least)
     h, among = windows(p.words, size), least - size + 1
     of = np.repeat(np.arange(len(p.first) - 1), np.diff(p.first))
     low = np.zeros(len(h) + among - 1, np.uint64)
     low[among - 1 : len(h)] = np.where(of[: len(p.words) - least + 1] == of[least - 1 :], sliding(h, among, np.minimum), np.uint64(0))
     at = np.flatnonzero((h == sliding(low, among, np.maximum)) & (h > 0))
-    return of[at], h[at]
+    return of[at], h[at], at
+
+
+def spots(p: Piece, o: np.ndarray, own: pa.ListArray, least: int) -> np.ndarray:
+    """SPOTs of the windows of `least` words around the anchors that are among their text's `own`; `o` are the texts'."""
+    of, h, at = placed_anchors(p, least)
+    salt = K.mix(np.arange(1, len(o) + 1, dtype=np.uint64))
+    wanted = own.flatten().to_numpy().view(np.uint64) ^ np.repeat(salt, pc.fill_null(pc.list_value_length(own), 0).to_numpy())
+    some = np.isin(h ^ salt[of], wanted)
+    of, at = of[some], at[some]
+    edge = np.zeros(len(p.words) + 1, np.int32)
+    np.add.at(edge, np.maximum(at + min(GRAM, least) - least, p.first[of]), 1)
+    np.add.at(edge, np.minimum(at, p.first[of + 1] - least) + 1, -1)
+    i = np.flatnonzero(np.cumsum(edge))
+    text = np.searchsorted(p.first, i, "right") - 1
+    out = np.empty(len(i), SPOT)
+    out["h"], out["o"], out["f"], out["i"] = windows(p.words, least)[i], o[text], text_prints(p.words, p.first)[text], i - p.first[text]
+    return out
 
 
 def line_bits(members: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -257,23 +289,14 @@ def passages(rows: DataFrame, shared: DataFrame, least: int, cells: int) -> Data
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            for b in R.pieces(batch, "t"):
-                for o, own, (t, _, _) in zip(b.column(0).to_pylist(), b.column(2), texts(b.column(1), least)):
-                    at, h = anchors(t.words, least)
-                    at = at[np.isin(h, own.values.to_numpy().view(np.uint64))]
-                    if not len(at):
-                        continue
-                    edge = np.zeros(len(t.words) + 1, np.int32)
-                    np.add.at(edge, np.maximum(at + min(GRAM, least) - least, 0), 1)
-                    np.add.at(edge, np.minimum(at, len(t.words) - least) + 1, -1)
-                    i = np.flatnonzero(np.cumsum(edge))
-                    p = np.empty(len(i), SPOT)
-                    p["h"], p["o"], p["f"], p["i"] = windows(t.words, least)[i], o, text_print(t.words), i
+            for b in R.pieces(batch, "t", SLICE):
+                p = spots(Piece(b.column(1), least), b.column(0).to_numpy(), b.column(2), least)
+                if len(p):
                     held.append(p)
                     n += len(p)
-                    if n >= L.FLUSH:
-                        yield from sent(np.concatenate(held))
-                        held, n = [], 0
+                if n >= L.FLUSH:
+                    yield from sent(np.concatenate(held))
+                    held, n = [], 0
         if n:
             yield from sent(np.concatenate(held))
         R.relieve()
@@ -324,7 +347,7 @@ def found(docs: DataFrame, id_col: str, text_col: str, least: int, num: int, den
             yield L.by_cell(ANCHORS, p, cell_of(p["h"], cells))
 
         for batch in batches:
-            for b in R.pieces(batch, "t"):
+            for b in R.pieces(batch, "t", SLICE):
                 o, piece = b.column(0).to_numpy(), Piece(b.column(1), least)
                 of, h = piece_anchors(piece, least)
                 if len(h):
@@ -384,7 +407,7 @@ def found(docs: DataFrame, id_col: str, text_col: str, least: int, num: int, den
         def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 batch = batch.filter(pa.array(L.in_bitmap(bits.value, batch.column(1).to_numpy())))
-                for b in R.pieces(batch, "t"):
+                for b in R.pieces(batch, "t", SLICE):
                     piece = Piece(b.column(2), least)
                     if len(piece.a):
                         members, first = piece.sets()
@@ -459,7 +482,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             key = batch.column(batch.num_columns - 1).to_numpy()
             batch = batch.filter(pa.array(~L.in_bitmap(bits.value, key)))
-            for b in R.pieces(batch, text_col):
+            for b in R.pieces(batch, text_col, SLICE):
                 raw, off = K.utf8(b.column(place))
                 _, _, first = K.word_spans(raw, off)
                 yield answer(b, b.column(place), np.diff(first).tolist(), [0] * b.num_rows, [[]] * b.num_rows)
@@ -472,7 +495,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in R.pieces(batch, text_col):
+            for b in R.pieces(batch, text_col, SLICE):
                 out, n, removed, seen = [], [], [], []
                 dups, runs = (b.column(b.num_columns - k).to_pylist() for k in (2, 1))
                 for raw, d, r, (t, starts, ends) in zip(b.column(place).to_pylist(), dups, runs, texts(b.column(place), least)):
